@@ -28,19 +28,17 @@ class LookupTable:
         for c in values:
             if types[c] not in _SPARK_JSON_TYPES:
                 raise TypeError(f"lookup value {c} has unsupported type {types[c]}")
-        n = df.select(key).limit(max_rows + 1).count()
-        if n > max_rows:
-            raise ValueError(f"{what} has more than {max_rows} rows; use the join form instead")
-        self.n_buckets = max(1, (n + per_bucket - 1) // per_bucket)
         self.value_type = "struct<" + ", ".join(f"{c}:{types[c]}" for c in values) + ">"
+        # one action: keys, their Spark hash and values, after the size check
         rows = bounded_rows(
             df.where(F.col(key).isNotNull())
-              .select(F.col(key).alias("k"), self._bucket(F.col(key)).alias("b"),
-                      F.struct(*values).alias("v")),
+              .select(F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"), F.struct(*values).alias("v")),
             max_rows, what)
+        self.n_buckets = max(1, (len(rows) + per_bucket - 1) // per_bucket)
         buckets: list[dict] = [dict() for _ in range(self.n_buckets)]
         for r in rows:
-            buckets[r["b"]][r["k"]] = r["v"].asDict()
+            # Python's % on a negative long equals Spark's pmod
+            buckets[r["h"] % self.n_buckets][r["k"]] = r["v"].asDict()
         self.size = sum(len(b) for b in buckets)
         self._literal = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string, {self.value_type}>>")
 

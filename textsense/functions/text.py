@@ -144,18 +144,23 @@ def index_tokens(col) -> Column:
 
 
 def ngrams(tokens, lo: int = 1, hi: int = 2) -> Column:
-    """N-grams from ``lo`` to ``hi`` words joined by one space, shorter ones first."""
+    """N-grams from ``lo`` to ``hi`` words joined by one space, shorter ones first.
+
+    Pass a column reference: each n-gram reads its neighbours from ``tokens``, so an
+    expression here would be re-evaluated per element."""
     w = _c(tokens)
+
+    def gram(n):
+        # n-gram starting at element x (index i): x and the n-1 elements after it
+        return lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, n)])
+
     parts = []
     for n in range(lo, hi + 1):
         if n == 1:
             parts.append(w)
             continue
-        # n-gram starting at every position i with i + n <= size
         count = F.greatest(F.size(w) - (n - 1), F.lit(0))
-        start = F.slice(w, 1, count)
-        parts.append(F.transform(start, lambda x, i, n=n: F.concat_ws(
-            " ", x, *[F.get(w, i + j) for j in range(1, n)])))
+        parts.append(F.transform(F.slice(w, 1, count), gram(n)))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
@@ -198,3 +203,13 @@ def display_label(label) -> Column:
     out = F.lit(DISPLAY_LABELS["neutral"])
     return (F.when(lab == "positive", DISPLAY_LABELS["positive"])
             .when(lab == "negative", DISPLAY_LABELS["negative"]).otherwise(out))
+
+
+def explode_structs(df, keep: list, arr: str):
+    """Rows of an array<struct> column next to the ``keep`` columns.
+
+    ``inline_outer`` + a null filter instead of ``inline``: for an inner generator Catalyst
+    infers a ``size(arr) > 0`` filter and pushes it below the projections, which would inline
+    (and re-run per element) the array-building expressions."""
+    first = df.schema[arr].dataType.elementType.fieldNames()[0]
+    return df.select(*keep, F.inline_outer(arr)).where(F.col(first).isNotNull())

@@ -108,7 +108,8 @@ def lexicon_polarity(df: DataFrame, key, col: str, lexicon: DataFrame) -> DataFr
 
 def lexicon_polarity_exploded(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFrame:
     """D1 in join + window form, for lexicons too large to embed. Shuffles tokens by key."""
-    toks = df.select(key, F.posexplode(T.index_tokens(col)).alias("pos", "tok"))
+    toks = (df.select(key, F.posexplode_outer(T.index_tokens(col)).alias("pos", "tok"))
+              .where(F.col("tok").isNotNull()))
     lex = lexicon.select(F.col("term").alias("tok"), F.col("polarity").alias("p"),
                          F.col("intensity").alias("i"),
                          F.coalesce("is_modifier", F.lit(False)).alias("m"),

@@ -78,3 +78,48 @@ a AS (SELECT k, CASE WHEN m1 THEN (CASE WHEN g2
 s AS (SELECT k, avg(v) AS avg_v, count(*) AS n FROM a GROUP BY k)
 SELECT src.k AS {key}, coalesce({round3_avg_sql('s.avg_v')}, 0.0) AS polarity, coalesce(s.n, 0) AS n
 FROM src LEFT JOIN s ON src.k = s.k)"""
+
+
+def ngram_terms_sql(tokens: str) -> str:
+    """Uni+bigrams of a token list (DuckDB lists are 1-based)."""
+    return (f"list_concat({tokens}, CASE WHEN len({tokens}) > 1 THEN "
+            f"list_transform(range(1, len({tokens})), lambda i: {tokens}[i] || ' ' || {tokens}[i + 1]) "
+            f"ELSE [] END)")
+
+
+def tfidf_ctes(prefix: str, corpus: str, key: str, text: str, max_terms: int, queries: str | None = None,
+               qkey: str | None = None, qtext: str | None = None) -> str:
+    """CTEs ``{p}tf(k, term, tf)``, ``{p}voc(term, total_tf, df, idf)``, ``{p}w(k, term, tf, weight)``
+    and, with queries, ``{p}qw(k, term, tf, weight)`` (queries transformed with the corpus vocabulary)."""
+    p = prefix
+    s = f"""{p}tok AS (SELECT {key} AS k, {index_tokens_sql(text)} AS w FROM {corpus}),
+{p}g AS (SELECT k, unnest({ngram_terms_sql('w')}) AS term FROM {p}tok),
+{p}tf AS (SELECT k, term, count(*) AS tf FROM {p}g GROUP BY k, term),
+{p}n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {corpus}),
+{p}voc0 AS (SELECT term, sum(tf) AS total_tf, count(*) AS df FROM {p}tf GROUP BY term
+            ORDER BY total_tf DESC, term LIMIT {max_terms}),
+{p}voc AS (SELECT v.term, v.total_tf, v.df, ln((1 + {p}n.n) / (1 + v.df)) + 1 AS idf FROM {p}voc0 v, {p}n),
+{p}w0 AS (SELECT t.k, t.term, t.tf, t.tf * v.idf AS w FROM {p}tf t JOIN {p}voc v ON t.term = v.term),
+{p}w AS (SELECT k, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS weight FROM {p}w0)"""
+    if queries:
+        s += f""",
+{p}qtok AS (SELECT {qkey} AS k, {index_tokens_sql(qtext)} AS w FROM {queries}),
+{p}qg AS (SELECT k, unnest({ngram_terms_sql('w')}) AS term FROM {p}qtok),
+{p}qtf AS (SELECT k, term, count(*) AS tf FROM {p}qg GROUP BY k, term),
+{p}qw0 AS (SELECT t.k, t.term, t.tf, t.tf * v.idf AS w FROM {p}qtf t JOIN {p}voc v ON t.term = v.term),
+{p}qw AS (SELECT k, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS weight FROM {p}qw0)"""
+    return s
+
+
+def topk_ctes(prefix: str, corpus: str, key: str, queries: str, qkey: str, k: int) -> str:
+    """After ``tfidf_ctes`` with queries: ``{p}hits(query_id, rank, doc_id, sim)``."""
+    p = prefix
+    return f"""{p}pairs AS (SELECT q.k AS query_id, d.k AS doc_id, q.weight * d.weight AS p
+                FROM {p}qw q JOIN {p}w d ON q.term = d.term),
+{p}pad AS (SELECT {key} AS doc_id FROM {corpus} ORDER BY {key} DESC LIMIT {k}),
+{p}cand AS (SELECT query_id, doc_id, p FROM {p}pairs
+            UNION ALL SELECT b.{qkey} AS query_id, pad.doc_id, 0.0 AS p FROM {queries} b CROSS JOIN {p}pad pad),
+{p}sims AS (SELECT query_id, doc_id, sum(p) AS sim FROM {p}cand GROUP BY query_id, doc_id),
+{p}ranked AS (SELECT query_id, doc_id, sim, row_number() OVER (PARTITION BY query_id
+              ORDER BY round(sim, 9) DESC, doc_id DESC) AS rank FROM {p}sims),
+{p}hits AS (SELECT query_id, rank, doc_id, sim FROM {p}ranked WHERE rank <= {k})"""
