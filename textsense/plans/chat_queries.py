@@ -159,3 +159,47 @@ def cache_hits(spark, sf):
     e = table(spark, sf, "events", spread_rows=False)
     out = LIM.cache_hits(e, "user_id", "event_type", "ts", "event_id", F.col("event_type") != "error")
     return out.select("event_id", "user_id", "hit")
+
+
+# --- G6: the request flow -------------------------------------------------------------------
+
+def _requests_sql() -> str:
+    from .retrieval_queries import MAX_TERMS, TOP_K
+    from .sqlparts import tfidf_ctes, topk_ctes, strip_ws_sql
+    req = f"""req AS (SELECT e.event_id, e.user_id, e.ts, e.event_type, b.item_id, b.text AS query
+  FROM events e JOIN benchmark b ON b.item_id = CAST(json_extract(e.props, '$.k') AS BIGINT)
+  WHERE length({strip_ws_sql('b.text')}) > 0)"""
+    return f"""WITH {req},
+{_limit_sql('req', LIMIT_N, LIMIT_WINDOW_S)},
+adm AS (SELECT r.* FROM req r JOIN lim ON lim.event_id = r.event_id WHERE lim.admitted),
+pol AS {lexicon_polarity_sql('benchmark', 'item_id', 'text')},
+hits0 AS (SELECT a.*, coalesce(event_type <> 'error' AND max(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END)
+            OVER (PARTITION BY user_id, query ORDER BY ts, event_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, FALSE) AS hit FROM adm a),
+{tfidf_ctes('c_', 'documents', 'doc_id', 'text', MAX_TERMS, 'benchmark', 'item_id', 'text')},
+{topk_ctes('c_', 'documents', 'doc_id', 'benchmark', 'item_id', TOP_K)},
+src AS (SELECT query_id, to_json(list(CAST(doc_id AS VARCHAR) ORDER BY rank)) AS sources FROM c_hits GROUP BY query_id)
+SELECT h.event_id, h.user_id, {display_label_sql(sign_label_sql('pol.polarity'))} AS sentiment,
+       pol.polarity AS score, h.hit, src.sources
+FROM hits0 h JOIN pol ON pol.item_id = h.item_id JOIN src ON src.query_id = h.item_id"""
+
+
+@register("request_pipeline", _requests_sql())
+def request_pipeline(spark, sf):
+    """G6 on the request stream: an event asks the benchmark question named by its props
+    (``{"k": n}``; no such question = blank input, dropped); 2 requests per user per
+    86,400 s; cache flag on unless the event is an error; top-3 documents as sources."""
+    from ..operators import requests as RQ
+    from ..operators import retrieve as R
+    from .retrieval_queries import MAX_TERMS, TOP_K
+    e = table(spark, sf, "events", spread_rows=False)
+    b = table(spark, sf, "benchmark", spread_rows=False)
+    reqs = e.join(b.select(F.col("item_id"), F.col("text").alias("query")),
+                  F.get_json_object("props", "$.k").cast("long") == F.col("item_id"), "left")
+    d = table(spark, sf, "documents")
+    index = R.build_index(d, "doc_id", "text", MAX_TERMS)
+    answered, _ = RQ.run_requests(reqs, "user_id", "ts", "event_id", "query", index, d, "doc_id", "text",
+                                  lexicon_df(spark), LIMIT_N, LIMIT_WINDOW_S, True, TOP_K, False, 3,
+                                  F.col("event_type") != "error")
+    return answered.select("event_id", "user_id", "sentiment", "score", "hit",
+                           F.to_json("sources").alias("sources"))

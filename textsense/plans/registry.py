@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["text_queries", "retrieval_queries", "chat_queries", "model_queries", "stream_queries"]
+_MODULES = ["text_queries", "retrieval_queries", "chat_queries", "model_queries", "stream_queries", "io_queries"]
 
 
 def _load():

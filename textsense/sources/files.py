@@ -59,8 +59,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     Unlike a per-file open, Spark decodes bad UTF-8 bytes as U+FFFD instead of skipping the
     file."""
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", KB_GLOB)
-           .option("recursiveFileLookup", False).text(path))
+    # (``text()``'s own wholetext argument overrides a reader option, so pass it there)
+    raw = spark.read.option("pathGlobFilter", KB_GLOB).text(path, wholetext=True)
     docs = raw.select(F.col("_metadata.file_name").alias("id"), T.strip_ws("value").alias("text"))
     return docs.where(F.col("text") != "").orderBy("id")
 
