@@ -21,8 +21,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pyspark import StorageLevel
+
+from ..functions.text import explode_structs
 from ..session import bounded_rows
-from .vocab import Vocabulary, fit_vocabulary, postings, tfidf
+from .vocab import Vocabulary, build_vocab, doc_terms, postings, tfidf
 
 MAX_BROADCAST_QUERY_POSTINGS = 2_000_000
 RANK_DECIMALS = 9
@@ -35,18 +38,40 @@ class Index:
     key: str
     n_docs: int
     ngram: tuple = (1, 2)
+    held: DataFrame | None = None
 
     def postings(self) -> DataFrame:
         return postings(self.weighted, self.key)
 
+    def release(self) -> None:
+        """Drop persisted term arrays (``build_index(..., persist=True)``)."""
+        if self.held is not None:
+            self.held.unpersist()
+            self.held = None
+
 
 def build_index(docs: DataFrame, key: str, text: str, max_terms: int | None = 5000,
-                ngram=(1, 2), tokens=None) -> Index | None:
-    """F1. Returns None for an empty corpus."""
-    vocab = fit_vocabulary(docs, key, text, max_terms, ngram, tokens)
-    if vocab.n_docs == 0:
+                ngram=(1, 2), tokens=None, persist: bool = False) -> Index | None:
+    """F1. Returns None for an empty corpus.
+
+    By default the text is tokenised twice (once for the vocabulary aggregation, once when
+    the weights are used) and nothing is held. With ``persist=True`` the per-document term
+    arrays are kept (memory, then local disk; a lost block is recomputed from the scan) and
+    every later use reads them -- worth it when one index serves many retrievals; call
+    ``Index.release()`` when done."""
+    counts = doc_terms(docs, key, text, ngram, tokens)
+    if persist:
+        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+        n_docs = counts.count()
+    else:
+        n_docs = docs.count()
+    if n_docs == 0:
+        if persist:
+            counts.unpersist()
         return None
-    return Index(vocab, tfidf(docs, key, text, vocab, ngram, tokens), key, vocab.n_docs, tuple(ngram))
+    vocab = Vocabulary(build_vocab(explode_structs(counts, [key], "counts"), n_docs, max_terms), n_docs)
+    return Index(vocab, vocab.with_weights(counts).drop("counts"), key, n_docs, tuple(ngram),
+                 counts if persist else None)
 
 
 def _pad_ids(docs_keys: DataFrame, key: str, k: int) -> list:

@@ -168,8 +168,11 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM loaded) AS loaded,
 def step_counts(spark, sf):
     """E14 (with B2): rows loaded, left after cleaning (no stemming here, so SQL can check it),
     train and test sizes, vocabulary size of the training side (capped at 5000)."""
+    from pyspark import StorageLevel
     lab = _labelled(spark, sf)
     cleaned = FI.drop_empty_clean(lab.withColumn("c", T.clean_text("text")), "c", "quality")
+    # five counts read the cleaned, split rows: compute them once
+    cleaned = cleaned.select("doc_id", "quality", "c").persist(StorageLevel.MEMORY_AND_DISK)
     split = EV.stratified_split(cleaned, "doc_id", "quality", TEST, SEED)
     train = split.where(F.col("split") == "train")
     vocab = (train.select(F.explode_outer(T.index_tokens("c")).alias("t")).where(F.col("t").isNotNull())

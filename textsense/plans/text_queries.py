@@ -61,7 +61,7 @@ FROM (SELECT doc_id, toks, {drop_stop_sql('toks')} AS kept
       FROM (SELECT doc_id, {ws_tokens_sql(normalise_sql('text'))} AS toks FROM documents))""")
 def tokens_no_stop(spark, sf):
     d = table(spark, sf, "documents")
-    toks = T.ws_tokens(T.normalise("text"))
+    toks = T.normalised_tokens("text")
     return (d.select("doc_id", toks.alias("toks"))
             .select("doc_id", "toks", T.drop_stop_words("toks").alias("kept"))
             .select("doc_id", F.size("toks").cast("long").alias("n_tokens"),
