@@ -34,7 +34,7 @@ RANK_DECIMALS = 9
 @dataclass
 class Index:
     vocab: Vocabulary
-    weighted: DataFrame       # (doc key, terms array<struct<term, tf, weight>>)
+    weighted: DataFrame       # (doc key, terms array<struct<term, tf, w>>, norm)
     key: str
     n_docs: int
     ngram: tuple = (1, 2)

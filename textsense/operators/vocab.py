@@ -100,11 +100,13 @@ class Vocabulary:
         return known
 
     def with_weights(self, df: DataFrame, counts: str = "counts", out: str = "terms") -> DataFrame:
-        df = df.withColumn("__k", self.weights(counts))
-        df = df.withColumn("__norm", F.sqrt(F.aggregate("__k", F.lit(0.0), lambda a, c: a + c["w"] * c["w"])))
-        return (df.withColumn(out, F.transform("__k", lambda c: F.struct(
-                    c["term"].alias("term"), c["tf"].alias("tf"), (c["w"] / F.col("__norm")).alias("weight"))))
-                  .drop("__k", "__norm"))
+        """Adds ``out`` = array<struct<term, tf, w>> (w = tf * idf, known terms only) and
+        ``norm`` = the L2 norm of the w's; ``postings`` divides after the explode.
+
+        (Dividing inside the array would reference ``norm`` once, inside a lambda, and
+        Catalyst would inline its whole aggregate into every element.)"""
+        df = df.withColumn(out, self.weights(counts))
+        return df.withColumn("norm", F.sqrt(F.aggregate(out, F.lit(0.0), lambda a, c: a + c["w"] * c["w"])))
 
 
 def fit_vocabulary(docs: DataFrame, key: str, text: str, max_terms: int | None = 5000, ngram=(1, 2),
@@ -117,7 +119,7 @@ def fit_vocabulary(docs: DataFrame, key: str, text: str, max_terms: int | None =
 
 def tfidf(docs: DataFrame, key: str, text: str, vocab: Vocabulary, ngram=(1, 2), tokens=None,
           keep: list[str] | None = None) -> DataFrame:
-    """(key, [keep...], terms array<struct<term, tf, weight>>) for any texts."""
+    """(key, [keep...], terms array<struct<term, tf, w>>, norm) for any texts."""
     keep = keep or []
     toks = tokens if tokens is not None else T.index_tokens(text)
     d = docs.select(key, *keep, toks.alias("__tok")).select(key, *keep, T.ngrams(F.col("__tok"), *ngram).alias("__terms"))
@@ -126,5 +128,7 @@ def tfidf(docs: DataFrame, key: str, text: str, vocab: Vocabulary, ngram=(1, 2),
 
 
 def postings(weighted: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
-    """(key, term, tf, weight) rows from the per-document weight arrays (narrow explode)."""
-    return T.explode_structs(weighted, [key, *(keep or [])], "terms")
+    """(key, term, tf, weight) rows from the per-document weight arrays (narrow explode),
+    weights L2-normalised per document."""
+    rows = T.explode_structs(weighted, [key, *(keep or []), "norm"], "terms")
+    return rows.select(key, *(keep or []), "term", "tf", (F.col("w") / F.col("norm")).alias("weight"))
