@@ -68,7 +68,10 @@ def _fold_partition(key: str, max_n: int, window_us: int):
 
 def rate_limit(reqs: DataFrame, key: str, ts: str, id_col: str, max_n: int = 10,
                window_s: float = 60, partitions: int | None = None) -> DataFrame:
-    """``reqs`` plus a boolean ``admitted`` column."""
+    """``reqs`` plus a boolean ``admitted`` column.
+
+    Every column of ``reqs`` passes through the Python fold and Catalyst cannot prune
+    across it: select the columns you need first."""
     if max_n < 1:
         raise ValueError("max_n must be at least 1")
     window_us = int(round(window_s * 1_000_000))

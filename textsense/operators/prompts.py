@@ -98,32 +98,48 @@ def rag_prompt(query, context, use_rag) -> Column:
     return F.when(use_rag & (F.coalesce(c, F.lit("")) != ""), full).otherwise(q)
 
 
-def build_prompts(queries: DataFrame, qkey: str, qtext: str, doc_ctx: DataFrame | None,
-                  web_ctx: DataFrame | None, use_rag: bool = True, use_web: bool = False,
-                  web_needs_rag: bool = True) -> DataFrame:
-    """F6-F8 for a batch of questions: (query_id, system_prompt, prompt, sources, messages).
+def prompt_columns(query, doc_sources, doc_ctx, web_sources, web_ctx, use_rag, use_web,
+                   web_needs_rag: bool = True) -> list:
+    """F6-F8 as columns: [system_prompt, prompt, sources, messages] for one question with its
+    document/web contexts and the two settings (Columns or Python bools).
 
     With ``web_needs_rag`` (the app's behaviour) web context is listed as a source but only
     used in the prompt when rag is on."""
-    q = queries.select(F.col(qkey).alias("query_id"), F.col(qtext).alias("query"))
     empty = F.array().cast("array<string>")
-    if use_rag and doc_ctx is not None:
-        q = q.join(doc_ctx.select("query_id", F.col("sources").alias("__ds"), F.col("context").alias("__dc")),
-                   "query_id", "left")
-    else:
-        q = q.withColumn("__ds", empty).withColumn("__dc", F.lit(""))
-    if use_web and web_ctx is not None:
-        q = q.join(web_ctx.select("query_id", F.col("sources").alias("__ws"), F.col("context").alias("__wc")),
-                   "query_id", "left")
-    else:
-        q = q.withColumn("__ws", empty).withColumn("__wc", F.lit(""))
-    ctx = merge_context(F.col("__dc"), F.col("__wc"))
-    rag_on = F.lit(bool(use_rag)) if web_needs_rag else F.lit(bool(use_rag or use_web))
-    prompt = rag_prompt("query", ctx, rag_on)
+    rag = use_rag if isinstance(use_rag, Column) else F.lit(bool(use_rag))
+    web = use_web if isinstance(use_web, Column) else F.lit(bool(use_web))
+    ds = F.when(rag, F.coalesce(doc_sources, empty)).otherwise(empty)
+    dc = F.when(rag, F.coalesce(doc_ctx, F.lit(""))).otherwise(F.lit(""))
+    ws = F.when(web, F.coalesce(web_sources, empty)).otherwise(empty)
+    wc = F.when(web, F.coalesce(web_ctx, F.lit(""))).otherwise(F.lit(""))
+    prompt = rag_prompt(query, merge_context(dc, wc), rag if web_needs_rag else (rag | web))
     msgs = F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content")),
                    F.struct(F.lit("user").alias("role"), prompt.alias("content")))
-    return q.select("query_id", F.lit(SYSTEM_PROMPT).alias("system_prompt"), prompt.alias("prompt"),
-                    merge_sources(F.col("__ds"), F.col("__ws")).alias("sources"), msgs.alias("messages"))
+    return [F.lit(SYSTEM_PROMPT).alias("system_prompt"), prompt.alias("prompt"),
+            merge_sources(ds, ws).alias("sources"), msgs.alias("messages")]
+
+
+def with_contexts(queries: DataFrame, qkey: str, qtext: str, doc_ctx: DataFrame | None,
+                  web_ctx: DataFrame | None) -> DataFrame:
+    """(query_id, query, __ds, __dc, __ws, __wc): each question with its contexts (left joins
+    on the question id; contexts hold one row per question)."""
+    q = queries.select(F.col(qkey).alias("query_id"), F.col(qtext).alias("query"))
+    for ctx, s_col, c_col in ((doc_ctx, "__ds", "__dc"), (web_ctx, "__ws", "__wc")):
+        if ctx is None:
+            q = q.withColumn(s_col, F.array().cast("array<string>")).withColumn(c_col, F.lit(""))
+        else:
+            q = q.join(ctx.select("query_id", F.col("sources").alias(s_col), F.col("context").alias(c_col)),
+                       "query_id", "left")
+    return q
+
+
+def build_prompts(queries: DataFrame, qkey: str, qtext: str, doc_ctx: DataFrame | None,
+                  web_ctx: DataFrame | None, use_rag: bool = True, use_web: bool = False,
+                  web_needs_rag: bool = True) -> DataFrame:
+    """F6-F8 for a batch of questions: (query_id, system_prompt, prompt, sources, messages)."""
+    q = with_contexts(queries, qkey, qtext, doc_ctx if use_rag else None, web_ctx if use_web else None)
+    return q.select("query_id", *prompt_columns(F.col("query"), F.col("__ds"), F.col("__dc"), F.col("__ws"),
+                                                F.col("__wc"), use_rag, use_web, web_needs_rag))
 
 
 def simple_prompt(queries: DataFrame, qkey: str, qtext: str) -> DataFrame:

@@ -32,7 +32,9 @@ def run_requests(reqs: DataFrame, session: str, ts: str, id_col: str, query: str
     """One row per admitted request: (id, session, sentiment, score, hit, sources, prompt),
     plus the rejected ones with ``status = 'rate_limited'``."""
     r = reqs.where(T.non_blank(query))
-    r = LIM.rate_limit(r, session, ts, id_col, max_n, window_s)
+    # the limiter output feeds four branches (rejected, sentiment, cache, questions): it is
+    # written once to the shared checkpoint folder instead of re-running the Python fold
+    r = LIM.rate_limit(r, session, ts, id_col, max_n, window_s).checkpoint(eager=True)
     rejected = r.where(~F.col("admitted")).select(id_col, session, F.lit("rate_limited").alias("status"))
     adm = r.where(F.col("admitted")).drop("admitted")
     adm = with_lexicon_polarity(adm, query, lexicon, out="score")

@@ -90,9 +90,11 @@ ev AS (SELECT l.doc_id, {_LABEL_SQL} AS y, {sign_label_sql('pol.polarity')} AS p
 
 
 def _evaluated(spark, sf):
-    lab = _labelled(spark, sf)
-    s = L.lexicon_sentiment(lab, "doc_id", "text", lexicon_df(spark))
-    return s.join(lab.select("doc_id", F.col("label").alias("y")), "doc_id").withColumnRenamed("sentiment", "p")
+    """(doc_id, y, p): truth from the label, prediction = the lexicon sign label, scored in
+    place on the labelled rows (no join back)."""
+    lab = _labelled(spark, sf).select("doc_id", "text", F.col("label").alias("y"))
+    scored = L.with_lexicon_polarity(lab, "text", lexicon_df(spark))
+    return scored.select("doc_id", "y", T.sign_label("polarity").alias("p"))
 
 
 @register("accuracy", f"""WITH {_EVAL_SQL}
@@ -171,13 +173,13 @@ def step_counts(spark, sf):
     from pyspark import StorageLevel
     lab = _labelled(spark, sf)
     cleaned = FI.drop_empty_clean(lab.withColumn("c", T.clean_text("text")), "c", "quality")
-    # five counts read the cleaned, split rows: compute them once
-    cleaned = cleaned.select("doc_id", "quality", "c").persist(StorageLevel.MEMORY_AND_DISK)
-    split = EV.stratified_split(cleaned, "doc_id", "quality", TEST, SEED)
+    cleaned = cleaned.select("doc_id", "quality", "c")
+    # four counts read the cleaned, split rows: compute them once
+    split = EV.stratified_split(cleaned, "doc_id", "quality", TEST, SEED).persist(StorageLevel.MEMORY_AND_DISK)
     train = split.where(F.col("split") == "train")
     vocab = (train.select(F.explode_outer(T.index_tokens("c")).alias("t")).where(F.col("t").isNotNull())
              .distinct())
-    counts = EV.step_counts(loaded=lab, cleaned=cleaned, train=train,
+    counts = EV.step_counts(loaded=lab, cleaned=split, train=train,
                             test=split.where(F.col("split") == "test"), vocabulary=vocab)
     return counts.withColumn("vocabulary", F.least(F.col("vocabulary"), F.lit(5000)).cast("long"))
 

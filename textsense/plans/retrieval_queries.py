@@ -210,13 +210,15 @@ def prompts(spark, sf):
     # hits are k per question: they are the broadcast side of the lookup into pages
     wres = pages.select(F.col("page_id").alias("doc_id"), "title", "content").join(F.broadcast(whits), "doc_id")
     web_ctx = P.normalise_results(wres, "query_id", "rank", TOP_K)
-    out = None
-    for use_rag, use_web in _FLAGS:
-        one = P.build_prompts(b, "item_id", "text", doc_ctx, web_ctx, use_rag, use_web).select(
-            "query_id", F.lit(use_rag).alias("use_rag"), F.lit(use_web).alias("use_web"),
-            "system_prompt", "prompt", F.to_json("sources").alias("sources"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    # contexts are joined once per question; the four settings are a generator over a
+    # literal array (no union of four plans, no cross join)
+    base = P.with_contexts(b, "item_id", "text", doc_ctx, web_ctx)
+    flags = F.array(*[F.struct(F.lit(r).alias("use_rag"), F.lit(w).alias("use_web")) for r, w in _FLAGS])
+    rows = base.select("*", F.inline(flags))
+    cols = P.prompt_columns(F.col("query"), F.col("__ds"), F.col("__dc"), F.col("__ws"), F.col("__wc"),
+                            F.col("use_rag"), F.col("use_web"))
+    return rows.select("query_id", "use_rag", "use_web", *cols).select(
+        "query_id", "use_rag", "use_web", "system_prompt", "prompt", F.to_json("sources").alias("sources"))
 
 
 @register("prompts_simple", f"""
