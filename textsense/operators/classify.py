@@ -29,6 +29,7 @@ from . import vocab as V
 
 FEATURE_TOKENS = "__tokens"
 NEUTRAL = ("neutral", 0.0)
+ROWS_PER_TRAIN_PARTITION = 100_000
 
 
 def features_tokens(df: DataFrame, col: str, out: str = FEATURE_TOKENS) -> DataFrame:
@@ -71,13 +72,18 @@ def train_classifier(df: DataFrame, col: str, label: str, max_terms: int = 5000,
                      max_iter: int = 1000) -> TextModel:
     """E7 on labelled rows (rows whose cleaned text is empty are the caller's to drop, B2)."""
     from pyspark import StorageLevel
-    # stemmed features are read by several passes (count, vocabulary, indexer, L-BFGS):
-    # computed once, spilled to disk if they do not fit
-    d = features_tokens(df, col).where(F.col(label).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    n_train = d.count()
+    rows = df.where(F.col(label).isNotNull())
+    n_train = rows.count()
     if n_train == 0:
-        d.unpersist()
         raise ValueError("no training rows")
+    # each L-BFGS iteration is one job over every partition: keep partitions at ~100k rows
+    # (a no-op at scale, fewer tiny tasks on small labelled sets; coalesce does not shuffle)
+    want = max(1, -(-n_train // ROWS_PER_TRAIN_PARTITION))
+    if rows.rdd.getNumPartitions() > want:
+        rows = rows.coalesce(want)
+    # stemmed features are read by several passes (vocabulary, indexer, L-BFGS):
+    # computed once, spilled to disk if they do not fit
+    d = features_tokens(rows, col).persist(StorageLevel.MEMORY_AND_DISK)
     counts = V.term_counts(d.withColumn("__row", F.monotonically_increasing_id()), "__row", None,
                            ngram=(1, 1), tokens=F.col(FEATURE_TOKENS))
     vocab = V.Vocabulary(V.build_vocab(counts, n_train, max_terms), n_train)
