@@ -185,8 +185,8 @@ SELECT h.event_id, h.user_id, {display_label_sql(sign_label_sql('pol.polarity'))
 FROM hits0 h JOIN pol ON pol.item_id = h.item_id JOIN src ON src.query_id = h.item_id"""
 
 
-@register("request_pipeline", _requests_sql())
-def request_pipeline(spark, sf):
+@register("request_flow", _requests_sql())
+def request_flow(spark, sf):
     """G6 on the request stream: an event asks the benchmark question named by its props
     (``{"k": n}``; no such question = blank input, dropped); 2 requests per user per
     86,400 s; cache flag on unless the event is an error; top-3 documents as sources."""
