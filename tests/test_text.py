@@ -99,3 +99,10 @@ def test_display_label(spark):
     df = spark.createDataFrame([("positive",), ("NEGATIVE",), ("other",), (None,)], "l string")
     got = [r[0] for r in df.select(T.display_label("l")).collect()]
     assert got == ["Positive 😊", "Negative 😠", "Neutral 😐", "Neutral 😐"]
+
+
+def test_display_prediction_v1(spark):
+    df = spark.createDataFrame([("positive", 0.876), ("weird", 0.5)], "l string, c double")
+    got = [r[0] for r in df.select(T.display_prediction_v1("l", "c")).collect()]
+    assert got == ["😊 Predicted Sentiment: POSITIVE (Confidence: 0.88)",
+                   "❓ Predicted Label: weird (Confidence: 0.50)"]

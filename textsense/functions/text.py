@@ -48,6 +48,8 @@ STOP_WORDS = (
 # Display labels of the app (plain label -> label shown to the user).
 DISPLAY_LABELS = {"positive": "Positive 😊", "negative": "Negative 😠", "neutral": "Neutral 😐"}
 UNTITLED_SOURCE = "Untitled Source"
+# Older app: marks in front of the upper-case label.
+DISPLAY_V1_MARKS = {"positive": "😊", "negative": "❌", "neutral": "😐", "other": "❓"}
 
 # ---------------------------------------------------------------------------------------
 
@@ -219,3 +221,17 @@ def explode_structs(df, keep: list, arr: str):
     (and re-run per element) the array-building expressions."""
     first = df.schema[arr].dataType.elementType.fieldNames()[0]
     return df.select(*keep, F.inline_outer(arr)).where(F.col(first).isNotNull())
+
+
+def display_prediction_v1(label, confidence) -> Column:
+    """B8, older app form: '<mark> Predicted Sentiment: LABEL (Confidence: 0.87)' for the three
+    known classes, '❓ Predicted Label: <raw> (Confidence: ...)' for anything else."""
+    lab = _c(label)
+    conf = F.format_string("%.2f", _c(confidence))
+    known = F.concat(F.lit(" Predicted Sentiment: "), F.upper(lab), F.lit(" (Confidence: "), conf, F.lit(")"))
+    low = F.lower(lab)
+    return (F.when(low == "positive", F.concat(F.lit(DISPLAY_V1_MARKS["positive"]), known))
+            .when(low == "negative", F.concat(F.lit(DISPLAY_V1_MARKS["negative"]), known))
+            .when(low == "neutral", F.concat(F.lit(DISPLAY_V1_MARKS["neutral"]), known))
+            .otherwise(F.concat(F.lit(DISPLAY_V1_MARKS["other"] + " Predicted Label: "), lab,
+                                F.lit(" (Confidence: "), conf, F.lit(")"))))

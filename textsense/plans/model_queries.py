@@ -225,6 +225,17 @@ def train_predict(spark, sf):
                       F.round("confidence", 3).alias("confidence"))
 
 
+@register("sample_predictions")
+def sample_predictions(spark, sf):
+    """E13 + B7: the seeded sample of min(1000, N) labelled rows with ``Model_Prediction`` and
+    the older app's display line."""
+    model, _ = _model(spark, sf)
+    sample = FI.sample_n(_labelled(spark, sf).select("doc_id", "text", "label"), "doc_id", 1000, SEED)
+    out = CL.predict(model, sample)
+    return out.select("doc_id", "label", F.col("prediction_label").alias("Model_Prediction"),
+                      T.display_prediction_v1("prediction_label", "confidence").alias("display"))
+
+
 @register("scored_by_model")
 def scored_by_model(spark, sf):
     """D4 + D5 + D6 with the model engine: every document, all columns, Sentiment + Confidence."""
