@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 
-def epoch_micros(ts) -> F.Column:
-    """Microseconds since the epoch for timestamp or timestamp_ntz columns (session zone UTC
-    for the ntz cast)."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp"))
+def epoch_micros(df: DataFrame, ts: str) -> F.Column:
+    """Microseconds since the epoch. A ``timestamp_ntz`` is read as UTC wall-clock time
+    without going through the session time zone (a cast would shift it, and by a different
+    amount across daylight-saving changes)."""
+    if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def _fold_partition(key: str, max_n: int, window_us: int):
@@ -76,7 +78,7 @@ def rate_limit(reqs: DataFrame, key: str, ts: str, id_col: str, max_n: int = 10,
         raise ValueError("max_n must be at least 1")
     window_us = int(round(window_s * 1_000_000))
     w = Window.partitionBy(key).orderBy("__t", id_col)
-    r = reqs.withColumn("__t", epoch_micros(ts))
+    r = reqs.withColumn("__t", epoch_micros(reqs, ts))
     r = r.withColumn("__start", F.coalesce(F.col("__t") - F.lag("__t").over(w) >= window_us, F.lit(True)))
     r = r.withColumn("__sess", F.max(F.when(F.col("__start"), F.col("__t"))).over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chatlog as C
 from ..operators import lexicon as L
+from ..operators.limits import epoch_micros
 from ..streaming import streams as ST
 from .chat_queries import LIMIT_N, LIMIT_WINDOW_S, KEEP, SQL as CHAT_SQL
 from .fixtures import lexicon_df
@@ -89,8 +90,11 @@ def stream_window_counts(spark, sf):
     lexicon and counted per sentiment in 1-day event-time windows."""
     bench = spark.read.parquet(f"{sf.rstrip('/')}/benchmark.parquet")
     scored = L.lexicon_sentiment(bench, "item_id", "text", lexicon_df(spark)).select("item_id", "sentiment")
-    s = _stream_of(spark, sf, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("long").alias("item_id"))
+    # event time: the timestamp_ntz read as UTC wall clock and turned into an instant without
+    # the session zone (watermarks need TIMESTAMP); windows on instants are epoch-aligned
+    ev = _stream_of(spark, sf, "events")
+    s = ev.select(F.timestamp_micros(epoch_micros(ev, "ts")).alias("ts"),
+                  F.get_json_object("props", "$.k").cast("long").alias("item_id"))
     joined = s.join(scored, "item_id")
     counts = ST.stream_label_counts(joined, "ts", "sentiment", "1 day")
 

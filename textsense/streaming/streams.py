@@ -68,7 +68,7 @@ def stream_score(stream: DataFrame, col: str, lexicon: DataFrame, out: str = "po
 def stream_rate_limit(stream: DataFrame, key: str, ts: str, id_col: str, max_n: int = 10,
                       window_s: float = 60) -> DataFrame:
     window_us = int(round(window_s * 1_000_000))
-    s = stream.withColumn("__t", epoch_micros(ts))
+    s = stream.withColumn("__t", epoch_micros(stream, ts))
     out_schema = StructType(s.schema.fields + [StructField("admitted", BooleanType(), False)])
     state_schema = "ts array<long>"
 
