@@ -89,3 +89,27 @@ def test_stream_limiter_equals_batch_over_several_batches(spark, tmp_path):
     table = ST.run_to_table(out, spark, "test-limit")
     got = [r["admitted"] for r in table.orderBy("id").collect()]
     assert got == _brute(times, 2, 60)
+
+
+@pytest.mark.parametrize("seed, parts", [(1, 7), (2, 3), (3, 16)])
+def test_hot_and_cold_keys_across_partitions(spark, seed, parts):
+    """One key holds most rows and never pauses (a single session across every range
+    partition); other keys interleave, with gaps and equal timestamps."""
+    import random
+    rnd = random.Random(seed)
+    rows, rid = [], 0
+    for user, n, steps in [(1, 1500, [0, 0.5, 1, 2]), (2, 300, [0, 5, 61, 100]), (3, 50, [30, 59.999, 60])]:
+        t = 0.0
+        for _ in range(n):
+            t += rnd.choice(steps)
+            rows.append((rid, user, round(t, 3)))
+            rid += 1
+    rnd.shuffle(rows)
+    df = spark.createDataFrame([(i, u, T0 + dt.timedelta(seconds=t)) for i, u, t in rows],
+                               "id long, user long, ts timestamp")
+    out = {r["id"]: r["admitted"] for r in
+           LIM.rate_limit(df, "user", "ts", "id", max_n=3, window_s=60, partitions=parts).collect()}
+    for user in (1, 2, 3):
+        mine = sorted((t, i) for i, u, t in rows if u == user)
+        expect = _brute([t for t, _ in mine], 3, 60)
+        assert [out[i] for _, i in mine] == expect

@@ -8,7 +8,9 @@ G4 physical plan:
 
 1. session split -- a request that comes ``window_s`` or more after the previous request of
    its key finds an empty log, so the key's history splits there into independent
-   sessions (``lag`` + running max over one window spec, one shuffle by key);
+   sessions. Found without a per-key window: requests are range-partitioned on
+   (key, t, id), so a hot key spans many tasks, and partition edges are stitched with
+   one-row-per-partition aggregates (see ``_sessions``);
 2. sessions are hash-partitioned by ``(key, session)`` and sorted within partitions, so a
    busy key's sessions spread over tasks;
 3. one ``mapInPandas`` pass folds each partition in order, streaming Arrow batches and
@@ -29,7 +31,7 @@ from collections import deque
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def epoch_micros(df: DataFrame, ts: str) -> F.Column:
@@ -68,22 +70,86 @@ def _fold_partition(key: str, max_n: int, window_us: int):
     return run
 
 
+def _session_starts(boundary: dict, key: str, window_us: int):
+    """Pass 1 over range partitions sorted by (key, t, id): ``__sl`` = start time of the
+    row's session when it starts inside this partition, null for the leading rows that
+    continue a session begun in an earlier partition."""
+    def run(batches):
+        from pyspark import TaskContext
+        prev_k, prev_t = boundary.get(TaskContext.get().partitionId(), (None, None))
+        sess = None
+        for pdf in batches:
+            ks = pdf[key].to_numpy()
+            ts = pdf["__t"].to_numpy()
+            out = [None] * len(pdf)
+            for i in range(len(pdf)):
+                k, t = ks[i], int(ts[i])
+                if prev_t is not None and k == prev_k:
+                    if t - prev_t >= window_us:
+                        sess = t
+                else:
+                    sess = t          # first request of this key overall
+                out[i] = sess
+                prev_k, prev_t = k, t
+            pdf["__sl"] = pd.array(out, dtype="Int64")
+            yield pdf
+    return run
+
+
+def _sessions(r: DataFrame, key: str, id_col: str, window_us: int, n: int) -> DataFrame:
+    """Session id (start time) per request, computed without putting a key in one task.
+
+    Requests are range-partitioned on (key, t, id) -- the sampled bounds split a hot key
+    over many partitions -- and materialised in the shared checkpoint folder so the
+    passes below see the same partitions. Partition edges need two facts from earlier
+    partitions: the last request before a partition (for the gap test) and the session
+    still open at its end (for rows that continue it). Both come from aggregates with one
+    row per partition, resolved in partition order on the driver."""
+    from ..session import bounded_rows, materialize
+    pid = F.spark_partition_id()
+    r = materialize(r.repartitionByRange(n, key, "__t", id_col).sortWithinPartitions(key, "__t", id_col))
+    ends = bounded_rows(r.groupBy(pid.alias("p")).agg(
+        F.min(F.struct(F.col(key).alias("k"), F.col("__t").alias("t"))).alias("f"),
+        F.max(F.struct(F.col(key).alias("k"), F.col("__t").alias("t"))).alias("l")), 10 * n + 10, "partition ends")
+    ends = sorted(ends, key=lambda x: x["p"])
+    boundary, last = {}, None
+    for e in ends:
+        if last is not None and last["k"] == e["f"]["k"]:
+            boundary[e["p"]] = (last["k"], last["t"])
+        last = e["l"]
+    schema = StructType(r.schema.fields + [StructField("__sl", LongType(), True)])
+    p1 = materialize(r.mapInPandas(_session_starts(boundary, key, window_us), schema))
+    starts = {x["p"]: x["m"] for x in bounded_rows(
+        p1.where(F.col("__sl").isNotNull()).groupBy(pid.alias("p"))
+          .agg(F.max(F.struct(F.col(key).alias("k"), F.col("__sl").alias("s"))).alias("m")),
+        10 * n + 10, "session starts")}
+    carry_in, open_sess = {}, None       # open_sess = (key, session start) at the end of the previous partition
+    for e in ends:
+        p, first_k, last_k = e["p"], e["f"]["k"], e["l"]["k"]
+        cin = open_sess[1] if open_sess is not None and open_sess[0] == first_k else None
+        if cin is not None:
+            carry_in[p] = cin
+        m = starts.get(p)
+        open_sess = (last_k, m["s"]) if m is not None and m["k"] == last_k else (last_k, cin)
+    fill = F.lit(None).cast("long")
+    if carry_in:
+        lookup = F.create_map(*[x for kv in carry_in.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+        fill = lookup[pid]
+    return p1.withColumn("__sess", F.coalesce(F.col("__sl"), fill)).drop("__sl")
+
+
 def rate_limit(reqs: DataFrame, key: str, ts: str, id_col: str, max_n: int = 10,
                window_s: float = 60, partitions: int | None = None) -> DataFrame:
     """``reqs`` plus a boolean ``admitted`` column.
 
-    Every column of ``reqs`` passes through the Python fold and Catalyst cannot prune
-    across it: select the columns you need first."""
+    Every column of ``reqs`` passes through the Python passes and Catalyst cannot prune
+    across them: select the columns you need first."""
     if max_n < 1:
         raise ValueError("max_n must be at least 1")
     window_us = int(round(window_s * 1_000_000))
-    w = Window.partitionBy(key).orderBy("__t", id_col)
-    r = reqs.withColumn("__t", epoch_micros(reqs, ts))
-    r = r.withColumn("__start", F.coalesce(F.col("__t") - F.lag("__t").over(w) >= window_us, F.lit(True)))
-    r = r.withColumn("__sess", F.max(F.when(F.col("__start"), F.col("__t"))).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     n = partitions or int(reqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = r.drop("__start").repartition(n, key, "__sess").sortWithinPartitions(key, "__sess", "__t", id_col)
+    r = _sessions(reqs.withColumn("__t", epoch_micros(reqs, ts)), key, id_col, window_us, n)
+    r = r.repartition(n, key, "__sess").sortWithinPartitions(key, "__sess", "__t", id_col)
     schema = StructType(r.schema.fields + [StructField("admitted", BooleanType(), False)])
     return r.mapInPandas(_fold_partition(key, max_n, window_us), schema).drop("__t", "__sess")
 

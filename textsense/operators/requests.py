@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from ..session import materialize
 from . import limits as LIM
 from . import prompts as P
 from .lexicon import with_lexicon_polarity
@@ -34,7 +35,7 @@ def run_requests(reqs: DataFrame, session: str, ts: str, id_col: str, query: str
     r = reqs.where(T.non_blank(query))
     # the limiter output feeds four branches (rejected, sentiment, cache, questions): it is
     # written once to the shared checkpoint folder instead of re-running the Python fold
-    r = LIM.rate_limit(r, session, ts, id_col, max_n, window_s).checkpoint(eager=True)
+    r = materialize(LIM.rate_limit(r, session, ts, id_col, max_n, window_s))
     rejected = r.where(~F.col("admitted")).select(id_col, session, F.lit("rate_limited").alias("status"))
     adm = r.where(F.col("admitted")).drop("admitted")
     adm = with_lexicon_polarity(adm, query, lexicon, out="score")

@@ -87,3 +87,15 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= slots:
         return df
     return df.repartition(slots, key) if key else df.repartition(slots)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from there (lineage cut,
+    survives executor loss). It is held in memory only while being written, so it is
+    computed once rather than once to count and again to write."""
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
