@@ -1,7 +1,6 @@
 """Train, predict, empty guard, save/load."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from textsense.operators import classify as CL
 

@@ -1,7 +1,6 @@
 """Readers and writers on files written by the test."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from textsense.operators import chatlog as C
 from textsense.sources import files as IO

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from textsense.operators import limits as LIM
 from textsense.streaming import streams as ST

@@ -1,8 +1,6 @@
 """The driver contract: entry() runs; every oracle has a query; every query with an oracle
 equals its DuckDB SQL at sf0.001 (tools/oracle_check.py runs the same at sf0.01)."""
 
-import os
-
 import duckdb
 import pytest
 

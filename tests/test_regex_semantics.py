@@ -5,7 +5,6 @@ so the classes are spelled out in functions/text.py.)"""
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from textsense.functions import text as T
 

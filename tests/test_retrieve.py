@@ -4,7 +4,6 @@ import math
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from textsense.operators import prompts as P
 from textsense.operators import retrieve as R

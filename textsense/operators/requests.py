@@ -10,7 +10,7 @@ answer), then joins back on the question text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..session import materialize
@@ -29,9 +29,11 @@ def cache_key(query, use_rag: bool, top_k: int, use_web: bool, web_k: int):
 def run_requests(reqs: DataFrame, session: str, ts: str, id_col: str, query: str, index: Index | None,
                  docs: DataFrame | None, doc_key: str, doc_text: str, lexicon: DataFrame,
                  max_n: int = 10, window_s: float = 60, use_rag: bool = True, top_k: int = 3,
-                 use_web: bool = False, web_k: int = 3, use_cache=F.lit(True)) -> DataFrame:
+                 use_web: bool = False, web_k: int = 3, use_cache=True) -> DataFrame:
     """One row per admitted request: (id, session, sentiment, score, hit, sources, prompt),
     plus the rejected ones with ``status = 'rate_limited'``."""
+    if not isinstance(use_cache, Column):
+        use_cache = F.lit(bool(use_cache))
     r = reqs.where(T.non_blank(query))
     # the limiter output feeds four branches (rejected, sentiment, cache, questions): it is
     # written once to the shared checkpoint folder instead of re-running the Python fold

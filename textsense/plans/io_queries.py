@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import chatlog as C
 from ..session import shared_path
 from ..sources import files as IO

@@ -9,7 +9,7 @@ from ..operators import prompts as P
 from ..operators import retrieve as R
 from ..operators import vocab as V
 from .common import table
-from .sqlparts import (index_tokens_sql, q, strip_ws_sql, tfidf_ctes, topk_ctes)
+from .sqlparts import q, strip_ws_sql, tfidf_ctes, topk_ctes
 
 QUERIES = {}
 SQL = {}
