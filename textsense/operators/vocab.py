@@ -27,22 +27,11 @@ from ..functions.lookup import LookupTable
 from ..session import MAX_LITERAL_ROWS, bounded_rows
 
 
-def term_runs(terms) -> Column:
-    """array<struct<term, tf>>: distinct terms of one array with their counts (in term order).
-
-    Sorting (sort_array, natural order) is O(n log n) in the JVM; a run starts where a term differs from its predecessor."""
-    terms = F.col(terms) if isinstance(terms, str) else terms
-    s = F.sort_array(terms)
-    starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)),
-                      lambda i: i.isNotNull())
-    return F.transform(starts, lambda st, j: F.struct(
-        F.get(s, st).alias("term"),
-        (F.coalesce(F.get(starts, j + 1), F.size(s)) - st).cast("long").alias("tf")))
-
-
 def with_term_counts(df: DataFrame, terms: str, out: str = "counts") -> DataFrame:
-    """Adds ``out`` = term_runs(terms). The sorted array and run starts are materialised as
-    their own columns so each is computed once per row."""
+    """Adds ``out`` = array<struct<term, tf>>: the distinct terms of ``terms`` with their
+    counts, in term order. Sorting (``sort_array``, natural order) is O(n log n) in the JVM;
+    a run starts where a term differs from its predecessor. The sorted array and the run
+    starts are materialised as their own columns so each is computed once per row."""
     return (df.withColumn("__s", F.sort_array(F.col(terms)))
               .withColumn("__st", F.filter(
                   F.transform("__s", lambda x, i: F.when((i == 0) | (x != F.get(F.col("__s"), i - 1)), i)),
