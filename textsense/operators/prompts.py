@@ -24,12 +24,6 @@ WEB_SOURCE_PREFIX = "web: "
 MAX_PUSHED_IDS = 50_000
 
 
-def bounded_ids(ids: DataFrame, limit: int):
-    """The values of a one-column DataFrame if there are at most ``limit`` of them, else None."""
-    rows = ids.limit(limit + 1).collect()
-    return None if len(rows) > limit else [r[0] for r in rows]
-
-
 def _fold(df: DataFrame, group: str, order: str, item: Column, sep: str, out: str,
           name: Column | None = None, names_out: str = "sources") -> DataFrame:
     """Per group: items joined by ``sep`` in ``order``; optional ordered list of names."""
@@ -51,10 +45,14 @@ def context_block(hits: DataFrame, docs: DataFrame, key: str, text: str, n: int
     each block is ``"[name]\\n" + first n chars``, blocks joined by a blank line in rank order."""
     nm = name if name is not None else F.col(key).cast("string")
     h = hits.select("query_id", "rank", "doc_id")
-    # the hit ids are k per question: after a size check they go into the scan as an IN
-    # filter, which parquet uses to skip row groups (min/max and dictionary statistics)
-    ids = bounded_ids(h.select("doc_id").distinct(), MAX_PUSHED_IDS)
-    src = docs.where(F.col(key).isin(ids)) if ids is not None else docs
+    # hits are k per question: after a size check they are brought over once (so the
+    # retrieval runs once) and their ids go into the scan as an IN filter, which parquet
+    # uses to skip row groups (min/max and dictionary statistics)
+    rows = h.limit(MAX_PUSHED_IDS + 1).collect()
+    src = docs
+    if len(rows) <= MAX_PUSHED_IDS:
+        h = docs.sparkSession.createDataFrame(rows, h.schema)
+        src = docs.where(F.col(key).isin(sorted({r["doc_id"] for r in rows})))
     d = src.select(F.col(key).alias("doc_id"), nm.alias("__name"), T.prefix(text, n).alias("__snip"))
     j = d.join(F.broadcast(h), "doc_id")
     block = F.concat(F.lit("["), F.col("__name"), F.lit("]\n"), F.col("__snip"))
