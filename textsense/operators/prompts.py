@@ -2,7 +2,7 @@
 
 All folds are per query over at most k rows (groups bounded by k), so they are cheap
 aggregations; the only join against the corpus is hits -> documents for the snippets, with
-the (small, k per query) hits as the broadcast side.
+the hits (k per query, size-checked) as the broadcast side.
 """
 
 from __future__ import annotations
@@ -51,10 +51,12 @@ def context_block(hits: DataFrame, docs: DataFrame, key: str, text: str, n: int
     rows = h.limit(MAX_PUSHED_IDS + 1).collect()
     src = docs
     if len(rows) <= MAX_PUSHED_IDS:
-        h = docs.sparkSession.createDataFrame(rows, h.schema)
+        # proven small: broadcast the hits, push their ids into the scan
+        h = F.broadcast(docs.sparkSession.createDataFrame(rows, h.schema))
         src = docs.where(F.col(key).isin(sorted({r["doc_id"] for r in rows})))
+    # (else no hint: the planner and AQE choose the join from the sizes they see)
     d = src.select(F.col(key).alias("doc_id"), nm.alias("__name"), T.prefix(text, n).alias("__snip"))
-    j = d.join(F.broadcast(h), "doc_id")
+    j = d.join(h, "doc_id")
     block = F.concat(F.lit("["), F.col("__name"), F.lit("]\n"), F.col("__snip"))
     return _fold(j, "query_id", "rank", block, "\n\n", "context", F.col("__name"))
 

@@ -207,8 +207,8 @@ def prompts(spark, sf):
     pages = _web_rows(spark, sf)
     pindex = R.build_index(pages, "page_id", "content", MAX_TERMS)
     whits = R.retrieve(b, "item_id", "text", pindex, TOP_K)
-    # hits are k per question: they are the broadcast side of the lookup into pages
-    wres = pages.select(F.col("page_id").alias("doc_id"), "title", "content").join(F.broadcast(whits), "doc_id")
+    # hits are k per question; the planner broadcasts them when its size estimate allows
+    wres = pages.select(F.col("page_id").alias("doc_id"), "title", "content").join(whits, "doc_id")
     web_ctx = P.normalise_results(wres, "query_id", "rank", TOP_K)
     # contexts are joined once per question; the four settings are a generator over a
     # literal array (no union of four plans, no cross join)
