@@ -41,6 +41,11 @@ def test_query_equals_oracle(spark, con, name):
     cur = con.execute(E.oracle_sql()[name])
     want, ocols = _norm(cur.fetchall(), [d[0] for d in cur.description])
     assert cols == ocols and got == want
+    # column types agree too (Spark -> DuckDB names)
+    rel = con.sql(E.oracle_sql()[name])
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    assert {c: names.get(t, t) for c, t in df.dtypes} == duck
 
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))

@@ -67,7 +67,7 @@ def chat_sentiment(spark, sf):
 WITH {_LOG_SQL},
 kept AS (SELECT conv_id, turn FROM chatlog ORDER BY conv_id DESC, turn DESC LIMIT {KEEP})
 SELECT c.conv_id, c.turn, c.user_msg, c.bot_msg, c.sentiment, c.score,
-       to_json(coalesce(CAST(c.sources AS JSON)::VARCHAR[], [])) AS sources
+       CAST(to_json(coalesce(CAST(c.sources AS JSON)::VARCHAR[], [])) AS VARCHAR) AS sources
 FROM chatlog c SEMI JOIN kept k ON k.conv_id = c.conv_id AND k.turn = c.turn""")
 def chat_recent(spark, sf):
     """A5 + G2 + G3 + H5 + H6: retention (keep the newest 200 by id, as a semi join with
@@ -91,8 +91,8 @@ def chat_recent_per_session(spark, sf):
 
 
 @register("chat_sources_json", "WITH " + _PAIRS_SQL + """
-SELECT conv_id, turn, to_json(coalesce(CAST(NULL AS VARCHAR[]), [])) AS migrated,
-       CAST(len(w) AS BIGINT) AS n_sources, to_json(w) AS sources
+SELECT conv_id, turn, CAST(to_json(coalesce(CAST(NULL AS VARCHAR[]), [])) AS VARCHAR) AS migrated,
+       CAST(len(w) AS BIGINT) AS n_sources, CAST(to_json(w) AS VARCHAR) AS sources
 FROM (SELECT conv_id, turn, regexp_extract_all(bot_msg, '[\\p{L}]{10,}') AS w FROM pairs)""")
 def chat_sources_json(spark, sf):
     """A7 + C13: the log gains a nullable ``sources`` column (null -> []); a list of names
@@ -179,7 +179,8 @@ hits0 AS (SELECT a.*, coalesce(event_type <> 'error' AND max(CASE WHEN event_typ
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, FALSE) AS hit FROM adm a),
 {tfidf_ctes('c_', 'documents', 'doc_id', 'text', MAX_TERMS, 'benchmark', 'item_id', 'text')},
 {topk_ctes('c_', 'documents', 'doc_id', 'benchmark', 'item_id', TOP_K)},
-src AS (SELECT query_id, to_json(list(CAST(doc_id AS VARCHAR) ORDER BY rank)) AS sources FROM c_hits GROUP BY query_id)
+src AS (SELECT query_id, CAST(to_json(list(CAST(doc_id AS VARCHAR) ORDER BY rank)) AS VARCHAR) AS sources
+         FROM c_hits GROUP BY query_id)
 SELECT h.event_id, h.user_id, {display_label_sql(sign_label_sql('pol.polarity'))} AS sentiment,
        pol.polarity AS score, h.hit, src.sources
 FROM hits0 h JOIN pol ON pol.item_id = h.item_id JOIN src ON src.query_id = h.item_id"""

@@ -107,7 +107,7 @@ def retrieve_topk_pad(spark, sf):
 def _context_sql(hits: str, docs: str, key: str, name_expr: str, text: str) -> str:
     """(query_id, sources, context) from hits joined to the corpus, in rank order."""
     return f"""(SELECT h.query_id,
-        to_json(list({name_expr} ORDER BY h.rank)) AS sources,
+        CAST(to_json(list({name_expr} ORDER BY h.rank)) AS VARCHAR) AS sources,
         string_agg('[' || {name_expr} || ']' || chr(10) || substring({text}, 1, 800), chr(10) || chr(10)
                    ORDER BY h.rank) AS context
  FROM {hits} h JOIN {docs} dd ON dd.{key} = h.doc_id GROUP BY h.query_id)"""
@@ -148,7 +148,7 @@ def _web_fold_sql(results: str, group: str, order: str) -> str:
             FROM {results} res),
  r2 AS (SELECT {group} AS g, rk, coalesce(nullif(title, ''), 'Untitled Source') AS t,
                {strip_ws_sql("coalesce(content, '')")} AS c FROM r WHERE rk <= {TOP_K})
- SELECT g AS {group}, to_json(list('web: ' || t ORDER BY rk)) AS sources,
+ SELECT g AS {group}, CAST(to_json(list('web: ' || t ORDER BY rk)) AS VARCHAR) AS sources,
         string_agg('[' || t || ']' || chr(10) || substring(c, 1, 800), chr(10) || chr(10) ORDER BY rk) AS context
  FROM r2 WHERE c <> '' GROUP BY g)"""
 
@@ -194,7 +194,7 @@ def _prompts_sql() -> str:
 SELECT query_id, use_rag, use_web, {q(P.SYSTEM_PROMPT)} AS system_prompt,
        CASE WHEN use_rag AND c <> '' THEN {q(P.RAG_INSTRUCTION)} || {nl2} || 'Context:' || chr(10) || c
             || {nl2} || 'Question: ' || query ELSE query END AS prompt,
-       to_json(list_concat(ds, ws)) AS sources
+       CAST(to_json(list_concat(ds, ws)) AS VARCHAR) AS sources
 FROM ctx"""
 
 
