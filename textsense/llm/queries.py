@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate
-from .common import read_table
+from . import decontaminate, quality_rules
+from .common import read_table, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -55,3 +55,15 @@ def op1_decontamination(spark, sf):
                              read_table(spark, sf, "benchmark"), "item_id", "text")
     return r.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@register("op2_quality_rules")
+def op2_quality_rules(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
+    rules = quality_rules.Rules()
+    measured, m = quality_rules.measure(docs, "text", "lang")
+    measured = stored(measured.select("doc_id", *m.values()), "measures")  # counts only: one pass over the texts
+    judged, names = quality_rules.verdict(measured, m, quality_rules.references(measured, m, rules), rules)
+    return judged.select("doc_id", *[F.col(names[k]).alias(k) for k in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "class_distance", "common_distance")])
