@@ -155,3 +155,37 @@ def text_arrays(col) -> list:
     b = np.frombuffer(buf, dtype=np.uint8) if buf is not None and buf.size else np.empty(0, np.uint8)
     null = col.is_null().to_numpy(zero_copy_only=False)
     return [b[:0] if null[i] else b[o[i]:o[i + 1]] for i in range(len(col))]
+
+
+def slices(batch, col: int, max_bytes: int):
+    """Row slices of an Arrow batch with about ``max_bytes`` of text in column ``col`` each (one
+    row at least), so that a task holds a bounded part of a batch as Python objects."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    size = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False) \
+        if not pa.types.is_null(batch.column(col).type) else np.zeros(batch.num_rows, dtype=np.int64)
+    part = np.cumsum(size.astype(np.int64)) // max_bytes
+    cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cut, cut[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def append_columns(df: DataFrame, text_col: str, make, fields: list[tuple[str, str]], max_bytes: int = 4 << 20) -> DataFrame:
+    """``df`` with the columns ``fields`` (name, Spark type) that ``make()`` computes from the
+    texts: it is called once per task and returns a function from a list of texts (None for
+    null) to a list of Arrow arrays. All columns of ``df`` pass through."""
+    from pyspark.sql import types as T
+    at = df.columns.index(text_col)
+    schema = T.StructType(list(df.schema.fields) + T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields)).fields)
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        import pyarrow as pa
+        work = make()
+        for batch in batches:
+            for part in slices(batch, at, max_bytes):
+                new = work(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
+
+    return df.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules
+from . import decontaminate, quality_rules, trie_bpe
 from .common import read_table, stored
 
 QUERIES: dict = {}
@@ -67,3 +67,17 @@ def op2_quality_rules(spark, sf):
     return judged.select("doc_id", *[F.col(names[k]).alias(k) for k in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "class_distance", "common_distance")])
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op5_trie_bpe")
+def op5_trie_bpe(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    r = trie_bpe.encode_and_decode(docs, "text", tokenizer_path("byte_bpe_50k.json"))
+    return r.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                    F.sha2("ids", 256).alias("ids_sha256"),
+                    F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
