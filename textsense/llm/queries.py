@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, trie_bpe
+from . import decontaminate, label_shards, quality_rules, trie_bpe
 from .common import read_table, stored
 
 QUERIES: dict = {}
@@ -81,3 +81,10 @@ def op5_trie_bpe(spark, sf):
     return r.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                     F.sha2("ids", 256).alias("ids_sha256"),
                     F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register("op3_label_shards")
+def op3_label_shards(spark, sf):
+    r = label_shards.shard(read_table(spark, sf, "documents"), "doc_id", "text")
+    return r.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))
