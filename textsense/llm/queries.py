@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, label_shards, quality_rules, trie_bpe
+from . import decontaminate, forest_join, label_shards, quality_rules, trie_bpe
 from .common import read_table, stored
 
 QUERIES: dict = {}
@@ -88,3 +88,9 @@ def op3_label_shards(spark, sf):
     r = label_shards.shard(read_table(spark, sf, "documents"), "doc_id", "text")
     return r.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op4_forest_join")
+def op4_forest_join(spark, sf):
+    r = forest_join.classes(read_table(spark, sf, "documents"), "doc_id", "text")
+    return r.select(F.col("id").alias("doc_id"), "class_id", "n_links")
