@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, forest_join, label_shards, quality_rules, trie_bpe
-from .common import read_table, stored
+from . import decontaminate, forest_join, fourier_quality, label_shards, nb_langid, quality_rules, trie_bpe
+from .common import fold, read_table, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -94,3 +94,21 @@ def op3_label_shards(spark, sf):
 def op4_forest_join(spark, sf):
     r = forest_join.classes(read_table(spark, sf, "documents"), "doc_id", "text")
     return r.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+@register("op6_fourier_quality")
+def op6_fourier_quality(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    model, stats = fourier_quality.fit(docs, "doc_id", "text", read_table(spark, sf, "labels"), "doc_id", "quality",
+                                       learn=fold("id", 3) != 1)
+    r = fourier_quality.score(stats, "stats", model, "score")
+    return r.select(F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "score",
+                    (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op9_nb_langid")
+def op9_nb_langid(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = nb_langid.train(docs.where(fold("doc_id", 5) != 0), "text", "lang")
+    r = nb_langid.predict(docs.select("doc_id", "text"), "text", model)
+    return r.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
