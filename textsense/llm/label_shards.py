@@ -61,11 +61,11 @@ def propagate(linked: DataFrame, quota: list[int], k: int, max_rounds: int = MAX
         counts = linked.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c"))
         full = [size[j] >= quota[j] for j in range(k)]
         # at most k entries per group
-        groups = counts.groupBy("grp").agg(
+        groups = counts.groupBy("grp").agg(  # written, so that the join can split a hot group's rows
             F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("by_label"),
             F.max_by("label", F.when(~_table_get(full, F.col("label")),
                                      F.struct(F.col("c"), (-F.col("label")).alias("l")))).alias("target"))
-        wish = linked.join(groups, "grp")
+        wish = linked.join(stored(groups, "group-labels"), "grp")
         stays = F.element_at("by_label", F.col("label")) - 1  # its group's other rows here
         gain = F.element_at("by_label", F.col("target")) - stays
         wish = wish.withColumn("target", F.when((F.col("target") != F.col("label")) & (gain > 0), F.col("target"))) \
@@ -98,7 +98,7 @@ def shard(docs: DataFrame, id_col: str, text_col: str, k: int = SHARDS, max_roun
     n = base.count()
     quota = _quotas(n, k)
     start_label = F.pmod(F.xxhash64("uid"), F.lit(k)).cast("int")
-    groups = base.where("grp is not null").groupBy("grp").count().where("count > 1").select("grp")
+    groups = stored(base.where("grp is not null").groupBy("grp").count().where("count > 1").select("grp"), "groups")
     flagged = stored(base.join(groups.withColumn("linked", F.lit(True)), "grp", "left")
                      .withColumn("label", start_label).withColumn("linked", F.col("linked").isNotNull()), "shard-linked")
     linked = propagate(flagged.where("linked").drop("linked"), quota, k, max_rounds)
