@@ -167,17 +167,20 @@ def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
                    .withColumn("nid", F.monotonically_increasing_id()), "nodes")
     # the forest: in each tree, texts with the same prefix hang on the least of them
     cut = VALUE_BITS * (depth - prefix_depth(trees, depth, threshold, target))
+    # (sides of a join that are sums by its key are written first: Spark can then split a hot key)
     entries = nodes.select("nid", F.posexplode("keys").alias("tree", "k")) \
                    .select("nid", "tree", F.shiftrightunsigned("k", cut).alias("prefix"))
-    heads = entries.groupBy("tree", "prefix").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    heads = stored(entries.groupBy("tree", "prefix").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("c"))
+                   .where("c > 1").drop("c"), "heads")
     stars = entries.join(heads, ["tree", "prefix"]).where("nid <> head").select(F.col("nid").alias("a"), F.col("head").alias("b"))
     clusters = components(stars)
     # clusters are cut into blocks of bounded size; each pair of blocks is compared in one task
     members = clusters.join(nodes.select(F.col("nid").alias("node"), "mult", "n_shingles", "first"), "node") \
                       .withColumnRenamed("node", "nid")
     members = stored(members, "members")
-    cluster_size = members.groupBy("label").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    cluster_size = stored(members.groupBy("label").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")),
+        "cluster-sizes")
     placed = members.join(cluster_size, "label").withColumn("block", F.pmod(F.xxhash64("nid"), "blocks").cast("int"))
     wanted = placed.select("label", "nid", "mult", "blocks", "block", F.col("first.id").alias("w_id"),
                            F.col("first.text_hash").alias("w_hash"))
@@ -207,7 +210,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
                  .select("nid", "links", F.coalesce("label", F.when(F.col("times") > 1, F.col("nid")).otherwise(F.col("root"))).alias("root"))
     named = nodes.select("node", "nid", "mult", F.col("first.id").alias("id")).join(links, "nid", "left") \
                  .withColumn("class_key", F.coalesce("root", "nid"))
-    ids = named.groupBy("class_key").agg(F.min("id").alias("class_id"))
+    ids = stored(named.groupBy("class_key").agg(F.min("id").alias("class_id")), "class-ids")
     named = stored(named.join(ids, "class_key").select(
         "node", "class_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")), "classes")
     out = rows.join(named, "node", "left")
@@ -221,7 +224,7 @@ def keep_one(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFram
     stay. Columns unchanged."""
     found = stored(classes(docs, id_col, text_col, **options), "class-rows")
     row = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"))
-    chosen = found.where("class_key is not null").groupBy("class_key").agg(F.min(row).alias("first"))
+    chosen = stored(found.where("class_key is not null").groupBy("class_key").agg(F.min(row).alias("first")), "chosen")
     marked = found.join(chosen, "class_key", "left").withColumn(
         "stays", F.col("class_key").isNull() | (row == F.col("first")) | (F.col("first.none") & F.col("id").isNull()
                                                                       & (F.col("text_hash") == F.col("first.text_hash"))))
