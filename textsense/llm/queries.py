@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, forest_join, fourier_quality, label_shards, nb_langid, quality_rules, trie_bpe
+from . import bloom_lm, decontaminate, forest_join, fourier_quality, label_shards, nb_langid, quality_rules, trie_bpe
 from .common import fold, read_table, stored
 
 QUERIES: dict = {}
@@ -112,3 +112,12 @@ def op9_nb_langid(spark, sf):
     model = nb_langid.train(docs.where(fold("doc_id", 5) != 0), "text", "lang")
     r = nb_langid.predict(docs.select("doc_id", "text"), "text", model)
     return r.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@register("op10_bloom_lm")
+def op10_bloom_lm(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    model, words = bloom_lm.train(docs.where(fold("doc_id", 7) != 2), "text")
+    r = bloom_lm.score(docs, "doc_id", "text", model, words).withColumnRenamed("id", "doc_id")
+    return r.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                    "base_score", "score")
