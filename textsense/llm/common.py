@@ -189,3 +189,23 @@ def append_columns(df: DataFrame, text_col: str, make, fields: list[tuple[str, s
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def write_file(uri: str, data: bytes) -> None:
+    """Write ``data`` under ``uri`` of a shared store in one step: a task that is run again, or
+    twice at a time, leaves the same whole file."""
+    import uuid
+
+    from pyarrow import fs
+    store, path = fs.FileSystem.from_uri(uri)
+    part = f"{path}.{uuid.uuid4().hex}"
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(part) as out:
+        out.write(data)
+    store.move(part, path)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """URI of a fresh folder in the shared checkpoint folder."""
+    path = shared_path(spark, name)
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"

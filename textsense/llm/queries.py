@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bloom_lm, decontaminate, forest_join, fourier_quality, label_shards, nb_langid, quality_rules, trie_bpe
+from . import bloom_lm, decontaminate, forest_join, fourier_quality, label_shards, nb_langid, quality_rules, trie_bpe, wavelet
 from .common import fold, read_table, stored
 
 QUERIES: dict = {}
@@ -121,3 +121,10 @@ def op10_bloom_lm(spark, sf):
     r = bloom_lm.score(docs, "doc_id", "text", model, words).withColumnRenamed("id", "doc_id")
     return r.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                     "base_score", "score")
+
+
+@register("op7_wavelet_files")
+def op7_wavelet_files(spark, sf):
+    path, files = wavelet.write(read_table(spark, sf, "documents"), "doc_id", "text", tokenizer_path("word_bpe_49k.json"))
+    r = wavelet.read(spark, path, files)
+    return r.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
