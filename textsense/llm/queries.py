@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bloom_lm, decontaminate, forest_join, fourier_quality, label_shards, nb_langid, quality_rules, trie_bpe, wavelet
+from . import bloom_lm, decontaminate, forest_join, fourier_quality, label_shards, nb_langid, quality_rules, trie_bpe, warc_chain, wavelet
 from .common import fold, read_table, stored
 
 QUERIES: dict = {}
@@ -128,3 +128,27 @@ def op7_wavelet_files(spark, sf):
     path, files = wavelet.write(read_table(spark, sf, "documents"), "doc_id", "text", tokenizer_path("word_bpe_49k.json"))
     r = wavelet.read(spark, path, files)
     return r.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+d AS (SELECT *, sha1(html) AS hex FROM p),
+bits AS (SELECT *, unnest(range(0, 32)) AS k FROM d),
+chars AS (
+  SELECT page_id, html, last, hex, k,
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           ((((strpos('0123456789abcdef', substr(hex, CAST(5 * k // 4 AS BIGINT) + 1, 1)) - 1) * 16
+              + greatest(strpos('0123456789abcdef', substr(hex, CAST(5 * k // 4 AS BIGINT) + 2, 1)) - 1, 0))
+             // CAST(pow(2, 3 - (5 * k) % 4) AS BIGINT)) % 32) AS BIGINT), 1) AS c
+  FROM bits)
+SELECT page_id, CAST(strlen(any_value(html)) AS BIGINT) AS payload_bytes, string_agg(c, '' ORDER BY k) AS payload_digest,
+       CASE WHEN page_id < any_value(last) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < any_value(last) THEN any_value(last) END AS refers_to
+FROM chars GROUP BY page_id
+"""
+
+
+@register("op8_warc_chain", _OP8_SQL)
+def op8_warc_chain(spark, sf):
+    r = warc_chain.round_trip(read_table(spark, sf, "pages"), "page_id", "url", "html")
+    return r.withColumnRenamed("id", "page_id")
