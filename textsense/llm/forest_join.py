@@ -172,8 +172,11 @@ def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
                    .select("nid", "tree", F.shiftrightunsigned("k", cut).alias("prefix"))
     heads = stored(entries.groupBy("tree", "prefix").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("c"))
                    .where("c > 1").drop("c"), "heads")
-    stars = entries.join(heads, ["tree", "prefix"]).where("nid <> head").select(F.col("nid").alias("a"), F.col("head").alias("b"))
-    clusters = components(stars)
+    # a text's heads (one a tree at most) hang on the least of them, and it does: most texts of a
+    # group share their heads, so few edges are left
+    hung = entries.join(heads, ["tree", "prefix"]).groupBy("nid").agg(F.collect_set("head").alias("on"))
+    on = hung.select("on", F.array_min("on").alias("b"), F.explode(F.array_union("on", F.array("nid"))).alias("a"))
+    clusters = components(on.where("a <> b").select("a", "b"))
     # clusters are cut into blocks of bounded size; each pair of blocks is compared in one task
     members = clusters.join(nodes.select(F.col("nid").alias("node"), "mult", "n_shingles", "first"), "node") \
                       .withColumnRenamed("node", "nid")
