@@ -209,3 +209,33 @@ def folder(spark: SparkSession, name: str) -> str:
     """URI of a fresh folder in the shared checkpoint folder."""
     path = shared_path(spark, name)
     return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
+class HashFilter:
+    """A bit per hash bucket: tells for a 64-bit hash whether it may be among those put in. Of
+    bounded size (``max_bits``); a fuller filter only says "may be" more often, so it can spare
+    rows a shuffle but never decides a result."""
+
+    def __init__(self, hashes: DataFrame, col: str, max_bits: int = 1 << 25):
+        n = hashes.count()
+        self.bits = int(min(max_bits, max(1 << 12, 1 << (16 * max(n, 1) - 1).bit_length())))
+        at = F.pmod(F.col(col), F.lit(self.bits))
+        words = hashes.where(F.col(col).isNotNull()).select(at.alias("at")) \
+            .groupBy(F.shiftright("at", 5).alias("w")) \
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("x")).toArrow()  # bits / 32 rows at most
+        table = np.zeros(self.bits // 32, dtype=np.uint32)
+        if words.num_rows:
+            table[words["w"].to_numpy()] = words["x"].to_numpy().astype(np.uint32)
+        self.held = hashes.sparkSession.sparkContext.broadcast(table)
+
+    def rows(self, df: DataFrame, col: str, inside: bool) -> DataFrame:
+        """The rows of ``df`` whose hash may be among them (``inside``), or all the others."""
+        at, held, bits = df.columns.index(col), self.held, self.bits
+
+        def run(batches):
+            import pyarrow as pa
+            for batch in batches:
+                h = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64) % bits
+                hit = (held.value[h >> 5] >> (h & 31).astype(np.uint32)) & 1 != 0
+                yield batch.filter(pa.array(hit if inside else ~hit))
+        return df.mapInArrow(run, df.schema)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, seeds, set_id, shingle_set, slices, stored, text_arrays
+from .common import HashFilter, free_name, seeds, set_id, shingle_set, slices, stored, text_arrays
 from .components import components
 
 SHINGLE = 5
@@ -187,7 +187,9 @@ def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
     placed = members.join(cluster_size, "label").withColumn("block", F.pmod(F.xxhash64("nid"), "blocks").cast("int"))
     wanted = placed.select("label", "nid", "mult", "blocks", "block", F.col("first.id").alias("w_id"),
                            F.col("first.text_hash").alias("w_hash"))
+    # texts outside the clusters are spared the shuffle
     texts = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text_col).alias("d_hash"), F.col(text_col).alias("t"))
+    texts = HashFilter(members.select(F.col("first.text_hash").alias("h")), "h").rows(texts, "d_hash", inside=True)
     found = texts.join(wanted, (texts["d_hash"] == wanted["w_hash"]) & texts["d_id"].eqNullSafe(wanted["w_id"])) \
                  .select("label", "nid", "mult", "blocks", "block", "t")
 
@@ -236,12 +238,16 @@ def keep_one(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFram
     decided = stored(marked.groupBy(F.col("id").alias(x_id), F.col("text_hash").alias(x_hash))
                      .agg(F.max("stays").alias("x_stays"),
                           ((F.count(F.lit(1)) > 1) & F.max(F.col("class_key").isNotNull())).alias("x_often")), "decided")
-    keep = decided.where("x_stays").drop("x_stays")
+    # rows of classes with one row need no join: only texts that may belong to others are shuffled
+    shared = found.groupBy("class_key").count().where("class_key is not null and count > 1")
+    shared = HashFilter(found.join(stored(shared, "shared"), "class_key", "left_semi").select("text_hash").distinct(), "text_hash")
     base = docs.withColumn(x_hash, F.xxhash64(text_col))
-    kept = base.join(keep.withColumnRenamed(x_hash, "k_hash"), (F.col(x_hash) == F.col("k_hash"))
-                     & F.col(f"`{id_col}`").eqNullSafe(F.col(x_id)))
     names = [F.col(f"`{c}`") for c in docs.columns]
+    keep = decided.where("x_stays").drop("x_stays")
+    kept = shared.rows(base, x_hash, inside=True) \
+        .join(keep.withColumnRenamed(x_hash, "k_hash"), (F.col(x_hash) == F.col("k_hash")) & F.col(f"`{id_col}`").eqNullSafe(F.col(x_id)))
+    alone = shared.rows(base, x_hash, inside=False).select(*names)
     if keep.where("x_often").limit(1).count() == 0:
-        return kept.select(*names)
+        return alone.unionByName(kept.select(*names))
     once = kept.where("x_often").dropDuplicates([x_hash, x_id])
-    return kept.where("not x_often").select(*names).unionByName(once.select(*names))
+    return alone.unionByName(kept.where("not x_often").select(*names)).unionByName(once.select(*names))
