@@ -107,15 +107,16 @@ def _hits_by_join(df: DataFrame, w: str, windows: DataFrame, lengths: list, out:
     """The same column through an equi-join on the window hash, for benchmarks of any size."""
     uid = free_name(df, "row_uid")
     base = stored(df.withColumn(uid, F.monotonically_increasing_id()), "decontaminate")
+    def probed(length):
+        window = lambda i: F.slice(F.col(w), i, F.lit(length))
+        each = F.transform(_starts(F.size(w), length), lambda i: F.struct(
+            i.alias("i"), F.xxhash64(window(i)).alias("h"), F.array_join(window(i), " ").alias("t")))
+        return base.select(uid, F.explode(each).alias("p")).select(
+            uid, F.lit(length).alias("win_len"), "p.i", F.col("p.h").alias("win_hash"), F.col("p.t").alias("win_text"))
+
     probes = None
     for length in lengths:
-        p = (base.select(F.col(uid), F.col(w), F.explode(F.transform(
-                _starts(F.size(w), length),
-                lambda i, n=length: F.struct(i.alias("i"), F.xxhash64(F.slice(F.col(w), i, F.lit(n))).alias("h"),
-                                             F.array_join(F.slice(F.col(w), i, F.lit(n)), " ").alias("t")))).alias("p"))
-             .select(uid, F.lit(length).alias("win_len"), "p.i", F.col("p.h").alias("win_hash"),
-                     F.col("p.t").alias("win_text")))
-        probes = p if probes is None else probes.unionByName(p)
+        probes = probed(length) if probes is None else probes.unionByName(probed(length))
     hits = (probes.join(windows, ["win_len", "win_hash", "win_text"])
             .groupBy(uid).agg(F.array_sort(F.collect_list(F.struct(
                 (F.col("i") - 1).cast("int").alias("s"), (F.col("i") - 1 + F.col("win_len")).cast("int").alias("e"),

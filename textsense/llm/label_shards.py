@@ -2,7 +2,7 @@
 
 Every document starts in a pseudo-random shard. In each round the documents of a group (linked
 documents; in the query: equal texts) move towards the shard that holds most of their group
-and still has room. Moves are accepted under quotas: swaps between two shards always balance,
+(the several that do, for a group larger than a shard). Moves are accepted under quotas: swaps between two shards always balance,
 and what a shard has free is shared out among the rest of those who want in. A round is one
 aggregation to (group, shard) counts, which a hot group passes as one row per shard and task,
 and one join back. Documents without a link never need to move; they fill the shards at the
@@ -52,34 +52,38 @@ def _accepted_shares(flow: dict, size: list[int], quota: list[int], k: int) -> l
 
 
 def propagate(linked: DataFrame, quota: list[int], k: int, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``linked`` (uid, grp, label, ...) with the labels after propagation. Stops when fewer than
-    one row in a thousand moves."""
+    """``linked`` (uid, grp, label, ...) with the labels after propagation. Stops when in two
+    rounds fewer than one row in a thousand moves."""
+    still = 0
     for step in range(max_rounds):
         size = [0] * k
         for r in linked.groupBy("label").count().collect():  # k rows
             size[r["label"]] = r["count"]
+        # every other round looks past full shards, where only swaps could bring a row
+        open_ = [size[j] < quota[j] or step % 2 == 1 for j in range(k)]
         counts = linked.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c"))
-        full = [size[j] >= quota[j] for j in range(k)]
-        # at most k entries per group
-        groups = counts.groupBy("grp").agg(  # written, so that the join can split a hot group's rows
-            F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("by_label"),
-            F.max_by("label", F.when(~_table_get(full, F.col("label")),
-                                     F.struct(F.col("c"), (-F.col("label")).alias("l")))).alias("target"))
-        wish = linked.join(stored(groups, "group-labels"), "grp")
-        stays = F.element_at("by_label", F.col("label")) - 1  # its group's other rows here
-        gain = F.element_at("by_label", F.col("target")) - stays
-        wish = wish.withColumn("target", F.when((F.col("target") != F.col("label")) & (gain > 0), F.col("target"))) \
-                   .drop("by_label")
+        # at most k entries per group; ties by a hash, so that wishes go both ways between shards
+        ranked = F.transform(F.filter(
+            F.sort_array(F.collect_list(F.struct("c", F.xxhash64("grp", "label").alias("tie"), "label")), asc=False),
+            lambda x: _table_get(open_, x["label"])), lambda x: x["label"])
+        most = F.ceil(F.sum("c") / max(quota[0], 1)).cast("int")  # shards that the group needs
+        groups = counts.groupBy("grp").agg(F.slice(ranked, F.lit(1), F.greatest(most, F.lit(1))).alias("homes"))
+        # (written, so that the join can split a hot group's rows)
+        wish = linked.join(stored(groups, "group-homes"), "grp")
+        away = (F.size("homes") > 0) & ~F.array_contains("homes", F.col("label"))
+        wish = wish.withColumn("target", F.when(away, F.get("homes", F.pmod(F.xxhash64("uid"), F.size("homes")).cast("int")))).drop("homes")
         wish = stored(wish, "label-wishes")
         flow = {(r["label"], r["target"]): r["count"]  # k * k rows
                 for r in wish.where("target is not null").groupBy("label", "target").count().collect()}
-        if sum(flow.values()) * 1000 < sum(size) or not flow:
-            return wish.drop("target")
         shares = _accepted_shares(flow, size, quota, k)
+        moving = sum(n * shares[i * k + j] for (i, j), n in flow.items())
         granted = _table_get(shares, F.col("label") * k + F.col("target"))
         draw = F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(UNIT)) / UNIT
         linked = wish.withColumn("label", F.when(F.col("target").isNotNull() & (draw < granted), F.col("target"))
                                  .otherwise(F.col("label"))).drop("target")
+        still = still + 1 if moving * 1000 < sum(size) or not flow else 0
+        if still == 2:
+            break
     return linked
 
 
