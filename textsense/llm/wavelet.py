@@ -36,7 +36,7 @@ from .trie_bpe import byte_chars
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 # Scripts whose letters, cases and compositions are old enough that every Unicode version agrees;
 # a text with any other character goes to the library as it is.
-SETTLED = "\x00-\u052f\u1e00-\u1eff\u2000-\u2063\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+SETTLED = "\x00-\x1b\x20-\u052f\u1e00-\u1eff\u2000-\u2063\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 FILE_TOKENS = 4 << 20
 END_ID = 1
 MAGIC = b"WMTX0001"
@@ -213,10 +213,11 @@ class WordTokenizer:
     def width(self) -> int:
         return self.top.bit_length()
 
-    def _plain(self, text: str) -> list[str]:
+    @staticmethod
+    def _plain(text: str) -> list[str]:
+        """Runs of characters that are no white space: no word goes past one."""
         # letter by letter: the final sigma is no exception
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.split.findall(text)
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split()
 
     def words(self, text: str) -> list:
         if not any(s in text for s in self.special):
@@ -232,10 +233,11 @@ class WordTokenizer:
         words = [w for w in words if not isinstance(w, tuple)]
         for a in range(0, len(words), 4000):
             some = words[a:a + 4000]
-            got = self.model.encode(" ".join(w.encode().decode("latin-1").translate(self.to_chars) for w in some),
+            parts = [self.split.findall(w) for w in some]
+            got = self.model.encode(" ".join(w.encode().decode("latin-1").translate(self.to_chars) for ws in parts for w in ws),
                                     add_special_tokens=False)
             ids, of = np.array(got.ids, dtype=self.dtype), np.array(got.word_ids, dtype=np.int64)
-            cut = np.searchsorted(of, np.arange(len(some) + 1))
+            cut = np.searchsorted(of, np.cumsum([0, *map(len, parts)]))
             for w, x, y in zip(some, cut[:-1], cut[1:]):
                 self.cache[w] = ids[x:y].tobytes()
                 self.cached += 140 + len(w)
@@ -262,12 +264,27 @@ def tokenise(docs: DataFrame, text_col: str, path: str, out: str = "ids", end_id
     return append_columns(docs, text_col, make, [(out, "binary")])
 
 
+def _ranged(ids: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """``ids`` with the number of its id range."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            part = np.searchsorted(bounds, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["id", "ids", "part"])
+    return ids.mapInArrow(run, "id bigint, ids binary, part int")
+
+
 def write(docs: DataFrame, id_col: str, text_col: str, path: str, file_tokens: int = FILE_TOKENS) -> tuple[str, DataFrame]:
     """Tokenise and write; the folder and its files (part, seq, n_docs, n_tokens) in order."""
     spark = docs.sparkSession
     out = folder(spark, "token-files")
-    ids = stored(tokenise(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), "t", path).drop("t"), "token-ids")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # bounds of the id ranges from a scan of the ids alone, so that texts are tokenised just once
+    shares = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)])
+    bounds = src.select(F.percentile_approx("id", shares, 100 * parts).alias("b")).first()["b"] if parts > 1 else None
+    bounds = np.array(sorted(set(bounds or [])), dtype=np.int64)  # null ids come first, in range 0
+    ids = _ranged(tokenise(src, "t", path).drop("t"), bounds)
     order = ["id", F.xxhash64("ids")]
 
     def run(batches):
@@ -296,7 +313,7 @@ def write(docs: DataFrame, id_col: str, text_col: str, path: str, file_tokens: i
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], names=["part", "seq", "n_docs", "n_tokens"])
 
-    files = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order) \
+    files = ids.repartitionById(len(bounds) + 1, F.col("part")).drop("part").sortWithinPartitions(*order) \
                .mapInArrow(run, "part bigint, seq bigint, n_docs bigint, n_tokens bigint")
     return out, stored(files, "token-manifest")
 
