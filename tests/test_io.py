@@ -15,7 +15,7 @@ def test_read_documents(spark, tmp_path):
     (kb / "skip.csv").write_text("x,y", encoding="utf-8")
     (kb / "sub").mkdir()
     (kb / "sub" / "deep.txt").write_text("not read", encoding="utf-8")
-    got = [(r["id"], r["text"]) for r in IO.read_documents(spark, str(kb)).collect()]
+    got = [(r["id"], r["text"]) for r in IO.read_documents(spark, str(kb)).orderBy("id").collect()]
     assert got == [("a.md", "# first\nline"), ("b.TXT", "second doc")]
 
 
@@ -67,3 +67,27 @@ def test_pairing_and_retention(spark):
     assert sorted(r["turn"] for r in newest.collect()) == [4, 5]
     log = C.message_log(C.pair_turns(msgs)).orderBy("turn").collect()
     assert [(r["turn"], r["role"]) for r in log] == [(1, "user"), (2, "assistant"), (4, "user"), (5, "assistant")]
+
+
+def test_csv_keeps_blanks_and_empty_texts(spark, tmp_path):
+    rows = [(1, " lead and trail "), (2, ""), (3, None), (4, "a,b"), (5, "  "), (6, '"q"'), (7, "line\nbreak ")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    IO.write_scored(df, str(tmp_path / "out"))
+    back = IO.read_csv_text(spark, str(tmp_path / "out"), encoding="UTF-8", schema="id long, t string")
+    assert sorted((r["id"], r["t"]) for r in back.collect()) == rows
+
+
+def test_append_time_is_utc_whatever_the_zone(spark, tmp_path, monkeypatch):
+    import datetime as dt
+    import time
+    turns = spark.createDataFrame([(1, "q", "a", "n", 0.0, ["d"])],
+                                  "id long, user_msg string, bot_msg string, sentiment string, score double, sources array<string>")
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        IO.append_turns(turns, str(tmp_path / "log"), now=dt.datetime(2024, 3, 1, 12, 0, 0))
+        micros = spark.read.parquet(str(tmp_path / "log")).selectExpr("unix_micros(created_at)").first()[0]
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert micros == 1709294400 * 1_000_000

@@ -66,6 +66,23 @@ def test_summary(spark):
     assert got == {"positive": (2, 0.375), "negative": (1, -0.1), "ALL": (3, 0.217)}
 
 
+def test_large_lexicon_gives_the_same_scores(spark):
+    """250,000 terms go through the join; the same terms that matter, embedded, score alike."""
+    known = "case when id % 3 = 0 then 'good' || id when id % 3 = 1 then 'not' || id else 'very' || id end"
+    big = spark.range(250_000).selectExpr(f"{known} term", "case when id % 3 = 0 then (id % 7 - 3) / 4.0 end polarity",
+                                          "1.3d intensity", "id % 3 = 2 is_modifier", "id % 3 = 1 is_negation")
+    texts = [(k, " ".join(f"{w}{i + k}" for i in range(0, 60, 3) for w in ("not", "very", "good"))) for k in range(40)]
+    texts += [(100, None), (101, ""), (102, "not1 very2 good3 good6 very5 very8 good9 not4 good12")]
+    df = spark.createDataFrame(texts, "k long, t string")
+    used = {w for _, t in texts for w in (t or "").split()}
+    few = big.where(big["term"].isin(sorted(used)))
+    a = L.lexicon_polarity(df, "k", "t", big).collect()
+    b = L.lexicon_polarity(df, "k", "t", few).collect()
+    c = L.lexicon_polarity_exploded(df, "k", "t", big).collect()
+    assert sorted(a) == sorted(b) and {(r["k"], r["polarity"], r["n"]) for r in a} == {(r["k"], r["polarity"], r["n"]) for r in c}
+    assert any(r["polarity"] for r in a)
+
+
 def test_lexicon_size_is_checked(spark, monkeypatch):
     from textsense.functions import lookup
     big = spark.range(50).selectExpr("cast(id as string) term", "cast(0.1 as double) polarity", "1.0d intensity",

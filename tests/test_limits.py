@@ -112,3 +112,24 @@ def test_hot_and_cold_keys_across_partitions(spark, seed, parts):
         mine = sorted((t, i) for i, u, t in rows if u == user)
         expect = _brute([t for t, _ in mine], 3, 60)
         assert [out[i] for _, i in mine] == expect
+
+
+def test_null_keys_share_a_log_and_longs_stay_exact(spark):
+    big = 9007199254740993
+    rows = [(i, None if i < 5 else 7, T0 + dt.timedelta(seconds=i), big if i % 2 else None) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, user long, ts timestamp, extra long")
+    got = {r["id"]: r for r in LIM.rate_limit(df, "user", "ts", "id", max_n=1, window_s=60).collect()}
+    assert [got[i]["admitted"] for i in range(10)] == [i in (0, 5) for i in range(10)]
+    assert [got[i]["extra"] for i in range(10)] == [big if i % 2 else None for i in range(10)]
+
+
+def test_stream_treats_null_keys_alike(spark, tmp_path):
+    rows = [(i, None if i % 3 else 1, T0 + dt.timedelta(seconds=i)) for i in range(12)]
+    schema = "id long, user long, ts timestamp"
+    for j in range(3):
+        spark.createDataFrame(rows[4 * j:4 * j + 4], schema).coalesce(1).write.parquet(str(tmp_path / "src" / f"b{j}"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+              .parquet(str(tmp_path / "src")))
+    out = ST.run_to_table(ST.stream_rate_limit(stream, "user", "ts", "id", 2, 60), spark, "null-keys")
+    batch = LIM.rate_limit(spark.createDataFrame(rows, schema), "user", "ts", "id", 2, 60)
+    assert {r["id"]: r["admitted"] for r in out.collect()} == {r["id"]: r["admitted"] for r in batch.collect()}

@@ -77,17 +77,50 @@ def test_topk_is_prefix_of_full_ranking(spark, docs):
     assert small == {(a, b) for a, b, rk in full if rk <= 2}
 
 
-def test_persisted_index_gives_same_hits(spark, docs):
+def test_saved_index_gives_same_hits(spark, docs, tmp_path):
     q = spark.createDataFrame(QUERIES, "qid long, q string")
-    a = R.retrieve(q, "qid", "q", R.build_index(docs, "doc_id", "text"), 3)
-    idx = R.build_index(docs, "doc_id", "text", persist=True)
-    b = R.retrieve(q, "qid", "q", idx, 3)
-    assert sorted(a.collect()) == sorted(b.collect())
-    idx.release()
-
-
-def test_empty_corpus_has_no_index(spark):
-    assert R.build_index(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text") is None
+    idx = R.build_index(docs, "doc_id", "text")
+    idx.save(str(tmp_path / "index"))
+    back = R.Index.load(spark, str(tmp_path / "index"))
+    assert sorted(R.retrieve(q, "qid", "q", idx, 3).collect()) == sorted(R.retrieve(q, "qid", "q", back, 3).collect())
+
+
+@pytest.mark.parametrize("n_docs,n_q,block", [(40, 9, 4), (9, 40, 4), (30, 30, 1024)])
+def test_topk_equals_brute_force_in_blocks(spark, n_docs, n_q, block):
+    import random
+    rnd = random.Random(n_docs)
+    words = "cat dog mat zebra red blue tree house river stone".split()
+    say = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randrange(8)))
+    texts, qs = [(i, say()) for i in range(n_docs)], [(1000 + i, say()) for i in range(n_q)]
+    idx = R.build_index(spark.createDataFrame(texts, "k long, t string").repartition(3), "k", "t", 12)
+    got = R.retrieve(spark.createDataFrame(qs, "q long, t string"), "q", "t", idx, 3, block=block).collect()
+    weights, idf = brute_weights(texts, 12)
+    for q, t in qs:
+        import re
+        toks = re.findall(r"[\w]{2,}", t.lower())
+        tf = Counter(toks + [f"{a} {b}" for a, b in zip(toks, toks[1:])])
+        w = {x: tf[x] * idf[x] for x in tf if x in idf}
+        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        sims = {d: sum(w[x] / norm * y for x, y in weights[d].items() if x in w) for d, _ in texts}
+        best = sorted(sims, key=lambda d: (-round(sims[d], 9), -d))[:3]
+        mine = sorted((r["rank"], r["doc_id"], r["sim"]) for r in got if r["query_id"] == q)
+        assert [d for _, d, _ in mine] == best
+        assert [s for *_, s in mine] == pytest.approx([sims[d] for d in best])
+
+
+def test_empty_corpus_finds_nothing(spark):
+    idx = R.build_index(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text")
+    assert R.retrieve(spark.createDataFrame(QUERIES, "qid long, q string"), "qid", "q", idx, 3).count() == 0
+
+
+def test_uncapped_large_vocabulary_joins(spark, docs, monkeypatch):
+    small = V.fit_vocabulary(docs, "doc_id", "text", None)
+    monkeypatch.setattr(V, "MAX_LITERAL_ROWS", 3)
+    large = V.fit_vocabulary(docs, "doc_id", "text", None)
+    assert small.table is not None and large.table is None and large.size == small.size
+    rows = [sorted((r["doc_id"], r["term"], r["tf"], round(r["weight"], 9)) for r in V.postings(
+        V.tfidf(docs, "doc_id", "text", v), "doc_id").collect()) for v in (small, large)]
+    assert rows[0] == rows[1] and rows[0]
 
 
 def test_context_and_prompts(spark, docs):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textsense.functions.lookup import LookupTable
-from textsense.session import bounded_rows, materialize, spread
+from textsense.session import SCAN_PARTITIONS, bounded_rows, materialize, spread
 
 
 def test_lookup_table_equals_dict(spark):
@@ -30,12 +30,14 @@ def test_bounded_rows_checks_size(spark):
         bounded_rows(spark.range(6), 5, "x")
 
 
-def test_spread_only_when_too_few_splits(spark):
-    slots = spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, 1, slots * 2)
-    assert spread(many, "id") is many
+def test_spread_follows_the_setting(spark):
     few = spark.range(0, 1000, 1, 1)
-    assert spread(few, "id").rdd.getNumPartitions() == slots
+    assert spread(few) is few
+    spark.conf.set(SCAN_PARTITIONS, "3")
+    try:
+        assert spread(few).rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset(SCAN_PARTITIONS)
 
 
 def test_materialize_cuts_lineage(spark):

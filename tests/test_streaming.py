@@ -43,3 +43,39 @@ def test_sliding_window_counts(spark):
     out = ST.stream_label_counts(df, "ts", "label", "60 seconds", "30 seconds")
     got = {(r["window_start"] - T0).total_seconds(): r["n"] for r in out.collect()}
     assert got == {-30.0: 3, 0.0: 5, 30.0: 3, 60.0: 1}
+
+
+def _messages():
+    return [(c, t, "user" if t % 2 == 0 else "assistant", f"m{c}-{t}") for t in range(8) for c in (1, 2)]
+
+
+def _log(spark, src, out, ckpt):
+    from textsense.operators import chatlog as C
+    schema = "conv_id long, turn long, role string, text string"
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(src)))
+    return ST.write_bounded_log(stream, spark, ["conv_id", "turn"], 5, C.pair_turns, "t", C.open_turns, str(out), str(ckpt))
+
+
+def test_log_of_single_messages_equals_batch_also_after_restart(spark, tmp_path):
+    from textsense.operators import chatlog as C
+    schema = "conv_id long, turn long, role string, text string"
+    rows = _messages()
+    src, out, ckpt = tmp_path / "src", tmp_path / "out", tmp_path / "ckpt"
+    want = C.keep_newest(C.pair_turns(spark.createDataFrame(rows, schema)), ["conv_id", "turn"], 5).collect()
+    for part in (rows[:7], rows[7:]):  # the stream is stopped in between and goes on from its checkpoint
+        for r in part:
+            spark.createDataFrame([r], schema).coalesce(1).write.parquet(str(src / f"m{rows.index(r):02d}"))
+        view = _log(spark, src, out, ckpt)
+    assert sorted(view.collect()) == sorted(want)
+    assert spark.read.parquet(str(out / "log")).count() == 8
+    assert sorted(_log(spark, src, out, ckpt).collect()) == sorted(want)  # nothing new
+
+
+def test_a_batch_run_again_leaves_the_same_log(spark, tmp_path):
+    from textsense.operators import chatlog as C
+    df = spark.createDataFrame(_messages(), "conv_id long, turn long, role string, text string")
+    write = ST.bounded_log_writer(["conv_id", "turn"], 5, C.pair_turns, C.open_turns)
+    for _ in range(2):
+        write(df, 0, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 8
+    assert spark.read.parquet(str(tmp_path / "view" / "0")).count() == 5

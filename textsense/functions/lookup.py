@@ -14,7 +14,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import MAX_LITERAL_ROWS, bounded_rows
+from ..session import MAX_LITERAL_ROWS, bounded_rows, few_rows
 
 _SPARK_JSON_TYPES = {"string", "double", "boolean", "int", "bigint", "float"}
 
@@ -42,6 +42,14 @@ class LookupTable:
         self.size = sum(len(b) for b in buckets)
         self._literal = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string, {self.value_type}>>")
 
+    @classmethod
+    def if_small(cls, df: DataFrame, key: str, values: list[str], max_rows: int | None = None) -> LookupTable | None:
+        """The table if it has at most ``max_rows`` rows, else None (join it then)."""
+        max_rows = MAX_LITERAL_ROWS if max_rows is None else max_rows
+        if few_rows(df.where(F.col(key).isNotNull()).select(key), max_rows) is None:
+            return None
+        return cls(df, key, values, max_rows=max_rows)
+
     def _bucket(self, k: Column) -> Column:
         return F.pmod(F.xxhash64(k), F.lit(self.n_buckets)).cast("int")
 

@@ -31,13 +31,23 @@ def pair_turns(msgs: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return u.join(a, [conv, turn], "inner")
 
 
+def open_turns(msgs: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
+               user_role: str = "user", reply_role: str = "assistant") -> DataFrame:
+    """Messages whose partner is not in ``msgs`` yet: questions without the reply right after
+    them, replies without their question. (What ``pair_turns`` would still need.)"""
+    side = lambda r, d: msgs.where(F.col(role) == r).select(F.col(conv), (F.col(turn) + d).alias(turn)).distinct()
+    q = msgs.where(F.col(role) == user_role).join(side(reply_role, -1), [conv, turn], "left_anti")
+    a = msgs.where(F.col(role) == reply_role).join(side(user_role, 1), [conv, turn], "left_anti")
+    return q.unionByName(a).select(*msgs.columns)
+
+
 def message_log(pairs: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """G8 (older app): every question and answer as its own row, unbounded:
-    (conv, turn, role, content) -- a union of two projections."""
-    u = pairs.select(conv, F.col(turn), F.lit("user").alias("role"), F.col("user_msg").alias("content"))
-    a = pairs.select(conv, (F.col(turn) + 1).alias(turn), F.lit("assistant").alias("role"),
-                     F.col("bot_msg").alias("content"))
-    return u.unionByName(a)
+    (conv, turn, role, content) -- two rows from each pair, in one pass."""
+    both = F.array(F.struct(F.col(turn).alias("t"), F.lit("user").alias("r"), F.col("user_msg").alias("c")),
+                   F.struct((F.col(turn) + 1).alias("t"), F.lit("assistant").alias("r"), F.col("bot_msg").alias("c")))
+    return pairs.select(conv, F.explode(both).alias("m")).select(
+        conv, F.col("m.t").alias(turn), F.col("m.r").alias("role"), F.col("m.c").alias("content"))
 
 
 def keep_newest(df: DataFrame, order: list[str], n: int = 200, by: str | None = None) -> DataFrame:
@@ -63,8 +73,8 @@ def recent_view(df: DataFrame, order: list[str], n: int = 200, drop: tuple = ("c
 
 def with_missing_columns(df: DataFrame, schema: str | None = None, defaults: dict | None = None) -> DataFrame:
     """Add every column of ``schema`` that ``df`` lacks, as a typed null (additive migration)."""
-    from pyspark.sql.types import _parse_datatype_string
-    st = _parse_datatype_string(schema or CHAT_LOG_SCHEMA)
+    from pyspark.sql.types import StructType
+    st = StructType.fromDDL(schema or CHAT_LOG_SCHEMA)
     for f in st.fields:
         if f.name not in df.columns:
             df = df.withColumn(f.name, F.lit((defaults or {}).get(f.name)).cast(f.dataType))

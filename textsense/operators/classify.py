@@ -29,7 +29,7 @@ from . import vocab as V
 
 FEATURE_TOKENS = "__tokens"
 NEUTRAL = ("neutral", 0.0)
-ROWS_PER_TRAIN_PARTITION = 100_000
+VECTOR_BYTES = 32 << 20
 
 
 def features_tokens(df: DataFrame, col: str, out: str = FEATURE_TOKENS) -> DataFrame:
@@ -70,20 +70,18 @@ class TextModel:
 
 def train_classifier(df: DataFrame, col: str, label: str, max_terms: int = 5000,
                      max_iter: int = 1000) -> TextModel:
-    """E7 on labelled rows (rows whose cleaned text is empty are the caller's to drop, B2)."""
-    from pyspark import StorageLevel
-    rows = df.where(F.col(label).isNotNull())
-    n_train = rows.count()
+    """E7 on labelled rows; rows whose cleaned text is empty are dropped first (B2).
+
+    The text is cleaned and stemmed once, at full parallelism, into a stored table of tokens
+    and labels; every later pass (vocabulary, indexer, L-BFGS) reads that table."""
+    from ..session import stored
+    rows = features_tokens(df.where(F.col(label).isNotNull()), col)
+    rows = stored(rows.where(T.strip_ws("__cleaned") != "").select(FEATURE_TOKENS, label), "train-tokens")
+    tot = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(FEATURE_TOKENS)).alias("terms")).first()
+    n_train = tot["n"]
     if n_train == 0:
         raise ValueError("no training rows")
-    # each L-BFGS iteration is one job over every partition: keep partitions at ~100k rows
-    # (a no-op at scale, fewer tiny tasks on small labelled sets; coalesce does not shuffle)
-    want = max(1, -(-n_train // ROWS_PER_TRAIN_PARTITION))
-    if rows.rdd.getNumPartitions() > want:
-        rows = rows.coalesce(want)
-    # stemmed features are read by several passes (vocabulary, indexer, L-BFGS):
-    # computed once, spilled to disk if they do not fit
-    d = features_tokens(rows, col).persist(StorageLevel.MEMORY_AND_DISK)
+    d = rows
     counts = V.term_counts(d.withColumn("__row", F.monotonically_increasing_id()), "__row", None,
                            ngram=(1, 1), tokens=F.col(FEATURE_TOKENS))
     vocab = V.Vocabulary(V.build_vocab(counts, n_train, max_terms), n_train)
@@ -97,8 +95,10 @@ def train_classifier(df: DataFrame, col: str, label: str, max_terms: int = 5000,
     prep = PipelineModel(stages=[indexer, cv, scale, norm])
     lr = LogisticRegression(featuresCol="features", labelCol="__label_idx", regParam=1.0 / n_train,
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4)
-    lr_model = lr.fit(prep.transform(d))
-    d.unpersist()
+    # an iteration is one job over the compact vectors: partitions of VECTOR_BYTES (an index
+    # and a weight for each term at most), however many rows that is
+    vectors = stored(prep.transform(d).select("features", "__label_idx"), "train-vectors")
+    lr_model = lr.fit(vectors.coalesce(max(1, -(-12 * tot["terms"] // VECTOR_BYTES))))
     back = IndexToString(inputCol="prediction", outputCol="prediction_label", labels=indexer.labels)
     return TextModel(PipelineModel(stages=[indexer, cv, scale, norm, lr_model, back]), col)
 
@@ -123,11 +123,10 @@ def model_sentiment(df: DataFrame, col: str, model: TextModel, empty=NEUTRAL, di
 
 def lexicon_scorer(lexicon: DataFrame):
     """The default scorer (runs offline): lexicon polarity > 0 -> positive, else negative."""
-    from .lexicon import lexicon_table, looked_up, polarity_from_sum, polarity_of_looked
+    from .lexicon import polarity_from_sum, polarity_of_looked, with_looked_up
 
     def score(df: DataFrame, col: str, out: str) -> DataFrame:
-        table = lexicon_table(lexicon)
-        d = (df.withColumn("__lk", looked_up(T.index_tokens(col), table))
+        d = (with_looked_up(df, T.index_tokens(col), lexicon, "__lk")
                .withColumn("__sum", polarity_of_looked("__lk")))
         return (d.withColumn(out, F.when(polarity_from_sum("__sum") > 0, "positive").otherwise("negative"))
                  .drop("__lk", "__sum"))
@@ -160,7 +159,9 @@ def label_with(df: DataFrame, col: str, scorer, max_chars: int = 512, out: str =
 def label_remaining(df: DataFrame, done: DataFrame, key: str, col: str, scorer, out: str = "sentiment",
                     max_chars: int = 512) -> DataFrame:
     """Label only rows whose key is not in ``done`` (an anti join), return them
-    appended to ``done`` -- resuming twice gives the same table as resuming once."""
-    todo = df.join(done.select(key), key, "left_anti")
-    new = label_with(todo, col, scorer, max_chars, out).select(key, out)
-    return done.select(key, out).unionByName(new)
+    appended to ``done`` -- resuming twice gives the same table as resuming once. All columns of
+    ``df`` are kept (null for labelled keys that ``df`` lacks)."""
+    new = label_with(df.join(done.select(key), key, "left_anti"), col, scorer, max_chars, out)
+    rest = [c for c in df.columns if c not in (key, out)]
+    known = done.select(key, out).join(df.select(key, *rest), key, "left")
+    return known.select(key, *rest, out).unionByName(new.select(key, *rest, out))

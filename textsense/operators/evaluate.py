@@ -10,18 +10,19 @@ label) whose running totals give each bucket's offset; a row's rank is its offse
 rank inside its (label, bucket) -- a window over a uniformly small partition. Exact, and
 no partition holds more than ~n/65,536 of a class.
 
-Reports work on the (true, predicted) pair counts, a table of at most classes^2 rows.
+Reports work on the (true, predicted) pair counts, a table of at most classes^2 rows: the
+scored rows are aggregated once and the small table is stored; supports, predicted totals and
+hits are three small sums of it, joined on the class.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import bounded_rows
+from ..session import stored
 from .filters import sample_key
 
 HASH_BUCKETS_BITS = 16
-MAX_CLASSES = 10_000
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, seed: int = 42,
@@ -38,10 +39,7 @@ def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, see
                .withColumn("__n", F.sum("__c").over(Window.partitionBy(label)))
                .select(label, "__b", F.coalesce("__before", F.lit(0)).alias("__before"),
                        F.round(F.col("__n") * F.lit(test)).cast("long").alias("__ntest")))
-    # offsets has at most (labels x 2^16) rows: check before broadcasting
-    n_off = offsets.limit(MAX_CLASSES * nb + 1).count()
-    if n_off <= 4 * nb:
-        offsets = F.broadcast(offsets)
+    # (at most labels x 2^16 rows; Spark chooses the join from the sizes it sees)
     wb = Window.partitionBy(label, "__b").orderBy("__h", key)
     r = d.withColumn("__r", F.row_number().over(wb)).join(offsets, [label, "__b"])
     return (r.withColumn(out, F.when(F.col("__before") + F.col("__r") <= F.col("__ntest"), "test")
@@ -49,14 +47,10 @@ def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, see
              .drop("__h", "__b", "__r", "__before", "__ntest"))
 
 
-def class_labels(df: DataFrame, *cols: str) -> list:
-    """Sorted distinct classes over the given columns (bounded; used as report order)."""
-    u = None
-    for c in cols:
-        one = df.select(F.col(c).cast("string").alias("label")).where(F.col("label").isNotNull())
-        u = one if u is None else u.unionByName(one)
-    rows = bounded_rows(u.distinct(), MAX_CLASSES, "class labels")
-    return sorted(r[0] for r in rows)
+def class_labels(df: DataFrame, *cols: str) -> DataFrame:
+    """The distinct classes over the given columns, one column ``label``, sorted."""
+    labels = F.explode(F.array(*[F.col(c).cast("string") for c in cols]))
+    return df.select(labels.alias("label")).where(F.col("label").isNotNull()).distinct().orderBy("label")
 
 
 def accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -66,16 +60,18 @@ def accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def pair_counts(df: DataFrame, y: str, p: str) -> DataFrame:
-    return df.groupBy(F.col(y).alias("true"), F.col(p).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    """(true, pred, n): the one pass over the scored rows, stored."""
+    return stored(df.groupBy(F.col(y).alias("true"), F.col(p).alias("pred")).agg(F.count(F.lit(1)).alias("n")), "pairs")
 
 
-def confusion(df: DataFrame, y: str, p: str, labels: list | None = None) -> DataFrame:
-    """E11 in long form: (true, pred, n) for every pair of classes, zero-filled."""
-    labels = labels or class_labels(df, y, p)
+def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
+    """E11 in long form: (true, pred, n) for every pair of classes, zero-filled. Classes are
+    those of either column; the matrix has classes^2 cells, which is its definition."""
     pairs = pair_counts(df, y, p)
-    # every cell of the matrix comes from the (bounded) label list, counts from the data
-    grid = df.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "true string, pred string")
-    return (grid.join(pairs, ["true", "pred"], "left")
+    one = F.lit(1).alias("__one")  # one group: an equi-join spans the cells from the class table
+    labels = class_labels(pairs, "true", "pred")
+    cells = labels.select(F.col("label").alias("true"), one).join(labels.select(F.col("label").alias("pred"), one), "__one")
+    return (cells.join(pairs, ["true", "pred"], "left")
             .select("true", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
@@ -88,18 +84,16 @@ def _row(name, p, r, f, n):
                     r.cast("double").alias("recall"), f.cast("double").alias("f1"), n.cast("long").alias("support"))
 
 
-def class_report(df: DataFrame, y: str, p: str, labels: list | None = None) -> DataFrame:
+def class_report(df: DataFrame, y: str, p: str) -> DataFrame:
     """(row_name, precision, recall, f1, support): one row per class, then 'accuracy'
     (f1 column = accuracy), 'macro avg' and 'weighted avg'; 0 when a denominator is 0."""
-    labels = labels or class_labels(df, y, p)
-    lab = F.array(*[F.lit(x) for x in labels])
     pairs = pair_counts(df, y, p)
-    per = (pairs.select(F.explode(lab).alias("row_name"), "true", "pred", "n")
-           .groupBy("row_name")
-           .agg(F.sum(F.when(F.col("true") == F.col("row_name"), F.col("n")).otherwise(0)).alias("support"),
-                F.sum(F.when(F.col("pred") == F.col("row_name"), F.col("n")).otherwise(0)).alias("predicted"),
-                F.sum(F.when((F.col("true") == F.col("row_name")) & (F.col("pred") == F.col("row_name")),
-                             F.col("n")).otherwise(0)).alias("tp")))
+    name = lambda c: F.col(c).cast("string").alias("row_name")
+    support = pairs.groupBy(name("true")).agg(F.sum("n").alias("support"))
+    predicted = pairs.groupBy(name("pred")).agg(F.sum("n").alias("predicted"))
+    hits = pairs.where(F.col("true") == F.col("pred")).groupBy(name("true")).agg(F.sum("n").alias("tp"))
+    per = (support.join(predicted, "row_name", "full").join(hits, "row_name", "left").where("row_name is not null")
+           .na.fill(0, ["support", "predicted", "tp"]))
     per = (per.withColumn("precision", _safe_div(F.col("tp"), F.col("predicted")))
               .withColumn("recall", _safe_div(F.col("tp"), F.col("support"))))
     per = per.withColumn("f1", _safe_div(2 * F.col("precision") * F.col("recall"),

@@ -10,11 +10,11 @@ D1 rule set, over the index tokens of a text (C11) and a lexicon table
 5. a modifier with a polarity that is not followed by a scored word is its own assessment;
 6. the polarity is the mean of the assessments, 0.0 when there are none, rounded to 3.
 
-Physical plan: the lexicon is a small dimension table. Once its size is proven below
-``MAX_LITERAL_ROWS`` it is embedded as a bucketed constant lookup (``functions.lookup``), and
-every document is scored in place with array functions -- no explode, no shuffle, all input
-columns kept.
-``lexicon_polarity_exploded`` is the join + window form for lexicons too big to embed.
+Physical plan: a lexicon of at most ``MAX_LITERAL_ROWS`` rows is embedded as a bucketed
+constant lookup (``functions.lookup``), and every document is scored in place with array
+functions -- no explode, no shuffle, all input columns kept. For a larger one the documents'
+distinct tokens are joined with the lexicon and gathered back per document; the scoring
+expressions and the results are the same.
 """
 
 from __future__ import annotations
@@ -27,13 +27,27 @@ from ..functions.lookup import LookupTable
 LEXICON_SCHEMA = "term string, polarity double, intensity double, is_modifier boolean, is_negation boolean"
 
 
-def lexicon_table(lexicon: DataFrame) -> LookupTable:
-    """Size-checked constant lookup term -> (p, i, m, g)."""
-    lx = lexicon.select(F.col("term"), F.col("polarity").cast("double").alias("p"),
+def _lexicon_rows(lexicon: DataFrame) -> DataFrame:
+    return lexicon.select(F.col("term"), F.col("polarity").cast("double").alias("p"),
                         F.col("intensity").cast("double").alias("i"),
                         F.coalesce(F.col("is_modifier"), F.lit(False)).alias("m"),
-                        F.coalesce(F.col("is_negation"), F.lit(False)).alias("g"))
-    return LookupTable(lx, "term", ["p", "i", "m", "g"], what="lexicon")
+                        F.coalesce(F.col("is_negation"), F.lit(False)).alias("g")).where(F.col("term").isNotNull())
+
+
+def with_looked_up(df: DataFrame, tokens: Column, lexicon: DataFrame, out: str, max_rows: int | None = None) -> DataFrame:
+    """Adds ``out``: array<struct(p, i, m, g)> aligned with ``tokens`` (null where unknown)."""
+    lx = _lexicon_rows(lexicon)
+    values = ["p", "i", "m", "g"]
+    small = LookupTable.if_small(lx, "term", values, max_rows)
+    if small is not None:
+        return df.withColumn(out, looked_up(tokens, small))
+    from ..session import materialize
+    base = materialize(df.withColumn("__tok", tokens).withColumn("__uid", F.monotonically_increasing_id()))
+    found = (base.select("__uid", F.explode(F.array_distinct("__tok")).alias("term"))
+             .join(lx.dropDuplicates(["term"]), "term")
+             .groupBy("__uid").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct(*values)))).alias("__map")))
+    return (base.join(found, "__uid", "left")
+            .withColumn(out, F.transform("__tok", lambda t: F.col("__map")[t])).drop("__tok", "__uid", "__map"))
 
 
 def _clamp(c: Column) -> Column:
@@ -90,8 +104,7 @@ def polarity_from_sum(acc) -> Column:
 def with_lexicon_polarity(df: DataFrame, col: str, lexicon: DataFrame,
                           out: str = "polarity", n_out: str | None = None) -> DataFrame:
     """D1 as columns on ``df`` (narrow: every input row and column kept, no shuffle)."""
-    table = lexicon_table(lexicon)
-    df = (df.withColumn("__lk", looked_up(T.index_tokens(col), table))
+    df = (with_looked_up(df, T.index_tokens(col), lexicon, "__lk")
             .withColumn("__lex", polarity_of_looked("__lk"))
             .withColumn(out, polarity_from_sum("__lex")))
     if n_out:
@@ -107,7 +120,7 @@ def lexicon_polarity(df: DataFrame, key, col: str, lexicon: DataFrame) -> DataFr
 
 
 def lexicon_polarity_exploded(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFrame:
-    """D1 in join + window form, for lexicons too large to embed. Shuffles tokens by key."""
+    """D1 in join + window form: an independent second form that tests compare with."""
     toks = (df.select(key, F.posexplode_outer(T.index_tokens(col)).alias("pos", "tok"))
               .where(F.col("tok").isNotNull()))
     lex = lexicon.select(F.col("term").alias("tok"), F.col("polarity").alias("p"),

@@ -2,7 +2,8 @@
 
 G4 semantics: a request is admitted iff fewer than ``max_n`` *admitted* requests of the same
 key lie in the last ``window_s`` seconds (``now - t < window_s``); rejected requests are not
-recorded. This is order-dependent, so it is not a window function.
+recorded. This is order-dependent, so it is not a window function. Requests with a null key
+share one log, like those of any other key.
 
 G4 physical plan:
 
@@ -13,10 +14,10 @@ G4 physical plan:
    one-row-per-partition aggregates (see ``_sessions``);
 2. sessions are hash-partitioned by ``(key, session)`` and sorted within partitions, so a
    busy key's sessions spread over tasks;
-3. one ``mapInPandas`` pass folds each partition in order, streaming Arrow batches and
+3. one ``mapInArrow`` pass folds each partition in order, streaming Arrow batches and
    carrying at most ``max_n`` timestamps of state -- no group is ever collected into
    memory, whatever its size. Only a single session with no ``window_s`` gap is processed
-   sequentially, which the semantics require.
+   sequentially, which the semantics require: such a key's rows are one task's work.
 
 G5 semantics: a request hits iff the cache flag is on and an earlier request (by ``(ts, id)``)
 of the same session with the same cache key had the flag on. Plan: the first flagged
@@ -28,8 +29,6 @@ from __future__ import annotations
 
 from collections import deque
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -43,30 +42,37 @@ def epoch_micros(df: DataFrame, ts: str) -> F.Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _columns(batch, *names) -> list:
+    """Columns of an Arrow batch as Python lists (nulls are None, longs stay exact)."""
+    return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+
+
+def _with_column(batch, name: str, values: list, kind):
+    import pyarrow as pa
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, kind)], names=[*batch.schema.names, name])
+
+
+def admit(log: deque, t: int, max_n: int, window_us: int) -> bool:
+    """One step of the sliding log: forget what is out of the window, admit below ``max_n``."""
+    while log and t - log[0] >= window_us:
+        log.popleft()
+    if len(log) >= max_n:
+        return False
+    log.append(t)
+    return True
+
+
 def _fold_partition(key: str, max_n: int, window_us: int):
     def run(batches):
-        cur = None
-        log: deque = deque()
-        for pdf in batches:
-            ks = pdf[key].to_numpy()
-            ss = pdf["__sess"].to_numpy()
-            ts = pdf["__t"].to_numpy()
-            out = np.empty(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                k = (ks[i], ss[i])
-                if k != cur:
-                    cur = k
-                    log.clear()
-                t = ts[i]
-                while log and t - log[0] >= window_us:
-                    log.popleft()
-                if len(log) < max_n:
-                    log.append(t)
-                    out[i] = True
-                else:
-                    out[i] = False
-            pdf["admitted"] = pd.Series(out, index=pdf.index)
-            yield pdf
+        import pyarrow as pa
+        cur, log = object(), deque()
+        for batch in batches:
+            out = []
+            for k, sess, t in zip(*_columns(batch, key, "__sess", "__t")):
+                if (k, sess) != cur:
+                    cur, log = (k, sess), deque()
+                out.append(admit(log, t, max_n, window_us))
+            yield _with_column(batch, "admitted", out, pa.bool_())
     return run
 
 
@@ -75,24 +81,20 @@ def _session_starts(boundary: dict, key: str, window_us: int):
     row's session when it starts inside this partition, null for the leading rows that
     continue a session begun in an earlier partition."""
     def run(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
         prev_k, prev_t = boundary.get(TaskContext.get().partitionId(), (None, None))
         sess = None
-        for pdf in batches:
-            ks = pdf[key].to_numpy()
-            ts = pdf["__t"].to_numpy()
-            out = [None] * len(pdf)
-            for i in range(len(pdf)):
-                k, t = ks[i], int(ts[i])
-                if prev_t is not None and k == prev_k:
-                    if t - prev_t >= window_us:
-                        sess = t
-                else:
+        for batch in batches:
+            out = []
+            for k, t in zip(*_columns(batch, key, "__t")):
+                if prev_t is None or k != prev_k:
                     sess = t          # first request of this key overall
-                out[i] = sess
+                elif t - prev_t >= window_us:
+                    sess = t
+                out.append(sess)
                 prev_k, prev_t = k, t
-            pdf["__sl"] = pd.array(out, dtype="Int64")
-            yield pdf
+            yield _with_column(batch, "__sl", out, pa.int64())
     return run
 
 
@@ -118,7 +120,7 @@ def _sessions(r: DataFrame, key: str, id_col: str, window_us: int, n: int) -> Da
             boundary[e["p"]] = (last["k"], last["t"])
         last = e["l"]
     schema = StructType(r.schema.fields + [StructField("__sl", LongType(), True)])
-    p1 = materialize(r.mapInPandas(_session_starts(boundary, key, window_us), schema))
+    p1 = materialize(r.mapInArrow(_session_starts(boundary, key, window_us), schema))
     starts = {x["p"]: x["m"] for x in bounded_rows(
         p1.where(F.col("__sl").isNotNull()).groupBy(pid.alias("p"))
           .agg(F.max(F.struct(F.col(key).alias("k"), F.col("__sl").alias("s"))).alias("m")),
@@ -151,7 +153,7 @@ def rate_limit(reqs: DataFrame, key: str, ts: str, id_col: str, max_n: int = 10,
     r = _sessions(reqs.withColumn("__t", epoch_micros(reqs, ts)), key, id_col, window_us, n)
     r = r.repartition(n, key, "__sess").sortWithinPartitions(key, "__sess", "__t", id_col)
     schema = StructType(r.schema.fields + [StructField("admitted", BooleanType(), False)])
-    return r.mapInPandas(_fold_partition(key, max_n, window_us), schema).drop("__t", "__sess")
+    return r.mapInArrow(_fold_partition(key, max_n, window_us), schema).drop("__t", "__sess")
 
 
 def cache_hits(reqs: DataFrame, session: str, cache_key, ts: str, id_col: str, flag) -> DataFrame:

@@ -1,8 +1,8 @@
 """Context blocks, web-result normalisation and prompt assembly (ids F4-F10).
 
 All folds are per query over at most k rows (groups bounded by k), so they are cheap
-aggregations; the only join against the corpus is hits -> documents for the snippets, with
-the hits (k per query, size-checked) as the broadcast side.
+aggregations; the only join against the corpus is hits -> documents for the snippets. The
+hits are stored first, so that retrieval runs once and Spark knows their size.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ SYSTEM_PROMPT_V1 = ("You are a factual, objective, and politically neutral assis
                     "Do not provide opinions or perform sentiment analysis.")
 SNIPPET_CHARS = 800
 WEB_SOURCE_PREFIX = "web: "
-MAX_PUSHED_IDS = 50_000
 
 
 def _fold(df: DataFrame, group: str, order: str, item: Column, sep: str, out: str,
@@ -44,18 +43,9 @@ def context_block(hits: DataFrame, docs: DataFrame, key: str, text: str, n: int
     ``hits`` = (query_id, rank, doc_id); a source's name is ``name`` (default: the key as text);
     each block is ``"[name]\\n" + first n chars``, blocks joined by a blank line in rank order."""
     nm = name if name is not None else F.col(key).cast("string")
-    h = hits.select("query_id", "rank", "doc_id")
-    # hits are k per question: after a size check they are brought over once (so the
-    # retrieval runs once) and their ids go into the scan as an IN filter, which parquet
-    # uses to skip row groups (min/max and dictionary statistics)
-    rows = h.limit(MAX_PUSHED_IDS + 1).collect()
-    src = docs
-    if len(rows) <= MAX_PUSHED_IDS:
-        # proven small: broadcast the hits, push their ids into the scan
-        h = F.broadcast(docs.sparkSession.createDataFrame(rows, h.schema))
-        src = docs.where(F.col(key).isin(sorted({r["doc_id"] for r in rows})))
-    # (else no hint: the planner and AQE choose the join from the sizes they see)
-    d = src.select(F.col(key).alias("doc_id"), nm.alias("__name"), T.prefix(text, n).alias("__snip"))
+    from ..session import stored
+    h = stored(hits.select("query_id", "rank", "doc_id"), "hits")
+    d = docs.select(F.col(key).alias("doc_id"), nm.alias("__name"), T.prefix(text, n).alias("__snip"))
     j = d.join(h, "doc_id")
     block = F.concat(F.lit("["), F.col("__name"), F.lit("]\n"), F.col("__snip"))
     return _fold(j, "query_id", "rank", block, "\n\n", "context", F.col("__name"))

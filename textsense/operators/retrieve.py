@@ -1,15 +1,20 @@
 """TF-IDF index and cosine top-k retrieval (ids F1-F3, H5).
 
 * F1 ``build_index``: the whole document is one unit; uni+bigrams of the index tokens,
-  capped vocabulary, L2-normalised weights. An empty corpus gives no index.
-* F2 cosine similarity = dot product of the normalised vectors, via an inverted-index
-  equi-join on term. The query batch is the small side: its postings are broadcast after a
-  size check (else a shuffled join, with AQE splitting hot terms).
+  capped vocabulary, L2-normalised weights. The index is a stored table (one row per
+  document: its terms, their weights, its norm) that every retrieval reads; the corpus is
+  tokenised once.
+* F2 cosine similarity = dot product of the normalised vectors.
 * F3 top-k per query: similarity descending, ties by higher doc id. There is no similarity
-  floor: when fewer than k documents share a term with the query, zero-similarity
-  documents fill the list -- those with the highest ids, which are the ones a descending
-  sort of all similarities would return. Only k ids are needed for that, so they are
-  added as literal rows per query (no cross join), before the sum.
+  floor: when fewer than k documents share a term with the query, zero-similarity documents
+  fill the list -- those with the highest ids.
+
+Plan: all terms of a document are in one row, so a document is scored where it lies, against a
+block of the smaller side (``BLOCK`` rows at a time, as a dense matrix over the block's terms).
+With questions as the block, a task keeps the k best documents per question, and only those
+(k x questions x tasks rows) are shuffled for the final ranking. With a corpus smaller than
+the questions, the corpus is the block and each question's list is complete in its row. No row
+is made per (question, document) pair.
 
 Ranking compares similarities rounded to 9 decimals so float summation order can never
 flip the order of two equal scores.
@@ -19,83 +24,162 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pyspark import StorageLevel
-
 from ..functions.text import explode_structs
-from ..session import bounded_rows
+from ..session import stored
 from .vocab import Vocabulary, build_vocab, doc_terms, postings, tfidf
 
-MAX_BROADCAST_QUERY_POSTINGS = 2_000_000
+BLOCK = 1024
 RANK_DECIMALS = 9
 
 
 @dataclass
 class Index:
     vocab: Vocabulary
-    weighted: DataFrame       # (doc key, terms array<struct<term, tf, w>>, norm)
+    weighted: DataFrame       # (doc key, terms array<struct<term, tf, w>>, norm), stored
     key: str
     n_docs: int
     ngram: tuple = (1, 2)
-    held: DataFrame | None = None
 
     def postings(self) -> DataFrame:
         return postings(self.weighted, self.key)
 
-    def release(self) -> None:
-        """Drop persisted term arrays (``build_index(..., persist=True)``)."""
-        if self.held is not None:
-            self.held.unpersist()
-            self.held = None
+    def save(self, path: str) -> None:
+        """Write the index as two tables, ``<path>/vocab`` and ``<path>/documents``."""
+        self.vocab.df.withColumn("n_docs", F.lit(self.n_docs)).write.mode("overwrite").parquet(f"{path}/vocab")
+        self.weighted.write.mode("overwrite").parquet(f"{path}/documents")
+
+    @staticmethod
+    def load(spark, path: str, ngram=(1, 2)) -> Index:
+        weighted = spark.read.parquet(f"{path}/documents")
+        n_docs = weighted.count()
+        vocab = Vocabulary(spark.read.parquet(f"{path}/vocab"), n_docs)
+        return Index(vocab, weighted, weighted.columns[0], n_docs, tuple(ngram))
 
 
 def build_index(docs: DataFrame, key: str, text: str, max_terms: int | None = 5000,
-                ngram=(1, 2), tokens=None, persist: bool = False) -> Index | None:
-    """F1. Returns None for an empty corpus.
-
-    By default the text is tokenised twice (once for the vocabulary aggregation, once when
-    the weights are used) and nothing is held. With ``persist=True`` the per-document term
-    arrays are kept (memory, then local disk; a lost block is recomputed from the scan) and
-    every later use reads them -- worth it when one index serves many retrievals; call
-    ``Index.release()`` when done."""
-    counts = doc_terms(docs, key, text, ngram, tokens)
-    if persist:
-        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
-        n_docs = counts.count()
-    else:
-        n_docs = docs.count()
-    if n_docs == 0:
-        if persist:
-            counts.unpersist()
-        return None
+                ngram=(1, 2), tokens=None) -> Index:
+    """count each document's terms once (stored), fit the vocabulary on the counts, store
+    the weights. An empty corpus gives an index that finds nothing."""
+    counts = stored(doc_terms(docs, key, text, ngram, tokens), "index-counts")
+    n_docs = counts.count()
     vocab = Vocabulary(build_vocab(explode_structs(counts, [key], "counts"), n_docs, max_terms), n_docs)
-    return Index(vocab, vocab.with_weights(counts).drop("counts"), key, n_docs, tuple(ngram),
-                 counts if persist else None)
-
-
-def _pad_ids(docs_keys: DataFrame, key: str, k: int) -> list:
-    """The k highest document ids (a top-k, k rows to the driver)."""
-    return [r[0] for r in bounded_rows(docs_keys.select(key).orderBy(F.desc(key)).limit(k), k, "pad ids")]
-
-
-def retrieve(queries: DataFrame, qkey: str, qtext: str, index: Index, k: int = 3) -> DataFrame:
-    """F2 + F3: (query_id, rank, doc_id, sim) -- exactly min(k, n_docs) rows per query."""
+    weighted = stored(vocab.with_weights(counts).drop("counts"), "index")
+    return Index(vocab, weighted, key, n_docs, tuple(ngram))
+
+
+class _Block:
+    """Up to ``BLOCK`` weighted rows as a dense matrix: term -> row of the matrix, one column
+    per id, ids in descending order."""
+
+    def __init__(self, rows: list):
+        rows = sorted(rows, key=lambda r: r[0], reverse=True)
+        self.ids = [r[0] for r in rows]
+        self.at: dict = {}
+        for _, terms, _ in rows:
+            for t in terms:
+                self.at.setdefault(t["term"], len(self.at))
+        self.matrix = np.zeros((len(self.at) + 1, len(rows)))  # the last row: unknown terms
+        for j, (_, terms, norm) in enumerate(rows):
+            for t in terms:
+                self.matrix[self.at[t["term"]], j] = t["w"] / norm
+
+    def score(self, terms, norms) -> np.ndarray:
+        """Similarities of a batch of weighted rows, len(batch) x ids of the block."""
+        out = np.zeros((len(norms), len(self.ids)))
+        unknown = len(self.at)
+        words, w = terms.flatten().field("term").to_pylist(), terms.flatten().field("w").to_numpy(zero_copy_only=False)
+        offs = np.asarray(terms.offsets)
+        offs = offs - offs[0]
+        code = np.fromiter((self.at.get(t, unknown) for t in words), dtype=np.int64, count=len(words))
+        for i in range(len(norms)):
+            c = code[offs[i]:offs[i + 1]]
+            hit = c != unknown
+            if hit.any():
+                out[i] = (w[offs[i]:offs[i + 1]][hit] / norms[i]) @ self.matrix[c[hit]]
+        return out
+
+
+def _blocks(weighted: DataFrame, key: str, size: int):
+    """The rows in blocks of ``size``; the driver holds one block at a time."""
+    held = []
+    for r in weighted.select(key, "terms", "norm").toLocalIterator():
+        held.append((r[0], r[1], r[2]))
+        if len(held) == size:
+            yield _Block(held)
+            held = []
+    if held:
+        yield _Block(held)
+
+
+def _best_first(sim: np.ndarray, k: int) -> np.ndarray:
+    """Per row the positions of the k highest, ties by position."""
+    return np.argsort(-np.round(sim, RANK_DECIMALS), axis=1, kind="stable")[:, :k]
+
+
+def _documents_against(block: _Block, k: int, out_schema):
+    """Stream documents past a block of questions; each task ends with its k best per question."""
+    def run(batches):
+        import pyarrow as pa
+        ids: list = []
+        sims = np.zeros((len(block.ids), 0))
+        for batch in batches:
+            new_ids = batch.column(0).to_pylist()
+            order = sorted(range(len(new_ids)), key=lambda i: new_ids[i], reverse=True)
+            s = block.score(batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)).T[:, order]
+            # the k best of this batch per question, then with those held so far
+            best = _best_first(s, k)
+            cand = [[(sims[q, j], ids[q][j]) for j in range(sims.shape[1])] if ids else [] for q in range(len(block.ids))]
+            for q in range(len(block.ids)):
+                cand[q] += [(s[q, j], new_ids[order[j]]) for j in best[q]]
+                cand[q].sort(key=lambda x: x[1], reverse=True)
+                cand[q].sort(key=lambda x: -round(x[0], RANK_DECIMALS))
+                cand[q] = cand[q][:k]
+            ids = [[d for _, d in c] for c in cand]
+            sims = np.array([[x for x, _ in c] for c in cand])
+        if ids:
+            flat = [(q, d, float(x)) for q, row, xs in zip(block.ids, ids, sims) for d, x in zip(row, xs)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], out_schema[c][1]) for c in range(3)],
+                                             names=[n for n, _ in out_schema])
+    return run
+
+
+def _questions_against(block: _Block, k: int, out_schema):
+    """Stream questions past a block of documents; a question's k best are complete in its row."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            s = block.score(batch.column(1), batch.column(2).to_numpy(zero_copy_only=False))
+            best = _best_first(s, k)
+            flat = [(q, block.ids[j], float(s[i, j])) for i, q in enumerate(batch.column(0).to_pylist()) for j in best[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], out_schema[c][1]) for c in range(3)],
+                                             names=[n for n, _ in out_schema])
+    return run
+
+
+def retrieve(queries: DataFrame, qkey: str, qtext: str, index: Index, k: int = 3, block: int = BLOCK) -> DataFrame:
+    """F2 + F3: (query_id, rank, doc_id, sim) -- exactly min(k, n_docs) rows per query. Keys
+    must not be null."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
     if not 1 <= k:
         raise ValueError("k must be positive")
     key = index.key
-    q = postings(tfidf(queries, qkey, qtext, index.vocab, index.ngram), qkey).select(
-        F.col(qkey).alias("query_id"), "term", F.col("weight").alias("wq"))
-    n_q = q.limit(MAX_BROADCAST_QUERY_POSTINGS + 1).count()
-    if n_q <= MAX_BROADCAST_QUERY_POSTINGS:
-        q = F.broadcast(q)
-    d = index.postings().select(F.col(key).alias("doc_id"), "term", F.col("weight").alias("wd"))
-    prods = d.join(q, "term").select("query_id", "doc_id", (F.col("wq") * F.col("wd")).alias("p"))
-    pads = _pad_ids(index.weighted, key, k)
-    pad_rows = queries.select(F.col(qkey).alias("query_id"),
-                              F.explode(F.array(*[F.lit(x) for x in pads])).alias("doc_id"),
-                              F.lit(0.0).alias("p"))
-    sims = prods.unionByName(pad_rows).groupBy("query_id", "doc_id").agg(F.sum("p").alias("sim"))
+    spark = queries.sparkSession
+    weights = stored(tfidf(queries, qkey, qtext, index.vocab, index.ngram), "question-weights")
+    q_type, d_type = weights.schema[qkey].dataType, index.weighted.schema[key].dataType
+    ddl = f"query_id {q_type.simpleString()}, doc_id {d_type.simpleString()}, sim double"
+    arrow = [("query_id", to_arrow_type(q_type)), ("doc_id", to_arrow_type(d_type)), ("sim", pa.float64())]
+    docs_first = weights.count() <= index.n_docs
+    blocked, streamed = (weights, index.weighted) if docs_first else (index.weighted, weights)
+    b_key, s_key = (qkey, key) if docs_first else (key, qkey)
+    work = _documents_against if docs_first else _questions_against
+    hits = spark.createDataFrame([], ddl)
+    for part in _blocks(blocked, b_key, block):
+        found = streamed.select(s_key, "terms", "norm").mapInArrow(work(part, k, arrow), ddl)
+        hits = hits.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", RANK_DECIMALS)), F.desc("doc_id"))
-    return (sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "doc_id", "sim"))

@@ -25,21 +25,6 @@ def sentiment_summary(scored: DataFrame, label: str = "sentiment", score: str =
             .orderBy(F.desc("n_rows"), label))
 
 
-def rows_analysed(df: DataFrame) -> DataFrame:
-    """H1."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-def mean_score(df: DataFrame, score: str) -> DataFrame:
-    """H2."""
-    return df.agg(F.coalesce(T.round3(F.avg(score), is_average=True), F.lit(0.0)).alias("mean_score"))
-
-
-def label_distribution(df: DataFrame, label: str) -> DataFrame:
-    """Counts per label, largest first (ties by label)."""
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label)
-
-
 def list_sorted(df: DataFrame, name: str) -> DataFrame:
     """H8: listing sorted by name."""
     return df.orderBy(name)

@@ -13,9 +13,10 @@ Semantics (the defaults of the TF-IDF vectoriser the reference calls):
 Physical plan: a document's terms are counted in place (sort the term array, measure the
 runs), so (doc, term, tf) rows come out of a narrow explode with no shuffle. The
 vocabulary is one aggregation over those rows (partial aggregation map-side, then a
-shuffle of per-partition partial counts) and a top-k. The capped vocabulary is size-checked
-and embedded as a constant lookup, so weights and norms are again computed per document
-with no join and no shuffle.
+shuffle of per-partition partial counts) and a top-k. A vocabulary of at most
+``MAX_LITERAL_ROWS`` terms (any capped one) is embedded as a constant lookup, so weights and
+norms are again computed per document with no join and no shuffle; a larger, uncapped one is
+a stored table that the documents' terms are joined with. Both give the same weights.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions.lookup import LookupTable
-from ..session import MAX_LITERAL_ROWS, bounded_rows
+from ..session import MAX_LITERAL_ROWS, few_rows, stored
 
 
 def with_term_counts(df: DataFrame, terms: str, out: str = "counts") -> DataFrame:
@@ -64,13 +65,18 @@ def build_vocab(counts: DataFrame, n_docs: int, max_terms: int | None = 5000) ->
 
 
 class Vocabulary:
-    """A fitted vocabulary: terms, idf, and a constant lookup term -> (term_id, idf)."""
+    """A fitted vocabulary: terms, idf, and a lookup term -> (term_id, idf) if it is small
+    (term_id is null in a larger one)."""
 
-    def __init__(self, vocab: DataFrame, n_docs: int, max_rows: int = MAX_LITERAL_ROWS):
+    def __init__(self, vocab: DataFrame, n_docs: int, max_rows: int | None = None):
         self.n_docs = n_docs
-        # the capped vocabulary is small: bring it over once (size-checked), number the
-        # terms in term order (the vectoriser's feature order) and keep it as a local table
-        rows = bounded_rows(vocab.select("term", "total_tf", "df", "idf"), max_rows, "vocabulary")
+        vocab = stored(vocab.select("term", "total_tf", "df", "idf"), "vocabulary")
+        rows = few_rows(vocab, MAX_LITERAL_ROWS if max_rows is None else max_rows)
+        if rows is None:
+            self.df = vocab.select("term", F.lit(None).cast("int").alias("term_id"), "total_tf", "df", "idf")
+            self.table, self.size = None, vocab.count()
+            return
+        # small: number the terms in term order (the vectoriser's feature order)
         rows = sorted(rows, key=lambda r: r["term"].encode("utf-8"))
         spark = vocab.sparkSession
         self.df = spark.createDataFrame(
@@ -94,10 +100,24 @@ class Vocabulary:
 
         (Dividing inside the array would reference ``norm`` once, inside a lambda, and
         Catalyst would inline its whole aggregate into every element.)"""
-        df = df.withColumn(out, self.weights(counts))
+        if self.table is None:
+            df = self._joined(df, counts, out)
+        else:
+            df = df.withColumn(out, self.weights(counts))
         return df.withColumn("norm", F.sqrt(F.aggregate(out, F.lit(0.0), lambda a, c: a + c["w"] * c["w"])))
 
 
+    def _joined(self, df: DataFrame, counts: str, out: str) -> DataFrame:
+        """The weights of a large vocabulary: a document's distinct terms are joined with it
+        and gathered back, in term order."""
+        base = stored(df.withColumn("__uid", F.monotonically_increasing_id()), "term-counts")
+        rows = T.explode_structs(base, ["__uid"], counts).join(self.df.select("term", "idf"), "term")
+        found = rows.groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct(
+            "term", "tf", (F.col("tf") * F.col("idf")).alias("w")))).alias(out))
+        empty = F.array().cast("array<struct<term:string,tf:bigint,w:double>>")
+        return base.join(found, "__uid", "left").withColumn(out, F.coalesce(out, empty)).drop("__uid")
+
+
 def fit_vocabulary(docs: DataFrame, key: str, text: str, max_terms: int | None = 5000, ngram=(1, 2),
                    tokens=None) -> Vocabulary:
     """E1-E3 over a corpus; one aggregation job plus a document count."""

@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..operators import chatlog as C
 from ..operators import lexicon as L
 from ..operators import limits as LIM
+from ..session import shared_path, stored
+from ..sources import files as IO
 from .common import table
 from .fixtures import lexicon_df
 from .sqlparts import display_label_sql, lexicon_polarity_sql, sign_label_sql
@@ -168,7 +170,8 @@ def _requests_sql() -> str:
     from .retrieval_queries import MAX_TERMS, TOP_K
     from .sqlparts import tfidf_ctes, topk_ctes, strip_ws_sql
     req = f"""req AS (SELECT e.event_id, e.user_id, e.ts, e.event_type, b.item_id, b.text AS query
-  FROM events e JOIN benchmark b ON b.item_id = CAST(json_extract(e.props, '$.k') AS BIGINT)
+  FROM events e JOIN benchmark b
+    ON b.item_id = CAST(json_extract(e.props, '$.k') AS BIGINT) % (SELECT count(*) FROM benchmark)
   WHERE length({strip_ws_sql('b.text')}) > 0)"""
     return f"""WITH {req},
 {_limit_sql('req', LIMIT_N, LIMIT_WINDOW_S)},
@@ -181,27 +184,33 @@ hits0 AS (SELECT a.*, coalesce(event_type <> 'error' AND max(CASE WHEN event_typ
 {topk_ctes('c_', 'documents', 'doc_id', 'benchmark', 'item_id', TOP_K)},
 src AS (SELECT query_id, CAST(to_json(list(CAST(doc_id AS VARCHAR) ORDER BY rank)) AS VARCHAR) AS sources
          FROM c_hits GROUP BY query_id)
-SELECT h.event_id, h.user_id, {display_label_sql(sign_label_sql('pol.polarity'))} AS sentiment,
-       pol.polarity AS score, h.hit, src.sources
-FROM hits0 h JOIN pol ON pol.item_id = h.item_id JOIN src ON src.query_id = h.item_id"""
+SELECT e.event_id, e.user_id,
+       CASE WHEN h.event_id IS NOT NULL THEN 'answered' WHEN r.event_id IS NOT NULL THEN 'rate_limited' ELSE 'blank' END AS status,
+       CASE WHEN h.event_id IS NOT NULL THEN {display_label_sql(sign_label_sql('pol.polarity'))} END AS sentiment,
+       CASE WHEN h.event_id IS NOT NULL THEN pol.polarity END AS score, h.hit,
+       CASE WHEN h.event_id IS NOT NULL THEN src.sources END AS sources
+FROM events e LEFT JOIN req r ON r.event_id = e.event_id LEFT JOIN hits0 h ON h.event_id = e.event_id
+     LEFT JOIN pol ON pol.item_id = h.item_id LEFT JOIN src ON src.query_id = h.item_id"""
 
 
 @register("request_flow", _requests_sql())
 def request_flow(spark, sf):
-    """G6 on the request stream: an event asks the benchmark question named by its props
-    (``{"k": n}``; no such question = blank input, dropped); 2 requests per user per
-    86,400 s; cache flag on unless the event is an error; top-3 documents as sources."""
+    """G6 on the request stream: every event asks the benchmark question that its props number
+    (``{"k": n}``, modulo the number of questions); 2 requests per user per 86,400 s; cache flag
+    on unless the event is an error; top-3 documents as sources. The answered rows are appended
+    to a chat log (A6) whose size the tests check."""
     from ..operators import requests as RQ
     from ..operators import retrieve as R
     from .retrieval_queries import MAX_TERMS, TOP_K
+    b = table(spark, sf, "benchmark", spread_rows=False).select("item_id", "text")
+    n = b.count()
     e = table(spark, sf, "events", spread_rows=False)
-    b = table(spark, sf, "benchmark", spread_rows=False)
-    reqs = e.join(b.select(F.col("item_id"), F.col("text").alias("query")),
-                  F.get_json_object("props", "$.k").cast("long") == F.col("item_id"), "left")
+    k = F.get_json_object("props", "$.k").cast("long")
+    reqs = e.select("event_id", "user_id", "ts", "event_type", (k % n).alias("item_id"))
     d = table(spark, sf, "documents")
     index = R.build_index(d, "doc_id", "text", MAX_TERMS)
-    answered, _ = RQ.run_requests(reqs, "user_id", "ts", "event_id", "query", index, d, "doc_id", "text",
+    flow = stored(RQ.run_requests(reqs, "user_id", "ts", "event_id", "item_id", b, "item_id", "text", index, d, "doc_id", "text",
                                   lexicon_df(spark), LIMIT_N, LIMIT_WINDOW_S, True, TOP_K, False, 3,
-                                  F.col("event_type") != "error")
-    return answered.select("event_id", "user_id", "sentiment", "score", "hit",
-                           F.to_json("sources").alias("sources"))
+                                  F.col("event_type") != "error"), "flow")
+    IO.append_turns(RQ.log_turns(flow, b, "item_id", "text", reqs, "item_id", "event_id", "ts"), shared_path(spark, "chatlog"))
+    return flow.select("event_id", "user_id", "status", "sentiment", "score", "hit", F.to_json("sources").alias("sources"))

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from ..session import read_table, spread
 
-KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "events": "user_id",
-        "labels": "doc_id", "benchmark": "item_id"}
-
 
 def table(spark, sf, name, spread_rows: bool = True):
-    """Scan a driver table; CPU-heavy tables are spread over all task slots by their key when
-    the file gives fewer splits than slots (a no-op at scale)."""
+    """Scan a driver table. ``spread_rows``: tables with costly row work follow the session's
+    setting for dealing scans (``session.SCAN_PARTITIONS``; by default a scan keeps its splits)."""
     df = read_table(spark, sf, name)
-    return spread(df, KEYS.get(name)) if spread_rows else df
+    return spread(df) if spread_rows else df

@@ -11,7 +11,7 @@ from ..operators import evaluate as EV
 from ..operators import filters as FI
 from ..operators import lexicon as L
 from ..operators import stem as S
-from ..session import shared_path
+from ..session import shared_path, stored
 from .common import table
 from .fixtures import lexicon_df
 from .sqlparts import clean_text_sql, index_tokens_sql, lexicon_polarity_sql, sign_label_sql, strip_ws_sql
@@ -56,16 +56,20 @@ _SPLIT_SQL = f"""split AS (SELECT doc_id, quality,
   FROM labels l JOIN documents d USING (doc_id))"""
 
 
+def _split(rows, label):
+    """(doc_id, label, split), stored: only keys and classes go through the split's windows."""
+    return stored(EV.stratified_split(rows.select("doc_id", label), "doc_id", label, TEST, SEED), "split")
+
+
 @register("split_rows", f"WITH {_SPLIT_SQL} SELECT doc_id, quality, split FROM split")
 def split_rows(spark, sf):
-    s = EV.stratified_split(_labelled(spark, sf), "doc_id", "quality", TEST, SEED)
-    return s.select("doc_id", "quality", "split")
+    return _split(_labelled(spark, sf), "quality").select("doc_id", "quality", "split")
 
 
 @register("split_counts", f"""WITH {_SPLIT_SQL}
 SELECT quality, split, CAST(count(*) AS BIGINT) AS n FROM split GROUP BY quality, split""")
 def split_counts(spark, sf):
-    s = EV.stratified_split(_labelled(spark, sf), "doc_id", "quality", TEST, SEED)
+    s = _split(_labelled(spark, sf), "quality")
     return s.groupBy("quality", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -149,9 +153,11 @@ UNION ALL SELECT 'predicted', p, CAST(count(*) AS BIGINT) FROM ev GROUP BY p""")
 def label_distribution(spark, sf):
     """E12 + E15: counts per class of the truth and of the predictions."""
     e = _evaluated(spark, sf)
-    t = EV.label_counts(e, "y").select(F.lit("true").alias("kind"), F.col("y").alias("label"), "n")
-    p = EV.label_counts(e, "p").select(F.lit("predicted").alias("kind"), F.col("p").alias("label"), "n")
-    return t.unionByName(p)
+    sides = F.array(F.struct(F.lit("true").alias("kind"), F.col("y").alias("label")),
+                    F.struct(F.lit("predicted").alias("kind"), F.col("p").alias("label")))
+    # one pass over the scored rows; the result has a row per kind and class
+    return (e.select(F.explode(sides).alias("s")).groupBy(F.col("s.kind").alias("kind"), F.col("s.label").alias("label"))
+            .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("kind"), F.desc("n"), "label"))
 
 
 @register("step_counts", f"""WITH {_SPLIT_SQL},
@@ -166,22 +172,20 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM loaded) AS loaded,
        (SELECT CAST(count(*) AS BIGINT) FROM kept) AS cleaned,
        (SELECT CAST(count(*) AS BIGINT) FROM ksplit WHERE split = 'train') AS train,
        (SELECT CAST(count(*) AS BIGINT) FROM ksplit WHERE split = 'test') AS test,
-       (SELECT CAST(least(v, 5000) AS BIGINT) FROM voc) AS vocabulary""")
+       (SELECT CAST(v AS BIGINT) FROM voc) AS vocabulary""")
 def step_counts(spark, sf):
     """E14 (with B2): rows loaded, left after cleaning (no stemming here, so SQL can check it),
-    train and test sizes, vocabulary size of the training side (capped at 5000)."""
-    from pyspark import StorageLevel
+    train and test sizes, distinct tokens of the training side (before any cap)."""
     lab = _labelled(spark, sf)
     cleaned = FI.drop_empty_clean(lab.withColumn("c", T.clean_text("text")), "c", "quality")
-    cleaned = cleaned.select("doc_id", "quality", "c")
-    # four counts read the cleaned, split rows: compute them once
-    split = EV.stratified_split(cleaned, "doc_id", "quality", TEST, SEED).persist(StorageLevel.MEMORY_AND_DISK)
+    # the counts read the cleaned rows several times: clean once
+    cleaned = stored(cleaned.select("doc_id", "quality", "c"), "cleaned")
+    split = _split(cleaned, "quality")
     train = split.where(F.col("split") == "train")
-    vocab = (train.select(F.explode_outer(T.index_tokens("c")).alias("t")).where(F.col("t").isNotNull())
-             .distinct())
-    counts = EV.step_counts(loaded=lab, cleaned=split, train=train,
-                            test=split.where(F.col("split") == "test"), vocabulary=vocab)
-    return counts.withColumn("vocabulary", F.least(F.col("vocabulary"), F.lit(5000)).cast("long"))
+    vocab = (train.join(cleaned, "doc_id").select(F.explode_outer(T.index_tokens("c")).alias("t"))
+             .where(F.col("t").isNotNull()).distinct())
+    return EV.step_counts(loaded=lab, cleaned=split, train=train,
+                          test=split.where(F.col("split") == "test"), vocabulary=vocab)
 
 
 # --- labelling ------------------------------------------------------------------------------
@@ -189,8 +193,9 @@ def step_counts(spark, sf):
 @register("label_resume", f"""WITH pol AS {lexicon_polarity_sql(
     '(SELECT doc_id, substring(text, 1, 512) AS snippet FROM documents d '
     'WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id))', 'doc_id', 'snippet')}
-SELECT l.doc_id, {_LABEL_SQL} AS sentiment FROM labels l
-UNION ALL SELECT doc_id, CASE WHEN polarity > 0 THEN 'positive' ELSE 'negative' END FROM pol""")
+SELECT l.doc_id, d.text, d.lang, d.source, d.n_chars, {_LABEL_SQL} AS sentiment FROM labels l LEFT JOIN documents d USING (doc_id)
+UNION ALL SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CASE WHEN polarity > 0 THEN 'positive' ELSE 'negative' END
+FROM pol JOIN documents d USING (doc_id)""")
 def label_resume(spark, sf):
     """D7 + D8 + H7: ``labels`` is the work already done; every other document is labelled
     by the default (lexicon) scorer on its first 512 characters and appended."""
@@ -199,51 +204,104 @@ def label_resume(spark, sf):
     return CL.label_remaining(d, done, "doc_id", "text", CL.lexicon_scorer(lexicon_df(spark)))
 
 
-# --- trained classifier (rows-only checks) -----------------------------------------------------
+@register("label_batch", """
+SELECT doc_id, CASE WHEN length(substring(text, 1, 512)) % 2 = 0 THEN 'positive' ELSE 'negative' END AS sentiment FROM documents""")
+def label_batch(spark, sf):
+    """U1 + D7: a batch callable as the scorer (here: the parity of the snippet's length), in
+    Arrow batches."""
+    scorer = CL.pandas_scorer(lambda s: s.str.len().mod(2).map({0: "POSITIVE", 1: "other"}))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return CL.label_with(d, "text", scorer).select("doc_id", "sentiment")
+
+
+# --- trained classifier ------------------------------------------------------------------------
+# SQL cannot train: its side gives the rows, classes and the guard, ours adds whether each
+# prediction is a class with a confidence that two classes allow. ``model_report`` has the figures.
+
+_KEPT_SQL = f"""loaded AS (SELECT d.doc_id, d.text, {_LABEL_SQL} AS label FROM documents d JOIN labels l USING (doc_id)),
+kept AS (SELECT doc_id, label FROM (SELECT doc_id, label, {clean_text_sql('text')} AS c FROM loaded)
+         WHERE {strip_ws_sql('c')} <> '' AND label IS NOT NULL),
+ksplit AS (SELECT doc_id, label,
+    CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{SEED}'), doc_id)
+              <= round(count(*) OVER (PARTITION BY label) * {TEST}) THEN 'test' ELSE 'train' END AS split FROM kept)"""
+
 
-_MODELS: dict = {}
+def _kept(spark, sf):
+    """Labelled documents whose cleaned text is not empty (B2, before the split)."""
+    lab = _labelled(spark, sf).select("doc_id", "text", "label")
+    return FI.drop_empty_clean(lab.withColumn("c", T.clean_text("text")), "c", "label").drop("c")
 
 
 def _model(spark, sf):
-    """Train once per session and scale factor on the train split of the labelled documents."""
-    key = (id(spark), sf)
-    if key not in _MODELS:
-        lab = _labelled(spark, sf)
-        split = EV.stratified_split(lab, "doc_id", "label", TEST, SEED)
-        model = CL.train_classifier(split.where(F.col("split") == "train"), "text", "label")
-        _MODELS[key] = (model, split)
-    return _MODELS[key]
+    """The model trained on the train side, the kept rows and their split."""
+    kept = stored(_kept(spark, sf), "labelled")
+    split = _split(kept, "label").select("doc_id", "split")
+    rows = kept.join(split, "doc_id")
+    return CL.train_classifier(rows.where(F.col("split") == "train"), "text", "label"), rows
 
 
-@register("train_predict")
+def _sound(label, confidence):
+    return F.col(label).isin("positive", "negative") & F.col(confidence).between(0.5, 1.0)
+
+
+@register("train_predict", f"WITH {_KEPT_SQL} SELECT doc_id, label, TRUE AS sound FROM ksplit WHERE split = 'test'")
 def train_predict(spark, sf):
-    """E7 + E8 + E13: predictions and confidence on the held-out rows."""
-    model, split = _model(spark, sf)
-    test = split.where(F.col("split") == "test").select("doc_id", "text", "label")
-    out = CL.predict(model, test)
-    return out.select("doc_id", "label", F.col("prediction_label").alias("prediction"),
-                      F.round("confidence", 3).alias("confidence"))
+    """E7 + E8: every held-out row is predicted; ``sound``: a class, with a possible confidence."""
+    model, rows = _model(spark, sf)
+    out = CL.predict(model, rows.where(F.col("split") == "test").select("doc_id", "text", "label"))
+    return out.select("doc_id", "label", _sound("prediction_label", "confidence").alias("sound"))
 
 
-@register("sample_predictions")
+@register("sample_predictions", f"""WITH {_KEPT_SQL}
+SELECT doc_id, label, TRUE AS sound, TRUE AS shown FROM kept
+ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{SEED}'), doc_id LIMIT 1000""")
 def sample_predictions(spark, sf):
     """E13 + B7: the seeded sample of min(1000, N) labelled rows with ``Model_Prediction`` and
-    the older app's display line."""
-    model, _ = _model(spark, sf)
-    sample = FI.sample_n(_labelled(spark, sf).select("doc_id", "text", "label"), "doc_id", 1000, SEED)
-    out = CL.predict(model, sample)
-    return out.select("doc_id", "label", F.col("prediction_label").alias("Model_Prediction"),
-                      T.display_prediction_v1("prediction_label", "confidence").alias("display"))
-
-
-@register("scored_by_model")
+    the older app's display line (``shown``: it names the predicted class)."""
+    model, rows = _model(spark, sf)
+    out = CL.predict(model, FI.sample_n(rows.select("doc_id", "text", "label"), "doc_id", 1000, SEED))
+    line = T.display_prediction_v1("prediction_label", "confidence")
+    return out.select("doc_id", "label", _sound("prediction_label", "confidence").alias("sound"),
+                      F.contains(F.lower(line), F.col("prediction_label")).alias("shown"))
+
+
+@register("model_report")
+def model_report(spark, sf):
+    """E9-E12 for the trained model: on the held-out rows and on the seeded 500-row sample of all
+    labelled rows (which holds training rows, as the older app's does): the class report, the
+    confusion counts as rows ``true>predicted``, and the share of the largest class."""
+    model, rows = _model(spark, sf)
+    test = rows.where(F.col("split") == "test").select("doc_id", "text", "label")
+    sample = FI.sample_n(rows.select("doc_id", "text", "label"), "doc_id", SAMPLE_N, SEED)
+    out = None
+    for name, part in (("held_out", test), ("sample", sample)):
+        scored = stored(CL.predict(model, part).select("label", F.col("prediction_label").alias("p")), "predicted")
+        report = EV.class_report(scored, "label", "p")
+        empty = F.lit(None).cast("double")
+        cells = EV.confusion(scored, "label", "p").select(
+            F.concat("true", F.lit(">"), "pred").alias("row_name"), empty.alias("precision"), empty.alias("recall"),
+            empty.alias("f1"), F.col("n").alias("support"))
+        largest = scored.groupBy("label").count().agg(F.max("count").alias("m"), F.sum("count").alias("n")).select(
+            F.lit("majority class").alias("row_name"), empty.alias("precision"), empty.alias("recall"),
+            (F.col("m") / F.col("n")).alias("f1"), F.col("n").alias("support"))
+        one = report.unionByName(cells).unionByName(largest).select(F.lit(name).alias("rows"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("scored_by_model", f"""
+SELECT doc_id, text, lang, source, n_chars, {strip_ws_sql(clean_text_sql('text'))} = '' AS guarded, TRUE AS sound FROM documents""")
 def scored_by_model(spark, sf):
-    """D4 + D5 + D6 with the model engine: every document, all columns, Sentiment + Confidence."""
+    """D4 + D5 + D6 with the model engine: every document, all columns; ``guarded``: text that
+    is empty after cleaning got neutral and 0."""
     model, _ = _model(spark, sf)
-    return L.bulk_score(table(spark, sf, "documents"), "text", engine="model", model=model)
+    d = table(spark, sf, "documents")
+    out = L.bulk_score(d, "text", engine="model", model=model, display=False)
+    guarded = (F.col("Sentiment") == "neutral") & (F.col("Confidence") == 0)
+    return out.select(*d.columns, guarded.alias("guarded"), (guarded | _sound("Sentiment", "Confidence")).alias("sound"))
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", "SELECT doc_id, TRUE AS same FROM documents")
 def model_roundtrip(spark, sf):
     """Save to the shared folder, load back, same predictions on every document."""
     model, _ = _model(spark, sf)
@@ -251,9 +309,8 @@ def model_roundtrip(spark, sf):
     model.save(path)
     back = CL.TextModel.load(path, "text")
     d = table(spark, sf, "documents").select("doc_id", "text")
-    a = CL.predict(model, d).select("doc_id", F.col("prediction_label").alias("a"))
-    b = CL.predict(back, d).select("doc_id", F.col("prediction_label").alias("b"))
-    return a.join(b, "doc_id").select("doc_id", "a", "b", (F.col("a") == F.col("b")).alias("same"))
+    a = CL.predict(model, d).withColumnRenamed("prediction_label", "a").drop("confidence")
+    return CL.predict(back, a).select("doc_id", (F.col("a") == F.col("prediction_label")).alias("same"))
 
 
 @register("stem_vocab")

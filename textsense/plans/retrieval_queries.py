@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import filters as FI
 from ..operators import prompts as P
 from ..operators import retrieve as R
 from ..operators import vocab as V
+from ..operators.summary import list_sorted
 from .common import table
 from .sqlparts import q, strip_ws_sql, tfidf_ctes, topk_ctes
 
@@ -228,15 +230,16 @@ def prompts_simple(spark, sf):
 
 
 @register("kb_stats", f"""
-SELECT CAST(count(*) AS BIGINT) AS n_docs,
-       CAST(sum(CASE WHEN {strip_ws_sql('text')} <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_kept,
-       count(*) = 0 AS is_empty, CAST(min(doc_id) AS VARCHAR) AS first_name
-FROM documents""")
+SELECT CAST(count(*) AS BIGINT) AS n_docs, count(*) = 0 AS is_empty
+FROM documents WHERE {strip_ws_sql('text')} <> ''""")
 def kb_stats(spark, sf):
-    """F10 (+ the corpus form of A4): documents, non-blank documents, empty flag, first name
-    in sorted order."""
-    d = table(spark, sf, "documents", spread_rows=False)
-    return d.agg(F.count(F.lit(1)).alias("n_docs"),
-                 F.sum((T.strip_ws("text") != "").cast("long")).alias("n_kept"),
-                 (F.count(F.lit(1)) == 0).alias("is_empty"),
-                 F.min("doc_id").cast("string").alias("first_name"))
+    """F10 over the knowledge base as A4 loads it: blank documents do not count."""
+    return P.corpus_stats(FI.drop_blank(table(spark, sf, "documents", spread_rows=False), "text"))
+
+
+@register("kb_listing", f"""
+SELECT CAST(doc_id AS VARCHAR) AS name FROM documents WHERE {strip_ws_sql('text')} <> '' ORDER BY name""")
+def kb_listing(spark, sf):
+    """H8: the names of the knowledge base's documents, sorted."""
+    d = FI.drop_blank(table(spark, sf, "documents", spread_rows=False), "text")
+    return list_sorted(d.select(F.col("doc_id").cast("string").alias("name")), "name")

@@ -61,8 +61,8 @@ def stream_cache(spark, sf):
 
 @register("stream_log", CHAT_SQL["chat_recent"])
 def stream_log(spark, sf):
-    """Conversation messages stream in; each micro-batch is paired, scored and appended
-    to the log, then the newest-200 view is rewritten."""
+    """Conversation messages stream in; each micro-batch is paired with the messages still
+    open, scored and appended to the log, then the newest-200 view is written."""
     lex = lexicon_df(spark)
 
     def prepare(batch):
@@ -73,12 +73,12 @@ def stream_log(spark, sf):
                 .select("conv_id", "turn", "user_msg", "bot_msg", "sentiment", "score", "sources"))
 
     s = _stream_of(spark, sf, "conversations")
-    return ST.write_bounded_log(s, spark, ["conv_id", "turn"], KEEP, prepare, "stream-log")
+    return ST.write_bounded_log(s, spark, ["conv_id", "turn"], KEEP, prepare, "stream-log", C.open_turns)
 
 
 _WINDOW_SQL = f"""WITH pol AS {lexicon_polarity_sql('benchmark', 'item_id', 'text')},
 q AS (SELECT e.ts, {sign_label_sql('pol.polarity')} AS sentiment FROM events e
-      JOIN pol ON pol.item_id = CAST(json_extract(e.props, '$.k') AS BIGINT))
+      JOIN pol ON pol.item_id = CAST(json_extract(e.props, '$.k') AS BIGINT) % (SELECT count(*) FROM benchmark))
 SELECT CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS window_start, sentiment,
        CAST(count(*) AS BIGINT) AS n
 FROM q GROUP BY ALL"""
@@ -86,20 +86,21 @@ FROM q GROUP BY ALL"""
 
 @register("stream_window_counts", _WINDOW_SQL)
 def stream_window_counts(spark, sf):
-    """Requests (events whose props name a benchmark question) are scored with the
-    lexicon and counted per sentiment in 1-day event-time windows."""
+    """Requests (every event asks the benchmark question that its props number, modulo the
+    number of questions) are scored with the lexicon and counted per sentiment in 1-day
+    event-time windows."""
     bench = spark.read.parquet(f"{sf.rstrip('/')}/benchmark.parquet")
+    n_questions = bench.count()
     scored = L.lexicon_sentiment(bench, "item_id", "text", lexicon_df(spark)).select("item_id", "sentiment")
     # event time: the timestamp_ntz read as UTC wall clock and turned into an instant without
     # the session zone (watermarks need TIMESTAMP); windows on instants are epoch-aligned
     ev = _stream_of(spark, sf, "events")
     s = ev.select(F.timestamp_micros(epoch_micros(ev, "ts")).alias("ts"),
-                  F.get_json_object("props", "$.k").cast("long").alias("item_id"))
+                  (F.get_json_object("props", "$.k").cast("long") % n_questions).alias("item_id"))
     joined = s.join(scored, "item_id")
     counts = ST.stream_label_counts(joined, "ts", "sentiment", "1 day")
 
-    def overwrite(df, epoch, out):
-        df.write.mode("overwrite").parquet(out)
-
-    table = ST.run_to_table(counts, spark, "stream-window", mode="complete", foreach_batch=overwrite)
+    # update mode: the watermark bounds the state, a batch writes the windows it changed
+    updates = ST.run_to_table(counts, spark, "stream-window", mode="update", foreach_batch=ST.write_updates)
+    table = ST.latest_counts(updates, ["window_start", "window_end", "sentiment"], "n")
     return table.select(F.unix_seconds("window_start").alias("window_start"), "sentiment", "n")

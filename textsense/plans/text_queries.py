@@ -78,6 +78,15 @@ def prefix_cut(spark, sf):
                     F.length(T.prefix("text", 800)).cast("long").alias("len800"))
 
 
+@register("text_present", "SELECT doc_id, quality FROM labels LEFT JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL")
+def text_present(spark, sf):
+    """B1: labelled rows without a text (no such document, or a null one) are dropped."""
+    from ..operators.filters import drop_null_text
+    lab = table(spark, sf, "labels", spread_rows=False).select("doc_id", "quality")
+    d = table(spark, sf, "documents", spread_rows=False).select("doc_id", "text")
+    return drop_null_text(lab.join(d, "doc_id", "left"), "text").select("doc_id", "quality")
+
+
 @register("drop_empty_clean", f"""
 SELECT CAST(count(*) AS BIGINT) AS n_loaded,
        CAST(count(d.text) AS BIGINT) AS n_text,

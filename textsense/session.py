@@ -8,9 +8,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Limits for data that we bring to the driver to embed in a plan (a broadcast by hand).
-# Anything bigger must go through a join instead.
+# Rows of a table that we embed in a plan (a broadcast by hand). Operators that embed one
+# check it against this bound and join beyond it; the answer is the same.
 MAX_LITERAL_ROWS = 200_000
+# A caller's setting: into how many partitions the registered queries deal a scan (round
+# robin). Unset, as on a cluster, scans keep their splits; local runs over files of a single
+# row group set it.
+SCAN_PARTITIONS = "spark.textsense.scanPartitions"
 
 
 def get_spark(master: str | None = None, app: str = "textsense", shuffle_partitions: int | None = None,
@@ -43,8 +47,8 @@ def get_spark(master: str | None = None, app: str = "textsense", shuffle_partiti
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when it is unset (local tests)
-    do we create one of our own.
+    A cluster names it in ``spark.checkpoint.dir``; only when it is unset in a local session
+    (tests) do we create one of our own.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -52,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="textsense-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -72,22 +78,32 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows; use the join form instead")
+        raise ValueError(f"{what} has more than {limit} rows")
     return rows
 
 
+def few_rows(df: DataFrame, limit: int = MAX_LITERAL_ROWS) -> list | None:
+    """The rows of ``df`` if there are at most ``limit``, else None."""
+    rows = df.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread CPU-heavy row work over every core when the scan gives fewer splits than the
-    cluster has task slots (a single-row-group file is one split). At scale the scan already
-    yields many splits and this is a no-op, so no extra shuffle is added there."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, key) if key else df.repartition(slots)
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt round robin over as many partitions as the session's setting asks for, or
+    as it is if there is none."""
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and continue from there."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame) -> DataFrame:

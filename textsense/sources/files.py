@@ -21,11 +21,15 @@ class SourceError(ValueError):
 
 
 def read_csv_text(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", header: bool = True,
-                  infer_schema: bool = True, schema: str | None = None) -> DataFrame:
+                  infer_schema: bool = True, schema: str | None = None, multi_line: bool = True,
+                  null_value: str = "\\N") -> DataFrame:
     """A1: delimited text with a header, single-byte Latin-1 decode by default; quoted fields
-    may span lines. Any failure to read -> ``SourceError``."""
-    r = (spark.read.option("header", header).option("encoding", encoding).option("multiLine", True)
-         .option("escape", '"'))
+    may span lines (``multi_line=False`` says that none does: files can then be split). Blanks
+    at a field's ends are kept; a field with nothing is null (so is ``null_value``), ``""`` is the
+    empty text. Any failure to read -> ``SourceError``."""
+    r = (spark.read.option("header", header).option("encoding", encoding).option("multiLine", multi_line)
+         .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .option("nullValue", null_value).option("emptyValue", ""))
     r = r.schema(schema) if schema else r.option("inferSchema", infer_schema)
     try:
         df = r.csv(path)
@@ -44,33 +48,41 @@ def require_columns(df: DataFrame, cols) -> DataFrame:
 
 
 def write_scored(df: DataFrame, path: str, fmt: str = "csv", encoding: str = "UTF-8") -> None:
-    """A3: every column, header line, no index; overwrite. ``fmt='parquet'`` for tables
-    that stay inside Spark."""
+    """A3: every column, header line, no index; overwrite. A null is written as nothing, the
+    empty text as ``""``; blanks at the ends are kept. ``fmt='parquet'`` for tables that stay
+    inside Spark."""
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).option("encoding", encoding).option("escape", '"').csv(path)
+        (w.option("header", True).option("encoding", encoding).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .option("nullValue", "").option("emptyValue", '""').csv(path))
     else:
         w.format(fmt).save(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """A4: one document per ``.txt``/``.md`` file (extension case-insensitive, not recursive),
-    id = file name, text stripped (newlines too), empty files dropped, sorted by name.
+    id = file name, text stripped (newlines too), empty files dropped. Order by ``id`` where the
+    order matters: sorting here would shuffle the texts.
 
     Unlike a per-file open, Spark decodes bad UTF-8 bytes as U+FFFD instead of skipping the
     file."""
     # (``text()``'s own wholetext argument overrides a reader option, so pass it there)
     raw = spark.read.option("pathGlobFilter", KB_GLOB).text(path, wholetext=True)
     docs = raw.select(F.col("_metadata.file_name").alias("id"), T.strip_ws("value").alias("text"))
-    return docs.where(F.col("text") != "").orderBy("id")
+    return docs.where(F.col("text") != "")
 
 
 def append_turns(turns: DataFrame, path: str, now: datetime | None = None) -> None:
-    """Append answered questions to the chat log (parquet), UTC timestamp, sources as
-    JSON text. ``turns`` needs (id, user_msg, bot_msg, sentiment, score, sources array)."""
-    ts = (now or datetime.now(timezone.utc)).replace(tzinfo=None)
+    """Append answered questions to the chat log (parquet), sources as JSON text. ``turns``
+    needs (id, user_msg, bot_msg, sentiment, score, sources array); an answer's own time is its
+    ``created_at`` if ``turns`` has one, else ``now`` (a naive time is UTC) for all of them."""
+    now = now or datetime.now(timezone.utc)
+    now = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
+    own = F.col("created_at") if "created_at" in turns.columns else F.lit(None).cast("timestamp")
+    micros = int(now.timestamp()) * 1_000_000 + now.microsecond
     out = (C.with_missing_columns(turns, "sources array<string>")
-           .withColumn("created_at", F.lit(ts).cast("timestamp"))
+           .withColumn("created_at", F.coalesce(own, F.timestamp_micros(F.lit(micros))))
            .withColumn("sources", T.sources_json("sources")))
     out.select("id", "created_at", "user_msg", "bot_msg", "sentiment", "score", "sources") \
        .write.mode("append").parquet(path)

@@ -6,8 +6,8 @@
   most ``max_n`` admitted timestamps; rows of a key inside a micro-batch are folded in
   ``(ts, id)`` order.
 * S3 ``stream_cache_hits``: keyed state per (session, cache key) = "a cached answer exists".
-* S4 ``write_bounded_log``: ``foreachBatch`` appends to the log, then rewrites the
-  newest-n view (n rows, so the rewrite is bounded).
+* S4 ``write_bounded_log``: ``foreachBatch`` writes the batch's log rows, the rows that wait
+  for a partner, and the newest-n view, each in a folder of the batch (idempotent).
 * S5 ``stream_label_counts``: event-time windows (tumbling, or sliding with ``slide``) with a
   watermark, counts per label.
 
@@ -27,7 +27,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..operators import chatlog as C
 from ..operators.lexicon import with_lexicon_polarity
-from ..operators.limits import epoch_micros
+from ..operators.limits import admit, epoch_micros
 from ..session import shared_path
 
 
@@ -42,6 +42,16 @@ def parquet_stream(spark: SparkSession, path: str, schema, glob: str | None = No
     return r.parquet(path)
 
 
+def latest_counts(updates: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The last value of each key among the updates that the batches wrote (column ``epoch``)."""
+    return updates.groupBy(*keys).agg(F.max_by(value, "epoch").alias(value))
+
+
+def write_updates(df: DataFrame, epoch: int, out: str) -> None:
+    """A ``foreachBatch`` body for update mode: the batch's changed rows, in its own folder."""
+    df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+
 def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append",
                  foreach_batch=None) -> DataFrame:
     """Run a stream over everything available now (``availableNow``) into a parquet table
@@ -75,15 +85,7 @@ def stream_rate_limit(stream: DataFrame, key: str, ts: str, id_col: str, max_n:
     def fold(k, pdfs, state):
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["__t", id_col], kind="stable")
         log = deque(state.get[0] if state.exists else [])
-        admitted = np.empty(len(pdf), dtype=bool)
-        for i, t in enumerate(pdf["__t"].to_numpy()):
-            while log and t - log[0] >= window_us:
-                log.popleft()
-            if len(log) < max_n:
-                log.append(int(t))
-                admitted[i] = True
-            else:
-                admitted[i] = False
+        admitted = np.array([admit(log, int(t), max_n, window_us) for t in pdf["__t"].to_numpy()], dtype=bool)
         state.update((list(log),))
         pdf["admitted"] = admitted
         yield pdf
@@ -117,30 +119,52 @@ def stream_cache_hits(stream: DataFrame, session: str, cache_key, ts: str, id_co
 
 
 # S4 ----------------------------------------------------------------------------------------
-def bounded_log_writer(order: list[str], n: int = 200, prepare=None):
-    """A ``foreachBatch`` body: append the batch (after ``prepare``) to ``<out>/log`` and
-    rewrite ``<out>/view`` with the newest n rows of the whole log."""
+def bounded_log_writer(order: list[str], n: int = 200, prepare=None, open_rows=None):
+    """A ``foreachBatch`` body. Every batch writes folders of its own, named by its number, in
+    overwrite mode, so that a batch that is run again leaves the same files:
+
+    * ``log/epoch=<e>``: the log rows made from the batch and the rows left open so far
+      (``prepare``; the rows themselves without it);
+    * ``open/<e>``: rows that still wait for a partner in a later batch (``open_rows``);
+    * ``view/<e>``: the newest n rows of the view before and the new log rows.
+    """
     def write(batch: DataFrame, epoch: int, out: str):
-        rows = prepare(batch) if prepare else batch
-        rows.write.mode("append").parquet(f"{out}/log")
         spark = batch.sparkSession
-        view = C.keep_newest(spark.read.parquet(f"{out}/log"), order, n)
-        view.write.mode("overwrite").parquet(f"{out}/view")
+        rows = batch
+        if open_rows is not None and epoch > 0:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{out}/open/{epoch - 1}"))
+        made = prepare(rows) if prepare else rows
+        made.write.mode("overwrite").parquet(f"{out}/log/epoch={epoch}")
+        if open_rows is not None:
+            open_rows(rows).select(*batch.columns).write.mode("overwrite").parquet(f"{out}/open/{epoch}")
+        new = spark.read.schema(made.schema).parquet(f"{out}/log/epoch={epoch}")
+        if epoch > 0:
+            new = new.unionByName(spark.read.schema(made.schema).parquet(f"{out}/view/{epoch - 1}"))
+        C.keep_newest(new, order, n).write.mode("overwrite").parquet(f"{out}/view/{epoch}")
     return write
 
 
 def write_bounded_log(stream: DataFrame, spark: SparkSession, order: list[str], n: int = 200,
-                      prepare=None, name: str = "chatlog") -> DataFrame:
-    """Run the stream, keep the bounded view; returns the view."""
-    out = shared_path(spark, f"{name}-out")
-    ckpt = shared_path(spark, f"{name}-ckpt")
-    writer = bounded_log_writer(order, n, prepare)
-    q = (stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-         .foreachBatch(lambda df, epoch: writer(df, epoch, out)).start())
+                      prepare=None, name: str = "chatlog", open_rows=None, out: str | None = None,
+                      checkpoint: str | None = None) -> DataFrame:
+    """Run the stream, keep the bounded view; returns the view. Give ``out`` and
+    ``checkpoint`` to go on with an earlier run."""
+    out = out or shared_path(spark, f"{name}-out")
+    checkpoint = checkpoint or shared_path(spark, f"{name}-ckpt")
+    writer, last = bounded_log_writer(order, n, prepare, open_rows), {}
+
+    def each(df, epoch):
+        writer(df, epoch, out)
+        last["epoch"] = epoch
+
+    q = (stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.parquet(f"{out}/view")
+    if "epoch" not in last:  # nothing new since the earlier run
+        progress = q.lastProgress
+        last["epoch"] = int(progress["batchId"]) - 1 if progress else 0
+    return spark.read.parquet(f"{out}/view/{last['epoch']}")
 
 
 # S5 ----------------------------------------------------------------------------------------
