@@ -68,9 +68,8 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
     """E11 in long form: (true, pred, n) for every pair of classes, zero-filled. Classes are
     those of either column; the matrix has classes^2 cells, which is its definition."""
     pairs = pair_counts(df, y, p)
-    one = F.lit(1).alias("__one")  # one group: an equi-join spans the cells from the class table
-    labels = class_labels(pairs, "true", "pred")
-    cells = labels.select(F.col("label").alias("true"), one).join(labels.select(F.col("label").alias("pred"), one), "__one")
+    labels = class_labels(pairs, "true", "pred").agg(F.sort_array(F.collect_list("label")).alias("all"))
+    cells = labels.select(F.explode("all").alias("true"), "all").select("true", F.explode("all").alias("pred"))
     return (cells.join(pairs, ["true", "pred"], "left")
             .select("true", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
