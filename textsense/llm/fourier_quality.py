@@ -197,8 +197,11 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
 
 def keep_good(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str,
               learn: Column | None = None, least: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
-    """``docs`` whose score is at least ``least``, columns unchanged."""
+    """``docs`` whose score is at least ``least``, columns unchanged; all of them if the labels
+    lack a class, as nothing can be told apart then."""
     model, _ = fit(docs, id_col, text_col, labels, label_id, label_col, learn, max_train)
+    if model.constant is not None:
+        return docs
     s, p = free_name(docs, "fq_stats"), free_name(docs, "fq_score")
     scored = score(with_statistics(docs, text_col, s), s, model, p)
     return scored.where(F.col(p) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
