@@ -35,6 +35,14 @@ def free_name(df: DataFrame, want: str) -> str:
     return want
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)``, evaluated after the columns that the condition reads. A plain
+    filter is pushed below them, with a copy of their costly expressions for each use; it stays
+    above a column that is not deterministic."""
+    here = free_name(df, "here")
+    return df.withColumn(here, F.spark_partition_id()).where(condition & (F.col(here) >= 0)).drop(here)
+
+
 # --- numpy text helpers (used inside Arrow tasks) -------------------------------------------
 
 _U = np.uint64

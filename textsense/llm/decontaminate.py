@@ -22,7 +22,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import free_name, keep_where, stored
 
 N_WORDS = 13
 MAX_WINDOWS = 50_000
@@ -172,8 +172,7 @@ def remove_documents(docs: DataFrame, text_col: str, bench: DataFrame, bench_id:
     """``docs`` without the contaminated rows, columns unchanged."""
     found, w, hits = find_hits(docs, text_col, bench, bench_id, bench_text, n, max_windows)
     n_hit = free_name(found, "dc_n")
-    return (found.withColumn(n_hit, covered(F.col(hits)))
-            .where(~is_contaminated(F.col(n_hit), F.size(w))).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return (keep_where(found.withColumn(n_hit, covered(F.col(hits))), ~is_contaminated(F.col(n_hit), F.size(w))).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def remove_spans(docs: DataFrame, text_col: str, bench: DataFrame, bench_id: str, bench_text: str,

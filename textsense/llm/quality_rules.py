@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, keep_where
 from .decontaminate import covered
 
 # Word and line rules of the base counts.
@@ -200,4 +200,4 @@ def keep(docs: DataFrame, text_col: str, lang_col: str | None, rules: Rules = Ru
     refs = references(first, m1, rules, common)
     second, m = measure(docs, text_col, lang_col, common)
     judged, names = verdict(second, m, refs, rules)
-    return judged.where(F.col(names["kept"])).select(*[F.col(f"`{x}`") for x in docs.columns])
+    return keep_where(judged, F.col(names["kept"])).select(*[F.col(f"`{x}`") for x in docs.columns])
