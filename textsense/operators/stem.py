@@ -2,9 +2,10 @@
 
 The stemmer is the one piece of per-token Python. Two forms:
 
-* ``stem_tokens_col`` -- the default: an Arrow-batched pandas UDF over whole token arrays
-  with a per-worker memo, so the stemmer body runs once per distinct token per worker and
-  rows never leave their partition (no shuffle at all);
+* ``stem_tokens_col`` -- the default: an Arrow UDF that flattens a batch's token arrays,
+  dictionary-encodes them, stems the dictionary (through a per-worker memo of bounded size)
+  and takes the stems by index: Python sees each distinct token of a batch once, and rows
+  never leave their partition;
 * ``stem_vocabulary`` -- the distinct-token table (token, stem, n): distinct tokens are a
   partially aggregated shuffle, then stemmed in ``mapInPandas`` batches. This is the map a
   user persists or inspects; joining it back to every token would shuffle all tokens twice
@@ -13,7 +14,9 @@ The stemmer is the one piece of per-token Python. Two forms:
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -21,21 +24,29 @@ from ..functions import porter
 from ..functions import text as T
 
 _MEMO: dict = {}
-_MEMO_MAX = 2_000_000
+_MEMO_BYTES = 64 << 20   # of tokens, stems and dictionary entries, about
+_memo_bytes = 0
 
 
-def _stem_memo(tok: str) -> str:
+def _stem_memo(tok: str | None) -> str | None:
+    global _memo_bytes
     s = _MEMO.get(tok)
-    if s is None:
-        if len(_MEMO) >= _MEMO_MAX:
+    if s is None and tok is not None:
+        if _memo_bytes > _MEMO_BYTES:
             _MEMO.clear()
+            _memo_bytes = 0
         s = _MEMO[tok] = porter.stem(tok)
+        _memo_bytes += 200 + len(tok) + len(s)
     return s
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _stem_arrays(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda arr: None if arr is None else [_stem_memo(t) for t in arr])
+@F.arrow_udf(ArrayType(StringType()))
+def _stem_arrays(tokens: pa.Array) -> pa.Array:
+    flat = tokens.flatten().dictionary_encode()
+    stems = pa.array([_stem_memo(t) for t in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), stems, mask=tokens.is_null())
 
 
 def stem_tokens_col(tokens) -> Column:

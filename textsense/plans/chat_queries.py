@@ -74,7 +74,7 @@ FROM chatlog c SEMI JOIN kept k ON k.conv_id = c.conv_id AND k.turn = c.turn""")
 def chat_recent(spark, sf):
     """A5 + G2 + G3 + H5 + H6: retention (keep the newest 200 by id, as a semi join with
     the top-200 keys), then the recent view, oldest first, sources parsed."""
-    log = _chat_log(spark, sf)
+    log = stored(_chat_log(spark, sf), "chatlog")
     keys = ["conv_id", "turn"]
     retained = C.keep_only(log, C.keep_newest(log.select(*keys), keys, KEEP), keys)
     view = C.recent_view(retained, keys, KEEP)

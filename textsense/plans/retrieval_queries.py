@@ -141,7 +141,7 @@ def _web_rows(spark, sf):
     return p.select("page_id", "url", P.page_title("html").alias("title"), P.page_text("html").alias("content"))
 
 
-_LANG_RE = r"/(en|fr|de|es)/"
+_HOST_RE = r"^[a-z]+://([^/]+)/"
 
 
 def _web_fold_sql(results: str, group: str, order: str) -> str:
@@ -156,15 +156,15 @@ def _web_fold_sql(results: str, group: str, order: str) -> str:
 
 
 @register("web_results", f"""
-SELECT * FROM {_web_fold_sql(f"(SELECT regexp_extract(url, {q(_LANG_RE)}, 1) AS lang, page_id, "
+SELECT * FROM {_web_fold_sql(f"(SELECT regexp_extract(url, {q(_HOST_RE)}, 1) AS host, page_id, "
                              f"{_page_title_sql('html')} AS title, {_page_text_sql('html')} AS content FROM pages)",
-                             'lang', 'page_id')}""")
+                             'host', 'page_id')}""")
 def web_results(spark, sf):
-    """F5 over pages as search results: results of a language (from the URL path) in page
+    """F5 over pages as search results: results of a host (from the URL) in page
     order, first 3 kept, empty bodies dropped."""
-    r = _web_rows(spark, sf).withColumn("lang", F.regexp_extract("url", _LANG_RE, 1))
-    out = P.normalise_results(r, "lang", "page_id", TOP_K)
-    return out.select("lang", F.to_json("sources").alias("sources"), "context")
+    r = _web_rows(spark, sf).withColumn("host", F.regexp_extract("url", _HOST_RE, 1))
+    out = P.normalise_results(r, "host", "page_id", TOP_K)
+    return out.select("host", F.to_json("sources").alias("sources"), "context")
 
 
 _FLAGS = [(True, True), (True, False), (False, True), (False, False)]
