@@ -39,6 +39,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (little-endian unsigned 32-bit), and whether they decode to
     its text."""
+    docs = docs.select("doc_id", "lang", "source", "text")
     coded = trie_bpe.encode_and_decode(docs, "text", tokenizer_path("byte_bpe_50k.json"))
     return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

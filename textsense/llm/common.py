@@ -43,6 +43,32 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn(here, F.spark_partition_id()).where(condition & (F.col(here) >= 0)).drop(here)
 
 
+class WordCache:
+    """word -> ids, in bounded memory: two generations of about ``max_bytes`` each. When the
+    young one is full it becomes the old one; words met again move up, so frequent words stay."""
+
+    def __init__(self, max_bytes: int):
+        self.max_bytes, self.bytes, self.ids, self.old = max_bytes, 0, {}, {}
+
+    def missing(self, words: set) -> list:
+        """The words whose ids are not known; room is made first, so ``ids`` holds all of
+        ``words`` once those are added."""
+        if self.bytes > self.max_bytes:
+            self.old, self.ids, self.bytes = self.ids, {}, 0
+        out = []
+        for w in words - self.ids.keys():
+            known = self.old.get(w)
+            if known is None:
+                out.append(w)
+            else:
+                self.add(w, known)
+        return out
+
+    def add(self, word, ids: bytes) -> None:
+        self.ids[word] = ids
+        self.bytes += 140 + len(word) + len(ids)
+
+
 # --- numpy text helpers (used inside Arrow tasks) -------------------------------------------
 
 _U = np.uint64
@@ -179,7 +205,7 @@ def slices(batch, col: int, max_bytes: int):
             yield batch.slice(a, b - a)
 
 
-def append_columns(df: DataFrame, text_col: str, make, fields: list[tuple[str, str]], max_bytes: int = 4 << 20) -> DataFrame:
+def append_columns(df: DataFrame, text_col: str, make, fields: list[tuple[str, str]], max_bytes: int = 1 << 20) -> DataFrame:
     """``df`` with the columns ``fields`` (name, Spark type) that ``make()`` computes from the
     texts: it is called once per task and returns a function from a list of texts (None for
     null) to a list of Arrow arrays. All columns of ``df`` pass through."""
@@ -195,6 +221,7 @@ def append_columns(df: DataFrame, text_col: str, make, fields: list[tuple[str, s
             for part in slices(batch, at, max_bytes):
                 new = work(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
+        pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
     return df.mapInArrow(run, schema)
 

@@ -21,11 +21,11 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import append_columns
+from .common import WordCache, append_columns
 
 # Fixed value: the pattern that cuts texts into words for byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MAX_CACHED_BYTES = 96 << 20
+MAX_CACHED_BYTES = 40 << 20
 
 
 def byte_chars() -> dict[str, int]:
@@ -47,7 +47,7 @@ class Vocabulary:
         self.bytes_of: dict[int, bytes] = {i: bytes(to_byte[c] for c in t) for t, i in model["vocab"].items()}
         self.special: dict[str, int] = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
-        self.id_of = {b: i for i, b in self.bytes_of.items() if i not in set(self.special.values())}
+        self.id_of = {b: i for i, b in self.bytes_of.items() if i not in self.special.values()}
         self.rank: dict[tuple[int, int], int] = {}      # pair of ids -> order of its merge
         self.parts: dict[int, tuple[int, int, int]] = {}  # id -> (order, left id, right id)
         for order, merge in enumerate(model["merges"]):
@@ -95,7 +95,7 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self._stable) > 1_000_000:
+        if len(self._stable) > 200_000:
             self._stable.clear()
         self._stable[a, b] = ok
         return ok
@@ -144,8 +144,7 @@ class Codec:
         self.split = regex.compile(PATTERN)
         specials = sorted(self.vocab.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-        self.cache: dict[str, bytes] = {}
-        self.cached = 0
+        self.cache = WordCache(MAX_CACHED_BYTES)
         n = max(self.vocab.bytes_of) + 1
         self.tokens = [self.vocab.bytes_of.get(i, b"") for i in range(n)]
 
@@ -165,18 +164,14 @@ class Codec:
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text; the new words of all of them go through one walk."""
-        if self.cached > MAX_CACHED_BYTES:
-            self.cache, self.cached = {}, 0
-        cache = self.cache
         split = [self.words(t) if t else [] for t in texts]
-        new = set().union(*split) - cache.keys()
-        for s in new & self.vocab.special.keys():
-            cache[s] = np.array([self.vocab.special[s]], dtype="<u4").tobytes()
-        new = sorted((w.encode(), w) for w in new - self.vocab.special.keys())
+        new = self.cache.missing(set().union(*split))
+        for s in self.vocab.special.keys() & new:
+            self.cache.add(s, np.array([self.vocab.special[s]], dtype="<u4").tobytes())
+        new = sorted((w.encode(), w) for w in new if w not in self.vocab.special)
         for (_, w), ids in zip(new, encode_words(self.vocab, [b for b, _ in new])):
-            cache[w] = ids
-            self.cached += 100 + len(w) + len(ids)
-        return [b"".join(map(cache.__getitem__, ws)) for ws in split]
+            self.cache.add(w, ids)
+        return [b"".join(map(self.cache.ids.__getitem__, ws)) for ws in split]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import append_columns, folder, stored, write_file
+from .common import WordCache, append_columns, folder, stored, write_file
 from .trie_bpe import byte_chars
 
 # Fixed value: the pattern of words in the tokenizer's file.
@@ -41,7 +41,7 @@ FILE_TOKENS = 4 << 20
 END_ID = 1
 MAGIC = b"WMTX0001"
 SAMPLE = 512  # bits between two rank samples
-MAX_CACHED_BYTES = 96 << 20
+MAX_CACHED_BYTES = 40 << 20
 
 
 class WaveletMatrix:
@@ -82,7 +82,7 @@ class WaveletMatrix:
         index = row[:, None] * step + np.arange(step)
         chunk = np.where(index < len(packed), packed[np.minimum(index, max(len(packed) - 1, 0))] if len(packed) else 0, 0).astype(np.uint8)
         bits = np.clip((at - row * SAMPLE)[:, None] - 8 * np.arange(step), 0, 8)
-        return self.samples[plane][row].astype(np.int64) + np.bitwise_count(chunk & ((1 << bits) - 1).astype(np.uint8)).sum(axis=1)
+        return self.samples[plane][row].astype(np.int64) + np.bitwise_count(chunk & ((1 << bits) - 1).astype(np.uint8)).sum(axis=1, dtype=np.int64)
 
     def _bit(self, plane: int, at: np.ndarray) -> np.ndarray:
         return (self.planes[plane][at >> 3] >> (at & 7).astype(np.uint8)) & 1
@@ -95,7 +95,7 @@ class WaveletMatrix:
             one = self._bit(p, at) != 0
             ones = self._ones(p, at)
             out = (out << np.uint32(1)) | one
-            at = np.where(one, self.zeros[p] + ones, at - ones)
+            at = np.where(one, self.zeros[p] + ones, at - ones).astype(np.int64)
         return out
 
     def _range(self, value: int, lo: int, hi: int) -> tuple[int, int]:
@@ -197,11 +197,10 @@ class WordTokenizer:
         self.split = regex.compile(PATTERN)
         self.unsettled = re.compile(f"[^{SETTLED}]")
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.to_chars = {b: c for c, b in byte_chars().items()}
+        self.to_chars = {b: c for c, b in byte_chars().items() if b != 32}  # words have no blank
         self.top = max(max(spec["model"]["vocab"].values()), *self.special.values(), END_ID)
         self.dtype = np.dtype("<u2" if self.top < 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-        self.cached = 0
+        self.cache = WordCache(MAX_CACHED_BYTES)
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
@@ -229,26 +228,23 @@ class WordTokenizer:
 
     def _learn(self, words: list) -> None:
         for w in [w for w in words if isinstance(w, tuple)]:
-            self.cache[w] = np.array([self.special[w[1]]], dtype=self.dtype).tobytes()
+            self.cache.add(w, np.array([self.special[w[1]]], dtype=self.dtype).tobytes())
         words = [w for w in words if not isinstance(w, tuple)]
         for a in range(0, len(words), 4000):
             some = words[a:a + 4000]
             parts = [self.split.findall(w) for w in some]
-            got = self.model.encode(" ".join(w.encode().decode("latin-1").translate(self.to_chars) for ws in parts for w in ws),
-                                    add_special_tokens=False)
+            joined = " ".join([w for ws in parts for w in ws])
+            got = self.model.encode(joined.encode().decode("latin-1").translate(self.to_chars), add_special_tokens=False)
             ids, of = np.array(got.ids, dtype=self.dtype), np.array(got.word_ids, dtype=np.int64)
             cut = np.searchsorted(of, np.cumsum([0, *map(len, parts)]))
             for w, x, y in zip(some, cut[:-1], cut[1:]):
-                self.cache[w] = ids[x:y].tobytes()
-                self.cached += 140 + len(w)
+                self.cache.add(w, ids[x:y].tobytes())
 
     def encode(self, texts: list) -> list[bytes]:
-        if self.cached > MAX_CACHED_BYTES:
-            self.cache, self.cached = {}, 0
         odd = [bool(t) and self.unsettled.search(t) is not None for t in texts]
         split = [self.words(t) if t and not x else [] for t, x in zip(texts, odd)]
-        self._learn(list(set().union(*split) - self.cache.keys()))
-        cache = self.cache
+        self._learn(self.cache.missing(set().union(*split)))
+        cache = self.cache.ids
         return [np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes() if x
                 else b"".join(map(cache.__getitem__, ws)) for t, x, ws in zip(texts, odd, split)]
 
