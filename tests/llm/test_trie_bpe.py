@@ -58,6 +58,8 @@ def test_frame_edges(texts, edge_rows, library):
         assert np.frombuffer(r["bpe_ids"], "<u4").tolist() == library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["bpe_text"] == (r["text"] or "")
     assert B.encode(texts([]), "text", PATH, "x").count() == 0
+    clash = B.encode(df, "text", PATH)  # the new ids replace the column of that name
+    assert clash.columns.count("ids") == 1 and dict(clash.dtypes)["ids"] == "binary"
 
 
 def test_query(spark, library):

@@ -208,10 +208,14 @@ def slices(batch, col: int, max_bytes: int):
 def append_columns(df: DataFrame, text_col: str, make, fields: list[tuple[str, str]], max_bytes: int = 1 << 20) -> DataFrame:
     """``df`` with the columns ``fields`` (name, Spark type) that ``make()`` computes from the
     texts: it is called once per task and returns a function from a list of texts (None for
-    null) to a list of Arrow arrays. All columns of ``df`` pass through."""
+    null) to a list of Arrow arrays. All columns of ``df`` pass through, but for those whose
+    name (in any case) is a new column's: the new column replaces them."""
     from pyspark.sql import types as T
     at = df.columns.index(text_col)
-    schema = T.StructType(list(df.schema.fields) + T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields)).fields)
+    taken = {n.lower() for n, _ in fields}
+    held = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in taken]
+    schema = T.StructType([df.schema.fields[i] for i in held]
+                          + T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields)).fields)
     names = [f.name for f in schema.fields]
 
     def run(batches):
@@ -220,7 +224,7 @@ def append_columns(df: DataFrame, text_col: str, make, fields: list[tuple[str, s
         for batch in batches:
             for part in slices(batch, at, max_bytes):
                 new = work(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in held], *new], names=names)
         pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
     return df.mapInArrow(run, schema)

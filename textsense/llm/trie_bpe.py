@@ -11,7 +11,8 @@ in their partition: nothing is shuffled, and a task keeps a bounded cache of wor
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a special
 token's string inside a text gets that token's id, as the tokenizers library does by default;
-texts of any length are encoded whole; extra columns pass through.
+texts of any length are encoded whole; extra columns pass through, a column of an output's name
+is replaced by it.
 """
 
 from __future__ import annotations
