@@ -225,6 +225,7 @@ def append_columns(df: DataFrame, text_col: str, make, fields: list[tuple[str, s
             for part in slices(batch, at, max_bytes):
                 new = work(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in held], *new], names=names)
+        del work
         pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
     return df.mapInArrow(run, schema)

@@ -17,6 +17,7 @@ is replaced by it.
 
 from __future__ import annotations
 
+import copy
 import json
 
 import numpy as np
@@ -135,7 +136,7 @@ def encode_words(vocab: Vocabulary, words: list[bytes]) -> list[bytes]:
 
 
 class Codec:
-    """Encoder and decoder with a bounded cache of words; one per worker process."""
+    """Encoder and decoder with a bounded cache of words; one vocabulary per worker process."""
 
     _loaded: dict[str, Codec] = {}
 
@@ -163,6 +164,12 @@ class Codec:
             out += [piece] if piece in self.vocab.special else self.split.findall(piece)
         return out
 
+    def for_task(self) -> Codec:
+        """The same vocabulary with a cache of its own, which goes when the task ends."""
+        one = copy.copy(self)
+        one.cache = WordCache(MAX_CACHED_BYTES)
+        return one
+
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text; the new words of all of them go through one walk."""
         split = [self.words(t) if t else [] for t in texts]
@@ -182,7 +189,7 @@ def encode(docs: DataFrame, text_col: str, path: str, ids_col: str = "ids") -> D
     """``docs`` with the ids of every whole text as binary (little-endian unsigned 32-bit)."""
     def make():
         import pyarrow as pa
-        codec = Codec.load(path)
+        codec = Codec.load(path).for_task()
         return lambda texts: [pa.array(codec.encode(texts), pa.binary())]
     return append_columns(docs, text_col, make, [(ids_col, "binary")])
 
@@ -191,7 +198,7 @@ def encode_and_decode(docs: DataFrame, text_col: str, path: str, ids_col: str =
     """Like ``encode``, and the text that the ids decode to."""
     def make():
         import pyarrow as pa
-        codec = Codec.load(path)
+        codec = Codec.load(path).for_task()
 
         def work(texts):
             ids = codec.encode(texts)
