@@ -72,3 +72,55 @@ def test_nothing_to_learn_from(texts):
     assert [(x["n_tokens"], x["n_known"], x["train_tokens"], x["base_score"]) for x in r] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
     model, words = L.train(texts([(1, "a b")]), "text")
     assert L.score(texts([]), "doc_id", "text", model, words).count() == 0
+
+
+def stored_levels(model):
+    """Function from hashes to the levels that the stored filter gives them."""
+    bits = {r["block"]: np.frombuffer(r["bits"], np.uint8) for r in model.filter.collect()}
+
+    def level(h):
+        h = np.asarray(h, np.uint64)
+        block = (h >> np.uint64(65 - model.blocks.bit_length())).astype(int)
+        return np.array([L._block_levels(bits.get(b, np.empty(0, np.uint8)), h[i:i + 1])[0] for i, b in enumerate(block)])
+    return level
+
+
+def tokens(t):
+    return L.tokens(np.frombuffer((t or "").encode(), np.uint8))
+
+
+def log_score(model, level, t):
+    w = tokens(t)
+    count = lambda h: L.middle(level(h))
+    p1 = (count(w) + 1) / (model.n_filter + model.v + 1)
+    ctx, pair = count(L.context_hash(w[:-1])), count(L.pair_hash(w[:-1], w[1:]))
+    return np.log10(p1[0]) + np.log10((np.minimum(ctx, pair) + L.MU * p1[1:]) / (ctx + L.MU)).sum()
+
+
+@pytest.mark.parametrize("size", [1, 30, 4 << 20])
+def test_scores_of_slices_equal_the_formula(texts, edge_rows, monkeypatch, size):
+    monkeypatch.setattr(L, "SLICE", size)
+    docs = [*(r for r in edge_rows if len(r[1] or "") < 100), (20, "a b a b c A"), (21, "b c d e f g h"), (22, "a a a a x y")]
+    df = texts(docs)
+    model, words = L.train(df.where("doc_id < 22"), "text")
+    level = stored_levels(model)
+    for i, n in {"a": 3, "b": 3, "c": 2}.items():
+        assert level(tokens(i)[:1])[0] >= 1 + math.floor(math.log2(n))
+    got = sorted(r["score"] for r in L.score(df, "doc_id", "text", model, words).collect())
+    assert np.allclose(got, sorted(log_score(model, level, t) for _, t in docs))
+
+
+def test_filter_has_no_greatest_size(spark):
+    # more entries than 2^27 bits have room for; the rare ones were left out
+    many = spark.range(520_000).selectExpr("xxhash64(id) as h", "shiftleft(1L, 47) as c")
+    rare = spark.range(1_000).selectExpr("xxhash64(-1 - id) as h", "1L as c")
+    blocks = L.store_filter(many.unionByName(rare), spark.createDataFrame([], "t string"), np.concatenate, 256)
+    assert blocks.selectExpr("sum(length(bits))").first()[0] * 8 > 1 << 27
+    bits = {r["block"]: r["bits"] for r in blocks.collect()}
+    for r in rare.collect():
+        h = np.array([r["h"]]).view(np.uint64)
+        assert L._block_levels(np.frombuffer(bits[int(h[0]) >> 56], np.uint8), h)[0] >= 1
+
+
+def test_block_count_grows_with_the_input():
+    assert [L.block_count(n) for n in (0, 1, 256 << 20, (256 << 20) + 1, 10 ** 13)] == [256, 256, 256, 512, 1 << 24]

@@ -3,9 +3,9 @@
 N-gram counts are quantised to levels 1 + floor(log2 count), and an n-gram of level q is put into
 the filter q times, once for each level up to q. A probe asks for level 1, 2, ... until the first
 miss; the last hit is the level. The filter is cut into blocks, all bits of an n-gram lie in one
-block, so Spark builds the blocks in parallel; it has a fixed greatest size and is broadcast. If
-the n-grams would overfill it, the rarest are left out: the least count is read off the histogram
-of levels, never off the order or amount of rows.
+block, so Spark builds the blocks in parallel. It holds every n-gram and grows with them: their
+number sets the number of blocks, and each block is as large as its own n-grams need. The blocks
+are a stored table; texts ask for their distinct n-grams by block number (``score``).
 
 Counts come from all training texts: words (and one end mark per text), and pairs of neighbours
 that both are among the ``vocab`` most frequent words. P(w | v) = (c(v w) + MU * P1(w)) /
@@ -23,7 +23,7 @@ are counted by a 64-bit hash.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,11 +34,13 @@ from .common import mix64, slices, stored, text_arrays, word_hashes
 HEAD = 1 << 20
 VOCAB = 1 << 14
 MU = 1000.0
-MAX_BITS = 1 << 27
 BLOCKS = 1 << 12
 PROBES = 4
 MAX_LEVEL = 48
 HELD = 1 << 20  # distinct n-grams that a counting task holds before it emits them
+BLOCK_GRAMS = 1 << 20  # n-gram occurrences that come to a block of the stored filter
+LEAST_BLOCKS = 1 << 8
+SLICE = 4 << 20  # bytes of text that ask the filter together
 END = np.uint64(0x5851F42D4C957F2D)
 _PAIR, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
@@ -68,7 +70,9 @@ class _Tally:
         self.new, self.size = [], 0
 
     def add(self, hashes: np.ndarray):
-        h, c = np.unique(hashes, return_counts=True)
+        self.put(*np.unique(hashes, return_counts=True))
+
+    def put(self, h: np.ndarray, c: np.ndarray):
         self.new.append((h, c))
         self.size += len(h)
 
@@ -81,33 +85,38 @@ class _Tally:
         u, at = np.unique(h, return_inverse=True)
         return u, np.bincount(at, weights=c, minlength=len(u)).astype(np.int64)
 
-    def shrink(self):
-        """Merge what is held; returns the merged counts once they are too many to hold on."""
+    def shrink(self, always: bool = False):
+        """Merge what is held; returns the merged counts once they are too many to hold on
+        (``always``: they are held all the same)."""
         u, c = self.merged()
-        if len(u) > HELD // 2:
+        if len(u) > HELD // 2 and not always:
             return u, c
         self.new, self.size = [(u, c)], len(u)
         return None
 
 
+def _tallies(batches, grams):
+    """(hashes, counts) of the hashes that ``grams(list of token arrays)`` returns, sorted, in
+    parts of bounded size; a hash may be in several parts."""
+    tally = _Tally()
+    for batch in batches:
+        for part in slices(batch, 0, 1 << 20):
+            found = grams([tokens(x) for x in text_arrays(part.column(0))])
+            if len(found):
+                tally.add(found)
+            if tally.size > HELD and (full := tally.shrink()):
+                yield full
+    u, c = tally.merged()
+    if len(u):
+        yield u, c
+
+
 def _counts(texts: DataFrame, grams) -> DataFrame:
     """(h, c): summed counts of the hashes that ``grams(list of token arrays)`` returns."""
     def run(batches):
         import pyarrow as pa
-
-        def out(u, c):
-            return pa.RecordBatch.from_arrays([pa.array(_signed(u)), pa.array(c)], names=["h", "c"])
-        tally = _Tally()
-        for batch in batches:
-            for part in slices(batch, 0, 1 << 20):
-                found = grams([tokens(x) for x in text_arrays(part.column(0))])
-                if len(found):
-                    tally.add(found)
-                if tally.size > HELD and (full := tally.shrink()):
-                    yield out(*full)
-        u, c = tally.merged()
-        if len(u):
-            yield out(u, c)
+        for u, c in _tallies(batches, grams):
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(u)), pa.array(c)], names=["h", "c"])
     return texts.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
@@ -145,13 +154,14 @@ class Filter:
     bits: np.ndarray  # uint8, blocks x bytes
     per_block: int
 
-    def level(self, h: np.ndarray) -> np.ndarray:
+    def level(self, h: np.ndarray, block: np.ndarray | None = None) -> np.ndarray:
         """Largest level up to which every probe hits (0: not in the filter)."""
         out = np.zeros(len(h), dtype=np.int64)
         if self.per_block == 0:
             return out
         live = np.arange(len(h))
-        block = (h >> np.uint64(52)).astype(np.int64)
+        if block is None:
+            block = (h >> np.uint64(52)).astype(np.int64)
         for q in range(1, MAX_LEVEL + 1):
             at = positions(h[live], q, self.per_block)
             hit = ((self.bits[block[live][:, None], at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
@@ -183,9 +193,11 @@ def _levels(counts: DataFrame) -> dict[int, int]:
     return {r["q"]: r["count"] for r in counts.groupBy(_level().alias("q")).count().collect()}
 
 
-def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> tuple[Filter, int]:
-    """The filter over (h, c), and the least count it holds."""
+def build_filter(counts: DataFrame, max_bits: int | None = None) -> tuple[Filter, int]:
+    """The filter over (h, c) in memory, and the least count it holds: 1, unless the caller asks
+    for a greatest size. The language model does not use it, but ``store_filter``."""
     hist = _levels(counts)
+    max_bits = max_bits or 1 << 62
     room, load, least = max_bits * np.log(2) / PROBES, 0, 1
     for q in sorted(hist, reverse=True):  # a row per level
         if load + q * hist[q] > room:
@@ -229,6 +241,81 @@ def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> tuple[Filter, i
     return Filter(table, per_block), least
 
 
+def block_count(occurrences: int) -> int:
+    """Blocks of the stored filter: a power of two, so that BLOCK_GRAMS n-grams come to one."""
+    return max(LEAST_BLOCKS, 1 << max(0, -(-occurrences // BLOCK_GRAMS) - 1).bit_length())
+
+
+def _cuts(sorted_hashes: np.ndarray, blocks: int):
+    """(block, from, to) of every block that has some of the hashes."""
+    block = (sorted_hashes >> np.uint64(65 - blocks.bit_length())).astype(np.int64)
+    edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+    return [(int(block[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _block_bits(h: np.ndarray, c: np.ndarray) -> bytes:
+    """The bits of one block, with room for all its n-grams."""
+    q = 1 + np.floor(np.log2(c)).astype(np.int64)
+    bits = max(64, 1 << int(np.ceil(np.log2(int(q.sum()) * PROBES / np.log(2)))))
+    row = np.zeros(bits, dtype=bool)
+    for lv in range(1, int(q.max()) + 1):
+        row[positions(h[q >= lv], lv, bits).ravel()] = True
+    return np.packbits(row, bitorder="little").tobytes()
+
+
+def _block_levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Level of each n-gram of one block (uint8 array of its bits)."""
+    return Filter(bits[None, :], len(bits) * 8).level(h, np.zeros(len(h), dtype=np.int64)) if len(bits) else np.zeros(len(h), dtype=np.int64)
+
+
+_PARTS = "block int, h binary, c binary"
+
+
+def _packed(u: np.ndarray, c: np.ndarray, blocks: int):
+    import pyarrow as pa
+    cuts = _cuts(u, blocks)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x for x, _, _ in cuts], pa.int32()), pa.array([u[a:b].tobytes() for _, a, b in cuts], pa.binary()),
+         pa.array([c[a:b].tobytes() for _, a, b in cuts], pa.binary())], names=["block", "h", "c"])
+
+
+def store_filter(words: DataFrame, texts: DataFrame, grams, blocks: int) -> DataFrame:
+    """(block, bits) of the filter over the word counts (h, c) and the counts of all hashes that
+    ``grams`` returns, stored. Each block is as large as its n-grams need."""
+    def of_words(batches):
+        for batch in batches:
+            h, c = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            order = np.argsort(h)
+            if len(h):
+                yield _packed(h[order], c[order], blocks)
+
+    def of_texts(batches):
+        for u, c in _tallies(batches, grams):
+            yield _packed(u, c, blocks)
+
+    def fill(batches):
+        import pyarrow as pa
+        now, tally = None, _Tally()
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_block_bits(*tally.merged())], pa.binary())],
+                                              names=["block", "bits"])
+        for batch in batches:
+            for block, h, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if block != now:
+                    if now is not None:
+                        yield done()
+                    now = block
+                tally.put(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64))
+                if tally.size > HELD:
+                    tally.shrink(always=True)
+        if now is not None:
+            yield done()
+
+    parts = words.select("h", "c").mapInArrow(of_words, _PARTS).unionByName(texts.mapInArrow(of_texts, _PARTS))
+    return stored(parts.repartition("block").sortWithinPartitions("block").mapInArrow(fill, "block int, bits binary"), "filter-blocks")
+
+
 @dataclass(frozen=True)
 class Model:
     n: int
@@ -236,15 +323,16 @@ class Model:
     head: np.ndarray         # sorted hashes of the most frequent words
     head_count: np.ndarray
     vocab: np.ndarray
-    filter: Filter
     n_filter: float          # sum of all words' counts as the filter knows them
+    blocks: int
+    filter: DataFrame        # (block, bits), stored
 
 
 def _arrow_column(table, name):
     return table[name].combine_chunks().to_numpy(zero_copy_only=False)
 
 
-def train(docs: DataFrame, text_col: str, head: int = HEAD, vocab: int = VOCAB, max_bits: int = MAX_BITS) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text_col: str, head: int = HEAD, vocab: int = VOCAB) -> tuple[Model, DataFrame]:
     """The model and the table (h, c) of all word counts."""
     texts = docs.select(F.col(text_col).alias("t"))
     words = stored(_counts(texts, np.concatenate), "word-counts")
@@ -265,72 +353,155 @@ def train(docs: DataFrame, text_col: str, head: int = HEAD, vocab: int = VOCAB,
 
     def grams(parts):
         return _neighbours(held.value)(parts)
-    pairs = stored(_counts(texts, grams), "pair-counts")
-    filt, least = build_filter(words.unionByName(pairs), max_bits)
-    n_filter = sum(k * float(middle(np.array(q))) for q, k in _levels(words).items() if 1 << (q - 1) >= least)
-    return Model(tot["n"], tot["v"], h[order], c[order], best, filt, n_filter), words
-
-
-def _score_texts(m: Model, parts: list[np.ndarray]):
-    """Per text: tokens, known head tokens, base score of head tokens, model score, and the
-    tokens outside the head."""
-    joined = np.concatenate(parts)
-    start = np.cumsum([0, *map(len, parts[:-1])])
-    uniq, code = np.unique(joined, return_inverse=True)
-    base_floor = -np.log10(float(m.n + m.v + 1))
-    in_head = _member(m.head, uniq)
-    exact = np.zeros(len(uniq), dtype=np.int64)
-    if in_head.any():
-        exact[in_head] = m.head_count[np.searchsorted(m.head, uniq[in_head])]
-    base = np.where(in_head, np.log10(exact + 1.0) + base_floor, 0.0)
-    p1 = (m.filter.count(uniq) + 1.0) / (m.n_filter + m.v + 1.0)
-    p = p1[code]
-    ok = np.zeros(len(joined), dtype=bool)
-    if len(joined) > 1:
-        inside = _member(m.vocab, uniq)[code]
-        ok[1:] = inside[:-1] & (joined[:-1] != END)
-    if ok.any():
-        at = np.flatnonzero(ok)
-        ctx_u, ctx_code = np.unique(joined[at - 1], return_inverse=True)
-        ctx = m.filter.count(context_hash(ctx_u))[ctx_code]
-        pair_u, pair_code = np.unique(pair_hash(joined[at - 1], joined[at]), return_inverse=True)
-        both = np.where(_member(m.vocab, joined[at]), m.filter.count(pair_u)[pair_code], 0.0)
-        p[at] = (np.minimum(both, ctx) + MU * p1[code[at]]) / (ctx + MU)
-    score = np.add.reduceat(np.log10(p), start)
-    tail = ~in_head[code]
-    return (np.diff(np.append(start, len(joined))), np.add.reduceat(in_head[code].astype(np.int64), start),
-            np.add.reduceat(base[code], start), score, tail, joined, start)
+    blocks = block_count(2 * tot["n"])  # a pair and a context for each word at most
+    held_filter = store_filter(words, texts, grams, blocks)
+    n_filter = sum(k * float(middle(np.array(q))) for q, k in _levels(words).items())
+    return Model(tot["n"], tot["v"], h[order], c[order], best, n_filter, blocks, held_filter), words
+
+
+def _asked(vocab: np.ndarray, uniq: np.ndarray, code: np.ndarray, start: np.ndarray):
+    """What the score of a slice of texts asks of the filter. Tokens are ``uniq[code]``, texts begin
+    at ``start``. Returns the sorted hashes; each token's item, an item being a pair (v, w) or a
+    word without a left neighbour; and per item the places of its word, context and pair among
+    the hashes (-1: none)."""
+    v = np.full(len(code), -1, dtype=np.int64)
+    v[1:] = code[:-1]
+    v[start] = -1
+    inside = _member(vocab, uniq)
+    v[(v >= 0) & ~inside[v]] = -1
+    items, item = np.unique((v + 1) * (len(uniq) + 1) + code, return_inverse=True)
+    v, w = items // (len(uniq) + 1) - 1, items % (len(uniq) + 1)
+    has, both = v >= 0, (v >= 0) & inside[w]
+    before = np.zeros(len(uniq), dtype=bool)
+    before[v[has]] = True
+    asked = np.concatenate([uniq, context_hash(uniq[before]), pair_hash(uniq[v[both]], uniq[w[both]])])
+    order = np.argsort(asked)
+    place = np.empty(len(asked), dtype=np.int64)
+    place[order] = np.arange(len(asked))
+    ctx, pair = np.full(len(items), -1), np.full(len(items), -1)
+    ctx[has] = place[len(uniq) + np.cumsum(before) - 1][v[has]]
+    pair[both] = place[len(uniq) + np.count_nonzero(before):]
+    return asked[order], item, place[w], ctx, pair
+
+
+def _log_p(m: Model, level: np.ndarray, word: np.ndarray, ctx: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """log10 of each item's probability; ``level`` of each hash asked for."""
+    count = np.append(middle(level), 0.0)  # the last one is for -1
+    p1 = (count[word] + 1.0) / (m.n_filter + m.v + 1.0)
+    return np.log10((np.minimum(count[pair], count[ctx]) + MU * p1) / (count[ctx] + MU))
 
 
 def score(docs: DataFrame, id_col: str, text_col: str, model: Model, words: DataFrame) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row.
+
+    A slice of texts asks each block of the filter for its distinct n-grams: one row a slice and
+    block. Those rows meet the stored block in its task, and the levels go back to the slice."""
+    light = replace(model, filter=None)  # the stored blocks are not broadcast
+    held = docs.sparkSession.sparkContext.broadcast(light)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     id_type = src.schema["id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+        m = held.value
+        uid = TaskContext.get().partitionId() << 33
+        names = ["id", "uid", "n_tokens", "known", "base", "rare", "times", "block", "data"]
+        base_floor = -np.log10(float(m.n + m.v + 1))
         for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
-                n, known, base, s, tail, joined, start = _score_texts(held.value, [tokens(x) for x in text_arrays(part.column(1))])
-                ends = np.append(start[1:], len(joined))
-                rare = [np.unique(_signed(joined[a:b][tail[a:b]]), return_counts=True) for a, b in zip(start, ends)]
+            for part in slices(batch, 1, SLICE):
+                parts = [tokens(x) for x in text_arrays(part.column(1))]
+                n = np.array([len(x) for x in parts])
+                start = np.cumsum(n) - n
+                uniq, code = np.unique(np.concatenate(parts), return_inverse=True)
+                in_head = _member(m.head, uniq)
+                exact = np.zeros(len(uniq), dtype=np.int64)
+                if in_head.any():
+                    exact[in_head] = m.head_count[np.searchsorted(m.head, uniq[in_head])]
+                base = np.where(in_head, np.log10(exact + 1.0) + base_floor, 0.0)
+                tail = ~in_head[code]
+                rare = [np.unique(_signed(uniq[code[a:a + k][tail[a:a + k]]]), return_counts=True) for a, k in zip(start, n)]
+                none = [None] * len(n)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.arange(uid, uid + len(n))), pa.array(n, pa.int64()),
+                     pa.array(np.add.reduceat(in_head[code].astype(np.int64), start), pa.int64()),
+                     pa.array(np.add.reduceat(base[code], start), pa.float64()), pa.array([r[0] for r in rare], pa.list_(pa.int64())),
+                     pa.array([r[1] for r in rare], pa.list_(pa.int64())), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+                    names=names)
+                asked = _asked(m.vocab, uniq, code, start)[0]
+                rows = [(-1, np.array([len(n), len(uniq)]).tobytes() + n.astype(np.int64).tobytes() + uniq.tobytes()
+                         + code.astype(np.int32).tobytes()),
+                        *((x, asked[a:b].tobytes()) for x, a, b in _cuts(asked, m.blocks))]
+                k = len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                     pa.array(s, pa.float64()), pa.array([r[0] for r in rare], pa.list_(pa.int64())),
-                     pa.array([r[1] for r in rare], pa.list_(pa.int64()))],
-                    names=["id", "n_tokens", "known", "base", "score", "rare", "times"])
-
-    rows = src.mapInArrow(run, f"id {id_type}, n_tokens bigint, known bigint, base double, score double, "
-                               "rare array<bigint>, times array<bigint>")
-    rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()), "lm-rows")
+                    [pa.nulls(k, part.column(0).type), pa.array([uid] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+                     pa.nulls(k, pa.float64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64())),
+                     pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
+                uid += len(n)
+
+    # one pass gives the rows of the texts (block null), of the slices (-1) and of what they ask for
+    made = stored(src.mapInArrow(run, f"id {id_type}, uid bigint, n_tokens bigint, known bigint, base double, "
+                                      "rare array<bigint>, times array<bigint>, block int, data binary"), "lm-rows")
+    rows = made.where("block is null")
+
+    def answer(batches):
+        import pyarrow as pa
+        now, bits = None, None
+        for batch in batches:
+            block, uid, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            keep, out = [], []
+            for i in range(len(block)):
+                x = np.frombuffer(data[i].as_buffer(), np.uint8)
+                if uid[i] < 0:  # the block itself, sorted before all that is asked of it
+                    now, bits = block[i], x.copy()
+                else:
+                    keep.append(i)
+                    own = bits if now == block[i] else np.empty(0, np.uint8)
+                    out.append(_block_levels(own, x.view(np.uint64)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(block[keep], pa.int32()), pa.array(uid[keep], pa.int64()), pa.array(out, pa.binary())],
+                                             names=["block", "uid", "data"])
+
+    asked = made.where("block >= 0").select("block", "uid", "data").unionByName(
+        model.filter.select("block", F.lit(-1).cast("long").alias("uid"), F.col("bits").alias("data")))
+    levels = asked.repartition("block").sortWithinPartitions("block", "uid").mapInArrow(answer, "block int, uid bigint, data binary")
+
+    def finish(batches):
+        import pyarrow as pa
+        m = held.value
+        now, slice_, got = None, None, []
+
+        def done():
+            head = np.frombuffer(slice_, np.int64, 2)
+            n = np.frombuffer(slice_, np.int64, head[0], 16)
+            uniq = np.frombuffer(slice_, np.uint64, head[1], 16 + 8 * head[0])
+            code = np.frombuffer(slice_, np.int32, -1, 16 + 8 * (head[0] + head[1])).astype(np.int64)
+            start = np.cumsum(n) - n
+            _, item, word, ctx, pair = _asked(m.vocab, uniq, code, start)
+            p = _log_p(m, np.frombuffer(b"".join(got), np.uint8).astype(np.int64), word, ctx, pair)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(now, now + len(n))), pa.array(np.add.reduceat(p[item], start))],
+                                              names=["uid", "score"])
+        for batch in batches:
+            block, uid, data = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            for i in range(len(block)):
+                if uid[i] != now:
+                    if now is not None:
+                        yield done()
+                    now, got = uid[i], []
+                if block[i] < 0:
+                    slice_ = data[i].as_py()
+                else:
+                    got.append(data[i].as_py())
+        if now is not None:
+            yield done()
+
+    back = made.where("block = -1").select("block", "uid", "data").unionByName(levels)
+    scores = back.repartition("uid").sortWithinPartitions("uid", "block").mapInArrow(finish, "uid bigint, score double")
     floor = float(-np.log10(float(model.n + model.v + 1)))
     rare = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("h"), F.col("r.times").alias("k"))
     rest = rare.join(words, "h", "left").groupBy("uid").agg(
         F.sum(F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) + floor)).alias("rest"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("rest_known"))
-    out = rows.drop("rare", "times").join(rest, "uid", "left")
+    out = rows.drop("rare", "times", "block", "data").join(rest, "uid", "left").join(scores, "uid")
     return out.select("id", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
                       F.lit(model.n).cast("long").alias("train_tokens"),
                       (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
-
