@@ -81,7 +81,7 @@ def stored_levels(model):
     def level(h):
         h = np.asarray(h, np.uint64)
         block = (h >> np.uint64(65 - model.blocks.bit_length())).astype(int)
-        return np.array([L._block_levels(bits.get(b, np.empty(0, np.uint8)), h[i:i + 1])[0] for i, b in enumerate(block)])
+        return np.array([L._block_levels(bits.get(b, np.empty(0, np.uint8)), L._keys(h[i:i + 1], model.blocks))[0] for i, b in enumerate(block)])
     return level
 
 
@@ -93,7 +93,7 @@ def log_score(model, level, t):
     w = tokens(t)
     count = lambda h: L.middle(level(h))
     p1 = (count(w) + 1) / (model.n_filter + model.v + 1)
-    ctx, pair = count(L.context_hash(w[:-1])), count(L.pair_hash(w[:-1], w[1:]))
+    ctx, pair = count(w[:-1]), count(L.pair_hash(w[:-1], w[1:]))
     return np.log10(p1[0]) + np.log10((np.minimum(ctx, pair) + L.MU * p1[1:]) / (ctx + L.MU)).sum()
 
 
@@ -119,8 +119,21 @@ def test_filter_has_no_greatest_size(spark):
     bits = {r["block"]: r["bits"] for r in blocks.collect()}
     for r in rare.collect():
         h = np.array([r["h"]]).view(np.uint64)
-        assert L._block_levels(np.frombuffer(bits[int(h[0]) >> 56], np.uint8), h)[0] >= 1
+        assert L._block_levels(np.frombuffer(bits[int(h[0]) >> 56], np.uint8), L._keys(h, 256))[0] >= 1
 
 
 def test_block_count_grows_with_the_input():
     assert [L.block_count(n) for n in (0, 1, 256 << 20, (256 << 20) + 1, 10 ** 13)] == [256, 256, 256, 512, 1 << 24]
+
+
+def test_pairs_of_rare_words_are_counted(texts):
+    # 17,000 more frequent words: "odd" and "couple" were in no pair
+    docs = [(i, " ".join(f"w{j}" for j in range(1000 * i, 1000 * i + 1000)) + "\n" + " ".join(f"w{j}" for j in range(1000 * i, 1000 * i + 1000)))
+            for i in range(17)] + [(17, "odd couple")]
+    model, words = L.train(texts(docs), "text")
+    got = L.score(texts([(1, "odd couple"), (2, "couple odd")]), "doc_id", "text", model, words).orderBy("id").collect()
+    p1 = 2 / (model.n_filter + model.v + 1)
+    end = (L.middle(np.array(5)) + 1) / (model.n_filter + model.v + 1)  # 18 ends
+    seen = [p1, (1 + L.MU * p1) / (1 + L.MU), (1 + L.MU * end) / (1 + L.MU)]
+    assert math.isclose(got[0]["score"], sum(map(math.log10, seen)), rel_tol=1e-9)
+    assert got[0]["score"] > got[1]["score"]

@@ -7,10 +7,11 @@ block, so Spark builds the blocks in parallel. It holds every n-gram and grows w
 number sets the number of blocks, and each block is as large as its own n-grams need. The blocks
 are a stored table; texts ask for their distinct n-grams by block number (``score``).
 
-Counts come from all training texts: words (and one end mark per text), and pairs of neighbours
-that both are among the ``vocab`` most frequent words. P(w | v) = (c(v w) + MU * P1(w)) /
+Counts come from all training texts: words (and one end mark per text), and all pairs of
+neighbours. P(w | v) = (c(v w) + MU * P1(w)) /
 (c(v .) + MU) with P1(w) = (c(w) + 1) / (N' + V + 1), all c from probes; N' is the sum of all
-words' counts as the filter knows them, so that P1 adds up to one.
+words' counts as the filter knows them, so that P1 adds up to one. Every word has a right
+neighbour, the end mark at least, so that c(v .) is c(v).
 
 Next to the model, every text gets its exact unigram score (``base_score``). Exact counts of the
 ``HEAD`` most frequent words are broadcast (a fixed bound); the few occurrences of all other
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import mix64, slices, stored, text_arrays, word_hashes
 
 HEAD = 1 << 20
-VOCAB = 1 << 14
 MU = 1000.0
 BLOCKS = 1 << 12
 PROBES = 4
@@ -40,9 +40,10 @@ MAX_LEVEL = 48
 HELD = 1 << 20  # distinct n-grams that a counting task holds before it emits them
 BLOCK_GRAMS = 1 << 20  # n-gram occurrences that come to a block of the stored filter
 LEAST_BLOCKS = 1 << 8
+KEY_BYTES = 5
 SLICE = 4 << 20  # bytes of text that ask the filter together
 END = np.uint64(0x5851F42D4C957F2D)
-_PAIR, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(data: np.ndarray) -> np.ndarray:
@@ -54,11 +55,6 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix64(v * _PAIR + w)
 
 
-def context_hash(v: np.ndarray) -> np.ndarray:
-    """The n-gram "v followed by anything"."""
-    return mix64(v ^ _CONTEXT)
-
-
 def _signed(x: np.ndarray):
     return x.view(np.int64)
 
@@ -120,19 +116,11 @@ def _counts(texts: DataFrame, grams) -> DataFrame:
     return texts.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _neighbours(vocab: np.ndarray):
-    """Pairs of neighbours in ``vocab`` (sorted hashes), and their contexts."""
-    def grams(parts):
-        out = []
-        joined = np.concatenate(parts)
-        inside = _member(vocab, joined)
-        ok = inside[:-1] & inside[1:]
-        ok &= joined[:-1] != END  # a text's last token has no neighbour
-        v, w = joined[:-1][ok], joined[1:][ok]
-        out.append(pair_hash(v, w))
-        out.append(context_hash(v))
-        return np.concatenate(out)
-    return grams
+def _neighbours(parts: list[np.ndarray]) -> np.ndarray:
+    """All pairs of neighbours."""
+    joined = np.concatenate(parts)
+    ok = joined[:-1] != END  # a text's last token has no neighbour
+    return pair_hash(joined[:-1][ok], joined[1:][ok])
 
 
 def _member(sorted_hashes: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -268,15 +256,35 @@ def _block_levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return Filter(bits[None, :], len(bits) * 8).level(h, np.zeros(len(h), dtype=np.int64)) if len(bits) else np.zeros(len(h), dtype=np.int64)
 
 
+def _keys(h: np.ndarray, blocks: int) -> np.ndarray:
+    """What a block knows its n-grams by: the KEY_BYTES bytes of the hash below the block's bits.
+    Blocks have about equally many n-grams at any size of the input, so two of them share a key
+    (and then the sum of their counts) about once in 2^20, far more seldom than a probe errs."""
+    return (h << np.uint64(blocks.bit_length() - 1)) >> np.uint64(64 - 8 * KEY_BYTES)
+
+
+def _planes(x: np.ndarray, size: int = 8) -> bytes:
+    """The ``size`` lowest bytes of the numbers: all first bytes, then all second bytes, ..., since
+    those that hardly change compress."""
+    return x.view(np.uint8).reshape(len(x), -1)[:, :size].T.tobytes()
+
+
+def _from_planes(data, size: int = 8, n: int = -1, offset: int = 0) -> np.ndarray:
+    x = np.frombuffer(data, np.uint8, n if n < 0 else n * size, offset).reshape(size, -1)
+    out = np.zeros((x.shape[1], 8), dtype=np.uint8)
+    out[:, :size] = x.T
+    return out.view(np.uint64).ravel()
+
+
 _PARTS = "block int, h binary, c binary"
 
 
 def _packed(u: np.ndarray, c: np.ndarray, blocks: int):
     import pyarrow as pa
-    cuts = _cuts(u, blocks)
+    cuts, key = _cuts(u, blocks), _keys(u, blocks)
     return pa.RecordBatch.from_arrays(
-        [pa.array([x for x, _, _ in cuts], pa.int32()), pa.array([u[a:b].tobytes() for _, a, b in cuts], pa.binary()),
-         pa.array([c[a:b].tobytes() for _, a, b in cuts], pa.binary())], names=["block", "h", "c"])
+        [pa.array([x for x, _, _ in cuts], pa.int32()), pa.array([_planes(key[a:b], KEY_BYTES) for _, a, b in cuts], pa.binary()),
+         pa.array([_planes(c[a:b]) for _, a, b in cuts], pa.binary())], names=["block", "h", "c"])
 
 
 def store_filter(words: DataFrame, texts: DataFrame, grams, blocks: int) -> DataFrame:
@@ -306,7 +314,7 @@ def store_filter(words: DataFrame, texts: DataFrame, grams, blocks: int) -> Data
                     if now is not None:
                         yield done()
                     now = block
-                tally.put(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64))
+                tally.put(_from_planes(h.as_buffer(), KEY_BYTES), _from_planes(c.as_buffer()).view(np.int64))
                 if tally.size > HELD:
                     tally.shrink(always=True)
         if now is not None:
@@ -322,7 +330,6 @@ class Model:
     v: int
     head: np.ndarray         # sorted hashes of the most frequent words
     head_count: np.ndarray
-    vocab: np.ndarray
     n_filter: float          # sum of all words' counts as the filter knows them
     blocks: int
     filter: DataFrame        # (block, bits), stored
@@ -332,7 +339,7 @@ def _arrow_column(table, name):
     return table[name].combine_chunks().to_numpy(zero_copy_only=False)
 
 
-def train(docs: DataFrame, text_col: str, head: int = HEAD, vocab: int = VOCAB) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text_col: str, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model and the table (h, c) of all word counts."""
     texts = docs.select(F.col(text_col).alias("t"))
     words = stored(_counts(texts, np.concatenate), "word-counts")
@@ -347,41 +354,30 @@ def train(docs: DataFrame, text_col: str, head: int = HEAD, vocab: int = VOCAB)
             break
     top = words.where(fine >= least_bin).toArrow()  # at most ``head`` rows
     h, c = _arrow_column(top, "h").astype(np.int64).view(np.uint64), _arrow_column(top, "c").astype(np.int64)
-    best = np.sort(h[np.lexsort((h, -c))[:vocab]])
     order = np.argsort(h)
-    held = docs.sparkSession.sparkContext.broadcast(best)
-
-    def grams(parts):
-        return _neighbours(held.value)(parts)
-    blocks = block_count(2 * tot["n"])  # a pair and a context for each word at most
-    held_filter = store_filter(words, texts, grams, blocks)
+    blocks = block_count(2 * tot["n"])  # a word and a pair for each token at most
+    held_filter = store_filter(words, texts, _neighbours, blocks)
     n_filter = sum(k * float(middle(np.array(q))) for q, k in _levels(words).items())
-    return Model(tot["n"], tot["v"], h[order], c[order], best, n_filter, blocks, held_filter), words
+    return Model(tot["n"], tot["v"], h[order], c[order], n_filter, blocks, held_filter), words
 
 
-def _asked(vocab: np.ndarray, uniq: np.ndarray, code: np.ndarray, start: np.ndarray):
+def _asked(uniq: np.ndarray, code: np.ndarray, start: np.ndarray):
     """What the score of a slice of texts asks of the filter. Tokens are ``uniq[code]``, texts begin
     at ``start``. Returns the sorted hashes; each token's item, an item being a pair (v, w) or a
-    word without a left neighbour; and per item the places of its word, context and pair among
-    the hashes (-1: none)."""
+    text's first word; and per item the places of w, v and the pair among the hashes (-1: none)."""
     v = np.full(len(code), -1, dtype=np.int64)
     v[1:] = code[:-1]
     v[start] = -1
-    inside = _member(vocab, uniq)
-    v[(v >= 0) & ~inside[v]] = -1
     items, item = np.unique((v + 1) * (len(uniq) + 1) + code, return_inverse=True)
     v, w = items // (len(uniq) + 1) - 1, items % (len(uniq) + 1)
-    has, both = v >= 0, (v >= 0) & inside[w]
-    before = np.zeros(len(uniq), dtype=bool)
-    before[v[has]] = True
-    asked = np.concatenate([uniq, context_hash(uniq[before]), pair_hash(uniq[v[both]], uniq[w[both]])])
+    has = v >= 0
+    asked = np.concatenate([uniq, pair_hash(uniq[v[has]], uniq[w[has]])])
     order = np.argsort(asked)
     place = np.empty(len(asked), dtype=np.int64)
     place[order] = np.arange(len(asked))
-    ctx, pair = np.full(len(items), -1), np.full(len(items), -1)
-    ctx[has] = place[len(uniq) + np.cumsum(before) - 1][v[has]]
-    pair[both] = place[len(uniq) + np.count_nonzero(before):]
-    return asked[order], item, place[w], ctx, pair
+    pair = np.full(len(items), -1)
+    pair[has] = place[len(uniq):]
+    return asked[order], item, place[w], np.where(has, place[v], -1), pair
 
 
 def _log_p(m: Model, level: np.ndarray, word: np.ndarray, ctx: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -428,22 +424,42 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model, words: Data
                      pa.array(np.add.reduceat(base[code], start), pa.float64()), pa.array([r[0] for r in rare], pa.list_(pa.int64())),
                      pa.array([r[1] for r in rare], pa.list_(pa.int64())), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
                     names=names)
-                asked = _asked(m.vocab, uniq, code, start)[0]
-                rows = [(-1, np.array([len(n), len(uniq)]).tobytes() + n.astype(np.int64).tobytes() + uniq.tobytes()
-                         + code.astype(np.int32).tobytes()),
-                        *((x, asked[a:b].tobytes()) for x, a, b in _cuts(asked, m.blocks))]
-                k = len(rows)
+                often = np.argsort(-np.bincount(code), kind="stable")  # frequent words first: small numbers pack well
+                number = np.empty(len(often), dtype=np.int64)
+                number[often] = np.arange(len(often))
+                data = np.array([len(n), len(uniq)]).tobytes() + n.astype(np.int64).tobytes() + _planes(uniq[often]) + _planes(number[code], 4)
+                data = len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, part.column(0).type), pa.array([uid] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                     pa.nulls(k, pa.float64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64())),
-                     pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
+                    [pa.nulls(1, part.column(0).type), pa.array([uid], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                     pa.nulls(1, pa.float64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())),
+                     pa.array([-1], pa.int32()), pa.array([data], pa.binary())], names=names)
                 uid += len(n)
 
-    # one pass gives the rows of the texts (block null), of the slices (-1) and of what they ask for
+    # one pass gives the rows of the texts (block null) and of the slices (-1)
     made = stored(src.mapInArrow(run, f"id {id_type}, uid bigint, n_tokens bigint, known bigint, base double, "
                                       "rare array<bigint>, times array<bigint>, block int, data binary"), "lm-rows")
     rows = made.where("block is null")
 
+    def open_slice(data):
+        import pyarrow as pa
+        data = data.as_buffer()
+        data = pa.decompress(data[8:], int.from_bytes(data[:8].to_pybytes(), "little"), "zstd")
+        n, u = np.frombuffer(data, np.int64, 2)
+        size = np.frombuffer(data, np.int64, n, 16)
+        uniq = _from_planes(data, 8, u, 16 + 8 * n)
+        return uniq, _from_planes(data, 4, -1, 16 + 8 * (n + u)).astype(np.int64), np.cumsum(size) - size
+
+    def ask(batches):
+        import pyarrow as pa
+        blocks = held.value.blocks
+        for batch in batches:
+            for uid, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                asked = _asked(*open_slice(data))[0]
+                cuts, key = _cuts(asked, blocks), _keys(asked, blocks)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x, _, _ in cuts], pa.int32()), pa.array([uid] * len(cuts), pa.int64()),
+                     pa.array([_planes(key[a:b], KEY_BYTES) for _, a, b in cuts], pa.binary())], names=["block", "uid", "data"])
+
     def answer(batches):
         import pyarrow as pa
         now, bits = None, None
@@ -451,17 +467,17 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model, words: Data
             block, uid, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             keep, out = [], []
             for i in range(len(block)):
-                x = np.frombuffer(data[i].as_buffer(), np.uint8)
                 if uid[i] < 0:  # the block itself, sorted before all that is asked of it
-                    now, bits = block[i], x.copy()
+                    now, bits = block[i], np.frombuffer(data[i].as_py(), np.uint8)
                 else:
                     keep.append(i)
                     own = bits if now == block[i] else np.empty(0, np.uint8)
-                    out.append(_block_levels(own, x.view(np.uint64)).astype(np.uint8).tobytes())
+                    out.append(_block_levels(own, _from_planes(data[i].as_buffer(), KEY_BYTES)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(block[keep], pa.int32()), pa.array(uid[keep], pa.int64()), pa.array(out, pa.binary())],
                                              names=["block", "uid", "data"])
 
-    asked = made.where("block >= 0").select("block", "uid", "data").unionByName(
+    slices_ = made.where("block = -1").select("block", "uid", "data")
+    asked = slices_.select("uid", "data").mapInArrow(ask, "block int, uid bigint, data binary").unionByName(
         model.filter.select("block", F.lit(-1).cast("long").alias("uid"), F.col("bits").alias("data")))
     levels = asked.repartition("block").sortWithinPartitions("block", "uid").mapInArrow(answer, "block int, uid bigint, data binary")
 
@@ -471,14 +487,10 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model, words: Data
         now, slice_, got = None, None, []
 
         def done():
-            head = np.frombuffer(slice_, np.int64, 2)
-            n = np.frombuffer(slice_, np.int64, head[0], 16)
-            uniq = np.frombuffer(slice_, np.uint64, head[1], 16 + 8 * head[0])
-            code = np.frombuffer(slice_, np.int32, -1, 16 + 8 * (head[0] + head[1])).astype(np.int64)
-            start = np.cumsum(n) - n
-            _, item, word, ctx, pair = _asked(m.vocab, uniq, code, start)
+            uniq, code, start = open_slice(slice_)
+            _, item, word, ctx, pair = _asked(uniq, code, start)
             p = _log_p(m, np.frombuffer(b"".join(got), np.uint8).astype(np.int64), word, ctx, pair)
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(now, now + len(n))), pa.array(np.add.reduceat(p[item], start))],
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(now, now + len(start))), pa.array(np.add.reduceat(p[item], start))],
                                               names=["uid", "score"])
         for batch in batches:
             block, uid, data = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
@@ -488,14 +500,13 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model, words: Data
                         yield done()
                     now, got = uid[i], []
                 if block[i] < 0:
-                    slice_ = data[i].as_py()
+                    slice_ = data[i]
                 else:
                     got.append(data[i].as_py())
         if now is not None:
             yield done()
 
-    back = made.where("block = -1").select("block", "uid", "data").unionByName(levels)
-    scores = back.repartition("uid").sortWithinPartitions("uid", "block").mapInArrow(finish, "uid bigint, score double")
+    scores = slices_.unionByName(levels).repartition("uid").sortWithinPartitions("uid", "block").mapInArrow(finish, "uid bigint, score double")
     floor = float(-np.log10(float(model.n + model.v + 1)))
     rare = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("h"), F.col("r.times").alias("k"))
     rest = rare.join(words, "h", "left").groupBy("uid").agg(
