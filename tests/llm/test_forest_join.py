@@ -107,3 +107,15 @@ def test_components(spark):
                 todo.append(x)
         assert got[v] == min(seen)
     assert set(got) == set(near)
+
+
+def test_links_with_empty_blocks(texts, monkeypatch):
+    # few long texts: more blocks than texts, so some blocks of a cluster have no member
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 60)
+    rng = random.Random(7)
+    docs = []
+    for g in range(6):
+        base = [f"g{g}w{rng.randrange(4000)}" for _ in range(150)]
+        docs += [(3 * g + k, " ".join([*base, f"end{k}"])) for k in range(3 if g % 2 else 2)]
+    got = J.classes(texts(docs), "doc_id", "text").collect()
+    assert sorted([(r["id"], r["class_id"], r["n_links"]) for r in got], key=repr) == brute(docs)

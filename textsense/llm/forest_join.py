@@ -116,13 +116,13 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 
 def _verify(threshold: float):
     """Function over batches of (label, p, q, nid, mult, block, set) sorted by (label, p, q, nid)."""
-    def group(rows):
+    def group(p, q, rows):
         rows = list({r[0]: r for r in rows}.values())  # a repeated row of the table comes twice
         nid, mult, block, sets = zip(*rows)
         linked = _linked_counts(list(sets), threshold)
         np.fill_diagonal(linked, False)
         block = np.array(block)
-        if (block != block[0]).any():  # two blocks: pairs inside one belong to another task
+        if p != q:  # two blocks, one of them perhaps empty: pairs inside one belong to another task
             linked &= block[:, None] != block[None, :]
         links = linked.astype(np.int64) @ np.array(mult, dtype=np.int64)
         roots = _roots(linked)
@@ -141,14 +141,14 @@ def _verify(threshold: float):
             for at, (lab, p, q, nid, mult, block) in enumerate(zip(*cols)):
                 if (lab, p, q) != key:
                     if rows:
-                        out += group(rows)
+                        out += group(*key[1:], rows)
                     key, rows = (lab, p, q), []
                     if len(out) >= 5000:
                         yield batch_of(out)
                         out = []
                 rows.append((nid, mult, block, np.frombuffer(batch.column(6)[at].as_py(), dtype=np.uint64)))
         if rows:
-            out += group(rows)
+            out += group(*key[1:], rows)
         if out:
             yield batch_of(out)
     return run
