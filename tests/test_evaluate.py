@@ -57,3 +57,41 @@ def test_pandas_scorer(spark):
     docs = spark.createDataFrame([(1, "x" * 600)], "doc_id long, text string")
     scorer = CL.pandas_scorer(lambda s: s.str.len().map(lambda n: "POSITIVE" if n == 512 else "NEGATIVE"))
     assert CL.label_with(docs, "text", scorer).first()["sentiment"] == "positive"
+
+
+def _step_tables(spark, folder, docs):
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id bigint, quality int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_step_counts_stemmed_equals_brute_force(spark, tmp_path):
+    import hashlib
+    import re
+
+    import __spark_entry__ as E
+    from textsense.functions.porter import stem
+
+    # "the" and "42" are empty after cleaning; each word comes in three forms with one stem
+    words = ["connect", "walk", "jump", "train", "load", "paint", "clean", "report", "count", "test"]
+    docs = [(i, f"{words[i % 10]} {words[i % 7]}ing {words[i % 3]}ed " + "x" * (3 + i % 5) + "q") for i in range(40)]
+    docs += [(40, "the"), (41, "42"), (42, "")]
+    _step_tables(spark, str(tmp_path), docs)
+    got = E.queries()["step_counts_stemmed"](spark, str(tmp_path)).collect()[0].asDict()
+    kept = [(i, t) for i, t in docs if i < 40]
+    order = lambda r: (hashlib.md5(f"{r[0]}:42".encode()).hexdigest(), r[0])
+    train = []
+    for side in (0, 1):
+        rows = sorted([r for r in kept if r[0] % 2 == side], key=order)
+        train += rows[round(len(rows) * 0.2):]
+    stems = {stem(w) for _, t in train for w in re.findall("[a-z]+", t)}
+    assert got == {"loaded": 43, "cleaned": 40, "train": 32, "test": 8, "vocabulary": len(stems)}
+    assert len(stems) < len({w for _, t in train for w in t.split()})
+
+
+def test_step_counts_stemmed_stops_at_the_trainers_cap(spark, tmp_path):
+    import __spark_entry__ as E
+    from itertools import product
+    words = ["".join(p) + "zq" for p in product("bcdfghjklmnpqrtvwx", repeat=3)]  # 5,832, each its own stem
+    docs = [(i, " ".join(words)) for i in range(10)]
+    _step_tables(spark, str(tmp_path), docs)
+    assert E.queries()["step_counts_stemmed"](spark, str(tmp_path)).first()["vocabulary"] == 5000

@@ -30,6 +30,7 @@ from . import vocab as V
 FEATURE_TOKENS = "__tokens"
 NEUTRAL = ("neutral", 0.0)
 VECTOR_BYTES = 32 << 20
+MAX_TERMS = 5000
 
 
 def features_tokens(df: DataFrame, col: str, out: str = FEATURE_TOKENS) -> DataFrame:
@@ -68,7 +69,7 @@ class TextModel:
                          "probability", "prediction", "__label_idx"))
 
 
-def train_classifier(df: DataFrame, col: str, label: str, max_terms: int = 5000,
+def train_classifier(df: DataFrame, col: str, label: str, max_terms: int = MAX_TERMS,
                      max_iter: int = 1000) -> TextModel:
     """E7 on labelled rows; rows whose cleaned text is empty are dropped first (B2).
 

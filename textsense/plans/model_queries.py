@@ -175,7 +175,8 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM loaded) AS loaded,
        (SELECT CAST(v AS BIGINT) FROM voc) AS vocabulary""")
 def step_counts(spark, sf):
     """E14 (with B2): rows loaded, left after cleaning (no stemming here, so SQL can check it),
-    train and test sizes, distinct tokens of the training side (before any cap)."""
+    train and test sizes, distinct tokens of the training side (before any cap). The trainer's own
+    figures are those of ``step_counts_stemmed``."""
     lab = _labelled(spark, sf)
     cleaned = FI.drop_empty_clean(lab.withColumn("c", T.clean_text("text")), "c", "quality")
     # the counts read the cleaned rows several times: clean once
@@ -188,6 +189,21 @@ def step_counts(spark, sf):
                           test=split.where(F.col("split") == "test"), vocabulary=vocab)
 
 
+@register("step_counts_stemmed")
+def step_counts_stemmed(spark, sf):
+    """E14 as the trainer counts (no SQL: SQL cannot stem): rows loaded, left after cleaning and
+    stemming, train and test sizes, distinct stems of the training side, MAX_TERMS at most."""
+    lab = _labelled(spark, sf)
+    stems = CL.features_tokens(lab.where(F.col("quality").isNotNull()), "text")
+    stems = stored(stems.where(T.strip_ws("__cleaned") != "").select("doc_id", "quality", CL.FEATURE_TOKENS), "stemmed")
+    split = _split(stems, "quality")
+    train = split.where(F.col("split") == "train")
+    vocab = (train.join(stems, "doc_id").select(F.explode_outer(CL.FEATURE_TOKENS).alias("t"))
+             .where(F.col("t").isNotNull()).distinct())
+    return EV.step_counts(loaded=lab, cleaned=split, train=train, test=split.where(F.col("split") == "test"),
+                          vocabulary=vocab.limit(CL.MAX_TERMS))
+
+
 # --- labelling ------------------------------------------------------------------------------
 
 @register("label_resume", f"""WITH pol AS {lexicon_polarity_sql(
