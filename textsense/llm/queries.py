@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bloom_lm, decontaminate, forest_join, fourier_quality, label_shards, nb_langid, quality_rules, trie_bpe, warc_chain, wavelet
+from . import (bloom_lm, conv_toxicity, decontaminate, divergence, forest_join, fourier_quality, label_shards, nb_langid,
+               pivot_spelling, quality_rules, trie_bpe, warc_chain, wavelet)
 from .common import fold, read_table, stored
 
 QUERIES: dict = {}
@@ -152,3 +153,52 @@ FROM chars GROUP BY page_id
 def op8_warc_chain(spark, sf):
     r = warc_chain.round_trip(read_table(spark, sf, "pages"), "page_id", "url", "html")
     return r.withColumnRenamed("id", "page_id")
+
+
+_OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+occ AS (SELECT r, lang, source, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+vocab AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM occ o JOIN kept k ON o.lang = k.lang AND o.term = k.term GROUP BY ALL),
+gtot AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM groups g LEFT JOIN cnt c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+ltot AS (SELECT lang, sum(n) AS n FROM cnt GROUP BY lang),
+gp AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+              CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + v.v) AS HUGEINT) AS p
+       FROM gtot g JOIN vocab v ON g.lang = v.lang JOIN kept k ON k.lang = g.lang
+       LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+lp AS (SELECT c.lang, c.term, CAST(1 + (1000000000::HUGEINT * (sum(c.n) + 1)) // (any_value(l.n) + any_value(v.v)) AS HUGEINT) AS q
+       FROM cnt c JOIN ltot l ON c.lang = l.lang JOIN vocab v ON v.lang = c.lang GROUP BY c.lang, c.term),
+pair_sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+              FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT g.lang, g.source, 'term' AS part, g.term AS item, CAST(((g.p - l.q) * (g.p - l.q)) // l.q AS BIGINT) AS value
+          FROM gp g JOIN lp l ON g.lang = l.lang AND g.term = l.term WHERE g.n > 0 AND g.p > l.q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@register("op11_source_divergence", _OP11_SQL)
+def op11_source_divergence(spark, sf):
+    return divergence.audit(read_table(spark, sf, "documents"), "text", "lang", "source")
+
+
+@register("op12_conv_toxicity")
+def op12_conv_toxicity(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model, thresholds = conv_toxicity.fit(docs, "doc_id", "text", read_table(spark, sf, "labels"), "doc_id", "toxic", "lang",
+                                          learn=fold("id", 5) != 0)
+    scored = conv_toxicity.flag(conv_toxicity.score(docs, "text", model), "score", "lang", thresholds)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
+
+
+@register("op13_pivot_spelling")
+def op13_pivot_spelling(spark, sf):
+    return pivot_spelling.variants(read_table(spark, sf, "documents"), "doc_id", "text", every=199)
