@@ -27,7 +27,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ from .common import _BYTE_CODE, _Powers, mix64, seeds, slices, stored
 SCALE = 1_000_000_000
 MIN_DOCS = 3
 TOP = 200
-PAGE = 64
+PAGE = 16
 LEVELS = 40
 _SEED = seeds(LEVELS + 2, 41)
 
@@ -52,7 +52,7 @@ class Limits:
 
     shard_keys: int = 1 << 16
     round_bytes: int = 64 << 20
-    held_cells: int = 4 << 20
+    held_cells: int = 8 << 20
     block_cells: int = 1 << 20
 
 
@@ -192,11 +192,11 @@ class Slots:
     def clear(self) -> None:
         self.groups: dict = {}
         self.table = np.empty((0, self.pages), dtype=np.int32)
-        self.pool, self.used = np.zeros((64, PAGE), dtype=np.int64), 0
+        self.pool, self.used, self.added = np.zeros((64, PAGE), dtype=np.uint32), 0, 0
 
     @property
     def full(self) -> bool:
-        return self.used * PAGE > self.held or self.table.size > self.held
+        return self.used * PAGE > self.held or self.table.size > self.held or self.added >= 1 << 31
 
     def group(self, key) -> int:
         if key not in self.groups:
@@ -206,16 +206,20 @@ class Slots:
             self.groups[key] = len(self.groups)
         return self.groups[key]
 
-    def add(self, group: np.ndarray, slot: np.ndarray, n: np.ndarray) -> None:
-        """Add counts; (group, slot) pairs are distinct."""
-        page = slot // PAGE
-        new = np.unique((group * self.pages + page)[self.table[group, page] < 0])
+    def add(self, group: np.ndarray, slot: np.ndarray) -> None:
+        """Count one for each (group, slot)."""
+        at = group * self.pages + slot // PAGE
+        page = self.table.ravel()[at]
+        new = np.unique(at[page < 0])
         if len(new):
-            while self.used + len(new) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.table[new // self.pages, new % self.pages] = self.used + np.arange(len(new))
+            if self.used + len(new) > len(self.pool):
+                more = max(min(len(self.pool), 1 << 16), self.used + len(new) - len(self.pool))
+                self.pool = np.concatenate([self.pool, np.zeros((more, PAGE), dtype=np.uint32)])
+            self.table.ravel()[new] = self.used + np.arange(len(new))
             self.used += len(new)
-        self.pool[self.table[group, page], slot % PAGE] += n
+            page = self.table.ravel()[at]
+        np.add.at(self.pool.ravel(), page.astype(np.int64) * PAGE + slot % PAGE, np.uint32(1))
+        self.added += len(slot)
 
     def rows(self):
         """(key, slots, counts) of each group."""
@@ -223,7 +227,7 @@ class Slots:
             page = np.flatnonzero(self.table[g] >= 0)
             held = self.pool[self.table[g, page]]
             i, j = np.nonzero(held)
-            yield key, page[i] * PAGE + j, held[i, j]
+            yield key, page[i] * PAGE + j, held[i, j].astype(np.int64)
 
 
 def _source(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -318,23 +322,24 @@ def recount(src: DataFrame, idx: Index, limits: Limits = Limits()) -> DataFrame:
                          pa.array(slot + shards.first_key), pa.array(n)], names=["lang", "source", "key", "n"])
                 slots.clear()
             for batch in batches:
-                for rows in slices(batch, 2, 1 << 22):
+                for rows in slices(batch, 2, 1 << 21):
                     words, row = terms(rows.column(2))
                     enc = words.dictionary_encode()
                     size = max(len(enc.dictionary), 1)
-                    langs, sources = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-                    names = sorted(set(zip(langs, sources)))
-                    number = {x: i for i, x in enumerate(names)}
-                    group = np.array([number[x] for x in zip(langs, sources)], dtype=np.int64)
-                    cell, n = np.unique(group[row] * size + enc.indices.to_numpy(), return_counts=True)
-                    of = pa.array([x for x, _ in names], pa.string())
-                    at = shards.slots(of.take(pa.array(cell // size)), enc.dictionary.take(pa.array(cell % size)))
-                    ok = at >= 0
-                    met = np.unique(cell[ok] // size)
-                    number = np.zeros(len(names), dtype=np.int64)
-                    for g in met.tolist():
-                        number[g] = slots.group(names[g])
-                    slots.add(number[cell[ok] // size], at[ok], n[ok])
+                    lang, source = (rows.column(i).dictionary_encode() for i in (0, 1))
+                    of, width = lang.indices.to_numpy().astype(np.int64), len(source.dictionary)
+                    # each (language, term) is looked up once, then its slot is read for each occurrence
+                    pair = of[row] * size + enc.indices.to_numpy()
+                    met = np.flatnonzero(np.bincount(pair, minlength=1))
+                    slot = np.full(size * max(len(lang.dictionary), 1), -1, dtype=np.int64)
+                    slot[met] = shards.slots(lang.dictionary.take(pa.array(met // size)).cast(pa.string()), enc.dictionary.take(pa.array(met % size)))
+                    slot = slot[pair]
+                    group = of * width + source.indices.to_numpy()
+                    names, group = np.unique(group, return_inverse=True)
+                    number = np.array([slots.group((lang.dictionary[g // width].as_py(), source.dictionary[g % width].as_py())) for g in names.tolist()])
+                    ok = slot >= 0
+                    if ok.any():
+                        slots.add(number[group[row[ok]]], slot[ok])
                     if slots.full:
                         yield from emit()
             yield from emit()
@@ -358,15 +363,8 @@ def keys(idx: Index) -> DataFrame:
               .select((F.col("base") + F.col("slot")).alias("key"), F.col("k.langs").alias("lang"), F.col("k.words").alias("word"))
 
 
-def share(count: Column, mass: Column) -> Column:
-    """1 + floor(SCALE * (count + 1) / mass), three decimal digits at a time."""
-    q, r = F.call_function("div", count + 1, mass), (count + 1) % mass
-    for _ in range(3):
-        q, r = q * 1000 + F.call_function("div", r * 1000, mass), (r * 1000) % mass
-    return q + 1
-
-
 def shares(count: np.ndarray, mass) -> np.ndarray:
+    """1 + floor(SCALE * (count + 1) / mass), three decimal digits at a time."""
     q, r = np.divmod(count + 1, mass)
     for _ in range(3):
         d, r = np.divmod(r * 1000, mass)
@@ -374,14 +372,18 @@ def shares(count: np.ndarray, mass) -> np.ndarray:
     return q + 1
 
 
-def _pairs(counts: DataFrame, groups: DataFrame, cells: int) -> DataFrame:
-    """(lang, source, item, value) of all ordered pairs of sources of a language."""
-    size = groups.groupBy("lang").agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("s"))
-    size = size.select("lang", F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("s") / cells)).cast("long").alias("blocks"))
+def _block_sums(counts: DataFrame, groups: DataFrame, cells: int, top: int) -> DataFrame:
+    """Blocks of a language's terms, with the counts of all its sources: (lang, source, item, null,
+    sum over the block) of all ordered pairs of sources, and (lang, source, null, key, value) of the
+    terms that a group uses more than its language, of which a block hands over no more than the
+    ``top`` best and their ties."""
+    size = groups.groupBy("lang").agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("s"), F.sum("total").alias("lang_total"))
+    size = size.select("lang", (F.col("lang_total") + F.col("v")).alias("lang_mass"),
+                       F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("s") / cells)).cast("long").alias("blocks"))
     # every block has all sources of its language, with their totals, and its terms' counts
     heads = groups.join(size, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source",
-                                             F.lit(None).cast("long").alias("key"), F.col("mass").alias("n"))
-    body = counts.join(size, "lang").select("lang", F.pmod("key", "blocks").alias("block"), "source", "key", "n")
+                                             F.lit(None).cast("long").alias("key"), F.col("mass").alias("n"), "lang_mass")
+    body = counts.join(size, "lang").select("lang", F.pmod("key", "blocks").alias("block"), "source", "key", "n", F.lit(None).cast("long").alias("lang_mass"))
 
     def add(table):
         import pyarrow as pa
@@ -389,31 +391,39 @@ def _pairs(counts: DataFrame, groups: DataFrame, cells: int) -> DataFrame:
         head, rows = table.filter(pc.is_null(table["key"])), table.filter(pc.is_valid(table["key"]))
         names = sorted(head["source"].to_pylist())
         number = {x: i for i, x in enumerate(names)}
-        mass = np.zeros(len(names), dtype=np.int64)
+        mass = np.ones(len(names), dtype=np.int64)
         for x, m in zip(head["source"].to_pylist(), head["n"].to_pylist()):
-            mass[number[x]] = m
+            mass[number[x]] = max(m, 1)
         found, col = np.unique(rows["key"].to_numpy(), return_inverse=True)
         n = np.zeros((len(names), len(found)), dtype=np.int64)
         enc = rows["source"].combine_chunks().dictionary_encode()
         at = np.array([number[x] for x in enc.dictionary.to_pylist()], dtype=np.int64)
         n[at[enc.indices.to_numpy()] if len(at) else np.zeros(0, np.int64), col] = rows["n"].to_numpy()
-        p = shares(n, np.maximum(mass, 1)[:, None])
-        src, item, value = [], [], []
+        p = shares(n, mass[:, None])
+        q = shares(n.sum(axis=0), max(head["lang_mass"][0].as_py(), 1))
+        src, item, key, value = [], [], [], []
         for i in range(len(names)):
             d = p - p[i]
             v = (d * d // p[i]).sum(axis=1)
             other = np.flatnonzero(np.arange(len(names)) != i)
             src.append(other)
             item.append(np.full(len(other), i))
+            key.append(np.full(len(other), -1))
             value.append(v[other])
+            more = np.flatnonzero((n[i] > 0) & (p[i] > q))
+            v = (p[i] - q)[more] ** 2 // q[more]
+            best = v >= (np.partition(v, len(v) - top)[len(v) - top] if len(v) > top else 0)
+            src.append(np.full(best.sum(), i))
+            item.append(np.full(best.sum(), -1))
+            key.append(found[more[best]])
+            value.append(v[best])
         names = pa.array(names, pa.string())
-        src, item, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, item, value))
+        src, item, key, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, item, key, value))
         lang = pa.array([table["lang"][0].as_py()], pa.string())
         return pa.table({"lang": lang.take(pa.array(np.zeros(len(src), np.int64))), "source": names.take(pa.array(src)),
-                         "item": names.take(pa.array(item)), "value": pa.array(value, pa.int64())})
+                         "item": names.take(pa.array(item, mask=item < 0)), "key": pa.array(key, pa.int64(), mask=key < 0), "value": pa.array(value, pa.int64())})
 
-    return heads.union(body).groupBy("lang", "block").applyInArrow(add, "lang string, source string, item string, value bigint") \
-                .groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    return heads.union(body).groupBy("lang", "block").applyInArrow(add, "lang string, source string, item string, key bigint, value bigint")
 
 
 def audit(docs: DataFrame, text_col: str, lang_col: str, source_col: str, min_docs: int = MIN_DOCS, top: int = TOP,
@@ -423,23 +433,18 @@ def audit(docs: DataFrame, text_col: str, lang_col: str, source_col: str, min_do
     part 'term' the ``top`` terms that the group uses more than its language."""
     src = _source(docs, text_col, lang_col, source_col)
     idx = index(stored(kept_terms(src, min_docs), "kept-terms"), limits)
-    counts = stored(recount(src, idx, limits), "counts")
-    known = stored(keys(idx), "keys")
+    counts = recount(src, idx, limits)
     held = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    v = known.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
+    v = idx.built.select(F.explode("langs").alias("lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
+    zero = F.lit(0).cast("long")
     groups = stored(src.select("lang", "source").distinct().join(held, ["lang", "source"], "left").join(v, "lang", "left")
-                    .select("lang", "source", (F.coalesce("total", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("mass"),
-                            F.coalesce("v", F.lit(0)).alias("v")), "groups")
-    langs = stored(known.select("lang", "key", "word").join(counts.groupBy("key").agg(F.sum("n").alias("all")), "key"), "language-counts")
-    mass = langs.groupBy("lang").agg((F.sum("all") + F.count(F.lit(1))).alias("lang_mass"))
-    both = counts.join(langs.select("key", "word", "all"), "key").join(groups.select("lang", "source", "mass"), ["lang", "source"]) \
-                 .join(mass, "lang") \
-                 .select("lang", "source", "word", share(F.col("n"), F.col("mass")).alias("p"), share(F.col("all"), F.col("lang_mass")).alias("q"))
-    more = stored(both.where(F.col("p") > F.col("q")).select(
-        "lang", "source", F.col("word").alias("item"),
-        F.call_function("div", (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q")).alias("value")), "terms")
+                    .select("lang", "source", F.coalesce("total", zero).alias("total"), F.coalesce("v", zero).alias("v"))
+                    .withColumn("mass", F.col("total") + F.col("v")), "groups")
+    sums = stored(_block_sums(counts, groups, limits.block_cells, top), "block-sums")
     w = W.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    ranked = more.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    pairs = stored(_pairs(counts, groups, limits.block_cells), "pairs").withColumn("rank", F.row_number().over(w))
+    pairs = sums.where("item is not null").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    pairs = stored(pairs, "pairs").withColumn("rank", F.row_number().over(w))
+    words = sums.where("key is not null").select("lang", "source", "key", "value").join(keys(idx).select("key", F.col("word").alias("item")), "key")
+    ranked = stored(words, "terms").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank") \
                 .union(ranked.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
