@@ -60,3 +60,25 @@ def test_query(spark):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     rows = QUERIES["op7_wavelet_files"](spark, SF).collect()
     assert sorted(map(tuple, rows)) == expected(docs)
+
+
+def test_texts_cut_together_equal_the_library():
+    library = Tokenizer.from_file(PATH)
+    rng = random.Random(5)
+    common = ["a", "THE ", " ", "\n", "'s", "'LL", "12", "é", "É", "ÀB ", "ß", "×", "Ÿ", "=="]
+    rare = ["<|endoftext|>", "<|", "\x1c", "\x85", "\xa0", "Σ", "中文", "e\u0301", "😀"]
+    texts = ["".join(rng.choice(common if k % 3 else common + rare) for _ in range(rng.randrange(40))) for k in range(600)] + ["", None, " ", ""]
+    tok = V.WordTokenizer(PATH)
+    for some in (texts, texts[:1], [""], [None, None], ["😀"], ["a"]):
+        assert [np.frombuffer(x, tok.dtype).tolist() for x in tok.encode_together(some)] == \
+            [e.ids for e in library.encode_batch([t or "" for t in some], add_special_tokens=False)]
+
+
+def test_files_are_smaller_than_raw_ids():
+    rng = np.random.default_rng(1)
+    share = 1 / np.arange(1, 40_001) ** 1.1
+    x = rng.choice(40_000, 400_000, p=share / share.sum()).astype(np.uint16)
+    data = V.WaveletMatrix.build(x, 16).to_bytes()
+    assert len(data) / len(x) < 2
+    m = V.WaveletMatrix.from_bytes(memoryview(data))
+    assert (m.access(np.arange(0, len(x), 997)) == x[::997]).all() and m.count(3) == (x == 3).sum()

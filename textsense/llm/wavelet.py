@@ -4,12 +4,15 @@ Texts are tokenised where they lie and an end id closes each; ids are then range
 document id and written, in ascending order, to files of about ``FILE_TOKENS`` tokens. A file
 holds the documents' ids and offsets (deflated) and the wavelet matrix of its tokens: one bit
 plane per bit of an id, in which every plane orders the positions by the bits above, plus rank
-samples. It answers token access, counting and occurrence lookup without being unpacked, in one
-step per plane; reading it whole inverts the planes from the last to the first.
+samples. Planes are deflated one by one and inflated when first used. The matrix answers token
+access, counting and occurrence lookup in one step per plane; reading it whole inverts the planes
+from the last to the first.
 
 Tokenising goes through a cache of words (the library's BPE runs once per distinct word and
-task), which gives the library's ids for whole texts; texts with characters from outside the
-``SETTLED`` scripts are given to the library whole.
+task), which gives the library's ids for whole texts. Texts of ASCII and U+00C0 to U+00FF are cut
+into runs of letters, digits and signs together, a slice at a time: the cache is asked once for
+each distinct run of a slice and the ids are gathered by number. Other texts are cut one by one; those with characters from
+outside the ``SETTLED`` scripts are given to the library whole.
 
 Defined results: a null or empty text has the end id only; documents come in ascending order of
 their integer id, null first, rows with equal ids in order of their tokens' hash; a document
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WordCache, append_columns, folder, stored, write_file
+from .common import _TO_LOWER, WordCache, append_columns, folder, stored, write_file
 from .trie_bpe import byte_chars
 
 # Fixed value: the pattern of words in the tokenizer's file.
@@ -41,18 +44,34 @@ FILE_TOKENS = 4 << 20
 END_ID = 1
 MAGIC = b"WMTX0001"
 SAMPLE = 512  # bits between two rank samples
-MAX_CACHED_BYTES = 40 << 20
+MAX_CACHED_BYTES = 16 << 20
+MAX_RUNS = 300_000  # runs whose ids a worker remembers
+# bytes that the common way of cutting leaves to the others: four controls that are white space
+# in Python, and all first bytes of non-ASCII characters but that of U+00C0 to U+00FF
+_OTHER = np.zeros(256, dtype=bool)
+_OTHER[[*range(0x1C, 0x20), 0xC2, *range(0xC4, 0x100)]] = True
+# kind of each byte in the others: blank, letter, digit, sign
+_KIND = np.full(256, 3, dtype=np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
 
 
 class WaveletMatrix:
     """Bit planes, highest bit first, of a sequence of unsigned ints."""
 
     def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], samples: list[np.ndarray]):
-        self.n, self.planes, self.zeros, self.samples = n, planes, zeros, samples
+        self.n, self._planes, self.zeros, self.samples = n, planes, zeros, samples
 
     @property
     def width(self) -> int:
-        return len(self.planes)
+        return len(self._planes)
+
+    def plane(self, p: int) -> np.ndarray:
+        """The bits of a plane, packed."""
+        if not isinstance(self._planes[p], np.ndarray):
+            self._planes[p] = np.frombuffer(zlib.decompress(self._planes[p]), dtype=np.uint8)
+        return self._planes[p]
 
     @classmethod
     def build(cls, values: np.ndarray, width: int) -> WaveletMatrix:
@@ -78,14 +97,14 @@ class WaveletMatrix:
         """Ones before each position of ``at`` (0 to n) in a plane: the rank operation."""
         step = SAMPLE // 8
         row = at // SAMPLE
-        packed = self.planes[plane]
+        packed = self.plane(plane)
         index = row[:, None] * step + np.arange(step)
         chunk = np.where(index < len(packed), packed[np.minimum(index, max(len(packed) - 1, 0))] if len(packed) else 0, 0).astype(np.uint8)
         bits = np.clip((at - row * SAMPLE)[:, None] - 8 * np.arange(step), 0, 8)
         return self.samples[plane][row].astype(np.int64) + np.bitwise_count(chunk & ((1 << bits) - 1).astype(np.uint8)).sum(axis=1, dtype=np.int64)
 
     def _bit(self, plane: int, at: np.ndarray) -> np.ndarray:
-        return (self.planes[plane][at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        return (self.plane(plane)[at >> 3] >> (at & 7).astype(np.uint8)) & 1
 
     def access(self, at) -> np.ndarray:
         """The values at the positions ``at``."""
@@ -136,7 +155,7 @@ class WaveletMatrix:
         """The whole sequence, from the last plane back to the first."""
         out = np.zeros(self.n, dtype=np.uint16 if self.width <= 16 else np.uint32)
         for p in range(self.width - 1, -1, -1):
-            one = np.unpackbits(self.planes[p], count=self.n, bitorder="little").view(bool)
+            one = np.unpackbits(self.plane(p), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(out)
             up[~one] = out[:self.zeros[p]]
             up[one] = out[self.zeros[p]:] | out.dtype.type(1 << (self.width - 1 - p))
@@ -144,18 +163,20 @@ class WaveletMatrix:
         return out
 
     def to_bytes(self) -> bytes:
+        packed = [zlib.compress(self.plane(p), 1) for p in range(self.width)]
+        steps = [zlib.compress(np.diff(x).astype("<u2").tobytes(), 1) for x in self.samples]
         return b"".join([struct.pack("<QQ", self.n, self.width), np.array(self.zeros, dtype="<u8").tobytes(),
-                         *[x.tobytes() for x in self.planes], *[x.astype("<u4").tobytes() for x in self.samples]])
+                         np.array([len(x) for x in (*packed, *steps)], dtype="<u8").tobytes(), *packed, *steps])
 
     @classmethod
     def from_bytes(cls, data: memoryview) -> WaveletMatrix:
         n, width = struct.unpack_from("<QQ", data)
-        at, size, marks = 16 + 8 * width, (n + 7) // 8, (n + SAMPLE - 1) // SAMPLE + 1
         zeros = np.frombuffer(data, "<u8", width, 16).tolist()
-        planes = [np.frombuffer(data, np.uint8, size, at + i * size) for i in range(width)]
-        at += width * size
-        samples = [np.frombuffer(data, "<u4", marks, at + 4 * i * marks) for i in range(width)]
-        return cls(n, planes, zeros, samples)
+        sizes = np.frombuffer(data, "<u8", 2 * width, 16 + 8 * width).astype(np.int64)
+        cut = 16 + 24 * width + np.concatenate([[0], np.cumsum(sizes)])
+        parts = [data[x:y] for x, y in zip(cut[:-1], cut[1:])]
+        samples = [np.concatenate([[0], np.cumsum(np.frombuffer(zlib.decompress(x), "<u2"), dtype=np.int64)]).astype(np.uint32) for x in parts[width:]]
+        return cls(n, parts[:width], zeros, samples)
 
 
 def pack(part: int, seq: int, ids: list, sizes: np.ndarray, tokens: np.ndarray, width: int) -> bytes:
@@ -199,8 +220,17 @@ class WordTokenizer:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.to_chars = {b: c for c, b in byte_chars().items() if b != 32}  # words have no blank
         self.top = max(max(spec["model"]["vocab"].values()), *self.special.values(), END_ID)
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.top + 1, dtype=bool)  # tokens that end a run
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.dtype = np.dtype("<u2" if self.top < 1 << 16 else "<u4")
         self.cache = WordCache(MAX_CACHED_BYTES)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start the memory of runs: run -> number, and the numbers' ids one after the other."""
+        self.number: dict[str, int] = {}
+        self.held, self.start = np.zeros(1 << 20, dtype=self.dtype), np.zeros(1, dtype=np.int64)
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
@@ -226,21 +256,47 @@ class WordTokenizer:
             out += [("special", piece)] if piece in self.special else self._plain(piece)
         return out
 
+    def _ids(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all of ``words`` (lower-cased), and where each word's start (and end)."""
+        # letters alone are one run; the bare model closes each run with a token that ends one
+        parts = [1 if w.isalpha() else self.split.findall(w) for w in words]
+        many = [1 if p == 1 else len(p) for p in parts]
+        joined = " ".join([w if p == 1 else " ".join(p) for w, p in zip(words, parts) if p])
+        if not joined.isascii():
+            joined = joined.encode().decode("latin-1")
+        if not joined.isprintable():
+            joined = joined.translate(self.to_chars)
+        ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        run = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        return ids, run[np.concatenate([[0], np.cumsum(many, dtype=np.int64)])]
+
     def _learn(self, words: list) -> None:
         for w in [w for w in words if isinstance(w, tuple)]:
             self.cache.add(w, np.array([self.special[w[1]]], dtype=self.dtype).tobytes())
         words = [w for w in words if not isinstance(w, tuple)]
         for a in range(0, len(words), 4000):
-            some = words[a:a + 4000]
-            parts = [self.split.findall(w) for w in some]
-            joined = " ".join([w for ws in parts for w in ws])
-            got = self.model.encode(joined.encode().decode("latin-1").translate(self.to_chars), add_special_tokens=False)
-            ids, of = np.array(got.ids, dtype=self.dtype), np.array(got.word_ids, dtype=np.int64)
-            cut = np.searchsorted(of, np.cumsum([0, *map(len, parts)]))
-            for w, x, y in zip(some, cut[:-1], cut[1:]):
+            ids, cut = self._ids(words[a:a + 4000])
+            for w, x, y in zip(words[a:a + 4000], cut[:-1].tolist(), cut[1:].tolist()):
                 self.cache.add(w, ids[x:y].tobytes())
 
+    def _numbers(self, runs: list[str]) -> np.ndarray:
+        """The number of each of ``runs``, which are learnt if new."""
+        if len(self.number) > MAX_RUNS:
+            self._forget()
+        new = [w for w in runs if w not in self.number]
+        for a in range(0, len(new), 20_000):
+            some = new[a:a + 20_000]
+            ids, cut = self._ids([w if w.isascii() else w.lower() for w in some])
+            n, used = len(self.start) - 1, int(self.start[-1])
+            while used + len(ids) > len(self.held):
+                self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+            self.held[used:used + len(ids)] = ids
+            self.start = np.concatenate([self.start, used + cut[1:]])
+            self.number.update(zip(some, range(n, n + len(some))))
+        return np.fromiter(map(self.number.__getitem__, runs), dtype=np.int64, count=len(runs))
+
     def encode(self, texts: list) -> list[bytes]:
+        """Ids of each text, cut one by one."""
         odd = [bool(t) and self.unsettled.search(t) is not None for t in texts]
         split = [self.words(t) if t and not x else [] for t, x in zip(texts, odd)]
         self._learn(self.cache.missing(set().union(*split)))
@@ -248,6 +304,46 @@ class WordTokenizer:
         return [np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes() if x
                 else b"".join(map(cache.__getitem__, ws)) for t, x, ws in zip(texts, odd, split)]
 
+    def encode_together(self, texts: list) -> list[bytes]:
+        """Ids of each text; those of common characters are cut together."""
+        import pyarrow as pa
+        blobs = [(t or "").encode() for t in texts]
+        data = np.frombuffer(b" ".join(blobs), dtype=np.uint8)
+        off = np.cumsum([0, *[len(b) + 1 for b in blobs]])
+        other = np.zeros(len(texts), dtype=bool)
+        other[np.searchsorted(off, np.flatnonzero(_OTHER[data]), side="right") - 1] = True
+        for i in np.flatnonzero(~other).tolist():
+            other[i] = b"<|" in blobs[i] and any(s in texts[i] for s in self.special)
+        kind = _KIND[data]
+        sign = np.flatnonzero((data == 0x97) | (data == 0xB7))  # of those characters two are no letters
+        kind[sign] = 3
+        kind[sign - 1] = 3
+        for i in np.flatnonzero(other).tolist():  # their bytes count as blanks here
+            kind[off[i]:off[i + 1] - 1] = 0
+        inside = kind != 0
+        edge = np.diff(kind, prepend=0, append=0) != 0
+        edge[:-1] |= kind == 2  # every digit is a run
+        # signs and letters around an apostrophe may belong together: such a word stays whole
+        apart = np.flatnonzero((data == 39) & inside)
+        if len(apart):
+            blank = np.flatnonzero(~inside)
+            at = np.searchsorted(blank, apart)
+            for x, y in set(zip(np.concatenate([[-1], blank])[at].tolist(), np.append(blank, len(data))[at].tolist())):
+                edge[x + 2:y] = False
+        edge = np.flatnonzero(edge)
+        start = edge[:-1][inside[edge[:-1]]] if len(edge) else edge
+        end = edge[1:][inside[edge[:-1]]] if len(edge) else edge
+        at = np.concatenate([[0], np.cumsum(end - start)])
+        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(_TO_LOWER[data[inside]])).dictionary_encode()
+        number = self._numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
+        size = self.start[number + 1] - self.start[number]
+        many = np.concatenate([[0], np.cumsum(size)])
+        # the ids of each run are copied from where they are held
+        flat = self.held[np.arange(many[-1]) + np.repeat(self.start[number] - many[:-1], size)]
+        cut = many[np.searchsorted(start, off)]
+        rest = iter(self.encode([t for t, x in zip(texts, other) if x])) if other.any() else iter(())
+        return [next(rest) if x else flat[a:b].tobytes() for x, a, b in zip(other.tolist(), cut[:-1].tolist(), cut[1:].tolist())]
+
 
 def tokenise(docs: DataFrame, text_col: str, path: str, out: str = "ids", end_id: int = END_ID) -> DataFrame:
     """``docs`` with the ids of every whole text and the end id, as binary (16 bits an id if the
@@ -256,8 +352,8 @@ def tokenise(docs: DataFrame, text_col: str, path: str, out: str = "ids", end_id
         import pyarrow as pa
         tok = WordTokenizer.load(path)
         end = np.array([end_id], dtype=tok.dtype).tobytes()
-        return lambda texts: [pa.array([x + end for x in tok.encode(texts)], pa.binary())]
-    return append_columns(docs, text_col, make, [(out, "binary")])
+        return lambda texts: [pa.array([x + end for x in tok.encode_together(texts)], pa.binary())]
+    return append_columns(docs, text_col, make, [(out, "binary")], 1 << 21)
 
 
 def _ranged(ids: DataFrame, bounds: np.ndarray) -> DataFrame:
@@ -345,5 +441,5 @@ def read(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
                   .select("part", "seq", (F.col("part_start") + F.col("file_start")).alias("file_start"))
     docs = spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(path).select("content") \
                 .mapInArrow(run, "part bigint, seq bigint, id bigint, at bigint, n_tokens bigint, ids binary")
-    return docs.join(F.broadcast(stored(starts, "file-starts")), ["part", "seq"]) \
+    return docs.join(stored(starts, "file-starts"), ["part", "seq"]) \
                .select("id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids")
