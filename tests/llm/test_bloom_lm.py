@@ -50,22 +50,6 @@ def test_small_head_gives_the_same_scores(spark, texts, edge_rows, head):
     assert all(r["score"] < 0 for r in got)
 
 
-def test_filter_levels(spark):
-    rng = np.random.default_rng(2)
-    h = rng.integers(-(1 << 63), 1 << 63, 20_000)
-    c = np.minimum(rng.zipf(1.5, 20_000), 1 << 30)
-    counts = spark.createDataFrame(list(zip(h.tolist(), c.tolist())), "h bigint, c bigint")
-    f, least = L.build_filter(counts)
-    assert least == 1
-    level = 1 + np.floor(np.log2(c)).astype(int)
-    found = f.level(h.view(np.uint64))
-    assert (found >= level).all() and (found == level).mean() > 0.9  # errs upwards only, and seldom
-    other = rng.integers(-(1 << 63), 1 << 63, 20_000).view(np.uint64)
-    assert (f.level(other) == 0).mean() > 0.9
-    small, least = L.build_filter(counts, max_bits=1 << 18)
-    assert least > 1 and small.bits.size * 8 == 1 << 18
-
-
 def test_nothing_to_learn_from(texts):
     model, words = L.train(texts([]), "text")
     r = L.score(texts([(1, "a b"), (2, None)]), "doc_id", "text", model, words).orderBy("id").collect()

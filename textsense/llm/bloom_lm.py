@@ -18,8 +18,8 @@ Next to the model, every text gets its exact unigram score (``base_score``). Exa
 words are joined with the full count table, so no vocabulary, however large, goes to one place.
 
 Defined results: a null or empty text has one token, the end; with nothing to learn from, N and V
-are 0; ties in frequency are broken by the word's hash; repeated rows each get their row. Words
-are counted by a 64-bit hash.
+are 0; words of equal frequency are either all in the head or all joined; repeated rows each get
+their row. Words are counted by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from .common import mix64, slices, stored, text_arrays, word_hashes
 
 HEAD = 1 << 20
 MU = 1000.0
-BLOCKS = 1 << 12
 PROBES = 4
 MAX_LEVEL = 48
 HELD = 1 << 20  # distinct n-grams that a counting task holds before it emits them
@@ -181,54 +180,6 @@ def _levels(counts: DataFrame) -> dict[int, int]:
     return {r["q"]: r["count"] for r in counts.groupBy(_level().alias("q")).count().collect()}
 
 
-def build_filter(counts: DataFrame, max_bits: int | None = None) -> tuple[Filter, int]:
-    """The filter over (h, c) in memory, and the least count it holds: 1, unless the caller asks
-    for a greatest size. The language model does not use it, but ``store_filter``."""
-    hist = _levels(counts)
-    max_bits = max_bits or 1 << 62
-    room, load, least = max_bits * np.log(2) / PROBES, 0, 1
-    for q in sorted(hist, reverse=True):  # a row per level
-        if load + q * hist[q] > room:
-            least = 1 << q
-            break
-        load += q * hist[q]
-    bits = int(min(max_bits, max(BLOCKS * 64, 1 << int(np.ceil(np.log2(max(load, 1) * PROBES / np.log(2)))))))
-    per_block = bits // BLOCKS
-    entries = counts.where(F.col("c") >= least).select("h", _level().alias("q"), F.shiftrightunsigned("h", 52).cast("int").alias("block"))
-
-    def fill(batches):
-        import pyarrow as pa
-        now, row = None, None
-        out: list = []
-
-        def flush():
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())],
-                                                 names=["block", "bits"])
-                out.clear()
-        for batch in batches:
-            block = batch.column(2).to_numpy()
-            h, q = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
-            for a, b in zip(edges[:-1], edges[1:]):
-                if block[a] != now:
-                    if row is not None:
-                        out.append((now, np.packbits(row, bitorder="little").tobytes()))
-                    now, row = int(block[a]), np.zeros(per_block, dtype=bool)
-                for lv in range(1, int(q[a:b].max()) + 1):
-                    row[positions(h[a:b][q[a:b] >= lv], lv, per_block).ravel()] = True
-            yield from flush()
-        if row is not None:
-            out.append((now, np.packbits(row, bitorder="little").tobytes()))
-        yield from flush()
-
-    table = np.zeros((BLOCKS, per_block // 8), dtype=np.uint8)
-    rows = stored(entries.repartition("block").sortWithinPartitions("block").mapInArrow(fill, "block int, bits binary"), "filter-blocks")
-    for r in rows.toLocalIterator():  # BLOCKS rows of a fixed size
-        table[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return Filter(table, per_block), least
-
-
 def block_count(occurrences: int) -> int:
     """Blocks of the stored filter: a power of two, so that BLOCK_GRAMS n-grams come to one."""
     return max(LEAST_BLOCKS, 1 << max(0, -(-occurrences // BLOCK_GRAMS) - 1).bit_length())
