@@ -72,3 +72,16 @@ def test_query(spark, library):
         r = rows[d["doc_id"]]
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (
             len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_every_code_point_is_cut_as_the_library_does():
+    library = Tokenizer.from_file(PATH)
+    codec = B.Codec(PATH)
+    points = [c for c in range(0x323B0) if not 0xD800 <= c < 0xE000] + list(range(0xE0000, 0xE01F0))
+    texts = [f"ab{chr(c)}'s {chr(c)}{chr(c)}1 {chr(c)} x" for c in points]
+    for a in range(0, len(texts), 20_000):
+        some = texts[a:a + 20_000]
+        want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in codec.encode(some)]
+        wrong = [hex(points[a + i]) for i in range(len(some)) if got[i] != want[i]]
+        assert not wrong, wrong[:20]

@@ -3,7 +3,8 @@
 The distinct words (pre-tokens) of a block of texts are walked in byte order, which is the
 depth-first order of their trie. For each prefix the walk keeps the last token of the prefix's
 encoding; two words share these states up to where they part, so a shared prefix is encoded
-once. The last token of a prefix is the one vocabulary token that ends it and may follow the
+once. Texts with characters that Unicode versions class differently are cut into words by the
+library's pre-tokenizer, all others by its pattern. The last token of a prefix is the one vocabulary token that ends it and may follow the
 last token of what remains in front. A word's ids are then read off backwards.
 
 The vocabulary file's path is a parameter; every task reads it from its own machine. Texts stay
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import copy
 import json
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +30,11 @@ from .common import WordCache, append_columns
 # Fixed value: the pattern that cuts texts into words for byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_CACHED_BYTES = 40 << 20
+# Scripts whose letters, digits and blanks are old enough that every Unicode version agrees; a
+# text with any other character is cut by the library's own pre-tokenizer.
+SETTLED = "\x00-\x1b\x20-\x84\x86-\u0377\u0386-\u052f\u1e00-\u1eff\u2000-\u2027\u202a-\u2063\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+# Bytes of ASCII and of U+00C0 to U+00FF: texts of nothing else need no closer look.
+_COMMON = bytes([*range(0x1C), *range(0x20, 0xC0), 0xC3])
 
 
 def byte_chars() -> dict[str, int]:
@@ -142,8 +149,11 @@ class Codec:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
         self.vocab = Vocabulary(path)
         self.split = regex.compile(PATTERN)
+        self.unsettled = re.compile(f"[^{SETTLED}]")
+        self.cutter = Tokenizer.from_file(path).pre_tokenizer
         specials = sorted(self.vocab.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
         self.cache = WordCache(MAX_CACHED_BYTES)
@@ -156,12 +166,17 @@ class Codec:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def cut(self, text: str) -> list[str]:
+        if not text.encode().translate(None, _COMMON) or self.unsettled.search(text) is None:
+            return self.split.findall(text)
+        return [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
+
     def words(self, text: str) -> list[str]:
         if self.special is None or not any(s in text for s in self.vocab.special):
-            return self.split.findall(text)
+            return self.cut(text)
         out = []
         for piece in self.special.split(text):
-            out += [piece] if piece in self.vocab.special else self.split.findall(piece)
+            out += [piece] if piece in self.vocab.special else self.cut(piece)
         return out
 
     def for_task(self) -> Codec:
