@@ -77,3 +77,11 @@ def test_empty_tables(spark, texts):
     assert (r["n_words"], r["n_hit"], r["contaminated"]) == (2, 0, False)
     assert D.report(texts([]), "doc_id", "text", none, "item_id", "text").count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_only_a_to_z_change_case(spark):
+    from pyspark.sql import functions as F
+    points = [c for c in range(1, 0x1F000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, f"A{chr(c)}z") for c in points], "c int, t string")
+    wrong = rows.where(D.ascii_lower(F.col("t")) != F.translate("t", D._UPPER, D._LOWER)).collect()
+    assert wrong == []

@@ -35,9 +35,11 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone. lower() does just that where no other letter has a lower case; it
-    is much cheaper than translate(), which handles the rest."""
-    other = c.rlike(r"[\p{javaUpperCase}\p{javaTitleCase}&&[^A-Z]]")
-    return F.when(other, F.translate(c, _UPPER, _LOWER)).otherwise(F.lower(c))
+    is much cheaper than translate(), which handles the rest: texts with another capital, or with
+    a character of a script in which Unicode versions differ on what is one."""
+    other = c.rlike(r"[\p{javaUpperCase}\p{javaTitleCase}&&[^A-Z]]|[^\x00-\u052f\u2000-\u2063\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+    plain = F.octet_length(c) == F.length(c)  # ASCII alone, as most texts are
+    return F.when(plain, F.lower(c)).when(other, F.translate(c, _UPPER, _LOWER)).otherwise(F.lower(c))
 
 
 def words(c: Column) -> Column:
