@@ -190,18 +190,24 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
     """The model and the stored statistics (id, stats) of every row. ``learn`` is a condition on
     column ``id``: the rows whose labels may be used."""
     stats = stored(with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t", "stats").drop("t"), "statistics")
+    return _fit(stats, labels, label_id, label_col, learn, max_train), stats
+
+
+def _fit(stats: DataFrame, labels: DataFrame, label_id: str, label_col: str, learn: Column | None, max_train: int) -> Model:
     use = stats if learn is None else stats.where(learn)
     known = labels.select(F.col(label_id).alias("id"), F.col(label_col).alias("label"))
-    return train(use.join(known, "id"), "stats", "label", F.col("id"), max_train), stats
+    return train(use.join(known, "id"), "stats", "label", F.col("id"), max_train)
 
 
 def keep_good(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str,
               learn: Column | None = None, least: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
     """``docs`` whose score is at least ``least``, columns unchanged; all of them if the labels
-    lack a class, as nothing can be told apart then."""
-    model, _ = fit(docs, id_col, text_col, labels, label_id, label_col, learn, max_train)
+    lack a class, as nothing can be told apart then. Statistics are taken once: the documents are
+    written with them."""
+    s, p = free_name(docs, "fq_stats"), free_name(docs, "fq_score")
+    held = stored(with_statistics(docs, text_col, s), "with-statistics")
+    model = _fit(held.select(F.col(f"`{id_col}`").alias("id"), F.col(s).alias("stats")), labels, label_id, label_col, learn, max_train)
     if model.constant is not None:
         return docs
-    s, p = free_name(docs, "fq_stats"), free_name(docs, "fq_score")
-    scored = score(with_statistics(docs, text_col, s), s, model, p)
+    scored = score(held, s, model, p)
     return scored.where(F.col(p) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

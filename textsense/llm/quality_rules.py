@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, keep_where
+from .common import free_name, keep_where, stored
 from .decontaminate import covered
 
 # Word and line rules of the base counts.
@@ -194,10 +194,9 @@ def verdict(measured: DataFrame, m: dict, refs: dict, rules: Rules) -> tuple[Dat
 
 
 def keep(docs: DataFrame, text_col: str, lang_col: str | None, rules: Rules = Rules(), common: dict | None = None) -> DataFrame:
-    """The documents that pass, columns unchanged. One pass gathers the references from the
-    histograms, a second one judges."""
-    first, m1 = measure(docs.select(*({text_col, lang_col} - {None})), text_col, lang_col, common, base=False)
-    refs = references(first, m1, rules, common)
-    second, m = measure(docs, text_col, lang_col, common)
-    judged, names = verdict(second, m, refs, rules)
+    """The documents that pass, columns unchanged. Every text is measured once: the documents are
+    written with their measures, the references are summed from these, then each is judged."""
+    measured, m = measure(docs, text_col, lang_col, common)
+    measured = stored(measured, "measured")
+    judged, names = verdict(measured, m, references(measured, m, rules, common), rules)
     return keep_where(judged, F.col(names["kept"])).select(*[F.col(f"`{x}`") for x in docs.columns])
