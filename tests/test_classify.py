@@ -41,3 +41,13 @@ def test_save_load_same_predictions(spark, model, tmp_path):
     assert a == b
     with pytest.raises(FileNotFoundError):
         CL.TextModel.load(str(tmp_path / "nope"))
+
+
+def test_a_vocabulary_too_large_to_embed_trains_alike(spark, model, monkeypatch):
+    from textsense.operators import vocab as V
+    rows = [(i, t, "positive") for i, t in enumerate(POS)] + [(10 + i, t, "negative") for i, t in enumerate(NEG)]
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    monkeypatch.setattr(V, "MAX_LITERAL_ROWS", 3)
+    other = CL.train_classifier(df, "text", "label", max_terms=None)
+    a, b = (sorted((r["id"], r["prediction_label"], round(r["confidence"], 6)) for r in CL.predict(m, df).collect()) for m in (model, other))
+    assert a == b

@@ -91,3 +91,19 @@ def test_lexicon_size_is_checked(spark, monkeypatch):
                                      "false is_modifier", "false is_negation")
     with pytest.raises(ValueError):
         lookup.LookupTable(big, "term", ["polarity"], max_rows=10)
+
+
+REPEATED = [("good", 0.5, 1.0, False, False), ("good", -0.5, 1.0, False, False), ("good", None, 2.0, True, True),
+            ("very", None, 1.2, True, False), ("very", None, 1.5, True, False), (None, 1.0, 1.0, False, False)]
+
+
+def test_repeated_terms_mean_the_same_in_all_ways(spark):
+    lx = spark.createDataFrame(REPEATED, L.LEXICON_SCHEMA).repartition(4)
+    df = spark.createDataFrame([(1, "good"), (2, "very good"), (3, "good very"), (4, None)], "k long, t string")
+    want = {1: (0.5, 1), 2: (0.75, 1), 3: (0.5, 1), 4: (0.0, 0)}
+    from textsense.functions import text as T
+    for max_rows in (None, 1):  # embedded, joined
+        looked = L.with_looked_up(df, T.index_tokens("t"), lx, "lk", max_rows).withColumn("acc", L.polarity_of_looked("lk"))
+        got = {r["k"]: (r["p"], r["n"]) for r in looked.select("k", L.polarity_from_sum("acc").alias("p"), "acc.n").collect()}
+        assert got == want
+    assert {r["k"]: (r["polarity"], r["n"]) for r in L.lexicon_polarity_exploded(df, "k", "t", lx).collect()} == want

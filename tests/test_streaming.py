@@ -79,3 +79,22 @@ def test_a_batch_run_again_leaves_the_same_log(spark, tmp_path):
         write(df, 0, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 8
     assert spark.read.parquet(str(tmp_path / "view" / "0")).count() == 5
+
+
+def test_stream_score_with_a_lexicon_too_large_to_embed(spark, tmp_path, monkeypatch):
+    """Terms are looked up in the stored lexicon; the scores are those of the batch form."""
+    from textsense.functions import lookup
+    from textsense.operators import lexicon as L
+    terms = [(f"w{i}", (i % 9 - 4) / 4.0 if i % 3 else None, 1.3, i % 5 == 0, i % 7 == 0) for i in range(60)]
+    lx = spark.createDataFrame(terms + terms[:9], L.LEXICON_SCHEMA)
+    rows = [(k, " ".join(f"w{(k * j) % 80}" for j in range(k % 13)), "x") for k in range(50)] + [(90, None, "y"), (91, "unknown words", "y")]
+    src = tmp_path / "src"
+    for j in range(2):
+        spark.createDataFrame(rows[j::2], "k long, t string, other string").coalesce(1).write.parquet(str(src / f"b{j}"))
+    stream = (spark.readStream.schema("k long, t string, other string").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", True).parquet(str(src)))
+    want = {r["k"]: r["polarity"] for r in L.lexicon_polarity(spark.createDataFrame(rows, "k long, t string, other string"), "k", "t", lx).collect()}
+    monkeypatch.setattr(lookup, "MAX_LITERAL_ROWS", 10)
+    got = ST.run_to_table(ST.stream_score(stream, "t", lx), spark, "test-large-lexicon").collect()
+    assert {r["k"]: r["polarity"] for r in got} == want and len(got) == len(rows) and any(want.values())
+    assert {r["other"] for r in got} == {"x", "y"}

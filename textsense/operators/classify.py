@@ -60,13 +60,14 @@ class TextModel:
                     f"classifier artifacts not found at {path}; run the training job first") from exc
             raise RuntimeError(f"failed to load classifier artifacts: {exc}") from exc
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``prediction_label`` and ``confidence`` (max class probability)."""
+    def transform(self, df: DataFrame, keep_cleaned: bool = False) -> DataFrame:
+        """Adds ``prediction_label`` and ``confidence`` (max class probability), and the
+        cleaned, stemmed text ``__cleaned`` if asked for."""
         d = features_tokens(df, self.text_col)
         out = self.pipeline.transform(d)
-        return (out.withColumn("confidence", F.array_max(vector_to_array("probability")))
-                   .drop(FEATURE_TOKENS, "__cleaned", "__tf", "__tfidf", "features", "rawPrediction",
-                         "probability", "prediction", "__label_idx"))
+        out = out.withColumn("confidence", F.array_max(vector_to_array("probability")))
+        return out.drop(FEATURE_TOKENS, *([] if keep_cleaned else ["__cleaned"]), "__tf", "__tfidf", "features", "rawPrediction",
+                        "probability", "prediction", "__label_idx")
 
 
 def train_classifier(df: DataFrame, col: str, label: str, max_terms: int = MAX_TERMS,
@@ -86,7 +87,9 @@ def train_classifier(df: DataFrame, col: str, label: str, max_terms: int = MAX_T
     counts = V.term_counts(d.withColumn("__row", F.monotonically_increasing_id()), "__row", None,
                            ngram=(1, 1), tokens=F.col(FEATURE_TOKENS))
     vocab = V.Vocabulary(V.build_vocab(counts, n_train, max_terms), n_train)
-    rows = sorted(vocab.df.select("term", "term_id", "idf").collect(), key=lambda r: r["term_id"])
+    # the fitted model keeps its terms, and a weight for each, on the driver: with
+    # ``max_terms=None`` that is the whole vocabulary, by the nature of the ML classes
+    rows = sorted(vocab.df.select("term", "idf").collect(), key=lambda r: r["term"].encode("utf-8"))
     terms = [r["term"] for r in rows]
     idf = [float(r["idf"]) for r in rows] or [1.0]
     indexer = StringIndexer(inputCol=label, outputCol="__label_idx", stringOrderType="alphabetAsc").fit(d)
@@ -113,7 +116,8 @@ def model_sentiment(df: DataFrame, col: str, model: TextModel, empty=NEUTRAL, di
     """D4 + D5: every input column plus ``Sentiment`` and ``Confidence`` (3 decimals); text
     that is empty after cleaning gets ``empty`` (neutral, 0.0) without a model answer."""
     m = TextModel(model.pipeline, col)
-    out = m.transform(df.withColumn("__empty", T.strip_ws(S.clean_and_stem_col(col)) == ""))
+    # the text is cleaned and stemmed once, for the features and for the guard
+    out = m.transform(df, keep_cleaned=True).withColumn("__empty", T.strip_ws("__cleaned") == "")
     label = F.when(F.col("__empty"), F.lit(empty[0])).otherwise(F.col("prediction_label"))
     conf = F.when(F.col("__empty"), F.lit(float(empty[1]))).otherwise(T.round3("confidence"))
     return out.select(*df.columns, (T.display_label(label) if display else label).alias("Sentiment"),

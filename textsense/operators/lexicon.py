@@ -13,8 +13,12 @@ D1 rule set, over the index tokens of a text (C11) and a lexicon table
 Physical plan: a lexicon of at most ``MAX_LITERAL_ROWS`` rows is embedded as a bucketed
 constant lookup (``functions.lookup``), and every document is scored in place with array
 functions -- no explode, no shuffle, all input columns kept. For a larger one the documents'
-distinct tokens are joined with the lexicon and gathered back per document; the scoring
-expressions and the results are the same.
+distinct tokens are joined with the lexicon and gathered back per document; on a stream, where
+that would need state, tasks read the stored lexicon past each batch's distinct tokens. The
+scoring expressions and the results are the same in all ways.
+
+A term that is listed more than once counts as its greatest row: by polarity, then intensity,
+modifier and negation flag (null is least).
 """
 
 from __future__ import annotations
@@ -28,10 +32,49 @@ LEXICON_SCHEMA = "term string, polarity double, intensity double, is_modifier bo
 
 
 def _lexicon_rows(lexicon: DataFrame) -> DataFrame:
-    return lexicon.select(F.col("term"), F.col("polarity").cast("double").alias("p"),
-                        F.col("intensity").cast("double").alias("i"),
-                        F.coalesce(F.col("is_modifier"), F.lit(False)).alias("m"),
-                        F.coalesce(F.col("is_negation"), F.lit(False)).alias("g")).where(F.col("term").isNotNull())
+    """(term, p, i, m, g), one row for each term."""
+    rows = lexicon.select(F.col("term"), F.col("polarity").cast("double").alias("p"),
+                          F.col("intensity").cast("double").alias("i"),
+                          F.coalesce(F.col("is_modifier"), F.lit(False)).alias("m"),
+                          F.coalesce(F.col("is_negation"), F.lit(False)).alias("g")).where(F.col("term").isNotNull())
+    return rows.groupBy("term").agg(F.max(F.struct("p", "i", "m", "g")).alias("v")).select("term", "v.*")
+
+
+def _looked_up_in_batches(df: DataFrame, tokens: Column, lx: DataFrame, out: str) -> DataFrame:
+    """Stateless form for a lexicon of any size: the lexicon is stored, and a task reads it, a
+    piece at a time, for the rows of its batch's distinct tokens."""
+    from ..session import shared_path
+    path = shared_path(df.sparkSession, "lexicon")
+    lx.write.parquet(path)
+    df = df.withColumn(out, F.lit(None).cast("array<struct<p:double,i:double,m:boolean,g:boolean>>")).withColumn("__tok", tokens)
+    schema = df.drop("__tok").schema
+    uri = path if "://" in path else "file://" + path.removeprefix("file:")
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+        store, place = fs.FileSystem.from_uri(uri)
+        lexicon = ds.dataset(place, filesystem=store, format="parquet")
+        for batch in batches:
+            toks = batch.column("__tok")
+            flat = toks.flatten()
+            wanted = pc.unique(flat)
+            known = pa.Table.from_batches([b.filter(pc.is_in(b.column("term"), value_set=wanted))
+                                           for b in lexicon.to_batches(columns=["term", "p", "i", "m", "g"], batch_size=1 << 16)],
+                                          schema=pa.schema([("term", pa.string()), ("p", pa.float64()), ("i", pa.float64()),
+                                                            ("m", pa.bool_()), ("g", pa.bool_())])).combine_chunks()
+            values = pa.StructArray.from_arrays([known[c].combine_chunks() if known.num_rows else pa.array([], known.schema.field(c).type)
+                                                 for c in ("p", "i", "m", "g")], names=["p", "i", "m", "g"])
+            terms = known["term"].combine_chunks() if known.num_rows else pa.array([], pa.string())
+            found = values.take(pc.index_in(flat, value_set=terms))
+            size = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array([0, *size.cumsum().tolist()], pa.int32())
+            looked = pa.ListArray.from_arrays(offsets, found)
+            yield pa.RecordBatch.from_arrays([looked if f.name == out else batch.column(f.name) for f in schema.fields],
+                                             names=schema.names)
+    return df.mapInArrow(run, schema)
 
 
 def with_looked_up(df: DataFrame, tokens: Column, lexicon: DataFrame, out: str, max_rows: int | None = None) -> DataFrame:
@@ -41,10 +84,12 @@ def with_looked_up(df: DataFrame, tokens: Column, lexicon: DataFrame, out: str,
     small = LookupTable.if_small(lx, "term", values, max_rows)
     if small is not None:
         return df.withColumn(out, looked_up(tokens, small))
+    if df.isStreaming:
+        return _looked_up_in_batches(df, tokens, lx, out)
     from ..session import materialize
     base = materialize(df.withColumn("__tok", tokens).withColumn("__uid", F.monotonically_increasing_id()))
     found = (base.select("__uid", F.explode(F.array_distinct("__tok")).alias("term"))
-             .join(lx.dropDuplicates(["term"]), "term")
+             .join(lx, "term")
              .groupBy("__uid").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct(*values)))).alias("__map")))
     return (base.join(found, "__uid", "left")
             .withColumn(out, F.transform("__tok", lambda t: F.col("__map")[t])).drop("__tok", "__uid", "__map"))
@@ -123,10 +168,7 @@ def lexicon_polarity_exploded(df: DataFrame, key: str, col: str, lexicon: DataFr
     """D1 in join + window form: an independent second form that tests compare with."""
     toks = (df.select(key, F.posexplode_outer(T.index_tokens(col)).alias("pos", "tok"))
               .where(F.col("tok").isNotNull()))
-    lex = lexicon.select(F.col("term").alias("tok"), F.col("polarity").alias("p"),
-                         F.col("intensity").alias("i"),
-                         F.coalesce("is_modifier", F.lit(False)).alias("m"),
-                         F.coalesce("is_negation", F.lit(False)).alias("g"))
+    lex = _lexicon_rows(lexicon).withColumnRenamed("term", "tok")
     j = toks.join(lex, "tok", "left")
     w = Window.partitionBy(key).orderBy("pos")
     j = (j.withColumn("m1", F.coalesce(F.lag("m", 1).over(w), F.lit(False)))
