@@ -85,3 +85,15 @@ def test_only_a_to_z_change_case(spark):
     rows = spark.createDataFrame([(c, f"A{chr(c)}z") for c in points], "c int, t string")
     wrong = rows.where(D.ascii_lower(F.col("t")) != F.translate("t", D._UPPER, D._LOWER)).collect()
     assert wrong == []
+
+
+def test_many_items_of_one_window_are_not_sent_along(spark, texts, monkeypatch):
+    docs, items = texts([(1, "some short text here"), (2, "nothing")]), spark.createDataFrame([(i, "short text") for i in range(40)], "item_id long, text string")
+    got = []
+    for most in (50, 20):
+        taken = []
+        monkeypatch.setattr(D, "_hits_in_row", lambda w, rows, f=D._hits_in_row: taken.append(len(rows)) or f(w, rows))
+        got.append(sorted((r["doc_id"], r["n_hit"], len(r["items"])) for r in D.report(docs, "doc_id", "text", items, "item_id", "text", max_windows=most).collect()))
+        monkeypatch.undo()
+        assert bool(taken) == (most == 50)
+    assert got[0] == got[1] == [(1, 2, 40), (2, 0, 0)]

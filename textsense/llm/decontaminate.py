@@ -5,7 +5,7 @@ travels with the plan; every document's word windows are probed against it in th
 match is verified on the words themselves, and the spans that matched are removed, or the
 documents. Documents are neither shuffled nor exploded.
 
-The set is sent along only up to ``max_windows`` windows (a checked bound). A larger benchmark
+The set is sent along only up to ``max_windows`` windows and as many item ids (checked bounds). A larger benchmark
 goes through an equi-join of window hashes that Spark plans by the sizes it finds. Both ways
 give the same rows.
 
@@ -135,10 +135,11 @@ def find_hits(docs: DataFrame, text_col: str, bench: DataFrame, bench_id: str, b
     w = free_name(docs, f"{prefix}_w")
     out = free_name(docs, f"{prefix}_hits")
     found = stored(benchmark_windows(bench, bench_id, bench_text, n), "windows")
-    rows = found.limit(max_windows + 1).collect()
     base = docs.withColumn(w, words(F.col(text_col)))
-    if len(rows) <= max_windows:
-        return base.withColumn(out, _hits_in_row(w, rows)), w, out
+    # a window may belong to many items: their ids count as well
+    held = found.agg(F.count(F.lit(1)).alias("windows"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("ids")).first()
+    if max(held["windows"], held["ids"]) <= max_windows:
+        return base.withColumn(out, _hits_in_row(w, found.collect())), w, out
     lengths = [r[0] for r in found.select("win_len").distinct().orderBy("win_len").collect()]  # at most n
     return _hits_by_join(base, w, found, lengths, out), w, out
 
