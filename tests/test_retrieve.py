@@ -108,6 +108,63 @@ def test_topk_equals_brute_force_in_blocks(spark, n_docs, n_q, block):
         assert [s for *_, s in mine] == pytest.approx([sims[d] for d in best])
 
 
+def test_many_questions_and_blocks_equal_brute_force(spark, monkeypatch):
+    """10,000 questions, documents in many blocks (cut by rows and by postings), a word that every
+    text has, repeated documents; nothing but the padding ids may be fetched to the driver."""
+    import random
+
+    import numpy as np
+    from pyspark.sql import DataFrame
+    rnd = random.Random(5)
+    words = [f"w{i:02d}" for i in range(40)]
+    say = lambda n: " ".join(["all", *rnd.choices(words, k=rnd.randrange(n))])
+    texts = [(i, say(9)) for i in range(90)] + [(100 + i, "all w01 w02") for i in range(7)] + [(200, ""), (201, None)]
+    qs = [(i, say(5)) for i in range(9_998)] + [(9_998, ""), (9_999, None)]
+    monkeypatch.setattr(R, "BLOCK_POSTINGS", 60)
+    idx = R.build_index(spark.createDataFrame(texts, "k long, t string").repartition(3), "k", "t", 30, (1, 1), block=8)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    got = R.retrieve(spark.createDataFrame(qs, "q long, t string").repartition(4), "q", "t", idx, 4, block=500).toPandas()
+    weights, idf = brute_weights([(k, (t or "").lower()) for k, t in texts], 10**6)
+    total = Counter(w for _, t in texts for w in (t or "").split())
+    kept = sorted(total, key=lambda t: (-total[t], t))[:30]
+    at = {t: i for i, t in enumerate(kept)}
+
+    def vectors(rows):
+        m = np.zeros((len(rows), len(kept)))
+        for i, (_, t) in enumerate(rows):
+            for w in (t or "").split():
+                if w in at:
+                    m[i, at[w]] += idf[w]
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    down = sorted(texts, reverse=True, key=lambda r: r[0])
+    sims = vectors(qs) @ vectors(down).T
+    top = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :4]
+    got = got.sort_values(["query_id", "rank"])
+    assert len(got) == 4 * len(qs)
+    assert (got["doc_id"].to_numpy().reshape(-1, 4) == np.array([k for k, _ in down])[top]).all()
+    assert np.allclose(got["sim"].to_numpy().reshape(-1, 4), np.take_along_axis(sims, top, axis=1))
+
+
+def test_blocks_are_cut_by_rows_and_postings(spark, docs):
+    import numpy as np
+    assert R._cuts(np.array([1] * 5), 2) == [(0, 2), (2, 4), (4, 5)]
+    assert R._cuts(np.array([R.BLOCK_POSTINGS + 1, 1, R.BLOCK_POSTINGS]), 9) == [(0, 1), (1, 2), (2, 3)]
+    assert R._cuts(np.array([], dtype=int), 9) == []
+    idx = R.build_index(docs.repartition(1), "doc_id", "text", block=2)
+    heads = idx.blocks.where(idx.blocks.term == R.HEAD).collect()
+    assert all(len(r["ids"]) <= 2 and r["ids"] == sorted(r["ids"], reverse=True) for r in heads)
+    assert sorted(i for r in heads for i in r["ids"]) == [1, 2, 3, 4, 5]
+
+
+def test_text_keys_and_empty_questions(spark):
+    idx = R.build_index(spark.createDataFrame([("a", "cat mat"), ("b", "dog")], "k string, t string"), "k", "t")
+    q = spark.createDataFrame([("x", "dog"), ("y", "")], "q string, t string")
+    got = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in R.retrieve(q, "q", "t", idx, 3).collect())
+    assert got == [("x", 1, "b"), ("x", 2, "a"), ("y", 1, "b"), ("y", 2, "a")]
+    assert R.retrieve(q.limit(0), "q", "t", idx, 3).count() == 0
+
+
 def test_empty_corpus_finds_nothing(spark):
     idx = R.build_index(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text")
     assert R.retrieve(spark.createDataFrame(QUERIES, "qid long, q string"), "qid", "q", idx, 3).count() == 0

@@ -9,12 +9,15 @@
   floor: when fewer than k documents share a term with the query, zero-similarity documents
   fill the list -- those with the highest ids.
 
-Plan: all terms of a document are in one row, so a document is scored where it lies, against a
-block of the smaller side (``BLOCK`` rows at a time, as a dense matrix over the block's terms).
-With questions as the block, a task keeps the k best documents per question, and only those
-(k x questions x tasks rows) are shuffled for the final ranking. With a corpus smaller than
-the questions, the corpus is the block and each question's list is complete in its row. No row
-is made per (question, document) pair.
+Plan: an inverted index in blocks. Up to ``BLOCK`` documents (and ``BLOCK_POSTINGS`` postings) make
+a block, stored as one row per term: the positions of its documents in the block and their
+weights. A frequent term is thereby split over as many rows as there are blocks. Questions are
+turned into blocks the same way, and the two tables meet in an equi-join on the term (salted by
+the document block, so a term that every text has is spread over tasks). The joined rows of a
+pair of blocks are sorted together and added up, one term after another, into one
+``BLOCK`` x ``BLOCK`` matrix, of which only each question's k best go on to the final ranking.
+No row is made per (question, document) pair, and neither rows nor matrices pass through the
+driver, but for the k ids that pad short lists.
 
 Ranking compares similarities rounded to 9 decimals so float summation order can never
 flip the order of two equal scores.
@@ -32,13 +35,17 @@ from ..session import stored
 from .vocab import Vocabulary, build_vocab, doc_terms, postings, tfidf
 
 BLOCK = 1024
+BLOCK_POSTINGS = 1 << 20
+SALTS = 16
 RANK_DECIMALS = 9
+HEAD = ""  # the row of a block that lists its ids; no term is empty
 
 
 @dataclass
 class Index:
     vocab: Vocabulary
     weighted: DataFrame       # (doc key, terms array<struct<term, tf, w>>, norm), stored
+    blocks: DataFrame         # (block, term, pos, w, ids), see ``_transposed``, stored
     key: str
     n_docs: int
     ngram: tuple = (1, 2)
@@ -47,139 +54,144 @@ class Index:
         return postings(self.weighted, self.key)
 
     def save(self, path: str) -> None:
-        """Write the index as two tables, ``<path>/vocab`` and ``<path>/documents``."""
+        """Write the index as three tables: ``<path>/vocab``, ``/documents`` and ``/blocks``."""
         self.vocab.df.withColumn("n_docs", F.lit(self.n_docs)).write.mode("overwrite").parquet(f"{path}/vocab")
         self.weighted.write.mode("overwrite").parquet(f"{path}/documents")
+        self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
 
     @staticmethod
     def load(spark, path: str, ngram=(1, 2)) -> Index:
         weighted = spark.read.parquet(f"{path}/documents")
         n_docs = weighted.count()
         vocab = Vocabulary(spark.read.parquet(f"{path}/vocab"), n_docs)
-        return Index(vocab, weighted, weighted.columns[0], n_docs, tuple(ngram))
+        return Index(vocab, weighted, spark.read.parquet(f"{path}/blocks"), weighted.columns[0], n_docs, tuple(ngram))
 
 
 def build_index(docs: DataFrame, key: str, text: str, max_terms: int | None = 5000,
-                ngram=(1, 2), tokens=None) -> Index:
+                ngram=(1, 2), tokens=None, block: int = BLOCK) -> Index:
     """count each document's terms once (stored), fit the vocabulary on the counts, store
-    the weights. An empty corpus gives an index that finds nothing."""
+    the weights, by document and by term. An empty corpus gives an index that finds nothing."""
     counts = stored(doc_terms(docs, key, text, ngram, tokens), "index-counts")
     n_docs = counts.count()
     vocab = Vocabulary(build_vocab(explode_structs(counts, [key], "counts"), n_docs, max_terms), n_docs)
     weighted = stored(vocab.with_weights(counts).drop("counts"), "index")
-    return Index(vocab, weighted, key, n_docs, tuple(ngram))
-
-
-class _Block:
-    """Up to ``BLOCK`` weighted rows as a dense matrix: term -> row of the matrix, one column
-    per id, ids in descending order."""
-
-    def __init__(self, rows: list):
-        rows = sorted(rows, key=lambda r: r[0], reverse=True)
-        self.ids = [r[0] for r in rows]
-        self.at: dict = {}
-        for _, terms, _ in rows:
-            for t in terms:
-                self.at.setdefault(t["term"], len(self.at))
-        self.matrix = np.zeros((len(self.at) + 1, len(rows)))  # the last row: unknown terms
-        for j, (_, terms, norm) in enumerate(rows):
-            for t in terms:
-                self.matrix[self.at[t["term"]], j] = t["w"] / norm
-
-    def score(self, terms, norms) -> np.ndarray:
-        """Similarities of a batch of weighted rows, len(batch) x ids of the block."""
-        out = np.zeros((len(norms), len(self.ids)))
-        unknown = len(self.at)
-        words, w = terms.flatten().field("term").to_pylist(), terms.flatten().field("w").to_numpy(zero_copy_only=False)
-        offs = np.asarray(terms.offsets)
-        offs = offs - offs[0]
-        code = np.fromiter((self.at.get(t, unknown) for t in words), dtype=np.int64, count=len(words))
-        for i in range(len(norms)):
-            c = code[offs[i]:offs[i + 1]]
-            hit = c != unknown
-            if hit.any():
-                out[i] = (w[offs[i]:offs[i + 1]][hit] / norms[i]) @ self.matrix[c[hit]]
-        return out
-
-
-def _blocks(weighted: DataFrame, key: str, size: int):
-    """The rows in blocks of ``size``; the driver holds one block at a time."""
-    held = []
-    for r in weighted.select(key, "terms", "norm").toLocalIterator():
-        held.append((r[0], r[1], r[2]))
-        if len(held) == size:
-            yield _Block(held)
-            held = []
-    if held:
-        yield _Block(held)
-
-
-def _best_first(sim: np.ndarray, k: int) -> np.ndarray:
-    """Per row the positions of the k highest, ties by position."""
-    return np.argsort(-np.round(sim, RANK_DECIMALS), axis=1, kind="stable")[:, :k]
-
-
-def _documents_against(block: _Block, k: int, out_schema):
-    """Stream documents past a block of questions; each task ends with its k best per question."""
+    blocks = stored(_transposed(weighted, key, block), "index-blocks")
+    return Index(vocab, weighted, blocks, key, n_docs, tuple(ngram))
+
+
+def _cuts(sizes: np.ndarray, block: int) -> list[tuple[int, int]]:
+    """Ranges of consecutive rows of at most ``block`` rows and ``BLOCK_POSTINGS`` postings each
+    (one row at least)."""
+    out, first, held = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and (i - first == block or held + n > BLOCK_POSTINGS):
+            out.append((first, i))
+            first, held = i, 0
+        held += n
+    if len(sizes) > first:
+        out.append((first, len(sizes)))
+    return out
+
+
+def _transposed(weighted: DataFrame, key: str, block: int) -> DataFrame:
+    """Weighted rows in blocks, by term: (block, term, pos, w, ids). ``pos`` and ``w`` are the
+    rows of the block that have the term and their normalised weights; the block's row with
+    the term ``HEAD`` has its ids instead, in descending order, which ``pos`` counts from 0."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    k_type = weighted.schema[key].dataType
+    a_type = to_arrow_type(k_type)
+
     def run(batches):
         import pyarrow as pa
-        ids: list = []
-        sims = np.zeros((len(block.ids), 0))
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            new_ids = batch.column(0).to_pylist()
-            order = sorted(range(len(new_ids)), key=lambda i: new_ids[i], reverse=True)
-            s = block.score(batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)).T[:, order]
-            # the k best of this batch per question, then with those held so far
-            best = _best_first(s, k)
-            cand = [[(sims[q, j], ids[q][j]) for j in range(sims.shape[1])] if ids else [] for q in range(len(block.ids))]
-            for q in range(len(block.ids)):
-                cand[q] += [(s[q, j], new_ids[order[j]]) for j in best[q]]
-                cand[q].sort(key=lambda x: x[1], reverse=True)
-                cand[q].sort(key=lambda x: -round(x[0], RANK_DECIMALS))
-                cand[q] = cand[q][:k]
-            ids = [[d for _, d in c] for c in cand]
-            sims = np.array([[x for x, _ in c] for c in cand])
-        if ids:
-            flat = [(q, d, float(x)) for q, row, xs in zip(block.ids, ids, sims) for d, x in zip(row, xs)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], out_schema[c][1]) for c in range(3)],
-                                             names=[n for n, _ in out_schema])
-    return run
-
-
-def _questions_against(block: _Block, k: int, out_schema):
-    """Stream questions past a block of documents; a question's k best are complete in its row."""
+            ids, lists, norm = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+            sizes = np.diff(np.asarray(lists.offsets))
+            for a, b in _cuts(sizes, block):
+                order = sorted(range(a, b), key=lambda i: ids[i], reverse=True)
+                place = np.empty(b - a, dtype=np.int32)
+                place[np.array(order) - a] = np.arange(b - a, dtype=np.int32)
+                flat = lists.slice(a, b - a).flatten()
+                coded = flat.field("term").dictionary_encode()
+                code = coded.indices.to_numpy(zero_copy_only=False)
+                w = flat.field("w").to_numpy(zero_copy_only=False) / np.repeat(norm[a:b], sizes[a:b])
+                by_term = np.argsort(code, kind="stable")
+                ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))
+                offs = pa.array(np.concatenate([[0, 0], ends]).astype(np.int32))  # HEAD has no postings
+                terms = pa.array([HEAD, *coded.dictionary.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(terms), number, dtype=np.int64)), terms,
+                    pa.ListArray.from_arrays(offs, pa.array(np.repeat(place, sizes[a:b])[by_term], pa.int32())),
+                    pa.ListArray.from_arrays(offs, pa.array(w[by_term], pa.float64())),
+                    pa.array([[ids[i] for i in order]] + [None] * (len(terms) - 1), pa.list_(a_type))],
+                    names=["block", "term", "pos", "w", "ids"])
+                number += 1
+
+    return weighted.select(key, "terms", "norm").mapInArrow(
+        run, f"block long, term string, pos array<int>, w array<double>, ids array<{k_type.simpleString()}>")
+
+
+def _pair_sums(k: int, q_type, d_type):
+    """Adds up the rows of each pair of blocks (sorted by pair and term, so a pair's ids come
+    first) and yields each question's k best documents with a similarity above zero."""
     def run(batches):
         import pyarrow as pa
+        pair = sims = q_ids = d_ids = None
+
+        def best():
+            top = np.argsort(-np.round(sims, RANK_DECIMALS), axis=1, kind="stable")[:, :k]
+            score = np.take_along_axis(sims, top, axis=1)
+            q, j = np.nonzero(score > 0)
+            return pa.RecordBatch.from_arrays([pa.array([q_ids[i] for i in q], q_type),
+                                               pa.array([d_ids[i] for i in top[q, j]], d_type),
+                                               pa.array(score[q, j], pa.float64())], names=["query_id", "doc_id", "sim"])
+
         for batch in batches:
-            s = block.score(batch.column(1), batch.column(2).to_numpy(zero_copy_only=False))
-            best = _best_first(s, k)
-            flat = [(q, block.ids[j], float(s[i, j])) for i, q in enumerate(batch.column(0).to_pylist()) for j in best[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], out_schema[c][1]) for c in range(3)],
-                                             names=[n for n, _ in out_schema])
+            q_at, d_at = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            offs = [np.asarray(batch.column(c).offsets) for c in (3, 5)]
+            q_pos, q_w, d_pos, d_w = (batch.column(c).values.to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6))
+            for i in range(batch.num_rows):
+                if (q_at[i], d_at[i]) != pair:
+                    if pair is not None:
+                        yield best()
+                    pair = (q_at[i], d_at[i])
+                    q_ids, d_ids = batch.column(7)[i].as_py(), batch.column(8)[i].as_py()
+                    sims = np.zeros((len(q_ids), len(d_ids)))
+                    continue
+                a, b, c, d = *offs[0][i:i + 2], *offs[1][i:i + 2]
+                sims[q_pos[a:b, None], d_pos[c:d]] += q_w[a:b, None] * d_w[c:d]
+        if pair is not None:
+            yield best()
     return run
 
 
 def retrieve(queries: DataFrame, qkey: str, qtext: str, index: Index, k: int = 3, block: int = BLOCK) -> DataFrame:
     """F2 + F3: (query_id, rank, doc_id, sim) -- exactly min(k, n_docs) rows per query. Keys
-    must not be null."""
-    import pyarrow as pa
+    must not be null; rows with the same query key share one list."""
     from pyspark.sql.pandas.types import to_arrow_type
     if not 1 <= k:
         raise ValueError("k must be positive")
     key = index.key
-    spark = queries.sparkSession
-    weights = stored(tfidf(queries, qkey, qtext, index.vocab, index.ngram), "question-weights")
-    q_type, d_type = weights.schema[qkey].dataType, index.weighted.schema[key].dataType
-    ddl = f"query_id {q_type.simpleString()}, doc_id {d_type.simpleString()}, sim double"
-    arrow = [("query_id", to_arrow_type(q_type)), ("doc_id", to_arrow_type(d_type)), ("sim", pa.float64())]
-    docs_first = weights.count() <= index.n_docs
-    blocked, streamed = (weights, index.weighted) if docs_first else (index.weighted, weights)
-    b_key, s_key = (qkey, key) if docs_first else (key, qkey)
-    work = _documents_against if docs_first else _questions_against
-    hits = spark.createDataFrame([], ddl)
-    for part in _blocks(blocked, b_key, block):
-        found = streamed.select(s_key, "terms", "norm").mapInArrow(work(part, k, arrow), ddl)
-        hits = hits.unionByName(found)
+    q_type, d_type = queries.schema[qkey].dataType, index.weighted.schema[key].dataType
+    weights = tfidf(queries, qkey, qtext, index.vocab, index.ngram)
+    asked = stored(_transposed(weights, qkey, block), "question-blocks")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    q = asked.select(F.col("block").alias("q_block"), "term", salts.alias("salt"), F.col("pos").alias("q_pos"),
+                     F.col("w").alias("q_w"), F.col("ids").alias("q_ids"))
+    d = index.blocks.select(F.col("block").alias("d_block"), "term", F.pmod(F.hash("block"), F.lit(SALTS)).alias("salt"),
+                            F.col("pos").alias("d_pos"), F.col("w").alias("d_w"), F.col("ids").alias("d_ids"))
+    pairs = (q.join(d, ["term", "salt"]).repartition("q_block", "d_block")
+             .sortWithinPartitions("q_block", "d_block", "term")
+             .select("q_block", "d_block", "term", "q_pos", "q_w", "d_pos", "d_w", "q_ids", "d_ids"))
+    hits = pairs.mapInArrow(_pair_sums(k, to_arrow_type(q_type), to_arrow_type(d_type)),
+                            f"query_id {q_type.simpleString()}, doc_id {d_type.simpleString()}, sim double")
+    # a document without similarity can only be among the k of the highest ids
+    pads = [r[0] for r in index.weighted.select(key).orderBy(F.desc(key)).limit(k).collect()]
+    ids = F.array(*[F.lit(i) for i in pads]).cast(f"array<{d_type.simpleString()}>")
+    padded = asked.where(F.col("term") == HEAD).select(F.explode("ids").alias("query_id")) \
+        .select("query_id", F.explode(ids).alias("doc_id"), F.lit(0.0).alias("sim"))
+    found = hits.unionByName(padded).groupBy("query_id", "doc_id").agg(F.max("sim").alias("sim"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", RANK_DECIMALS)), F.desc("doc_id"))
-    return (hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "doc_id", "sim"))
