@@ -11,6 +11,7 @@ from ..operators import chatlog as C
 from ..operators import lexicon as L
 from ..operators.limits import epoch_micros
 from ..streaming import streams as ST
+from ..streaming.ordered import ordered_cache_hits, ordered_rate_limit
 from .chat_queries import LIMIT_N, LIMIT_WINDOW_S, KEEP, SQL as CHAT_SQL
 from .fixtures import lexicon_df
 from .sqlparts import lexicon_polarity_sql, sign_label_sql
@@ -45,18 +46,18 @@ def stream_score(spark, sf):
 
 @register("stream_limit", CHAT_SQL["rate_limit"])
 def stream_limit(spark, sf):
-    """The limiter with keyed state (at most 2 admitted timestamps per user)."""
+    """The limiter in event-time order; a user's state is at most 2 admitted requests."""
     s = _stream_of(spark, sf, "events").select("event_id", "user_id", "ts")
-    out = ST.stream_rate_limit(s, "user_id", "ts", "event_id", LIMIT_N, LIMIT_WINDOW_S)
-    return ST.run_to_table(out.select("event_id", "user_id", "admitted"), spark, "stream-limit")
+    step = ordered_rate_limit("user_id", "ts", "event_id", LIMIT_N, LIMIT_WINDOW_S)
+    return step.run(s, name="stream-limit", drain=True).select("event_id", "user_id", "admitted")
 
 
 @register("stream_cache", CHAT_SQL["cache_hits"])
 def stream_cache(spark, sf):
-    """S3: cache hits with keyed state per (user, event type)."""
+    """S3: cache hits in event-time order; the state is a row per (user, event type)."""
     s = _stream_of(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
-    out = ST.stream_cache_hits(s, "user_id", "event_type", "ts", "event_id", F.col("event_type") != "error")
-    return ST.run_to_table(out.select("event_id", "user_id", "hit"), spark, "stream-cache")
+    step = ordered_cache_hits("user_id", "event_type", "ts", "event_id", F.col("event_type") != "error")
+    return step.run(s, name="stream-cache", drain=True).select("event_id", "user_id", "hit")
 
 
 @register("stream_log", CHAT_SQL["chat_recent"])

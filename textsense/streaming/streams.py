@@ -4,7 +4,8 @@
   unchanged on a streaming DataFrame.
 * S2 ``stream_rate_limit``: ``applyInPandasWithState`` keyed by the limiter key; state is at
   most ``max_n`` admitted timestamps; rows of a key inside a micro-batch are folded in
-  ``(ts, id)`` order.
+  ``(ts, id)`` order, in one frame (``streaming.ordered`` holds no such frame, and judges rows
+  that arrive out of order by their event time).
 * S3 ``stream_cache_hits``: keyed state per (session, cache key) = "a cached answer exists".
 * S4 ``write_bounded_log``: ``foreachBatch`` writes the batch's log rows, the rows that wait
   for a partner, and the newest-n view, each in a folder of the batch (idempotent).
