@@ -91,3 +91,37 @@ def test_append_time_is_utc_whatever_the_zone(spark, tmp_path, monkeypatch):
         monkeypatch.undo()
         time.tzset()
     assert micros == 1709294400 * 1_000_000
+
+
+def test_pairs_over_gaps_repeats_and_spans(spark):
+    import random
+    schema = "conv_id long, turn long, role string, text string"
+    rnd = random.Random(11)
+    rows = [(1, 0, "user", "q"), (1, 2, "assistant", "a"), (1, 2, "assistant", "a"), (1, 9, "user", "q9"),
+            (1, 40, "system", "s"), (1, 41, "assistant", "late"), (2, 5, "assistant", "a5"), (2, 5, "user", "q5"),
+            (2, -7, "user", "before"), (2, 4, "assistant", "its reply"), (None, 1, "user", "x"), (3, None, "user", "y"),
+            (4, 3, "user", None), (4, 70, "assistant", "to nothing")]
+    t = 0
+    for _ in range(300):  # one long conversation with random gaps, over many spans
+        t += rnd.choice([1, 1, 2, 15])
+        rows.append((9, t, rnd.choice(["user", "assistant", "system"]), f"m{t}"))
+    order = {"user": 0, "assistant": 1}
+    want = set()
+    for c in (1, 2, 3, 4, 9):
+        seq = sorted({r for r in rows if r[0] == c and r[1] is not None}, key=lambda r: (r[1], order.get(r[2], 2), r[3] or ""))
+        want |= {(c, a[1], a[3], b[3], b[1]) for a, b in zip(seq, seq[1:]) if a[2] == "user" and b[2] == "assistant"}
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    for span in (8, C.SPAN):
+        got = [tuple(r) for r in C.pair_next_turns(df, span=span).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert (1, 0, "q", "a", 2) in want and (2, 5, "q5", "a5", 5) in want and (2, -7, "before", "its reply", 4) in want
+    log = C.message_log(C.pair_next_turns(df.where("conv_id = 1"))).collect()
+    assert sorted((r["turn"], r["role"]) for r in log) == [(0, "user"), (2, "assistant")]
+    assert C.pair_next_turns(df.limit(0)).count() == 0
+
+
+def test_pairs_equal_the_plain_join_on_consecutive_turns(spark):
+    rows = [(c, t, r, f"{c}-{t}") for c in range(20) for t, r in enumerate(["system", "user", "assistant", "user", "user", "assistant"])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    plain = sorted(C.pair_turns(df).select("conv_id", "turn", "user_msg", "bot_msg").collect())
+    assert sorted(C.pair_next_turns(df, span=4).drop("reply_turn").collect()) == plain and len(plain) == 40

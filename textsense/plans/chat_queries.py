@@ -46,7 +46,7 @@ chatlog AS (SELECT p.conv_id, p.turn, p.user_msg, p.bot_msg,
 
 
 def _pairs(spark, sf):
-    return C.pair_turns(table(spark, sf, "conversations"))
+    return C.pair_next_turns(table(spark, sf, "conversations"))
 
 
 def _chat_log(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chatlog as C
 from ..session import shared_path
 from ..sources import files as IO
+from ..sources import logstore as LOG
 from .common import table
 
 QUERIES = {}
@@ -68,3 +69,25 @@ def files_roundtrip(spark, sf):
     n_after = spark.read.parquet(log_path).count()
     return docs.agg(F.sum(F.length(F.regexp_replace("text", _BLANK, ""))).alias("n_chars")).select(
         "n_chars", F.lit(n_recent).cast("long").alias("log_recent"), F.lit(n_after).cast("long").alias("log_after_clear"))
+
+
+def _log_turns(spark, sf):
+    pairs = C.pair_turns(table(spark, sf, "conversations"))
+    return pairs.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), "user_msg", "bot_msg",
+                        F.lit("Neutral 😐").alias("sentiment"), F.lit(0.0).alias("score"),
+                        F.array(F.col("conv_id").cast("string")).alias("sources"))
+
+
+@register("chat_log_bounded", """
+SELECT u.conv_id * 1000000 + u.turn AS id, u.text AS user_msg, a.text AS bot_msg, '["' || u.conv_id || '"]' AS sources
+FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'
+ORDER BY id DESC LIMIT 200""")
+def chat_log_bounded(spark, sf):
+    """A6 + G2 as one step: the answered questions go to the versioned log in two appends (odd
+    conversations, then even ones), each of which trims it to the newest 200."""
+    turns = _log_turns(spark, sf)
+    root = shared_path(spark, "bounded-log")
+    odd = F.col("sources")[0].cast("long") % 2 == 1
+    LOG.append_and_trim(turns.where(odd), root, 200)
+    LOG.append_and_trim(turns.where(~odd), root, 200)
+    return LOG.read_log(spark, root).select("id", "user_msg", "bot_msg", "sources")

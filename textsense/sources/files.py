@@ -66,17 +66,28 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     order matters: sorting here would shuffle the texts.
 
     Unlike a per-file open, Spark decodes bad UTF-8 bytes as U+FFFD instead of skipping the
-    file."""
+    file (``read_documents_strict`` skips it)."""
     # (``text()``'s own wholetext argument overrides a reader option, so pass it there)
     raw = spark.read.option("pathGlobFilter", KB_GLOB).text(path, wholetext=True)
     docs = raw.select(F.col("_metadata.file_name").alias("id"), T.strip_ws("value").alias("text"))
     return docs.where(F.col("text") != "")
 
 
-def append_turns(turns: DataFrame, path: str, now: datetime | None = None) -> None:
-    """Append answered questions to the chat log (parquet), sources as JSON text. ``turns``
-    needs (id, user_msg, bot_msg, sentiment, score, sources array); an answer's own time is its
-    ``created_at`` if ``turns`` has one, else ``now`` (a naive time is UTC) for all of them."""
+def read_documents_strict(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A4 that skips what it cannot read: (documents as ``read_documents`` gives them, skipped
+    files as (id, reason)). A file whose bytes are not UTF-8 is skipped and named, not decoded
+    with replacement characters. A file is one value of at most 2 GB, as ``binaryFile`` reads it."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", KB_GLOB).load(path)
+    named = raw.select(F.col("_metadata.file_name").alias("id"), F.col("content").cast("string").alias("value"))
+    valid = F.is_valid_utf8("value")
+    docs = named.where(valid).select("id", T.strip_ws("value").alias("text")).where(F.col("text") != "")
+    return docs, named.where(~valid).select("id", F.lit("not UTF-8").alias("reason"))
+
+
+def log_rows(turns: DataFrame, now: datetime | None = None) -> DataFrame:
+    """Answered questions as rows of the chat log, sources as JSON text. ``turns`` needs (id,
+    user_msg, bot_msg, sentiment, score, sources array); an answer's own time is its ``created_at``
+    if ``turns`` has one, else ``now`` (a naive time is UTC) for all of them."""
     now = now or datetime.now(timezone.utc)
     now = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
     own = F.col("created_at") if "created_at" in turns.columns else F.lit(None).cast("timestamp")
@@ -84,13 +95,19 @@ def append_turns(turns: DataFrame, path: str, now: datetime | None = None) -> No
     out = (C.with_missing_columns(turns, "sources array<string>")
            .withColumn("created_at", F.coalesce(own, F.timestamp_micros(F.lit(micros))))
            .withColumn("sources", T.sources_json("sources")))
-    out.select("id", "created_at", "user_msg", "bot_msg", "sentiment", "score", "sources") \
-       .write.mode("append").parquet(path)
+    return out.select("id", "created_at", "user_msg", "bot_msg", "sentiment", "score", "sources")
+
+
+def append_turns(turns: DataFrame, path: str, now: datetime | None = None) -> None:
+    """Append answered questions (``log_rows``) to the chat log (parquet), which keeps all of
+    them; ``logstore.append_and_trim`` bounds it."""
+    log_rows(turns, now).write.mode("append").parquet(path)
 
 
 def read_chat_log(spark: SparkSession, path: str, n: int = 200) -> DataFrame:
-    """A5: newest n turns by id, oldest first, sources parsed (null/empty -> [])."""
-    log = C.with_missing_columns(spark.read.parquet(path), "sources string")
+    """A5: newest n turns by id, oldest first, sources parsed (null/empty -> []). Files of several
+    generations may lie in the folder: columns that some (or all) lack are null there (A7)."""
+    log = C.with_missing_columns(spark.read.option("mergeSchema", True).parquet(path), "sources string")
     return C.recent_view(log, ["id"], n)
 
 
