@@ -13,6 +13,7 @@ so training is distributed L-BFGS and save/load is ML persistence (A9), never pi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -151,6 +152,30 @@ def pandas_scorer(fn):
     return score
 
 
+_LOADED: dict = {}  # a worker's set-up objects, by their name; they live as long as the worker
+
+
+def loaded_scorer(load, fn, name: str):
+    """A scorer with a set-up that is done once in each Python worker, whatever its number of
+    tasks and batches: ``load()`` makes the object (a model, say), and ``fn(object,
+    pd.Series[str]) -> pd.Series[str]`` answers with it. ``name`` tells set-ups apart: a new model needs a new name."""
+    import pandas as pd
+    from pyspark.sql.types import StringType
+
+    def run(batches):
+        from textsense.operators import classify as here  # the worker's own module
+        if name not in here._LOADED:
+            here._LOADED[name] = load()
+        for s in batches:
+            yield pd.Series(fn(here._LOADED[name], s))
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    udf = F.pandas_udf(run, StringType())
+
+    def score(df: DataFrame, col: str, out: str) -> DataFrame:
+        return df.withColumn(out, udf(F.col(col)))
+    return score
+
+
 def label_with(df: DataFrame, col: str, scorer, max_chars: int = 512, out: str = "sentiment",
                positive: str = "positive", negative: str = "negative") -> DataFrame:
     """Label every row with ``scorer`` on the first ``max_chars`` characters; the
@@ -170,3 +195,34 @@ def label_remaining(df: DataFrame, done: DataFrame, key: str, col: str, scorer,
     rest = [c for c in df.columns if c not in (key, out)]
     known = done.select(key, out).join(df.select(key, *rest), key, "left")
     return known.select(key, *rest, out).unionByName(new.select(key, *rest, out))
+
+
+def label_saving_progress(df: DataFrame, key: str, col: str, scorer, path: str, out: str = "sentiment",
+                          max_chars: int = 512, steps: int = 16) -> DataFrame:
+    """D8 with progress that is saved as it goes: all rows of ``df`` with their label, under ``path``.
+
+    Rows are dealt by a hash of their key into ``steps`` steps and written so, once
+    (``input/step=<s>``); each step is then a job of its own that reads its rows only and writes
+    ``labelled/step=<s>``. A folder counts when Spark has committed it (its ``_SUCCESS`` file): a run
+    that is started again after a failure labels the steps that are missing and no other. Rows
+    with a null key are one step's. Give the same table, key and ``steps`` to go on with a run: the
+    input of the first run is what gets labelled."""
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    committed = lambda folder: fs.exists(hadoop_path(f"{folder}/_SUCCESS"))
+    if not committed(f"{path}/input"):
+        dealt = df.withColumn("__step", F.pmod(F.xxhash64(key), F.lit(steps)))
+        dealt.write.mode("overwrite").partitionBy("__step").parquet(f"{path}/input")
+    for step in range(steps):
+        done = f"{path}/labelled/step={step}"
+        rows = f"{path}/input/__step={step}"
+        if committed(done) or not fs.exists(hadoop_path(rows)):
+            continue
+        label_with(spark.read.schema(df.schema).parquet(rows), col, scorer, max_chars, out).write.mode("overwrite").parquet(done)
+    parts = [f"{path}/labelled/step={s}" for s in range(steps) if committed(f"{path}/labelled/step={s}")]
+    kept = [c for c in df.columns if c != out]
+    if not parts:
+        return df.limit(0).select(*kept, F.lit("").alias(out))
+    return spark.read.parquet(*parts).select(*kept, out)

@@ -220,6 +220,18 @@ def label_resume(spark, sf):
     return CL.label_remaining(d, done, "doc_id", "text", CL.lexicon_scorer(lexicon_df(spark)))
 
 
+@register("label_progress", f"""WITH pol AS {lexicon_polarity_sql(
+    '(SELECT doc_id, substring(text, 1, 512) AS snippet FROM documents)', 'doc_id', 'snippet')}
+SELECT doc_id, CASE WHEN polarity > 0 THEN 'positive' ELSE 'negative' END AS sentiment FROM pol""")
+def label_progress(spark, sf):
+    """D7 + D8: every document is labelled by the lexicon scorer in steps whose results are saved as
+    each of them ends."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    labelled = CL.label_saving_progress(d, "doc_id", "text", CL.lexicon_scorer(lexicon_df(spark)),
+                                        shared_path(spark, "label-progress"), steps=4)
+    return labelled.select("doc_id", "sentiment")
+
+
 @register("label_batch", """
 SELECT doc_id, CASE WHEN length(substring(text, 1, 512)) % 2 = 0 THEN 'positive' ELSE 'negative' END AS sentiment FROM documents""")
 def label_batch(spark, sf):
