@@ -42,3 +42,46 @@ def test_edges(texts):
     check(S.shard(texts([(1, "a"), (1, "a")]), "doc_id", "text", k=24).collect(), [(1, "a"), (1, "a")], 24)
     rows = S.shard(texts([(None, "a"), (2, None)]), "doc_id", "text", k=2).collect()
     assert {r["shard"] for r in rows} == {0, 1}
+
+
+def test_result_does_not_depend_on_the_input_layout(texts):
+    import random
+    docs = [(k, f"text {k // 4}") for k in range(200)] + [(300 + k, "hot") for k in range(150)] + \
+           [(500 + k, f"alone {k}") for k in range(100)] + [(None, "hot"), (7, "text 1"), (7, "text 1"), (900, None), (901, None), (902, "")]
+    want = None
+    for seed, parts in [(0, 1), (1, 5), (2, 13)]:
+        random.Random(seed).shuffle(docs)
+        rows = sorted(map(tuple, S.shard(texts(docs).repartition(parts), "doc_id", "text", k=7).collect()), key=repr)
+        want = want or rows
+        assert rows == want
+
+
+def test_cut_links_are_fewer_than_at_the_start_and_equal_brute_force(texts, spark):
+    import itertools
+
+    from pyspark.sql import functions as F
+    docs = [(k, f"text {k % 60}") for k in range(240)] + [(1000 + k, f"t{k}") for k in range(60)] + [(2000, None), (2001, None)]
+    got = S.shard(texts(docs), "doc_id", "text", k=6)
+    text = dict(docs)
+
+    def brute(rows):
+        pairs = [(a, b) for a, b in itertools.combinations(rows, 2) if text[a[0]] is not None and text[a[0]] == text[b[0]]]
+        return len(pairs), sum(a[1] != b[1] for a, b in pairs)
+
+    counted = []
+    for shards in (got.select("doc_id", "shard"), got.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(6)).alias("shard"))):
+        rows = [tuple(r) for r in shards.collect()]
+        with_text = spark.createDataFrame([(i, s, text[i]) for i, s in rows], "doc_id long, shard int, text string")
+        counted.append(tuple(map(int, S.cut_links(with_text, "text", "shard").first())))
+        assert counted[-1] == brute(rows)
+    assert counted[0][0] == counted[1][0] == 360
+    assert counted[0][1] * 5 < counted[1][1]  # at most a fifth of the links that a random dealing cuts
+    assert tuple(map(int, S.cut_links(with_text.limit(0), "text", "shard").first())) == (0, 0)
+
+
+def test_very_long_texts_and_clashing_columns(texts, edge_rows):
+    rows = S.shard(texts(edge_rows), "doc_id", "text", k=3).collect()
+    assert len(rows) == len(edge_rows)
+    sizes = collections.Counter(r["shard"] for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert sorted(r["size"] for r in rows) == sorted(len((t or "").encode()) + 8 for _, t in edge_rows)

@@ -12,7 +12,9 @@ Only narrow rows (id, size, checksum, group) are shuffled. Ranks come from a ran
 and one offset per partition; no task holds a shard or a group.
 
 Defined results: a null text has no bytes (size 8, checksum 0) and no links; rows that are
-repeated get a slot each; null ids are allowed; an empty table gives an empty result.
+repeated get a slot each; null ids are allowed; an empty table gives an empty result. The result
+depends on the rows (id, text, group) alone, not on their order or partitions: every draw is a
+hash of id and text, and ties in the final order are rows alike in all that is returned.
 """
 
 from __future__ import annotations
@@ -67,10 +69,13 @@ def propagate(linked: DataFrame, quota: list[int], k: int, max_rounds: int = MAX
             F.sort_array(F.collect_list(F.struct("c", F.xxhash64("grp", "label").alias("tie"), "label")), asc=False),
             lambda x: _table_get(open_, x["label"])), lambda x: x["label"])
         most = F.ceil(F.sum("c") / max(quota[0], 1)).cast("int")  # shards that the group needs
-        groups = counts.groupBy("grp").agg(F.slice(ranked, F.lit(1), F.greatest(most, F.lit(1))).alias("homes"))
+        groups = counts.groupBy("grp").agg(F.slice(ranked, F.lit(1), F.greatest(most, F.lit(1))).alias("homes"),
+                                           (most <= 1).alias("small"))
         # (written, so that the join can split a hot group's rows)
         wish = linked.join(stored(groups, "group-homes"), "grp")
         away = (F.size("homes") > 0) & ~F.array_contains("homes", F.col("label"))
+        # rows of a group that one shard holds move together, those of a larger one each for itself
+        wish = wish.withColumn("mover", F.when(F.col("small"), F.xxhash64("grp", "label")).otherwise(F.col("uid")))
         wish = wish.withColumn("target", F.when(away, F.get("homes", F.pmod(F.xxhash64("uid"), F.size("homes")).cast("int")))).drop("homes")
         wish = stored(wish, "label-wishes")
         flow = {(r["label"], r["target"]): r["count"]  # k * k rows
@@ -78,9 +83,9 @@ def propagate(linked: DataFrame, quota: list[int], k: int, max_rounds: int = MAX
         shares = _accepted_shares(flow, size, quota, k)
         moving = sum(n * shares[i * k + j] for (i, j), n in flow.items())
         granted = _table_get(shares, F.col("label") * k + F.col("target"))
-        draw = F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(UNIT)) / UNIT
+        draw = F.pmod(F.xxhash64("mover", F.lit(step)), F.lit(UNIT)) / UNIT
         linked = wish.withColumn("label", F.when(F.col("target").isNotNull() & (draw < granted), F.col("target"))
-                                 .otherwise(F.col("label"))).drop("target")
+                                 .otherwise(F.col("label"))).drop("target", "mover", "small")
         still = still + 1 if moving * 1000 < sum(size) or not flow else 0
         if still == 2:
             break
@@ -98,7 +103,7 @@ def shard(docs: DataFrame, id_col: str, text_col: str, k: int = SHARDS, max_roun
     base = stored(docs.select(
         F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), group.alias("grp"),
-        F.monotonically_increasing_id().alias("uid")), "shard-base")
+        F.xxhash64(F.col(id_col).cast("string"), F.lit("|"), text).alias("uid")), "shard-base")
     n = base.count()
     quota = _quotas(n, k)
     start_label = F.pmod(F.xxhash64("uid"), F.lit(k)).cast("int")
@@ -108,7 +113,7 @@ def shard(docs: DataFrame, id_col: str, text_col: str, k: int = SHARDS, max_roun
     linked = propagate(flagged.where("linked").drop("linked"), quota, k, max_rounds)
     alone = flagged.where("not linked").drop("linked").withColumn("label", F.lit(k))  # after all labels
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["label", "grp", "uid"]
+    order = ["label", "grp", "uid", "id", "size", "text_crc32"]
     pool = linked.select(*alone.columns).unionByName(alone)
     # position in the partition: the lower 33 bits; partition: the bits above
     ranked = stored(pool.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -137,3 +142,16 @@ def shard(docs: DataFrame, id_col: str, text_col: str, k: int = SHARDS, max_roun
     slot = F.when(F.col("filler").isNull(), F.col("rank")) \
         .otherwise(_table_get(held, F.col("shard")) + F.col("filler") - _table_get(free_before[:k], F.col("shard")))
     return g.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", slot.cast("long").alias("slot"))
+
+
+def cut_links(assigned: DataFrame, group_col: str, shard_col: str) -> DataFrame:
+    """One row (links, cut): the pairs of rows of one group, and those of them that lie in two
+    shards. Counted from the rows of each (group, shard), so no pair is made; a null group has
+    no links."""
+    pairs = lambda n: (n * (n - 1) / 2).cast("decimal(38,0)")
+    count = F.count(F.lit(1)).cast("decimal(18,0)")
+    per = assigned.where(F.col(group_col).isNotNull()).groupBy(F.col(group_col).alias("grp"), F.col(shard_col).alias("at")) \
+        .agg(count.alias("n")).groupBy("grp").agg(F.sum("n").cast("decimal(18,0)").alias("n"), F.sum(pairs(F.col("n"))).alias("kept"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    return per.agg(F.coalesce(F.sum(pairs(F.col("n"))), zero).alias("links"),
+                   F.coalesce(F.sum(pairs(F.col("n")) - F.col("kept")), zero).alias("cut"))
