@@ -1,25 +1,37 @@
 """Near-duplicate join on word shingles: a MinHash LSH forest, then exact verification.
 
 A text's set of distinct word shingles is signed by ``trees`` keys of ``depth`` MinHash values.
-In each tree the keys, in sorted order, are a prefix trie; texts that share a prefix are
-candidates. The prefix is shortened from the full depth until pairs at the threshold are found
-with the target recall (``prefix_depth``). Candidates are only clustered at first; inside a
-cluster all pairs are then compared exactly on their shingle sets, in blocks of bounded size, by
-matrix products. What leaves a block is a row per text (its number of links and its root), never
-a row per pair.
+In each tree the keys, in sorted order, are a prefix trie; texts under one node of it are
+candidates. Matching starts at the full depth in every tree. A text whose recall is below the
+target then shortens its prefix by one value in one tree after the other, until the probability
+to meet a partner reaches the target (``shortenings``). That partner is taken at the least similarity,
+not below the threshold, that sets of its size can have at all: texts of few shingles are done
+at the full depth, long ones go on. The order of the trees is fixed, since an order by what a
+prefix finds would make the recall depend on the finds. At a shortened prefix a text meets all texts, whether these
+went on or not; a trie node that no text still seeks in makes no candidates.
+
+Candidates are then compared exactly on their shingle sets, by matrix products, in tasks of
+bounded size. A cluster of candidates that fits a task is compared whole. In a larger one either
+all pairs or the pairs under each trie node are compared, whichever is less work, so a chain of
+chance candidates costs its own pairs only; a pair under several nodes counts in its first
+tree. Classes are the components of verified links. What leaves a task is a row per text (its
+number of links and its root), never a row per pair.
 
 Texts with equal sets are one node from the start, so copies, however many, cost one row.
-Nothing is capped: a cluster too large for one task is cut into blocks, and each pair of blocks
-is a task of its own.
+Nothing is capped: a cluster or trie node too large for one task is cut into blocks, and each
+pair of blocks is a task of its own.
 
 Defined results: a text without a word (null, empty, blank) has no shingles, no links and is its
 own class; one with fewer words than a shingle has one shingle; class_id is the least id of the
 class (null only if all its ids are); repeated rows are copies of each other; words are runs of
-bytes other than ASCII white space, A-Z lower-cased.
+bytes other than ASCII white space, A-Z lower-cased; recall is null without shingles.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +49,46 @@ BLOCK_NODES = 512
 BLOCK_SHINGLES = 1 << 20
 
 
-def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
-    """The longest prefix that finds a pair at the threshold with the target probability."""
-    while depth > 1 and 1 - (1 - threshold ** depth) ** trees < target:
-        depth -= 1
-    return depth
+FEW = 64  # sets of more shingles are held to the threshold itself
+
+
+def least_similarity(n: int, threshold: float) -> float:
+    """The least Jaccard similarity of at least ``threshold`` between a set of ``n`` elements and
+    another, different set (1 if there is none)."""
+    if n > FEW:
+        return threshold
+    best = 1.0
+    for m in range(max(1, math.ceil(threshold * n - 1e-9)), math.floor(n / threshold + 1e-9) + 1):
+        both = math.ceil(threshold * (n + m) / (1 + threshold) - 1e-9)
+        both = min(both, n - 1) if m == n and both == n else both
+        if both <= min(n, m) and both >= threshold * (n + m - both) - 1e-9:
+            best = min(best, both / (n + m - both))
+    return best
+
+
+def depth_in(tree, steps, trees: int, depth: int):
+    """Prefix length in ``tree`` after ``steps`` shortenings, dealt to the trees in turn."""
+    return depth - (steps + trees - 1 - tree) // trees
+
+
+def miss(similarity: float, steps: int, trees: int, depth: int) -> float:
+    """Probability that a pair meets in no tree after ``steps`` shortenings."""
+    d = depth_in(np.arange(trees), steps, trees, depth)
+    return float(np.prod(1 - similarity ** d.astype(float)))
+
+
+@lru_cache(maxsize=None)
+def shortenings(trees: int, depth: int, threshold: float, target: float) -> tuple[tuple[int, ...], tuple[float, ...]]:
+    """(shortenings, recall) of a text by its number of shingles, up to FEW + 1 for all larger:
+    as many as its recall needs to reach the target, at most down to one value in each tree."""
+    steps, recall = [], []
+    for n in range(FEW + 2):
+        s, k = least_similarity(n, threshold), 0
+        while miss(s, k, trees, depth) > 1 - target and k < trees * (depth - 1):
+            k += 1
+        steps.append(k)
+        recall.append(1 - miss(s, k, trees, depth))
+    return tuple(steps), tuple(recall)
 
 
 def signature_keys(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
@@ -114,18 +161,36 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verify(threshold: float):
-    """Function over batches of (label, p, q, nid, mult, block, set) sorted by (label, p, q, nid)."""
-    def group(p, q, rows):
+def _owned(i, j, keys, own, tree: int, level: int, depth: int):
+    """Of the linked pairs (i, j) under a trie node, those that count there: the node is where the pair
+    meets in this tree, and it met in no tree before."""
+    counts = np.minimum(own[i, tree], own[j, tree]) == level
+    for t in range(tree):
+        shift = (VALUE_BITS * (depth - np.minimum(own[i, t], own[j, t]))).astype(np.uint64)
+        counts &= (keys[i, t] >> shift) != (keys[j, t] >> shift)
+    return counts
+
+
+def _verify(threshold: float, trees: int, depth: int, steps: tuple[int, ...]):
+    """Function over batches of (branch, label, p, q, nid, mult, block, keys, set) sorted by (branch,
+    label, p, q, nid): a whole cluster (branch -1) or a trie node's texts, two blocks at a time."""
+    def group(branch, p, q, rows):
         rows = list({r[0]: r for r in rows}.values())  # a repeated row of the table comes twice
-        nid, mult, block, sets = zip(*rows)
+        nid, mult, block, keys, sets = zip(*rows)
         linked = _linked_counts(list(sets), threshold)
         np.fill_diagonal(linked, False)
         block = np.array(block)
         if p != q:  # two blocks, one of them perhaps empty: pairs inside one belong to another task
             linked &= block[:, None] != block[None, :]
-        links = linked.astype(np.int64) @ np.array(mult, dtype=np.int64)
         roots = _roots(linked)
+        if branch >= 0 and linked.any():
+            i, j = np.nonzero(linked)
+            done = np.array([steps[min(len(s), FEW + 1)] for s in sets])
+            own = depth_in(np.arange(trees)[None, :], done[:, None], trees, depth)
+            tree, level = divmod(branch, depth + 1)
+            off = ~_owned(i, j, np.array(keys, dtype=np.int64).astype(np.uint64), own, tree, level, depth)
+            linked[i[off], j[off]] = False
+        links = linked.astype(np.int64) @ np.array(mult, dtype=np.int64)
         return [(n, int(k), nid[r]) for n, k, r in zip(nid, links, roots)]
 
     def run(batches):
@@ -137,78 +202,119 @@ def _verify(threshold: float):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())],
                                               names=["nid", "links", "root"])
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for at, (lab, p, q, nid, mult, block) in enumerate(zip(*cols)):
-                if (lab, p, q) != key:
+            cols = [batch.column(i).to_pylist() for i in range(8)]
+            for at, (branch, lab, p, q, nid, mult, block, keys) in enumerate(zip(*cols)):
+                if (branch, lab, p, q) != key:
                     if rows:
-                        out += group(*key[1:], rows)
-                    key, rows = (lab, p, q), []
+                        out += group(key[0], *key[2:], rows)
+                    key, rows = (branch, lab, p, q), []
                     if len(out) >= 5000:
                         yield batch_of(out)
                         out = []
-                rows.append((nid, mult, block, np.frombuffer(batch.column(6)[at].as_py(), dtype=np.uint64)))
+                rows.append((nid, mult, block, keys, np.frombuffer(batch.column(8)[at].as_py(), dtype=np.uint64)))
         if rows:
-            out += group(*key[1:], rows)
+            out += group(key[0], *key[2:], rows)
         if out:
             yield batch_of(out)
     return run
 
 
+def _entries(nodes: DataFrame, steps: tuple[int, ...], trees: int, depth: int) -> DataFrame:
+    """(nid, branch, prefix, seeks) for every trie node that a text is under: at its own depth
+    in a tree, where it seeks, and at the shorter prefixes at which others seek. ``branch`` is tree * (depth + 1) + level."""
+    levels = [sorted({int(depth_in(t, k, trees, depth)) for k in steps}) for t in range(trees)]
+    done = F.lit(list(steps))[F.least("n_shingles", F.lit(FEW + 1))]
+    own = nodes.select("nid", done.alias("done"), F.posexplode("keys").alias("tree", "k")).select(
+        "nid", "tree", "k", F.expr(f"{depth} - int((done + {trees - 1} - tree) div {trees})").alias("own"))
+    level = F.array(*[F.lit(x) for x in levels])[F.col("tree")]
+    return own.select("nid", "tree", "k", "own", F.explode(level).alias("level")).where("level <= own").select(
+        "nid", (F.col("tree") * (depth + 1) + F.col("level")).alias("branch"), (F.col("level") == F.col("own")).alias("seeks"),
+        F.expr(f"shiftrightunsigned(k, {VALUE_BITS} * ({depth} - level))").alias("prefix"))
+
+
+def _blocks(n, shingles):
+    return F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _less_apart():
+    """Whether the trie nodes of a cluster (work: their squares) take less than all its pairs."""
+    return F.col("work") < F.col("n").cast("double") * F.col("n")
+
+
+def _places(members: DataFrame, steps: tuple[int, ...], trees: int, depth: int) -> DataFrame:
+    """(nid, places) with the tasks of a cluster's member, array<struct(branch, label, blocks, block)>: one for
+    the whole cluster, or one for each trie node it shares where that is less to compare."""
+    block = F.pmod(F.xxhash64("nid"), "blocks").cast("int").alias("block")
+    sizes = stored(members.groupBy("label").agg(F.count(F.lit(1)).alias("n"), _blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks")),
+                   "cluster-sizes")
+    large = members.join(sizes.where("blocks > 1").select("label"), "label")
+    entries = _entries(large.select("nid", "n_shingles", "keys"), steps, trees, depth)
+    of = large.select("nid", "label", "n_shingles")
+    shared = stored(entries.join(of, "nid").groupBy("branch", "prefix")
+                    .agg(F.count(F.lit(1)).alias("c"), F.max("seeks").alias("sought"), F.min("label").alias("label"),
+                         _blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks")).where("c > 1 and sought"), "trie-nodes")
+    work = shared.groupBy("label").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("work"))
+    apart = stored(sizes.where("blocks > 1").join(work, "label").where(_less_apart()).select("label"), "apart")
+    whole = members.join(sizes.join(apart, "label", "left_anti"), "label").select(
+        "nid", F.array(F.struct(F.lit(-1).alias("branch"), "label", "blocks", block)).alias("places"))
+    under = entries.join(shared.join(apart, "label", "left_semi").drop("label"), ["branch", "prefix"])
+    under = under.groupBy("nid").agg(F.collect_list(F.struct("branch", F.col("prefix").alias("label"), "blocks", block)).alias("places"))
+    return whole.unionByName(under)
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, threshold: float = THRESHOLD,
             trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> DataFrame:
-    """(id, text_hash, n_shingles, class_key, class_id, n_links) of every row of ``docs``: the
-    class is the connected component of links, n_links the number of other rows whose
-    similarity is at least the threshold."""
+    """(id, text_hash, n_shingles, class_key, class_id, n_links, recall) of every row of ``docs``:
+    the class is the connected component of links, n_links the number of other rows whose
+    similarity is at least the threshold, recall the least probability that such a row was met."""
+    steps, recall = shortenings(trees, depth, threshold, target)
     rows = stored(signatures(docs, id_col, text_col, shingle, trees, depth), "signatures")
     nodes = stored(rows.where("node is not null").groupBy("node")
                    .agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"))).alias("first"),
                         F.count(F.lit(1)).alias("mult"), F.any_value("n_shingles").alias("n_shingles"),
                         F.any_value("keys").alias("keys"))
                    .withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    # the forest: in each tree, texts with the same prefix hang on the least of them
-    cut = VALUE_BITS * (depth - prefix_depth(trees, depth, threshold, target))
+    # the forest: in each tree, texts under a trie node hang on the least of them
     # (sides of a join that are sums by its key are written first: Spark can then split a hot key)
-    entries = nodes.select("nid", F.posexplode("keys").alias("tree", "k")) \
-                   .select("nid", "tree", F.shiftrightunsigned("k", cut).alias("prefix"))
-    heads = stored(entries.groupBy("tree", "prefix").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("c"))
-                   .where("c > 1").drop("c"), "heads")
-    # a text's heads (one a tree at most) hang on the least of them, and it does: most texts of a
-    # group share their heads, so few edges are left
-    hung = entries.join(heads, ["tree", "prefix"]).groupBy("nid").agg(F.collect_set("head").alias("on"))
+    entries = _entries(nodes, steps, trees, depth)
+    heads = stored(entries.groupBy("branch", "prefix").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("c"),
+                                                           F.max("seeks").alias("sought"))
+                   .where("c > 1 and sought").select("branch", "prefix", "head"), "heads")
+    # a text's heads (one a trie node at most) hang on the least of them, and it does: most texts of
+    # a group share their heads, so few edges are left
+    hung = entries.join(heads, ["branch", "prefix"]).groupBy("nid").agg(F.collect_set("head").alias("on"))
     on = hung.select("on", F.array_min("on").alias("b"), F.explode(F.array_union("on", F.array("nid"))).alias("a"))
     clusters = components(on.where("a <> b").select("a", "b"))
-    # clusters are cut into blocks of bounded size; each pair of blocks is compared in one task
-    members = clusters.join(nodes.select(F.col("nid").alias("node"), "mult", "n_shingles", "first"), "node") \
+    members = clusters.join(nodes.select(F.col("nid").alias("node"), "mult", "n_shingles", "first", "keys"), "node") \
                       .withColumnRenamed("node", "nid")
     members = stored(members, "members")
-    cluster_size = stored(members.groupBy("label").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")),
-        "cluster-sizes")
-    placed = members.join(cluster_size, "label").withColumn("block", F.pmod(F.xxhash64("nid"), "blocks").cast("int"))
-    wanted = placed.select("label", "nid", "mult", "blocks", "block", F.col("first.id").alias("w_id"),
-                           F.col("first.text_hash").alias("w_hash"))
+    wanted = members.join(_places(members, steps, trees, depth), "nid").select(
+        "nid", "mult", "places", F.when(F.col("places")[0]["branch"] >= 0, F.col("keys")).alias("keys"),
+        F.col("first.id").alias("w_id"), F.col("first.text_hash").alias("w_hash"))
     # texts outside the clusters are spared the shuffle
     texts = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text_col).alias("d_hash"), F.col(text_col).alias("t"))
     texts = HashFilter(members.select(F.col("first.text_hash").alias("h")), "h").rows(texts, "d_hash", inside=True)
     found = texts.join(wanted, (texts["d_hash"] == wanted["w_hash"]) & texts["d_id"].eqNullSafe(wanted["w_id"])) \
-                 .select("label", "nid", "mult", "blocks", "block", "t")
+                 .select("nid", "mult", "places", "keys", "t")
 
     def to_sets(batches):
         import pyarrow as pa
         for batch in batches:
-            for part in slices(batch, 5, 2 << 20):
-                sets = [shingle_set(x, shingle).tobytes() for x in text_arrays(part.column(5))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.binary())],
-                                                 names=["label", "nid", "mult", "blocks", "block", "set"])
-    sets = found.mapInArrow(to_sets, "label bigint, nid bigint, mult bigint, blocks int, block int, set binary")
-    tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-                .select("label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
-                        "nid", "mult", "block", "set")
-    checked = tasks.repartition("label", "p", "q").sortWithinPartitions("label", "p", "q", "nid") \
-                   .mapInArrow(_verify(threshold), "nid bigint, links bigint, root bigint")
+            for part in slices(batch, 4, 2 << 20):
+                sets = [shingle_set(x, shingle).tobytes() for x in text_arrays(part.column(4))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())],
+                                                 names=["nid", "mult", "places", "keys", "set"])
+    sets = found.mapInArrow(to_sets, "nid bigint, mult bigint, places array<struct<branch:int,label:bigint,blocks:int,block:int>>, "
+                                     "keys array<bigint>, set binary")
+    tasks = sets.select("nid", "mult", "keys", "set", F.inline("places")) \
+                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+                .select("branch", "label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+                        "nid", "mult", "block", "keys", "set")
+    checked = tasks.repartition("branch", "label", "p", "q").sortWithinPartitions("branch", "label", "p", "q", "nid") \
+                   .mapInArrow(_verify(threshold, trees, depth, steps), "nid bigint, links bigint, root bigint")
     checked = stored(checked, "verified")
     links = checked.groupBy("nid").agg(F.sum("links").alias("links"), F.count(F.lit(1)).alias("times"), F.min("root").alias("root"))
-    # clusters in one block have their classes; the others' parts are joined up by their roots
+    # texts of one task have their classes; the others' parts are joined up by their roots
     split = checked.join(links.where("times > 1").select("nid"), "nid", "left_semi").where("nid <> root")
     joined = components(split.select(F.col("nid").alias("a"), F.col("root").alias("b")))
     links = links.join(joined.withColumnRenamed("node", "nid"), "nid", "left") \
@@ -221,7 +327,8 @@ def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
     out = rows.join(named, "node", "left")
     return out.select("id", "text_hash", "n_shingles", "class_key",
                       F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                      F.when(F.col("node").isNotNull(), F.lit(list(recall))[F.least("n_shingles", F.lit(FEW + 1))]).alias("recall"))
 
 
 def keep_one(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
