@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as T
+from ..operators.lexicon_carry import WORD_PATTERN
 from .fixtures import lexicon_sql
 
 
@@ -80,6 +81,42 @@ SELECT src.k AS {key}, coalesce({round3_avg_sql('s.avg_v')}, 0.0) AS polarity, c
 FROM src LEFT JOIN s ON src.k = s.k)"""
 
 
+def carried_polarity_sql(src: str, key: str, col: str) -> str:
+    """D1, second form, read step by step: one step for each word with an entry and each mark; the
+    words without an entry between two steps count by the length of the longest."""
+    return f"""(
+WITH RECURSIVE tk AS (SELECT k, unnest(toks) AS tok, unnest(range(len(toks))) AS pos
+       FROM (SELECT {key} AS k, regexp_extract_all(lower(coalesce({col}, '')), {q(WORD_PATTERN)}) AS toks FROM {src})),
+lk AS (SELECT k, pos, tok, polarity AS p, coalesce(intensity, 1.0) AS i, coalesce(is_modifier, FALSE) AS m,
+              coalesce(is_negation, FALSE) AS g,
+              tok = '!' OR polarity IS NOT NULL OR coalesce(is_modifier, FALSE) OR coalesce(is_negation, FALSE) AS known
+       FROM tk LEFT JOIN {lexicon_sql()} lx ON tk.tok = lx.term),
+mk AS (SELECT *, sum(CASE WHEN known THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS j FROM lk),
+gap AS (SELECT k, j, max(length(tok)) AS len FROM mk WHERE NOT known GROUP BY k, j),
+st AS (SELECT mk.k, mk.j, mk.tok, mk.p, mk.i, mk.m, mk.g, coalesce(gap.len, 0) AS len
+       FROM mk LEFT JOIN gap ON gap.k = mk.k AND gap.j = mk.j - 1 WHERE known),
+r AS (
+  SELECT {key} AS k, 0 AS j, CAST(0 AS DOUBLE) AS s, 0 AS n, CAST(NULL AS DOUBLE) AS v, FALSE AS own, FALSE AS g, CAST(NULL AS DOUBLE) AS i
+  FROM {src}
+  UNION ALL
+  SELECT k, j,
+         CASE WHEN tok <> '!' AND p IS NOT NULL AND NOT (own AND i IS NOT NULL) THEN s + coalesce(v, 0.0) ELSE s END,
+         CASE WHEN tok <> '!' AND p IS NOT NULL AND NOT (own AND i IS NOT NULL) THEN n + 1 ELSE n END,
+         CASE WHEN tok = '!' THEN CASE WHEN v IS NULL THEN NULL ELSE greatest(-1.0, least(1.0, v * 1.25)) END
+              WHEN p IS NULL THEN v
+              WHEN i IS NOT NULL AND g THEN greatest(-1.0, least(1.0, p / (CASE WHEN i = 0 THEN 1.0 ELSE i END))) * -0.5
+              WHEN i IS NOT NULL THEN greatest(-1.0, least(1.0, p * i))
+              WHEN g THEN p * -0.5 ELSE p END,
+         CASE WHEN tok = '!' THEN own ELSE p IS NOT NULL AND xm END,
+         CASE WHEN tok = '!' THEN g WHEN xm THEN g OR (p IS NULL AND xg) ELSE xg END,
+         CASE WHEN tok = '!' THEN i WHEN xm THEN xi END
+  FROM (SELECT r.k, CAST(st.j AS INTEGER) AS j, st.tok, st.p, st.i AS xi, st.m AS xm, st.g AS xg, r.s, r.n, r.v,
+               r.own AND st.len <= 2 AS own, r.g AND st.len <= 1 AS g, CASE WHEN st.len <= 2 THEN r.i END AS i
+        FROM r JOIN st ON st.k = r.k AND st.j = r.j + 1)),
+e AS (SELECT k, n, (s + coalesce(v, 0.0)) / n AS mean FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY j DESC) = 1)
+SELECT k AS {key}, CASE WHEN n > 0 THEN {round3_avg_sql('mean')} ELSE 0.0 END AS polarity, CAST(n AS BIGINT) AS n FROM e)"""
+
+
 def ngram_terms_sql(tokens: str) -> str:
     """Uni+bigrams of a token list (DuckDB lists are 1-based)."""
     return (f"list_concat({tokens}, CASE WHEN len({tokens}) > 1 THEN "

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lexicon as L
+from ..operators import lexicon_carry as LC
 from ..operators import summary as H
 from .common import table
 from .fixtures import lexicon_df
-from .sqlparts import (clean_text_sql, display_label_sql, drop_stop_sql, index_tokens_sql,
+from .sqlparts import (carried_polarity_sql, clean_text_sql, display_label_sql, drop_stop_sql, index_tokens_sql,
                        lexicon_polarity_sql, normalise_sql, q, round3_avg_sql, sign_label_sql,
                        strip_ws_sql, ws_tokens_sql)
 
@@ -122,6 +123,12 @@ def lexicon_polarity(spark, sf):
     return L.lexicon_polarity(d, "doc_id", "text", lexicon_df(spark)).withColumn("n", F.col("n").cast("long"))
 
 
+@register("lexicon_polarity_carried", f"SELECT doc_id, polarity, n FROM {carried_polarity_sql('documents', 'doc_id', 'text')}")
+def lexicon_polarity_carried(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return LC.with_carried_polarity(d, "text", lexicon_df(spark), "polarity", "n").select("doc_id", "polarity", "n")
+
+
 @register("display_label", f"""
 SELECT doc_id, polarity, {sign_label_sql('polarity')} AS sentiment,
        {display_label_sql(sign_label_sql('polarity'))} AS display
