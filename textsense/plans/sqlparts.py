@@ -93,7 +93,7 @@ lk AS (SELECT k, pos, tok, polarity AS p, coalesce(intensity, 1.0) AS i, coalesc
        FROM tk LEFT JOIN {lexicon_sql()} lx ON tk.tok = lx.term),
 mk AS (SELECT *, sum(CASE WHEN known THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS j FROM lk),
 gap AS (SELECT k, j, max(length(tok)) AS len FROM mk WHERE NOT known GROUP BY k, j),
-st AS (SELECT mk.k, mk.j, mk.tok, mk.p, mk.i, mk.m, mk.g, coalesce(gap.len, 0) AS len
+st AS MATERIALIZED (SELECT mk.k, mk.j, mk.tok, mk.p, mk.i, mk.m, mk.g, coalesce(gap.len, 0) AS len
        FROM mk LEFT JOIN gap ON gap.k = mk.k AND gap.j = mk.j - 1 WHERE known),
 r AS (
   SELECT {key} AS k, 0 AS j, CAST(0 AS DOUBLE) AS s, 0 AS n, CAST(NULL AS DOUBLE) AS v, FALSE AS own, FALSE AS g, CAST(NULL AS DOUBLE) AS i
