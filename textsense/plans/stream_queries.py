@@ -32,8 +32,7 @@ def register(name, sql=None):
 
 def _stream_of(spark, sf, name):
     path = f"{sf.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return ST.parquet_stream(spark, sf, schema, glob=f"{name}.parquet")
+    return ST.table_stream(spark, path, spark.read.parquet(path).schema)
 
 
 @register("stream_score", f"SELECT doc_id, polarity FROM {_POL}")

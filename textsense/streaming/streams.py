@@ -43,6 +43,16 @@ def parquet_stream(spark: SparkSession, path: str, schema, glob: str | None = No
     return r.parquet(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A file stream over a parquet table that is one file or a folder of files (a file source
+    watches folders only, and its glob picks files by their own name)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():
+        return parquet_stream(spark, path, schema)
+    return parquet_stream(spark, at.getParent().toString(), schema, glob=at.getName())
+
+
 def latest_counts(updates: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The last value of each key among the updates that the batches wrote (column ``epoch``)."""
     return updates.groupBy(*keys).agg(F.max_by(value, "epoch").alias(value))
@@ -67,7 +77,10 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str =
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.parquet(out)
+    # a stream without any row leaves no file to take the columns from
+    if foreach_batch is None and q.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    return (spark.read.schema(stream.schema) if foreach_batch is None else spark.read).parquet(out)
 
 
 # S1 ----------------------------------------------------------------------------------------
@@ -150,6 +163,7 @@ def write_bounded_log(stream: DataFrame, spark: SparkSession, order: list[str],
                       checkpoint: str | None = None) -> DataFrame:
     """Run the stream, keep the bounded view; returns the view. Give ``out`` and
     ``checkpoint`` to go on with an earlier run."""
+    checkpoint_is_new = checkpoint is None
     out = out or shared_path(spark, f"{name}-out")
     checkpoint = checkpoint or shared_path(spark, f"{name}-ckpt")
     writer, last = bounded_log_writer(order, n, prepare, open_rows), {}
@@ -162,8 +176,11 @@ def write_bounded_log(stream: DataFrame, spark: SparkSession, order: list[str],
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    if "epoch" not in last:  # nothing new since the earlier run
+    if "epoch" not in last:  # nothing new since the earlier run, or nothing at all
         progress = q.lastProgress
+        if progress is None and checkpoint_is_new:
+            none = spark.createDataFrame([], stream.schema)
+            return prepare(none) if prepare else none
         last["epoch"] = int(progress["batchId"]) - 1 if progress else 0
     return spark.read.parquet(f"{out}/view/{last['epoch']}")
 
