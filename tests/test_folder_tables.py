@@ -26,3 +26,18 @@ def test_streams_over_empty_tables(spark, tmp_path):
     sf = _write(spark, tmp_path, [], [])
     assert QUERIES["stream_score"](spark, sf).collect() == []
     assert QUERIES["stream_log"](spark, sf).collect() == []
+
+
+def test_knowledge_base_files_are_bounded(spark, tmp_path, monkeypatch):
+    """One large scan split must not become one file, which is read as a single value."""
+    from textsense.plans import io_queries as Q
+    docs = [(i, f"word{i} x", "en", "s", 9) for i in range(2 * Q.FILE_RECORDS + 7)]
+    spark.createDataFrame(docs, DOC_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(TURNS, TURN_SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    seen = []
+    read = Q.IO.read_documents
+    monkeypatch.setattr(Q.IO, "read_documents", lambda s, path: seen.append(path) or read(s, path))
+    got = Q.QUERIES["files_roundtrip"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(sum(len(d[1]) - 1 for d in docs), 12, 0)]
+    lines = [r[0].count("\n") for r in spark.read.text(seen[0], wholetext=True).collect()]
+    assert sum(lines) == len(docs) and max(lines) <= Q.FILE_RECORDS
