@@ -10,9 +10,10 @@ and a logistic layer scores these maxima.
 Training goes by rounds. Each training partition takes the current parameters, makes one pass
 over its rows in small batches (Adagrad; a gradient reaches only the windows that were the
 maxima) and hands its parameters over; the next round starts from their mean, weighted by
-rows. At most ``max_train`` labelled rows are used, chosen by a hash of the id (a documented
-bound; partitions hold at most TRAIN_ROWS rows of it), so the model and the parameters that
-reach the driver have a fixed size. One training row in five is kept out of the fit and
+rows. All labelled rows are used, in partitions of about TRAIN_ROWS rows or a scan's split; their
+parameters are added up FAN at a time, so that neither a task nor the driver holds more sets than
+that, whatever the number of rows. (A caller's own ``max_train`` bounds the rows by a hash of the
+id.) One training row in five is kept out of the fit and
 calibrates: the score's 0.5 is the threshold that parts these rows best, and each language with
 enough of them has a threshold of its own for ``flagged``. The language never enters a score.
 
@@ -39,8 +40,8 @@ DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 16
 BLOCK = 1 << 14            # windows held at a time
-MAX_TRAIN = 24_000
 TRAIN_ROWS = 2_000         # rows of a training partition, about
+FAN = 16                   # parameter sets that one task, or the driver, adds up
 ROUNDS = 6
 BATCH = 16
 RATE = 0.08
@@ -223,8 +224,47 @@ def _best_middle(bins: list) -> float:
     return (best[0] + best[1]) / 2
 
 
+_SENT = "at int, n bigint, x array<binary>"
+
+
+def _sent(n: int, arrays: list[np.ndarray]):
+    """A row of the parameters that ``n`` rows gave, with the place of the task."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+    return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()),
+                                       pa.array([[x.astype("<f4").tobytes() for x in arrays]], pa.list_(pa.binary()))], names=["at", "n", "x"])
+
+
+def _mean(table, like: Net) -> tuple[list[np.ndarray] | None, int]:
+    """The mean of rows of ``_SENT``, weighted by their rows, and the rows (None and 0 of none)."""
+    shapes = [x.shape for x in like.arrays()]
+    mean, weight = [np.zeros(s, dtype=np.float64) for s in shapes], 0
+    for n, arrays in zip(table["n"].to_pylist(), table["x"]):
+        weight += n
+        for m, b in zip(mean, arrays):
+            m += n * np.frombuffer(b.as_buffer(), dtype="<f4").reshape(m.shape)
+    return [(m / weight).astype(np.float32) for m in mean] if weight else None, weight
+
+
+def _added(sent: DataFrame, parts: int, like: Net) -> DataFrame:
+    """The rows of ``_SENT`` of ``parts`` tasks, brought to at most FAN rows of the same mean; in the
+    order of the tasks, so that sums come out the same again."""
+    shapes = Net.of([np.empty(x.shape, dtype=np.float32) for x in like.arrays()])
+
+    def add(batches):
+        import pyarrow as pa
+        rows = [b for b in batches if b.num_rows]
+        mean, weight = _mean(pa.Table.from_batches(rows), shapes) if rows else (None, 0)
+        if weight:
+            yield _sent(weight, mean)
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        sent = sent.repartitionById(parts, F.expr(f"cast(floor(at / {FAN}) as int)")).sortWithinPartitions("at").mapInArrow(add, _SENT)
+    return sent
+
+
 def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str, lang_col: str | None = None,
-        learn: Column | None = None, max_train: int = MAX_TRAIN, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+        learn: Column | None = None, max_train: int | None = None, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model, and (lang, threshold): the score that parts a language's calibration rows, for
     each language with enough of them. ``learn`` is a condition on column ``id``: the rows whose
     labels may be used."""
@@ -235,13 +275,15 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
     none = spark.createDataFrame([], "lang string, threshold double")
 
     def bound(df: DataFrame) -> DataFrame:
+        if max_train is None:
+            return df
         n = df.count()
         return df.where(F.col("u") < int(min(1.0, max_train / max(n, 1)) * (1 << 20)))
 
     src = docs.select(F.col(id_col).alias("id"), (F.lit(None) if lang_col is None else F.col(lang_col)).cast("string").alias("lang"),
                       F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    # at most about max_train ids: small enough to send to the texts, which are not shuffled
-    rows = src.join(F.broadcast(bound(known)), "id").withColumn("k", F.xxhash64("id", "t")).dropDuplicates(["id", "k"])
+    src = src if learn is None else src.where(learn)
+    rows = src.join(bound(known), "id").withColumn("k", F.xxhash64("id", "t")).dropDuplicates(["id", "k"])
     rows = stored(rows, "training-texts").withColumn("u", F.pmod(F.xxhash64("k"), F.lit(1 << 20)))
     rows = bound(rows)
     tot = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
@@ -261,13 +303,12 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
     fitted = stored(fitted.select("k", "t", "y").mapInArrow(hashed, "k bigint, b binary, y int").repartition(parts, "k").sortWithinPartitions("k"),
                     "training-words")
     net = Net.fresh(p / n)
-    shapes = [x.shape for x in net.arrays()]
+    parts = fitted.rdd.getNumPartitions()
     for turn in range(rounds):
         held = spark.sparkContext.broadcast(net.arrays())
         rate = RATE * (1 - 0.9 * turn / rounds)
 
         def one_pass(batches, held=held, rate=rate):
-            import pyarrow as pa
             mine = Net.of([x.copy() for x in held.value])
 
             def some():
@@ -278,19 +319,13 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
                         yield np.hstack(words), np.cumsum([0, *[w.shape[1] for w in words]]), part.column(2).to_numpy().astype(np.float32)
             seen = mine.learn(some(), rate)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([[x.astype("<f4").tobytes() for x in mine.arrays()]],
-                                                                                        pa.list_(pa.binary()))], names=["n", "x"])
-        # max_train / TRAIN_ROWS partitions at most, a parameter set (2 MB) for each
-        sent = fitted.mapInArrow(one_pass, "n bigint, x array<binary>").toArrow()
-        mean, weight = [np.zeros(s, dtype=np.float64) for s in shapes], 0
-        for n, arrays in zip(sent["n"].to_pylist(), sent["x"]):
-            weight += n
-            for m, b in zip(mean, arrays):
-                m += n * np.frombuffer(b.as_buffer(), dtype="<f4").reshape(m.shape)
+                yield _sent(seen, mine.arrays())
+        sent = _added(fitted.mapInArrow(one_pass, _SENT), parts, net).toArrow()
+        mean, weight = _mean(sent, net)
         held.destroy()
         if weight == 0:  # every row calibrates
             break
-        net = Net.of([(m / weight).astype(np.float32) for m in mean])
+        net = Net.of(mean)
     return _calibrated(rows.where(kept_out), net)
 
 
