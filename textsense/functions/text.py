@@ -24,6 +24,9 @@ URL_PATTERN = rf"http[^{WS_CLASS}]+|www[^{WS_CLASS}]+|https[^{WS_CLASS}]+"
 MENTION_PATTERN = rf"@[{WORD_CLASS}]+"
 HASH_PATTERN = "#"
 NON_LETTER_PATTERN = rf"[^A-Za-z{WS_CLASS}]+"  # runs: same result as one char at a time
+# The same runs with the ranges spelled out: Java takes several times longer over the negated class.
+NON_LETTER_RANGES = (r"[\x00-\x08\x0E-\x1B\x21-\x40\x5B-\x60\x7B-\x84\x86-\x9F\xA1-\x{167F}\x{1681}-\x{1FFF}"
+                     r"\x{200B}-\x{2027}\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{2FFF}\x{3001}-\x{10FFFF}]+")
 TOKEN_PATTERN = rf"[^{WS_CLASS}]+"
 INDEX_TOKEN_PATTERN = rf"[{WORD_CLASS}]{{2,}}"
 STRIP_PATTERN = rf"^[{WS_CLASS}]+|[{WS_CLASS}]+$"
@@ -99,7 +102,7 @@ def strip_hash(col) -> Column:
 
 def letters_only(col) -> Column:
     """C4: keep ASCII letters and whitespace; nothing is replaced by a space."""
-    return F.regexp_replace(_c(col), NON_LETTER_PATTERN, "")
+    return F.regexp_replace(_c(col), NON_LETTER_RANGES, "")
 
 
 def lower_text(col) -> Column:

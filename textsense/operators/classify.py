@@ -79,7 +79,9 @@ def train_classifier(df: DataFrame, col: str, label: str, max_terms: int = MAX_T
     and labels; every later pass (vocabulary, indexer, L-BFGS) reads that table."""
     from ..session import stored
     rows = features_tokens(df.where(F.col(label).isNotNull()), col)
-    rows = stored(rows.where(T.strip_ws("__cleaned") != "").select(FEATURE_TOKENS, label), "train-tokens")
+    # a filter before the table is written would stem each text once more
+    rows = stored(rows.select(FEATURE_TOKENS, label, (T.strip_ws("__cleaned") != "").alias("__kept")), "train-tokens")
+    rows = rows.where("__kept").drop("__kept")
     tot = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(FEATURE_TOKENS)).alias("terms")).first()
     n_train = tot["n"]
     if n_train == 0:

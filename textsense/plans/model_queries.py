@@ -195,7 +195,9 @@ def step_counts_stemmed(spark, sf):
     stemming, train and test sizes, distinct stems of the training side, MAX_TERMS at most."""
     lab = _labelled(spark, sf)
     stems = CL.features_tokens(lab.where(F.col("quality").isNotNull()), "text")
-    stems = stored(stems.where(T.strip_ws("__cleaned") != "").select("doc_id", "quality", CL.FEATURE_TOKENS), "stemmed")
+    # a filter before the table is written would stem each text once more
+    stems = stored(stems.select("doc_id", "quality", CL.FEATURE_TOKENS, (T.strip_ws("__cleaned") != "").alias("kept")), "stemmed")
+    stems = stems.where("kept").drop("kept")
     split = _split(stems, "quality")
     train = split.where(F.col("split") == "train")
     vocab = (train.join(stems, "doc_id").select(F.explode_outer(CL.FEATURE_TOKENS).alias("t"))
