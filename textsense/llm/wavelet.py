@@ -77,13 +77,17 @@ class WaveletMatrix:
     def build(cls, values: np.ndarray, width: int) -> WaveletMatrix:
         planes, zeros, samples = [], [], []
         for bit in range(width - 1, -1, -1):
-            one = (values >> values.dtype.type(bit)) & values.dtype.type(1) != 0
+            one = (values & values.dtype.type(1 << bit)) != 0
             packed = np.packbits(one, bitorder="little")
             planes.append(packed)
             samples.append(cls._sampled(packed))
-            low = values[~one]
+            # by position: masks take twice as long
+            low, high = np.flatnonzero(~one), np.flatnonzero(one)
             zeros.append(len(low))
-            values = np.concatenate([low, values[one]])
+            ordered = np.empty_like(values)
+            np.take(values, low, out=ordered[:len(low)], mode="clip")
+            np.take(values, high, out=ordered[len(low):], mode="clip")
+            values = ordered
         return cls(len(values), planes, zeros, samples)
 
     @staticmethod
@@ -157,8 +161,8 @@ class WaveletMatrix:
         for p in range(self.width - 1, -1, -1):
             one = np.unpackbits(self.plane(p), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(out)
-            up[~one] = out[:self.zeros[p]]
-            up[one] = out[self.zeros[p]:] | out.dtype.type(1 << (self.width - 1 - p))
+            up[np.flatnonzero(~one)] = out[:self.zeros[p]]
+            up[np.flatnonzero(one)] = out[self.zeros[p]:] | out.dtype.type(1 << (self.width - 1 - p))
             out = up
         return out
 
