@@ -283,7 +283,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
     src = docs.select(F.col(id_col).alias("id"), (F.lit(None) if lang_col is None else F.col(lang_col)).cast("string").alias("lang"),
                       F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     src = src if learn is None else src.where(learn)
-    rows = src.join(bound(known), "id").withColumn("k", F.xxhash64("id", "t")).dropDuplicates(["id", "k"])
+    # both sides are dealt by id at every size: the labels are never sent whole, and equal rows are
+    # found where the join left them, without another shuffle of the texts
+    rows = src.join(bound(known).hint("shuffle_hash"), "id").withColumn("k", F.xxhash64("id", "t")).dropDuplicates(["id", "k"])
     rows = stored(rows, "training-texts").withColumn("u", F.pmod(F.xxhash64("k"), F.lit(1 << 20)))
     rows = bound(rows)
     tot = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
