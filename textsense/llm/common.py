@@ -268,14 +268,18 @@ class HashFilter:
             table[words["w"].to_numpy()] = words["x"].to_numpy().astype(np.uint32)
         self.held = hashes.sparkSession.sparkContext.broadcast(table)
 
+    def may_have(self, hashes: np.ndarray) -> np.ndarray:
+        """Inside a task: whether each of ``hashes`` may be among them."""
+        h = hashes.astype(np.int64) % self.bits
+        return (self.held.value[h >> 5] >> (h & 31).astype(np.uint32)) & 1 != 0
+
     def rows(self, df: DataFrame, col: str, inside: bool) -> DataFrame:
         """The rows of ``df`` whose hash may be among them (``inside``), or all the others."""
-        at, held, bits = df.columns.index(col), self.held, self.bits
+        at = df.columns.index(col)
 
         def run(batches):
             import pyarrow as pa
             for batch in batches:
-                h = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64) % bits
-                hit = (held.value[h >> 5] >> (h & 31).astype(np.uint32)) & 1 != 0
+                hit = self.may_have(batch.column(at).to_numpy(zero_copy_only=False))
                 yield batch.filter(pa.array(hit if inside else ~hit))
         return df.mapInArrow(run, df.schema)

@@ -7,13 +7,15 @@ buckets collide. Filters of widths 1 to 3 run over a text's word sequence, each
 largest value over the whole text is kept (texts are read in blocks, whatever their length),
 and a logistic layer scores these maxima.
 
-Training goes by rounds. Each training partition takes the current parameters, makes one pass
+Training goes by rounds. Each chunk of training rows takes the current parameters, makes one pass
 over its rows in small batches (Adagrad; a gradient reaches only the windows that were the
 maxima) and hands its parameters over; the next round starts from their mean, weighted by
-rows. All labelled rows are used, in partitions of about TRAIN_ROWS rows or a scan's split; their
-parameters are added up FAN at a time, so that neither a task nor the driver holds more sets than
+rows. All labelled rows are used, in chunks of about TRAIN_ROWS rows, cut only where a file is read
+in parts. A task learns up to FAN chunks one after the other and sends on their mean; these are
+added up FAN at a time, so that neither a task nor the driver holds more sets than
 that, whatever the number of rows. (A caller's own ``max_train`` bounds the rows by a hash of the
-id.) One training row in five is kept out of the fit and
+id.) Texts that may have a label become their words' buckets (two bytes each) before they are
+dealt out; no text is shuffled or stored. One training row in five is kept out of the fit and
 calibrates: the score's 0.5 is the threshold that parts these rows best, and each language with
 enough of them has a threshold of its own for ``flagged``. The language never enters a score.
 
@@ -27,12 +29,13 @@ none); extra columns pass through.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_CODE, _TO_LOWER, _Powers, append_columns, mix64, seeds, stored
+from .common import _BYTE_CODE, _TO_LOWER, HashFilter, _Powers, append_columns, mix64, seeds, slices, stored
 
 BUCKET_BITS = 15
 STEM = 5
@@ -40,7 +43,7 @@ DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 16
 BLOCK = 1 << 14            # windows held at a time
-TRAIN_ROWS = 2_000         # rows of a training partition, about
+TRAIN_ROWS = 2_000         # rows of a training chunk, about
 FAN = 16                   # parameter sets that one task, or the driver, adds up
 ROUNDS = 6
 BATCH = 16
@@ -146,9 +149,10 @@ class Net:
 
     def logits(self, texts: list) -> np.ndarray:
         """Of each text, in pieces of bounded work."""
-        if not texts:
-            return np.zeros(0)
-        top, _ = self.maxima(*padded(*word_buckets(texts)))
+        return self.logits_of(*word_buckets(texts)) if texts else np.zeros(0)
+
+    def logits_of(self, buckets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        top, _ = self.maxima(*padded(buckets, cuts))
         return (np.maximum(top, 0) @ self.out[:-1] + self.out[-1]).astype(np.float64)
 
     def learn(self, batches, rate: float = RATE) -> int:
@@ -224,6 +228,32 @@ def _best_middle(bins: list) -> float:
     return (best[0] + best[1]) / 2
 
 
+def _packed(buckets: np.ndarray) -> bytes:
+    """Both buckets of a text's words in two bytes each."""
+    return buckets.astype("<u2").tobytes()
+
+
+def _unpacked(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``word_buckets``, of texts that were packed."""
+    words = [np.frombuffer(b, dtype="<u2").astype(np.int32).reshape(2, -1) for b in texts]
+    return np.hstack(words), np.cumsum([0, *[w.shape[1] for w in words]])
+
+
+def _by_chunk(batches):
+    """(chunk, [(words, label)]) of at most BATCH rows of one chunk, wherever Arrow's batches end."""
+    rows, of = [], None
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            for c, b, y in zip(*[batch.column(i).slice(a, 256).to_pylist() for i in range(3)]):
+                if rows and (c != of or len(rows) == BATCH):
+                    yield of, rows
+                    rows = []
+                of = c
+                rows.append((b, y))
+    if rows:
+        yield of, rows
+
+
 _SENT = "at int, n bigint, x array<binary>"
 
 
@@ -283,27 +313,36 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
     src = docs.select(F.col(id_col).alias("id"), (F.lit(None) if lang_col is None else F.col(lang_col)).cast("string").alias("lang"),
                       F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     src = src if learn is None else src.where(learn)
+    src = src.withColumn("k", F.xxhash64("id", "t")).withColumn("h", F.xxhash64("id"))
+    id_type = src.schema["id"].dataType.simpleString()
+    # most texts without a label go before the shuffle; the join decides
+    plain = id_type in ("int", "bigint", "string") and id_type == known.schema["id"].dataType.simpleString()
+    labelled = HashFilter(bound(known).select(F.xxhash64("id").alias("h")), "h") if plain else None
+
+    def hashed(batches):
+        import pyarrow as pa
+        for batch in batches:
+            if labelled is not None:
+                batch = batch.filter(pa.array(labelled.may_have(batch.column(4).to_numpy(zero_copy_only=False))))
+            for part in slices(batch, 2, 1 << 20):
+                got = [_packed(word_buckets([t])[0]) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.binary()), part.column(3)],
+                                                 names=["id", "lang", "b", "k"])
     # both sides are dealt by id at every size: the labels are never sent whole, and equal rows are
-    # found where the join left them, without another shuffle of the texts
-    rows = src.join(bound(known).hint("shuffle_hash"), "id").withColumn("k", F.xxhash64("id", "t")).dropDuplicates(["id", "k"])
-    rows = stored(rows, "training-texts").withColumn("u", F.pmod(F.xxhash64("k"), F.lit(1 << 20)))
+    # found where the join left them, without another shuffle of the words
+    rows = src.select("id", "lang", "t", "k", "h").mapInArrow(hashed, f"id {id_type}, lang string, b binary, k bigint") \
+              .join(bound(known).drop("u").hint("shuffle_hash"), "id").dropDuplicates(["id", "k"])
+    rows = stored(rows, "training-rows").withColumn("u", F.pmod(F.xxhash64("k"), F.lit(1 << 20)))
     rows = bound(rows)
     tot = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
     n, p = tot["n"], tot["p"] or 0
     if n == 0 or p in (0, n):
         return Model(None, 0.0, 0.5 if n == 0 else p / n), none
     kept_out = F.pmod(F.xxhash64("k", F.lit(1)), F.lit(CALIBRATE)) == 0
-    fitted = rows.where(~kept_out)
-    parts = max(1, -(-n // TRAIN_ROWS))
-
-    def hashed(batches):
-        import pyarrow as pa
-        for batch in batches:
-            got = [word_buckets([t])[0].tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary()), batch.column(2)], names=["k", "b", "y"])
-
-    fitted = stored(fitted.select("k", "t", "y").mapInArrow(hashed, "k bigint, b binary, y int").repartition(parts, "k").sortWithinPartitions("k"),
-                    "training-words")
+    chunks = max(1, -(-n // TRAIN_ROWS))
+    tasks = min(chunks, max(-(-chunks // FAN), spark.sparkContext.defaultParallelism))
+    fitted = rows.where(~kept_out).select(F.pmod(F.hash("k"), F.lit(chunks)).alias("c"), "k", "b", "y")
+    fitted = stored(fitted.repartitionById(tasks, F.pmod("c", F.lit(tasks))).sortWithinPartitions("c", "k"), "training-words").select("c", "b", "y")
     net = Net.fresh(p / n)
     parts = fitted.rdd.getNumPartitions()
     for turn in range(rounds):
@@ -311,17 +350,16 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
         rate = RATE * (1 - 0.9 * turn / rounds)
 
         def one_pass(batches, held=held, rate=rate):
-            mine = Net.of([x.copy() for x in held.value])
-
-            def some():
-                for batch in batches:
-                    for a in range(0, batch.num_rows, BATCH):
-                        part = batch.slice(a, BATCH)
-                        words = [np.frombuffer(b, dtype=np.int32).reshape(2, -1) for b in part.column(1).to_pylist()]
-                        yield np.hstack(words), np.cumsum([0, *[w.shape[1] for w in words]]), part.column(2).to_numpy().astype(np.float32)
-            seen = mine.learn(some(), rate)
-            if seen:
-                yield _sent(seen, mine.arrays())
+            total, weight = [], 0
+            for _, chunk in groupby(_by_chunk(batches), key=lambda x: x[0]):
+                mine = Net.of([x.copy() for x in held.value])
+                seen = mine.learn(((*_unpacked([b for b, _ in rows]), np.array([y for _, y in rows], dtype=np.float32))
+                                   for _, rows in chunk), rate)
+                weight += seen
+                new = [seen * x.astype(np.float64) for x in mine.arrays()]
+                total = [a + b for a, b in zip(total, new)] if total else new
+            if weight:
+                yield _sent(weight, [x / weight for x in total])
         sent = _added(fitted.mapInArrow(one_pass, _SENT), parts, net).toArrow()
         mean, weight = _mean(sent, net)
         held.destroy()
@@ -337,8 +375,8 @@ def _calibrated(rows: DataFrame, net: Net) -> tuple[Model, DataFrame]:
     def make():
         import pyarrow as pa
         mine = Net.of(held.value)
-        return lambda texts: [pa.array(mine.logits(texts), pa.float64())]
-    seen = append_columns(rows.select("lang", "y", "t"), "t", make, [("z", "double")])
+        return lambda texts: [pa.array(mine.logits_of(*_unpacked(texts)), pa.float64())]
+    seen = append_columns(rows.select("lang", "y", "b"), "b", make, [("z", "double")])
     width = 40 / STEPS
     # logits outside [-20, 20] share a bin, so a language has at most STEPS + 1
     bins = stored(seen.groupBy("lang", F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "z")) / width).alias("b"))
