@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textsense.llm import decontaminate, forest_join, fourier_quality, quality_rules, trie_bpe
-from textsense.llm.common import read_table, stored
+from textsense.llm.common import read_table, small_batches, stored
 from textsense.llm.queries import tokenizer_path
 
 
@@ -23,6 +23,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a calibrated quality score under one half go."""
+    small_batches(spark)
     return fourier_quality.keep_good(docs, "doc_id", "text", read_table(spark, sf_dir, "labels"), "doc_id", "quality")
 
 
@@ -39,8 +40,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (little-endian unsigned 32-bit), and whether they decode to
     its text."""
+    small_batches(spark)
     docs = docs.select("doc_id", "lang", "source", "text")
-    coded = trie_bpe.encode_and_decode(docs, "text", tokenizer_path("byte_bpe_50k.json"))
+    coded = trie_bpe.encode_and_decode(docs, "text", tokenizer_path("byte_bpe_50k.json"), spare=True)
     return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

@@ -69,6 +69,15 @@ class WordCache:
         self.bytes += 140 + len(word) + len(ids)
 
 
+def small_batches(spark: SparkSession, size: str = "2m") -> None:
+    """From now on an Arrow batch that this session hands to Python holds ``size`` of rows, not
+    64 MB: a task keeps its rows in several places at once (Spark's vectors, the stream, the
+    worker), outside the heap. No result depends on it; a caller's own value is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 # --- numpy text helpers (used inside Arrow tasks) -------------------------------------------
 
 _U = np.uint64
@@ -205,6 +214,18 @@ def slices(batch, col: int, max_bytes: int):
             yield batch.slice(a, b - a)
 
 
+def release_memory() -> None:
+    """At a task's end: what Arrow and the C library hold without need goes back to the machine.
+    The worker stays for later tasks, beside the executor's JVM."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def append_columns(df: DataFrame, text_col: str, make, fields: list[tuple[str, str]], max_bytes: int = 1 << 20) -> DataFrame:
     """``df`` with the columns ``fields`` (name, Spark type) that ``make()`` computes from the
     texts: it is called once per task and returns a function from a list of texts (None for
@@ -226,7 +247,7 @@ def append_columns(df: DataFrame, text_col: str, make, fields: list[tuple[str, s
                 new = work(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in held], *new], names=names)
         del work
-        pa.default_memory_pool().release_unused()  # the worker stays for later tasks
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -282,4 +303,5 @@ class HashFilter:
             for batch in batches:
                 hit = self.may_have(batch.column(at).to_numpy(zero_copy_only=False))
                 yield batch.filter(pa.array(hit if inside else ~hit))
+            release_memory()
         return df.mapInArrow(run, df.schema)

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashFilter, free_name, seeds, set_id, shingle_set, slices, stored, text_arrays
+from .common import HashFilter, free_name, release_memory, seeds, set_id, shingle_set, slices, small_batches, stored, text_arrays
 from .components import components
 
 SHINGLE = 5
@@ -124,6 +124,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees:
                      pa.array([len(s) for s in sets], pa.int32()),
                      pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))],
                     names=["id", "text_hash", "node", "n_shingles", "keys"])
+        release_memory()
 
     return src.mapInArrow(run, f"id {id_type}, text_hash bigint, node binary, n_shingles int, keys array<bigint>")
 
@@ -216,6 +217,8 @@ def _verify(threshold: float, trees: int, depth: int, steps: tuple[int, ...]):
             out += group(key[0], *key[2:], rows)
         if out:
             yield batch_of(out)
+        del rows, out
+        release_memory()
     return run
 
 
@@ -267,6 +270,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
     """(id, text_hash, n_shingles, class_key, class_id, n_links, recall) of every row of ``docs``:
     the class is the connected component of links, n_links the number of other rows whose
     similarity is at least the threshold, recall the least probability that such a row was met."""
+    small_batches(docs.sparkSession)
     steps, recall = shortenings(trees, depth, threshold, target)
     rows = stored(signatures(docs, id_col, text_col, shingle, trees, depth), "signatures")
     nodes = stored(rows.where("node is not null").groupBy("node")
@@ -304,6 +308,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
                 sets = [shingle_set(x, shingle).tobytes() for x in text_arrays(part.column(4))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())],
                                                  names=["nid", "mult", "places", "keys", "set"])
+        release_memory()
     sets = found.mapInArrow(to_sets, "nid bigint, mult bigint, places array<struct<branch:int,label:bigint,blocks:int,block:int>>, "
                                      "keys array<bigint>, set binary")
     tasks = sets.select("nid", "mult", "keys", "set", F.inline("places")) \

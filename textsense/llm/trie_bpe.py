@@ -30,6 +30,7 @@ from .common import WordCache, append_columns
 # Fixed value: the pattern that cuts texts into words for byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_CACHED_BYTES = 40 << 20
+SPARE_CACHED_BYTES = 8 << 20  # where memory counts more than time
 # Scripts whose letters, digits and blanks are old enough that every Unicode version agrees; a
 # text with any other character is cut by the library's own pre-tokenizer.
 SETTLED = "\x00-\x1b\x20-\x84\x86-\u0377\u0386-\u052f\u1e00-\u1eff\u2000-\u2027\u202a-\u2063\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
@@ -179,10 +180,10 @@ class Codec:
             out += [piece] if piece in self.vocab.special else self.cut(piece)
         return out
 
-    def for_task(self) -> Codec:
+    def for_task(self, max_bytes: int = MAX_CACHED_BYTES) -> Codec:
         """The same vocabulary with a cache of its own, which goes when the task ends."""
         one = copy.copy(self)
-        one.cache = WordCache(MAX_CACHED_BYTES)
+        one.cache = WordCache(max_bytes)
         return one
 
     def encode(self, texts: list) -> list[bytes]:
@@ -209,11 +210,13 @@ def encode(docs: DataFrame, text_col: str, path: str, ids_col: str = "ids") -> D
     return append_columns(docs, text_col, make, [(ids_col, "binary")])
 
 
-def encode_and_decode(docs: DataFrame, text_col: str, path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """Like ``encode``, and the text that the ids decode to."""
+def encode_and_decode(docs: DataFrame, text_col: str, path: str, ids_col: str = "ids", decoded_col: str = "decoded",
+                      spare: bool = False) -> DataFrame:
+    """Like ``encode``, and the text that the ids decode to. ``spare`` takes less memory and more
+    time: a smaller cache, and a vocabulary that goes with its task instead of staying in the worker."""
     def make():
         import pyarrow as pa
-        codec = Codec.load(path).for_task()
+        codec = Codec(path).for_task(SPARE_CACHED_BYTES) if spare else Codec.load(path).for_task()
 
         def work(texts):
             ids = codec.encode(texts)
