@@ -85,3 +85,44 @@ def test_every_code_point_is_cut_as_the_library_does():
         got = [np.frombuffer(x, "<u4").tolist() for x in codec.encode(some)]
         wrong = [hex(points[a + i]) for i in range(len(some)) if got[i] != want[i]]
         assert not wrong, wrong[:20]
+
+
+class Counted(dict):
+    gets = 0
+
+    def get(self, *a):
+        self.gets += 1
+        return super().get(*a)
+
+
+def test_walk_asks_the_vocabulary_once_a_state_not_once_a_slice(library):
+    rng = random.Random(2)
+    words = sorted({bytes(rng.choice(b"etaoinshr") for _ in range(rng.randrange(8, 13))) for _ in range(5000)})
+    vocab = B.Vocabulary(PATH)
+    B.encode_words(vocab, words)
+    vocab.id_of = Counted(vocab.id_of)
+    again = [w + b"s" for w in words]  # other words over the same letters
+    got = B.encode_words(vocab, again)
+    assert vocab.id_of.gets < sum(map(len, again)) // 10
+    want = library.encode_batch([w.decode() for w in again[:300]], add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got[:300]] == [e.ids for e in want]
+
+
+def test_forgotten_states_change_nothing(monkeypatch):
+    words = sorted({t.encode() for t in odd_texts(300, seed=4) if t and "<|" not in t})
+    want = B.encode_words(B.Vocabulary(PATH), words)
+    monkeypatch.setattr(B, "MAX_STEPS", 0)
+    vocab = B.Vocabulary(PATH)
+    assert [B.encode_words(vocab, [w])[0] for w in words] == want
+    assert len(vocab.steps) <= len(words[-1])
+
+
+def test_common_texts_are_cut_as_the_library_does():
+    codec = B.Codec(PATH)
+    rng = random.Random(6)
+    points = [chr(c) for c in range(0x100) if not chr(c).encode().translate(None, B._COMMON)]
+    piece = lambda: rng.choice([*points, " ", "  ", "\n", "'s", "'ll", "'S", " é", "12", "ab", "÷"])
+    for _ in range(3000):
+        text = "".join(piece() for _ in range(rng.randrange(30)))
+        assert not text.encode().translate(None, B._COMMON)
+        assert codec.cut(text) == [text[a:b] for _, (a, b) in codec.cutter.pre_tokenize_str(text)]

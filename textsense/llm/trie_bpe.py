@@ -5,7 +5,8 @@ depth-first order of their trie. For each prefix the walk keeps the last token o
 encoding; two words share these states up to where they part, so a shared prefix is encoded
 once. Texts with characters that Unicode versions class differently are cut into words by the
 library's pre-tokenizer, all others by its pattern. The last token of a prefix is the one vocabulary token that ends it and may follow the
-last token of what remains in front. A word's ids are then read off backwards.
+last token of what remains in front. The tokens that end a prefix come from an automaton over the
+vocabulary's own trie: a step per byte, however long its tokens. A word's ids are then read off backwards.
 
 The vocabulary file's path is a parameter; every task reads it from its own machine. Texts stay
 in their partition: nothing is shuffled, and a task keeps a bounded cache of words.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import copy
 import json
 import re
+import struct
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,12 +32,15 @@ from .common import WordCache, append_columns
 # Fixed value: the pattern that cuts texts into words for byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_CACHED_BYTES = 40 << 20
+MAX_STEPS = 200_000  # steps of the automaton that a worker remembers, checked once a block
 SPARE_CACHED_BYTES = 8 << 20  # where memory counts more than time
 # Scripts whose letters, digits and blanks are old enough that every Unicode version agrees; a
 # text with any other character is cut by the library's own pre-tokenizer.
 SETTLED = "\x00-\x1b\x20-\x84\x86-\u0377\u0386-\u052f\u1e00-\u1eff\u2000-\u2027\u202a-\u2063\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 # Bytes of ASCII and of U+00C0 to U+00FF: texts of nothing else need no closer look.
 _COMMON = bytes([*range(0x1C), *range(0x20, 0xC0), 0xC3])
+# The same pattern for those texts.
+COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+"""
 
 
 def byte_chars() -> dict[str, int]:
@@ -65,10 +70,11 @@ class Vocabulary:
             a, b = model["vocab"][left], model["vocab"][right]
             self.rank[a, b] = order
             self.parts.setdefault(model["vocab"][left + right], (order, a, b))
-        self.longest = max(map(len, self.id_of))
+        self.prefixes = {b[:k] for b in self.id_of for k in range(len(b) + 1)}
         self._stable: dict[tuple[int, int], bool] = {}
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
+        self.forget_states()
 
     def _edge(self, t: int, side: int) -> list[tuple[int, float]]:
         """The tokens at the right (side 2) or left (side 1) end of ``t`` from one byte up to
@@ -110,13 +116,37 @@ class Vocabulary:
         self._stable[a, b] = ok
         return ok
 
+    def forget_states(self) -> None:
+        """Start the automaton: a state is the longest end of what was read that begins a token."""
+        self.states: list[bytes] = [b""]
+        self.ends: list[tuple] = [()]       # state -> the tokens that end there and their lengths, longest first
+        self.steps: dict[int, int] = {}     # 256 * state + byte -> state, as far as met
+        self._state_of: dict[bytes, int] = {b"": 0}
+
+    def step(self, state: int, byte: int) -> int:
+        """The state after ``byte``, which is remembered."""
+        text = self.states[state] + bytes([byte])
+        while text not in self.prefixes:
+            text = text[1:]
+        new = self._state_of.get(text)
+        if new is None:
+            new = self._state_of[text] = len(self.states)
+            self.states.append(text)
+            ends = [(self.id_of.get(text[i:]), len(text) - i) for i in range(len(text))]
+            self.ends.append(tuple(x for x in ends if x[0] is not None))
+        self.steps[256 * state + byte] = new
+        return new
+
 
 def encode_words(vocab: Vocabulary, words: list[bytes]) -> list[bytes]:
     """Ids, as little-endian unsigned 32-bit integers, of each of ``words`` (sorted, distinct)."""
-    id_of, longest, stable = vocab.id_of, vocab.longest, vocab.stable
+    if len(vocab.steps) > MAX_STEPS:
+        vocab.forget_states()
+    steps, ends, known, stable = vocab.steps, vocab.ends, vocab._stable, vocab.stable
     before = b""
     last: list[int] = [-1]   # last[d]: last token of the encoding of the first d bytes
     width: list[int] = [0]   # its length
+    state: list[int] = [0]   # the automaton's state after them
     out = []
     for word in words:
         n, shared = len(word), 0
@@ -124,21 +154,29 @@ def encode_words(vocab: Vocabulary, words: list[bytes]) -> list[bytes]:
             if x != y:
                 break
             shared += 1
-        del last[shared + 1:], width[shared + 1:]
-        for end in range(shared + 1, n + 1):
-            for start in range(max(0, end - longest), end):
-                t = id_of.get(word[start:end])
-                if t is not None and (start == 0 or stable(last[start], t)):
-                    last.append(t)
-                    width.append(end - start)
+        del last[shared + 1:], width[shared + 1:], state[shared + 1:]
+        at, end = state[shared], shared
+        for byte in word[shared:]:
+            end += 1
+            to = steps.get(256 * at + byte)
+            at = vocab.step(at, byte) if to is None else to
+            for t, size in ends[at]:
+                if size == end:
+                    break
+                a = last[end - size]
+                ok = known.get((a, t))
+                if stable(a, t) if ok is None else ok:
                     break
             else:
                 raise ValueError(f"no token ends {word[:end]!r}")
+            last.append(t)
+            width.append(size)
+            state.append(at)
         ids, at = [], n
         while at:
             ids.append(last[at])
             at -= width[at]
-        out.append(np.array(ids[::-1], dtype="<u4").tobytes())
+        out.append(struct.pack(f"<{len(ids)}I", *ids[::-1]))
         before = word
     return out
 
@@ -153,6 +191,7 @@ class Codec:
         from tokenizers import Tokenizer
         self.vocab = Vocabulary(path)
         self.split = regex.compile(PATTERN)
+        self.split_common = re.compile(COMMON_PATTERN)
         self.unsettled = re.compile(f"[^{SETTLED}]")
         self.cutter = Tokenizer.from_file(path).pre_tokenizer
         specials = sorted(self.vocab.special, key=len, reverse=True)
@@ -168,7 +207,9 @@ class Codec:
         return cls._loaded[path]
 
     def cut(self, text: str) -> list[str]:
-        if not text.encode().translate(None, _COMMON) or self.unsettled.search(text) is None:
+        if not text.encode().translate(None, _COMMON):
+            return self.split_common.findall(text)
+        if self.unsettled.search(text) is None:
             return self.split.findall(text)
         return [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
 
