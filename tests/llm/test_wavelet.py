@@ -82,3 +82,44 @@ def test_files_are_smaller_than_raw_ids():
     assert len(data) / len(x) < 2
     m = V.WaveletMatrix.from_bytes(memoryview(data))
     assert (m.access(np.arange(0, len(x), 997)) == x[::997]).all() and m.count(3) == (x == 3).sum()
+
+
+@pytest.mark.parametrize("n,top,width", [(0, 8, 4), (1, 1, 1), (64, 9, 4), (1000, 60000, 16), (777, 100_000, 17)])
+def test_planes_ordered_in_blocks(n, top, width, monkeypatch):
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, top, n).astype(np.uint16 if width <= 16 else np.uint32)
+    kept, whole = x.copy(), V.WaveletMatrix.build(x, width)
+    monkeypatch.setattr(V, "BLOCK", 64)
+    m = V.WaveletMatrix.from_bytes(memoryview(V.WaveletMatrix.build(x, width).to_bytes()))
+    assert (x == kept).all() and m.zeros == whole.zeros
+    assert all((m.plane(p) == whole.plane(p)).all() for p in range(width))
+    assert (m.values() == x).all() and (m.access(np.arange(n)) == x).all()
+
+
+def test_frequent_runs_are_learnt_once(monkeypatch):
+    monkeypatch.setattr(V, "MAX_RUNS", 3)
+    tok, learnt, ids = V.WordTokenizer(PATH), [], V.WordTokenizer._ids
+    monkeypatch.setattr(V.WordTokenizer, "_ids", lambda self, words: [learnt.extend(words), ids(self, words)][1])
+    library = Tokenizer.from_file(PATH)
+    for k in range(6):
+        text = f"often alsooften rare{chr(97 + k) * 5} seldom{chr(97 + k) * 4}, \u00c9T\u00c9"
+        got = tok.encode_together([text])[0]
+        assert np.frombuffer(got, tok.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(tok.runs.number) + len(tok.old_runs.number) <= 12
+    assert learnt.count("often") == learnt.count("alsooften") == 1 and len(learnt) == 4 + 2 * 6
+
+
+def test_planes_take_no_more_room_than_before():
+    import zlib as z
+    rng = np.random.default_rng(2)
+    share = 1 / np.arange(1, 40_001) ** 1.1
+    m = V.WaveletMatrix.build(rng.choice(40_000, 300_000, p=share / share.sum()).astype(np.uint16), 16)
+    assert sum(len(m._deflated(m.plane(p))) for p in range(16)) <= sum(len(z.compress(m.plane(p), 1)) for p in range(16))
+
+
+def test_files_are_written_from_small_batches(spark, texts):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    V.write(texts([(1, "one two")]), "doc_id", "text", PATH)
+    assert spark.conf.get(key) == "2m"
+    spark.conf.unset(key)

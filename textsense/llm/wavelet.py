@@ -11,7 +11,8 @@ from the last to the first.
 Tokenising goes through a cache of words (the library's BPE runs once per distinct word and
 task), which gives the library's ids for whole texts. Texts of ASCII and U+00C0 to U+00FF are cut
 into runs of letters, digits and signs together, a slice at a time: the cache is asked once for
-each distinct run of a slice and the ids are gathered by number. Other texts are cut one by one; those with characters from
+each distinct run of a slice and the ids are gathered by number. A worker remembers runs in two
+generations, so that frequent ones stay when it makes room. Other texts are cut one by one; those with characters from
 outside the ``SETTLED`` scripts are given to the library whole.
 
 Defined results: a null or empty text has the end id only; documents come in ascending order of
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import _TO_LOWER, WordCache, append_columns, folder, stored, write_file
+from .common import _TO_LOWER, WordCache, append_columns, folder, release_memory, small_batches, stored, write_file
 from .trie_bpe import byte_chars
 
 # Fixed value: the pattern of words in the tokenizer's file.
@@ -45,7 +46,8 @@ END_ID = 1
 MAGIC = b"WMTX0001"
 SAMPLE = 512  # bits between two rank samples
 MAX_CACHED_BYTES = 16 << 20
-MAX_RUNS = 300_000  # runs whose ids a worker remembers
+MAX_RUNS = 150_000  # runs in each of the two generations whose ids a worker remembers
+BLOCK = 1 << 16  # positions that a plane is ordered by at a time: they stay in the processor's cache
 # bytes that the common way of cutting leaves to the others: four controls that are white space
 # in Python, and all first bytes of non-ASCII characters but that of U+00C0 to U+00FF
 _OTHER = np.zeros(256, dtype=bool)
@@ -75,18 +77,23 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray, width: int) -> WaveletMatrix:
-        planes, zeros, samples = [], [], []
+        planes, zeros, samples, spare = [], [], [], None
         for bit in range(width - 1, -1, -1):
             one = (values & values.dtype.type(1 << bit)) != 0
             packed = np.packbits(one, bitorder="little")
             planes.append(packed)
             samples.append(cls._sampled(packed))
-            # by position: masks take twice as long
-            low, high = np.flatnonzero(~one), np.flatnonzero(one)
-            zeros.append(len(low))
-            ordered = np.empty_like(values)
-            np.take(values, low, out=ordered[:len(low)], mode="clip")
-            np.take(values, high, out=ordered[len(low):], mode="clip")
+            zeros.append(len(values) - int(samples[-1][-1]))
+            ordered = np.empty_like(values) if spare is None else spare
+            x, y = 0, zeros[-1]
+            for a in range(0, len(values), BLOCK):
+                some, ones = values[a:a + BLOCK], one[a:a + BLOCK]
+                # by position: masks take twice as long
+                low, high = some[np.flatnonzero(~ones)], some[np.flatnonzero(ones)]
+                ordered[x:x + len(low)] = low
+                ordered[y:y + len(high)] = high
+                x, y = x + len(low), y + len(high)
+            spare = values if planes[1:] else None  # the caller's array is left alone
             values = ordered
         return cls(len(values), planes, zeros, samples)
 
@@ -158,16 +165,28 @@ class WaveletMatrix:
     def values(self) -> np.ndarray:
         """The whole sequence, from the last plane back to the first."""
         out = np.zeros(self.n, dtype=np.uint16 if self.width <= 16 else np.uint32)
+        up = np.empty_like(out)
         for p in range(self.width - 1, -1, -1):
             one = np.unpackbits(self.plane(p), count=self.n, bitorder="little").view(bool)
-            up = np.empty_like(out)
-            up[np.flatnonzero(~one)] = out[:self.zeros[p]]
-            up[np.flatnonzero(one)] = out[self.zeros[p]:] | out.dtype.type(1 << (self.width - 1 - p))
-            out = up
+            x, y = 0, self.zeros[p]
+            out[y:] |= out.dtype.type(1 << (self.width - 1 - p))
+            for a in range(0, self.n, BLOCK):
+                some, ones = up[a:a + BLOCK], one[a:a + BLOCK]
+                low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
+                some[low] = out[x:x + len(low)]
+                some[high] = out[y:y + len(high)]
+                x, y = x + len(low), y + len(high)
+            out, up = up, out
         return out
 
+    @staticmethod
+    def _deflated(plane: np.ndarray) -> bytes:
+        """A plane has runs of equal bytes to find, hardly other repeats: those alone take half the time."""
+        z = zlib.compressobj(1, strategy=zlib.Z_RLE)
+        return z.compress(plane) + z.flush()
+
     def to_bytes(self) -> bytes:
-        packed = [zlib.compress(self.plane(p), 1) for p in range(self.width)]
+        packed = [self._deflated(self.plane(p)) for p in range(self.width)]
         steps = [zlib.compress(np.diff(x).astype("<u2").tobytes(), 1) for x in self.samples]
         return b"".join([struct.pack("<QQ", self.n, self.width), np.array(self.zeros, dtype="<u8").tobytes(),
                          np.array([len(x) for x in (*packed, *steps)], dtype="<u8").tobytes(), *packed, *steps])
@@ -202,6 +221,33 @@ def unpack(data: bytes) -> tuple[int, int, list, np.ndarray, WaveletMatrix]:
         WaveletMatrix.from_bytes(memoryview(data)[40 + size:])
 
 
+class Runs:
+    """A generation of runs: run -> number, and the numbers' ids one after the other."""
+
+    def __init__(self, dtype: np.dtype):
+        self.number: dict[str, int] = {}
+        self.held, self.start = np.zeros(1 << 18, dtype=dtype), np.zeros(1, dtype=np.int64)
+
+    def add(self, runs: list[str], ids: np.ndarray, cut: np.ndarray) -> None:
+        """Number ``runs``, whose ids lie in ``ids`` between ``cut``'s places."""
+        n, used = len(self.start) - 1, int(self.start[-1])
+        while used + len(ids) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[used:used + len(ids)] = ids
+        self.start = np.concatenate([self.start, used + cut[1:]])
+        self.number.update(zip(runs, range(n, n + len(runs))))
+
+    def ids(self, number) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs of these numbers, and where each run's start (and end)."""
+        number = np.asarray(number, dtype=np.int64)
+        start = self.start[number]
+        size = self.start[number + 1] - start
+        many = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(start - many[:-1], size)
+        at += np.arange(many[-1])
+        return self.held[at], many
+
+
 class WordTokenizer:
     """Whole-text ids of a word-level BPE file, through the tokenizers library and a bounded
     cache of words."""
@@ -229,12 +275,7 @@ class WordTokenizer:
         self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.dtype = np.dtype("<u2" if self.top < 1 << 16 else "<u4")
         self.cache = WordCache(MAX_CACHED_BYTES)
-        self._forget()
-
-    def _forget(self) -> None:
-        """Start the memory of runs: run -> number, and the numbers' ids one after the other."""
-        self.number: dict[str, int] = {}
-        self.held, self.start = np.zeros(1 << 20, dtype=self.dtype), np.zeros(1, dtype=np.int64)
+        self.runs = self.old_runs = Runs(self.dtype)
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
@@ -284,20 +325,23 @@ class WordTokenizer:
                 self.cache.add(w, ids[x:y].tobytes())
 
     def _numbers(self, runs: list[str]) -> np.ndarray:
-        """The number of each of ``runs``, which are learnt if new."""
-        if len(self.number) > MAX_RUNS:
-            self._forget()
-        new = [w for w in runs if w not in self.number]
+        """The number of each of ``runs`` in the young generation. A run that only the old one
+        has moves up with its ids, others are learnt."""
+        if len(self.runs.number) > MAX_RUNS:
+            self.old_runs, self.runs = self.runs, Runs(self.dtype)
+        young, old = self.runs, self.old_runs
+        found = list(map(young.number.get, runs))
+        new = [w for w, n in zip(runs, found) if n is None]
+        if new and old is not young:
+            at = list(map(old.number.get, new))
+            young.add([w for w, n in zip(new, at) if n is not None], *old.ids([n for n in at if n is not None]))
+            new = [w for w, n in zip(new, at) if n is None]
         for a in range(0, len(new), 20_000):
             some = new[a:a + 20_000]
-            ids, cut = self._ids([w if w.isascii() else w.lower() for w in some])
-            n, used = len(self.start) - 1, int(self.start[-1])
-            while used + len(ids) > len(self.held):
-                self.held = np.concatenate([self.held, np.zeros_like(self.held)])
-            self.held[used:used + len(ids)] = ids
-            self.start = np.concatenate([self.start, used + cut[1:]])
-            self.number.update(zip(some, range(n, n + len(some))))
-        return np.fromiter(map(self.number.__getitem__, runs), dtype=np.int64, count=len(runs))
+            young.add(some, *self._ids([w if w.isascii() else w.lower() for w in some]))
+        if None in found:
+            found = [young.number[w] if n is None else n for w, n in zip(runs, found)]
+        return np.array(found, dtype=np.int64)
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text, cut one by one."""
@@ -318,14 +362,16 @@ class WordTokenizer:
         other[np.searchsorted(off, np.flatnonzero(_OTHER[data]), side="right") - 1] = True
         for i in np.flatnonzero(~other).tolist():
             other[i] = b"<|" in blobs[i] and any(s in texts[i] for s in self.special)
-        kind = _KIND[data]
+        around = np.zeros(len(data) + 2, dtype=np.uint8)  # a blank in front and behind
+        kind = around[1:-1]
+        np.take(_KIND, data, out=kind)
         sign = np.flatnonzero((data == 0x97) | (data == 0xB7))  # of those characters two are no letters
         kind[sign] = 3
         kind[sign - 1] = 3
         for i in np.flatnonzero(other).tolist():  # their bytes count as blanks here
             kind[off[i]:off[i + 1] - 1] = 0
         inside = kind != 0
-        edge = np.diff(kind, prepend=0, append=0) != 0
+        edge = around[1:] != around[:-1]
         edge[:-1] |= kind == 2  # every digit is a run
         # signs and letters around an apostrophe may belong together: such a word stays whole
         apart = np.flatnonzero((data == 39) & inside)
@@ -335,15 +381,12 @@ class WordTokenizer:
             for x, y in set(zip(np.concatenate([[-1], blank])[at].tolist(), np.append(blank, len(data))[at].tolist())):
                 edge[x + 2:y] = False
         edge = np.flatnonzero(edge)
-        start = edge[:-1][inside[edge[:-1]]] if len(edge) else edge
-        end = edge[1:][inside[edge[:-1]]] if len(edge) else edge
+        filled = inside[edge[:-1]]
+        start, end = edge[:-1][filled], edge[1:][filled]
         at = np.concatenate([[0], np.cumsum(end - start)])
         words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(_TO_LOWER[data[inside]])).dictionary_encode()
         number = self._numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
-        size = self.start[number + 1] - self.start[number]
-        many = np.concatenate([[0], np.cumsum(size)])
-        # the ids of each run are copied from where they are held
-        flat = self.held[np.arange(many[-1]) + np.repeat(self.start[number] - many[:-1], size)]
+        flat, many = self.runs.ids(number)
         cut = many[np.searchsorted(start, off)]
         rest = iter(self.encode([t for t, x in zip(texts, other) if x])) if other.any() else iter(())
         return [next(rest) if x else flat[a:b].tobytes() for x, a, b in zip(other.tolist(), cut[:-1].tolist(), cut[1:].tolist())]
@@ -373,6 +416,7 @@ def _ranged(ids: DataFrame, bounds: np.ndarray) -> DataFrame:
 def write(docs: DataFrame, id_col: str, text_col: str, path: str, file_tokens: int = FILE_TOKENS) -> tuple[str, DataFrame]:
     """Tokenise and write; the folder and its files (part, seq, n_docs, n_tokens) in order."""
     spark = docs.sparkSession
+    small_batches(spark)  # a slice each: memory that the runs' ids may take
     out = folder(spark, "token-files")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -406,6 +450,7 @@ def write(docs: DataFrame, id_col: str, text_col: str, path: str, file_tokens: i
                 size += len(b)
         if held:
             flush()
+        release_memory()
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], names=["part", "seq", "n_docs", "n_tokens"])
 
@@ -431,6 +476,8 @@ def read(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
                          pa.array(at[a:b], pa.int64()), pa.array(sizes[a:b], pa.int64()),
                          pa.array([tokens[x:y].tobytes() for x, y in zip(at[a:b], at[a + 1:b + 1])], pa.binary())],
                         names=["part", "seq", "id", "at", "n_tokens", "ids"])
+                del data, matrix, tokens
+        release_memory()
 
     if files.limit(1).count() == 0:
         return spark.createDataFrame([], "id bigint, start bigint, n_tokens bigint, ids binary")
