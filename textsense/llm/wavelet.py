@@ -46,7 +46,7 @@ END_ID = 1
 MAGIC = b"WMTX0001"
 SAMPLE = 512  # bits between two rank samples
 MAX_CACHED_BYTES = 16 << 20
-MAX_RUNS = 150_000  # runs in each of the two generations whose ids a worker remembers
+MAX_RUNS = 300_000  # runs in each of the two generations whose ids a worker remembers
 BLOCK = 1 << 16  # positions that a plane is ordered by at a time: they stay in the processor's cache
 # bytes that the common way of cutting leaves to the others: four controls that are white space
 # in Python, and all first bytes of non-ASCII characters but that of U+00C0 to U+00FF
